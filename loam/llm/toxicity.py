@@ -1,9 +1,9 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Labels are given per document. Token labels follow from them: of the words that stand almost only in toxic documents, a
-greedy cover picks those that explain the toxic documents; their tokens are labelled toxic. The field has two states, one
-weight per known word in each of three places (the word itself, the one before, the one after), one for unknown words, and
-transitions. Forward-backward marginals mark the offending tokens; a document's expected number of them, calibrated on
+greedy cover picks those that explain the toxic documents; their tokens are labelled toxic. Beginnings of words count as
+words of their own, so that inflected forms help each other. The field has two states, one weight per known word in each of
+three places (the word itself, the one before, the one after) and per known beginning, one for unknown ones, and transitions. Forward-backward marginals mark the offending tokens; a document's expected number of them, calibrated on
 the training documents, is its score.
 
 Forward-backward runs over whole batches at once: the sequences of a batch stand end to end, messages are products of
@@ -32,11 +32,15 @@ FIELD_DOCS = 800
 VOCABULARY = 20_000
 MIN_DOCS = 3
 PURITY = 0.9
-STEPS = 60
+STEPS = 40
 RATE = 0.3
 RIDGE = 1e-3
 CHUNK = 128
 MARK = 0.5
+#: Marginals below the first count nothing, so that long clean texts do not add up to a toxic one; the second stands for none.
+LEAST_MARGINAL, LEAST_EXPECTED = 1e-3, 1e-6
+#: Lengths of the beginnings of longer words; they are marked so that none can be taken for a word.
+STEMS = (4, 5, 6, 7)
 _WORD = re.compile(r"[\w']+")
 
 
@@ -46,10 +50,19 @@ def word_key(piece: str) -> str:
     return max(found, key=len) if found else ""
 
 
+def features(word: str) -> list[str]:
+    """The word and its marked beginnings, one for each of ``STEMS``, empty where the word is no longer than that."""
+    return [word, *(f"{word[:n]}-{n}" if len(word) > n else "" for n in STEMS)]
+
+
+def numbers(words: dict[str, int], word: str) -> tuple[int, ...]:
+    return tuple(words.get(f, 0) if f else 0 for f in features(word))
+
+
 @dataclass
 class Field:
-    words: dict[str, int]  # word -> number; 0 is any other
-    emit: np.ndarray  # 3 x words
+    words: dict[str, int]  # word or marked beginning -> number; 0 is any other
+    emit: np.ndarray  # (3 + beginnings) x words
     start: float
     trans: np.ndarray  # log potentials [[0, O->T], [T->O, T->T]]
     slope: float = 1.0
@@ -102,23 +115,26 @@ def forward_backward(score: np.ndarray, first: np.ndarray, field: Field) -> tupl
 
 
 def _emission(ids: np.ndarray, first: np.ndarray, emit: np.ndarray) -> np.ndarray:
-    score = emit[0][ids]
+    word = ids[:, 0]
+    score = emit[0][word]
+    for i in range(len(STEMS)):
+        score = score + emit[3 + i][ids[:, 1 + i]]
     if len(ids) > 1:
-        before = emit[1][ids[:-1]]
-        after = emit[2][ids[1:]]
+        before = emit[1][word[:-1]]
+        after = emit[2][word[1:]]
         inner = ~first[1:]
         score[1:] += np.where(inner, before, 0)
         score[:-1] += np.where(inner, after, 0)
     return score
 
 
-def train(sequences: list[list[int]], labels: list[list[int]], words: dict[str, int]) -> Field:
+def train(sequences: list[list[tuple[int, ...]]], labels: list[list[int]], words: dict[str, int]) -> Field:
     """Gradient ascent on the conditional likelihood: observed less expected counts, from forward-backward."""
     ids = np.concatenate([np.asarray(s, np.int64) for s in sequences])
     gold = np.concatenate([np.asarray(s, float) for s in labels])
     first = np.zeros(len(ids), bool)
     first[np.cumsum([0, *map(len, sequences)])[:-1]] = True
-    field = Field(words, np.zeros((3, len(words) + 1)), -2.0, np.array([[0.0, -2.0], [0.0, 0.0]]))
+    field = Field(words, np.zeros((3 + len(STEMS), len(words) + 1)), -2.0, np.array([[0.0, -2.0], [0.0, 0.0]]))
     inner = ~first[1:]
     shape = field.emit.shape[1]
     m = np.zeros_like(field.emit)
@@ -128,7 +144,9 @@ def train(sequences: list[list[int]], labels: list[list[int]], words: dict[str,
         score = _emission(ids, first, field.emit)
         p, fwd = forward_backward(score, first, field)
         diff = gold - p
-        g = np.stack([np.bincount(ids, diff, shape), np.bincount(ids[:-1], np.where(inner, diff[1:], 0), shape), np.bincount(ids[1:], np.where(inner, diff[:-1], 0), shape)])
+        word = ids[:, 0]
+        g = [np.bincount(word, diff, shape), np.bincount(word[:-1], np.where(inner, diff[1:], 0), shape), np.bincount(word[1:], np.where(inner, diff[:-1], 0), shape)]
+        g = np.stack(g + [np.bincount(ids[:, 1 + i], diff, shape) for i in range(len(STEMS))])
         # Pair marginals: the pair (i, j) is alpha_i * potential * what follows; what follows from the odds at j.
         a_ot, a_to, a_tt = np.exp(field.trans[0, 1]), np.exp(field.trans[1, 0]), np.exp(field.trans[1, 1])
         r = fwd[:-1]
@@ -190,7 +208,7 @@ def _fit(src: DataFrame) -> Field:
                 n: Counter[str] = Counter()
                 for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     if y == label:
-                        n.update({word_key(x) for x in text.split()})
+                        n.update({f for w in {word_key(x) for x in text.split()} for f in features(w)})
                 n.pop("", None)
                 yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([label] * len(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["word", "label", "n"])
 
@@ -203,10 +221,10 @@ def _fit(src: DataFrame) -> Field:
     rows = [r for part in half for r in part.select("id", "text", "label").collect()]  # at most about 2 * FIELD_DOCS documents
     rows.sort(key=lambda r: (r["label"], r["id"] is None, r["id"]))
     if n.get(1, 0) == 0 or not words:
-        return Field({}, np.zeros((3, 1)), 0.0, np.zeros((2, 2)), 0.0, -10.0)
+        return Field({}, np.zeros((3 + len(STEMS), 1)), 0.0, np.zeros((2, 2)), 0.0, -10.0)
     keys = [[word_key(x) for x in r["text"].split()] for r in rows]
-    marked = cover([set(k) for k, r in zip(keys, rows, strict=True) if r["label"] == 1], counts)
-    pairs = [([words.get(w, 0) for w in k], [int(w in marked and r["label"] == 1) for w in k], r["label"]) for k, r in zip(keys, rows, strict=True) if k]
+    marked = cover([{f for w in set(k) for f in features(w)} for k, r in zip(keys, rows, strict=True) if r["label"] == 1], counts)
+    pairs = [([numbers(words, w) for w in k], [int(r["label"] == 1 and any(f in marked for f in features(w))) for w in k], r["label"]) for k, r in zip(keys, rows, strict=True) if k]
     field = train([p[0] for p in pairs], [p[1] for p in pairs], words)
     _calibrate(field, pairs)
     return field
@@ -214,7 +232,12 @@ def _fit(src: DataFrame) -> Field:
 
 def _calibrate(field: Field, pairs: list) -> None:
     """Logistic curve from the logarithm of the expected number of toxic tokens to the document's label."""
-    x = np.array([_log_expected(_marginals(field, np.asarray(ids, np.int64), np.array([True] + [False] * (len(ids) - 1)))) for ids, _, _ in pairs])
+    ids = np.array([f for p in pairs for f in p[0]], np.int64)
+    starts = np.cumsum([0, *(len(p[0]) for p in pairs)])[:-1]
+    first = np.zeros(len(ids), bool)
+    first[starts] = True
+    p = _marginals(field, ids, first)
+    x = np.log(np.maximum(LEAST_EXPECTED, np.add.reduceat(np.where(p > LEAST_MARGINAL, p, 0.0), starts)))
     y = np.array([p[2] for p in pairs], float)
     a, b = 1.0, 0.0
     for _ in range(500):
@@ -228,25 +251,21 @@ def _marginals(field: Field, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return forward_backward(_emission(ids, first, field.emit), first, field)[0]
 
 
-def _log_expected(p: np.ndarray) -> float:
-    return float(np.log(max(1e-6, p[p > 1e-3].sum())))
-
-
 def score_column(field: Field, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
     """Scores of a column's texts, marginals of all tokens, and the tokens with their texts' bounds."""
     pieces = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     flat = pieces.flatten()
     coded = flat.dictionary_encode()
     known = field.words
-    ids = np.fromiter((known.get(word_key(x), 0) if x else 0 for x in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-    ids = ids[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
+    ids = np.array([numbers(known, word_key(x)) for x in coded.dictionary.to_pylist()], np.int64).reshape(-1, 1 + len(STEMS))
+    ids = ids[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else ids
     bounds = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
     first = np.zeros(len(ids), bool)
     starts = bounds[:-1][bounds[:-1] < bounds[1:]]
     first[starts] = True
     p = _marginals(field, ids, first)
-    sums = np.concatenate([[0.0], np.cumsum(np.where(p > 1e-3, p, 0.0))])
-    x = np.log(np.maximum(1e-6, sums[bounds[1:]] - sums[bounds[:-1]]))
+    sums = np.concatenate([[0.0], np.cumsum(np.where(p > LEAST_MARGINAL, p, 0.0))])
+    x = np.log(np.maximum(LEAST_EXPECTED, sums[bounds[1:]] - sums[bounds[:-1]]))
     return 1 / (1 + np.exp(-np.clip(field.slope * x + field.offset, -30, 30))), p, flat, bounds
 
 
