@@ -2,5 +2,33 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a query under its function's name, with the SQL that must give the same rows."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql.strip()
+        return f
+
+    return add
+
+
+def _load() -> None:
+    import importlib
+    import pkgutil
+
+    import loam.plans as here
+
+    for m in pkgutil.iter_modules(here.__path__):
+        if m.name != "catalog":
+            importlib.import_module(f"loam.plans.{m.name}")
+
+
+_load()
