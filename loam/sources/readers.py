@@ -18,7 +18,7 @@ TELEMETRY_SCHEMA = "calls array<struct<service_name:string,service_version:strin
 
 def texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """``path, text`` of whole files."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def hashed_files(spark: SparkSession, path: str) -> DataFrame:
@@ -77,7 +77,8 @@ def numstat(lines: DataFrame) -> DataFrame:
 
 def adr(files: DataFrame) -> DataFrame:
     """Decision records from Markdown: ``path, id, title, status, date, context, decision, consequences, affected_modules``."""
-    section = lambda name: F.trim(F.regexp_extract("text", rf"(?ims)^##\s*{name}\s*\n(.*?)(?=^##\s|\z)", 1))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    section = lambda name: strip(F.regexp_extract("text", rf"(?ims)^##\s*{name}\s*\n(.*?)(?=^##\s|\z)", 1))
     bullets = lambda body: F.regexp_extract_all(body, F.lit(r"(?m)^\s*[-*]\s+(.+?)\s*$"), F.lit(1))
     number = F.regexp_extract("text", r"(?im)^#\s*(?:ADR[- ]?)?(\d+)", 1)
     field = lambda name: F.trim(F.regexp_extract("text", rf"(?im)^\W*{name}\W*:\W*(.+?)\W*$", 1))
