@@ -88,11 +88,11 @@ def lzw_encode(data: bytes) -> bytes:
         if size >= 4094:
             put(256, width)
             table, width = {bytes([i]): i for i in range(256)}, 9
-        elif size >= (1 << width) - 1:
+        elif size >= 1 << width:
             width += 1
     if last:
         put(table[last], width)
-        if len(table) + 3 >= (1 << width) - 1 and width < 12:
+        if len(table) + 3 >= 1 << width and width < 12:
             width += 1
     put(257, width)
     if bits:
