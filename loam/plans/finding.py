@@ -86,9 +86,9 @@ def eval_recall_mrr(spark, sf_dir):
     return search.evaluate(res, p.groupBy("case").agg(F.min("item").alias("item")), 10)
 
 
-@query("SELECT p_partkey AS id FROM part WHERE contains(lower(p_name), 'sky') OR contains(lower(p_type), 'brass')")
+@query("SELECT p_partkey AS id FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_type), 'prom')")
 def substring_fallback(spark, sf_dir):
-    return R.read(spark, sf_dir, "part").where(F.col("p_name").ilike("%sky%") | F.col("p_type").ilike("%brass%")).select(F.col("p_partkey").alias("id"))
+    return R.read(spark, sf_dir, "part").where(F.col("p_name").ilike("%ring%") | F.col("p_type").ilike("%prom%")).select(F.col("p_partkey").alias("id"))
 
 
 @query("SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(lower(p_name), 'a') AND p_size IN (1, 2, 3, 5, 8) AND (starts_with(p_brand, 'Brand#1') OR starts_with(p_brand, 'Brand#2')) AND NOT contains(lower(p_type), 'steel') ORDER BY p_partkey LIMIT 100")
@@ -186,7 +186,7 @@ def graph_stats(spark, sf_dir):
     return graph.stats(R.edges(spark, sf_dir))
 
 
-_ENTRY = "CASE WHEN p_name LIKE '%main%' OR p_type LIKE 'STANDARD%' THEN 'cli' WHEN p_type LIKE 'PROMO%' THEN 'api' WHEN p_type LIKE '%COPPER' THEN 'job' WHEN p_type LIKE '%TIN' THEN 'event' END"
+_ENTRY = "CASE WHEN p_name LIKE '%main%' OR p_type LIKE 'STANDARD%' THEN 'cli' WHEN p_type LIKE 'PROMO%' THEN 'api' WHEN p_type LIKE 'LARGE%' THEN 'job' WHEN p_type LIKE 'MEDIUM%' THEN 'event' END"
 
 
 @query(f"SELECT p_partkey AS id, {_ENTRY} AS entry, count(l_suppkey) AS fan FROM part LEFT JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ON l_partkey = p_partkey WHERE {_ENTRY} IS NOT NULL GROUP BY 1, 2")

@@ -138,7 +138,7 @@ def reviewer_coverage(spark, sf_dir):
 
 
 _MEASURES = """m AS (SELECT b.file, count(DISTINCT author) AS authors, CAST(2001 * 12 + 12 - year(max(ts)) * 12 - month(max(ts)) AS BIGINT) AS months, count(*) FILTER (WHERE date_diff('day', CAST(ts AS DATE), DATE '2001-12-01') <= 90) AS commits_90d FROM blame b GROUP BY 1),
-f AS (SELECT m.*, CAST(p_size AS DOUBLE) AS complexity, p_size % 3 = 0 AS tested, lower(p_type) LIKE '%steel%' AS sensitive, CAST(p_size % 7 AS BIGINT) AS coupled FROM m JOIN part ON p_partkey = file),
+f AS (SELECT m.*, CAST(p_size AS DOUBLE) AS complexity, p_size % 3 = 0 AS tested, lower(p_type) LIKE '%promo%' AS sensitive, CAST(p_size % 7 AS BIGINT) AS coupled FROM m JOIN part ON p_partkey = file),
 p AS (SELECT file, least(complexity / 50, 1) * 20 AS complexity, CASE WHEN tested THEN 0.0 ELSE 15.0 END AS tests, CASE WHEN authors <= 1 THEN 15.0 WHEN authors = 2 THEN 7.0 ELSE 0.0 END AS bus_factor, least(months / 12, 1) * 10 AS staleness, CASE WHEN sensitive THEN 15.0 ELSE 0.0 END AS security, least(coupled / 10, 1) * 5 AS coupling, least(commits_90d / 20, 1) * 5 AS churn FROM f),
 s AS (SELECT *, round(complexity + tests + bus_factor + staleness + security + coupling + churn, 6)::DOUBLE AS score FROM p),
 audited AS (SELECT *, CASE WHEN score >= 80 THEN 'critical' WHEN score >= 60 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END AS level FROM s)"""
@@ -148,7 +148,7 @@ def _audited(spark, sf_dir):
     b = R.blame(spark, sf_dir)
     near = F.datediff(F.lit(R.HISTORY_AS_OF).cast("date"), F.col("ts").cast("date")) <= 90
     m = b.groupBy("file").agg(F.countDistinct("author").alias("authors"), F.count_if(near).alias("commits_90d"), F.max("ts").alias("last")).withColumn("months", (2001 * 12 + 12 - F.year("last") * 12 - F.month("last")).cast("long"))
-    p = R.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"), F.col("p_size").cast("double").alias("complexity"), (F.col("p_size") % 3 == 0).alias("tested"), F.lower("p_type").contains("steel").alias("sensitive"), (F.col("p_size") % 7).cast("long").alias("coupled"))
+    p = R.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"), F.col("p_size").cast("double").alias("complexity"), (F.col("p_size") % 3 == 0).alias("tested"), F.lower("p_type").contains("promo").alias("sensitive"), (F.col("p_size") % 7).cast("long").alias("coupled"))
     return audit.audit(m.join(p, "file"))
 
 
