@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -82,9 +82,11 @@ def merge_by_priority(parts: list[DataFrame], key: str) -> DataFrame:
     return union.groupBy(key).agg(*pick, F.count(F.lit(1)).alias("sources"), differ.cast("long").alias("conflicts"))
 
 
-def keep_first(df: DataFrame, key: list[str], order: list) -> DataFrame:
-    """The first row of each key in a total order."""
-    return df.withColumn("__i", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__i = 1").drop("__i")
+def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key by ``order`` (nulls first): a minimum, which combines before the shuffle, so a key of any size costs a row a task."""
+    rest = [c for c in df.columns if c not in key]
+    least = F.min_by(F.struct(*rest), F.struct(*order))
+    return df.groupBy(*key).agg(least.alias("__r")).select(*key, *[F.col(f"__r.{c}").alias(c) for c in rest])
 
 
 def keep_last_in_place(df: DataFrame, key: str, seq: str, value: str) -> DataFrame:

@@ -15,9 +15,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1))
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``term, key, tf, length``: the inverted index as a table."""
+def postings(docs: DataFrame, key: str, text: str, terms: list[str] | None = None) -> DataFrame:
+    """``term, key, tf, length``: the inverted index as a table, or its part for ``terms``, whose other words never leave their row."""
     t = docs.select(key, tokens(F.col(text)).alias("ts")).withColumn("length", F.size("ts").cast("long"))
+    if terms is not None:
+        t = t.withColumn("ts", F.filter("ts", lambda w: w.isin(terms)))
     return t.select(key, "length", F.explode("ts").alias("term")).groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("tf"))
 
 

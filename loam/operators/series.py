@@ -19,7 +19,10 @@ def trend(points: DataFrame, horizon_days: int = 30) -> DataFrame:
 
 
 def latest(points: DataFrame, n: int = 1) -> DataFrame:
-    """The last ``n`` points of each target."""
+    """The last ``n`` points of each target; for one, a maximum that combines before the shuffle."""
+    if n == 1:
+        rest = [c for c in points.columns if c != "target"]
+        return points.groupBy("target").agg(F.max_by(F.struct(*rest), "date").alias("__r")).select("target", *[F.col(f"__r.{c}").alias(c) for c in rest])
     w = Window.partitionBy("target").orderBy(F.desc("date"))
     return points.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n)
 

@@ -17,7 +17,8 @@ df AS (SELECT term, count(*) AS df FROM q GROUP BY 1), bm AS (SELECT doc_id, sum
 
 def _bm25(spark, sf_dir):
     d = R.read(spark, sf_dir, "documents")
-    return search.bm25(search.postings(d, "doc_id", "text"), search.corpus_size(d, "text"), "doc_id", ["license", "the", "worthless"])
+    terms = ["license", "the", "worthless"]
+    return search.bm25(search.postings(d, "doc_id", "text", terms), search.corpus_size(d, "text"), "doc_id", terms)
 
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 5) AS score FROM bm ORDER BY round(score, 5) DESC, doc_id LIMIT 50")
