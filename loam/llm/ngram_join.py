@@ -11,8 +11,9 @@ Documents are linked when the Jaccard similarity of their shingle sets is at lea
    their bitmaps, the range of set sizes and the component, if it is one. A dual traversal drops node pairs of one
    component, of sizes too far apart, or whose bitmaps allow too small an overlap. What is left is decided by the sets.
 
-Copies of a text, or a thousand variants of one, are one component after step 2 and cost nothing in step 3. Buckets of
-listed shingles are dealt out in blocks: documents of the bucket's largest component once, the others to every block.
+Copies of a text, or a thousand variants of one, are one component after step 2 and cost nothing in step 3. Buckets with the
+same largest component are searched together and dealt out in blocks: documents of that component once, the others to
+every block.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ WORDS = 5
 #: Similarity as a fraction.
 SIM_NUM, SIM_DEN = 4, 5
 #: A shingle is listed if batches of about ``COUNT_BYTES`` that hold it at least ``COUNT_LEAST`` times hold it often enough in all.
-COUNT_BYTES, COUNT_LEAST = 8 << 20, 3
-LISTED_LEAST, LISTED_SHARE, LISTED_MOST = 64, 5e-4, 200_000
+COUNT_BYTES, COUNT_LEAST = 8 << 20, 2
+LISTED_LEAST, LISTED_SHARE, LISTED_MOST = 16, 5e-5, 500_000
 #: Longer runs of one key are treated like those of listed shingles.
 RUN_MOST = 2048
-BLOCK = 512
+BLOCK = 128
 LEAF, FANOUT = 8, 8
 #: Up to so many ids (8 bytes each) are broadcast.
 BROADCAST_IDS = 200_000
@@ -97,9 +98,9 @@ def bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def fold(maps: list[bytes]) -> np.ndarray:
-    """Bitmaps of several sizes as rows of the smallest one, by OR."""
-    least = min(map(len, maps))
+def fold(maps: list[bytes], least: int | None = None) -> np.ndarray:
+    """Bitmaps of several sizes as rows of the smallest one (or of ``least`` bytes), by OR."""
+    least = least or min(map(len, maps))
     out = np.empty((len(maps), least), np.uint8)
     for i, m in enumerate(maps):
         out[i] = np.bitwise_or.reduce(np.frombuffer(m, np.uint8).reshape(-1, least), axis=0)
@@ -328,14 +329,29 @@ def dual(root: Node, size: np.ndarray, maps: np.ndarray, comp: np.ndarray) -> li
     return found
 
 
+def tree_join(size: np.ndarray, raw: list[bytes], comp: np.ndarray) -> list[tuple[int, int]]:
+    """Row pairs that may be linked. Sizes within a link differ by a quarter at most, so bitmaps by one doubling at most:
+    a tree for each bitmap size holds the documents of that size and, folded, of the next one."""
+    wide = np.fromiter(map(len, raw), np.int64, len(raw))
+    found = []
+    for w in np.unique(wide):
+        rows = np.flatnonzero((wide == w) | (wide == 2 * w))
+        if len(rows) < 2 or (comp[rows] == comp[rows[0]]).all():
+            continue
+        maps = fold([raw[i] for i in rows], int(w))
+        pairs = dual(build(size[rows], maps, comp[rows]), size[rows], maps, comp[rows])
+        found += [(rows[i], rows[j]) for i, j in pairs if wide[rows[i]] == w or wide[rows[j]] == w]
+    return found
+
+
 def _tree_pairs(rows: DataFrame) -> DataFrame:
     """Candidate pairs from rows ``bucket, doc_id, label, n, bits`` by one tree a bucket."""
 
     def run(key, batches):
         t = pa.Table.from_batches(batches) if not isinstance(batches, pa.Table) else batches
         size, comp, ids = (t.column(c).to_numpy() for c in ("n", "label", "doc_id"))
-        maps = fold(t.column("bits").to_pylist())
-        pairs = dual(build(size, maps, comp), size, maps, comp) if len(ids) > 1 else []
+        raw = t.column("bits").to_pylist()
+        pairs = tree_join(size, raw, comp) if (comp != comp[0]).any() else []
         a = np.array([ids[i] for i, _ in pairs], np.int64)
         b = np.array([ids[j] for _, j in pairs], np.int64)
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
@@ -371,22 +387,20 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stored(links, "star-links")
     labels = components(links)
 
-    # Trees over the buckets that hold several components still.
-    lone = lambda x: F.coalesce("label", x)
-    member = buckets.where("size(docs) > 2").select("bucket", F.explode("docs").alias("doc_id"))
-    member = member.join(labels.withColumnRenamed("id", "lid"), F.col("doc_id") == F.col("lid"), "left").select("bucket", "doc_id", lone(F.col("doc_id")).alias("label"))
+    # Trees over the buckets that hold several components still. Buckets of one largest component are searched together, so
+    # that a document of a large group goes out once, not once for each key it shares with the group.
+    light = buckets.where("size(docs) > 2").select("bucket", F.explode("docs").alias("doc_id"))
+    keyed = light.unionByName(dense.distinct().select(F.xxhash64(F.lit("key"), "key").alias("bucket"), "doc_id"))
+    member = keyed.join(labels.withColumnRenamed("id", "lid"), F.col("doc_id") == F.col("lid"), "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     member = stored(member, "member")
-    mixed = member.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    rows = member.join(mixed, "bucket")
-    wide = dense.distinct().join(labels.withColumnRenamed("id", "lid"), F.col("doc_id") == F.col("lid"), "left").select("key", "doc_id", lone(F.col("doc_id")).alias("label"))
-    wide = stored(wide, "wide")
-    per = wide.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("parts"))
-    per = stored(per.where("parts > 1").select("key", F.col("top.label").alias("major"), F.ceil((F.col("m") / BLOCK)).cast("int").alias("blocks")), "per")
-    some = F.broadcast(per) if per.count() <= BROADCAST_IDS else per
-    dealt = wide.join(some, "key").withColumn("block", F.when(F.col("label") == F.col("major"), F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("block", F.explode("block")).select(F.xxhash64("key", "block").alias("bucket"), "doc_id", "label")
+    per = member.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("major"), F.count(F.lit(1)).alias("parts"))
+    mixed = stored(per.where("parts > 1").select("bucket", "major"), "mixed")
+    held = stored(member.join(mixed, "bucket").select("major", "doc_id", "label").distinct(), "held")
+    blocks = stored(held.groupBy("major").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
+    dealt = held.join(blocks, "major").withColumn("block", F.when(F.col("label") == F.col("major"), F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("block", F.explode("block")).select(F.xxhash64("major", "block").alias("bucket"), "doc_id", "label")
     about = sk.where("doc_id is not null").select(F.col("doc_id").alias("sid"), "n", "bits")
-    full = rows.unionByName(dealt).join(about, F.col("doc_id") == F.col("sid")).select("bucket", "doc_id", "label", "n", "bits")
+    full = dealt.join(about, F.col("doc_id") == F.col("sid")).select("bucket", "doc_id", "label", "n", "bits")
     more = _tree_pairs(full).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = stored(more, "tree-pairs")
     if more.limit(1).count():
