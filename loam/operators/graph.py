@@ -1,7 +1,7 @@
 """Graphs as edge tables: traversal, paths, ranking and closures.
 
-Loops run on the driver, one join a step, over frontiers that stay distributed. Steps of a fixed, small number extend one
-plan; those of rankings are written to the shared checkpoint folder every few steps, where one is set.
+Loops run on the driver, one join a step, over frontiers that stay distributed. A frontier is used twice by the next step, so
+each is written to the shared checkpoint folder, or kept by Spark's cache (and made again if lost) where no folder is set.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ CUT_EVERY = 5
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder; without one, keep the plan."""
+    """Cut the plan: through the shared folder, or else through the cache."""
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return df.checkpoint()
-    return df
+    return df.persist()
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -39,8 +39,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, both: bool = False) ->
     for d in range(1, depth + 1):
         near = front.join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
         front = near.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d))
-        if d % CUT_EVERY == 0:
-            front = _cut(front)
+        front = _cut(front)
         seen = seen.unionByName(front)
     return seen
 
@@ -52,7 +51,7 @@ def closure_with_origin(edges: DataFrame, seeds: DataFrame, depth: int) -> DataF
     front = seen
     for d in range(1, depth + 1):
         near = front.join(e, F.col("id") == F.col("src")).select("origin", F.col("dst").alias("id")).distinct()
-        front = near.join(seen.select("origin", "id"), ["origin", "id"], "left_anti").withColumn("depth", F.lit(d))
+        front = _cut(near.join(seen.select("origin", "id"), ["origin", "id"], "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(front)
     return seen
 
@@ -65,7 +64,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, dep
     for _ in range(depth):
         near = front.join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
         near = near.groupBy("id").agg(F.min("path").alias("path"))
-        front = near.join(seen.select("id"), "id", "left_anti")
+        front = _cut(near.join(seen.select("id"), "id", "left_anti"))
         seen = seen.unionByName(front)
     return seen.join(targets.select("id").distinct(), "id").select("id", "path", (F.size("path") - 1).alias("hops"))
 
