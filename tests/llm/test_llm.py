@@ -6,7 +6,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,7 +165,7 @@ def test_mix_reaches_targets(spark):
 def test_mix_cap_and_slots(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), (None, 0)], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
-    assert abs(got["a"] - 30 if got["a"] == 30 else got["a"] - 1010 / 3) < 1e9 and got["a"] <= 30 and abs(sum(got.values()) - 1010) < 1e-6 and got[None] == 0
+    assert got == {"a": 30.0, "b": 980.0, None: 0.0}
     s = mixing.schedule(mixing.source_targets(sizes), 8).collect()
     assert len({r["slot"] for r in s}) == len(s)
     per = defaultdict(list)
@@ -400,4 +399,3 @@ def test_samples_are_bounded_and_stable(spark):
     df = spark.range(10_000)
     a = common.bounded_sample(df, "id", 500)
     assert 350 < a.count() < 650 and a.count() == common.bounded_sample(df, "id", 500).count()
-    assert pa.array([1]).to_pylist() == [1]
