@@ -14,6 +14,8 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 #: A word, as the contracts define it, in Java's dialect.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Paths of stored tables, for :func:`clear_stored`.
+_WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +44,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loam-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
 
 
+def clear_stored(spark: SparkSession) -> int:
+    """Delete the tables that :func:`stored` has written for this application, once no result that reads them is needed. Returns how many."""
+    done = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
+
+
 def lower_ascii(text):
     """Lower-case A-Z only. Where all characters are ASCII the faster ``lower`` does the same."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_LOWER))

@@ -399,3 +399,9 @@ def test_samples_are_bounded_and_stable(spark):
     df = spark.range(10_000)
     a = common.bounded_sample(df, "id", 500)
     assert 350 < a.count() < 650 and a.count() == common.bounded_sample(df, "id", 500).count()
+
+
+def test_stored_tables_can_be_cleared(spark):
+    common.clear_stored(spark)
+    kept = common.stored(spark.range(3), "x")
+    assert kept.count() == 3 and common.clear_stored(spark) == 1 and common.clear_stored(spark) == 0
