@@ -28,7 +28,7 @@ from .common import bounded_sample, small_batches, stored
 
 #: Bounds of the training sample: documents counted for words, and documents the field is trained on.
 SAMPLE_ROWS = 12_000
-FIELD_DOCS = 800
+FIELD_DOCS = 400
 VOCABULARY = 20_000
 MIN_DOCS = 3
 PURITY = 0.9
@@ -128,12 +128,13 @@ def _emission(ids: np.ndarray, first: np.ndarray, emit: np.ndarray) -> np.ndarra
     return score
 
 
-def train(sequences: list[list[tuple[int, ...]]], labels: list[list[int]], words: dict[str, int]) -> Field:
-    """Gradient ascent on the conditional likelihood: observed less expected counts, from forward-backward."""
-    ids = np.concatenate([np.asarray(s, np.int64) for s in sequences])
-    gold = np.concatenate([np.asarray(s, float) for s in labels])
+def train(ids: np.ndarray, gold: np.ndarray, starts: np.ndarray, words: dict[str, int]) -> Field:
+    """Gradient ascent on the conditional likelihood: observed less expected counts, from forward-backward.
+
+    ``ids`` holds the features' numbers of all sequences end to end, ``gold`` their labels, ``starts`` where each begins.
+    """
     first = np.zeros(len(ids), bool)
-    first[np.cumsum([0, *map(len, sequences)])[:-1]] = True
+    first[starts] = True
     field = Field(words, np.zeros((3 + len(STEMS), len(words) + 1)), -2.0, np.array([[0.0, -2.0], [0.0, 0.0]]))
     inner = ~first[1:]
     shape = field.emit.shape[1]
@@ -156,7 +157,7 @@ def train(sequences: list[list[tuple[int, ...]]], labels: list[list[int]], words
         x, y = gold[:-1], gold[1:]
         seen = [(1 - x) * y, x * (1 - y), x * y]
         gt = np.array([((s - w) * inner).sum() for s, w in zip(seen, pairs, strict=True)] + [diff[first].sum()])
-        n = len(sequences)
+        n = len(starts)
         g, gt = g / n - RIDGE * field.emit, gt / n
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mt, vt = 0.9 * mt + 0.1 * gt, 0.99 * vt + 0.01 * gt * gt
@@ -168,9 +169,14 @@ def train(sequences: list[list[tuple[int, ...]]], labels: list[list[int]], words
     return field
 
 
+def pure_words(counts: dict[str, tuple[int, int]]) -> set[str]:
+    """Words that stand almost only in toxic documents."""
+    return {w for w, (t, f) in counts.items() if t >= MIN_DOCS and t / (t + f) >= PURITY}
+
+
 def cover(toxic: list[set[str]], counts: dict[str, tuple[int, int]]) -> set[str]:
     """Words to label: by number of toxic documents not yet explained, among words that are pure enough."""
-    pure = {w for w, (t, f) in counts.items() if t >= MIN_DOCS and t / (t + f) >= PURITY}
+    pure = pure_words(counts)
     where: dict[str, set[int]] = {w: set() for w in pure}
     for i, words in enumerate(toxic):
         for w in words & pure:
@@ -222,28 +228,45 @@ def _fit(src: DataFrame) -> Field:
     rows.sort(key=lambda r: (r["label"], r["id"] is None, r["id"]))
     if n.get(1, 0) == 0 or not words:
         return Field({}, np.zeros((3 + len(STEMS), 1)), 0.0, np.zeros((2, 2)), 0.0, -10.0)
-    keys = [[word_key(x) for x in r["text"].split()] for r in rows]
-    marked = cover([{f for w in set(k) for f in features(w)} for k, r in zip(keys, rows, strict=True) if r["label"] == 1], counts)
-    pairs = [([numbers(words, w) for w in k], [int(r["label"] == 1 and any(f in marked for f in features(w))) for w in k], r["label"]) for k, r in zip(keys, rows, strict=True) if k]
-    field = train([p[0] for p in pairs], [p[1] for p in pairs], words)
-    _calibrate(field, pairs)
+    # Documents as numbers of distinct words: the sample's strings are kept once.
+    seen: dict[str, int] = {}
+    texts = [np.fromiter((seen.setdefault(word_key(x), len(seen)) for x in r["text"].split()), np.int32) for r in rows]
+    label = np.array([r["label"] for r in rows])
+    del rows
+    table = np.array([numbers(words, w) for w in seen], np.int32).reshape(-1, 1 + len(STEMS))
+    pure = pure_words(counts)
+    holds = [frozenset(f for f in features(w) if f in pure) for w in seen]
+    marked = cover([set().union(*(holds[i] for i in np.unique(t))) for t, y in zip(texts, label, strict=True) if y == 1], counts)
+    toxic = np.array([not marked.isdisjoint(h) for h in holds], float)
+    kept = [i for i, t in enumerate(texts) if len(t)]
+    sequence = np.concatenate([texts[i] for i in kept])
+    lens = np.array([len(texts[i]) for i in kept])
+    gold = toxic[sequence] * np.repeat(label[kept] == 1, lens)
+    ids, starts = table[sequence], np.cumsum([0, *lens])[:-1]
+    field = train(ids, gold, starts, words)
+    y = label[kept].astype(float)
+    _calibrate(field, ids, starts, y, np.where(y == 1, n.get(1, 0) / max(1, (label == 1).sum()), n.get(0, 0) / max(1, (label == 0).sum())))
     return field
 
 
-def _calibrate(field: Field, pairs: list) -> None:
-    """Logistic curve from the logarithm of the expected number of toxic tokens to the document's label."""
-    ids = np.array([f for p in pairs for f in p[0]], np.int64)
-    starts = np.cumsum([0, *(len(p[0]) for p in pairs)])[:-1]
+def _calibrate(field: Field, ids: np.ndarray, starts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+    """Logistic curve from the logarithm of the expected number of toxic tokens to the document's label, by Newton's method;
+    weights restore the labels' frequencies, which the sample evens out."""
     first = np.zeros(len(ids), bool)
     first[starts] = True
     p = _marginals(field, ids, first)
     x = np.log(np.maximum(LEAST_EXPECTED, np.add.reduceat(np.where(p > LEAST_MARGINAL, p, 0.0), starts)))
-    y = np.array([p[2] for p in pairs], float)
+    weight = weight / weight.sum()
     a, b = 1.0, 0.0
-    for _ in range(500):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        a += 0.1 * (((y - p) * x).mean() - 1e-3 * a)
-        b += 0.1 * (y - p).mean()
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        ga, gb = (weight * (y - q) * x).sum() - 1e-3 * a, (weight * (y - q)).sum()
+        v = weight * q * (1 - q)
+        haa, hab, hbb = (v * x * x).sum() + 1e-3, (v * x).sum(), v.sum() + 1e-6
+        det = haa * hbb - hab * hab
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        step = min(1.0, 2 / max(abs(da), abs(db), 1e-9))
+        a, b = a + step * da, b + step * db
     field.slope, field.offset = max(a, 1e-3), b
 
 
