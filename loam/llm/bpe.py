@@ -35,7 +35,8 @@ _SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 WORD_END = "</w>"
 LEAF_CHARS = 1 << 15
 LEAF_RUN = 256
-TABLE_ENTRIES = 1_000_000
+TABLE_ENTRIES = 900_000
+DIGEST_ENTRIES = 600_000  # rendered text takes more room
 
 
 def _byte_letters() -> dict[int, int]:
@@ -132,11 +133,11 @@ class TreeEncoder:
         """Rendered ids of a piece, from the table if it has been seen."""
         got = self.table.get(raw)
         if got is None:
-            if raw.isalpha() and raw.islower():
-                text = raw.decode()
-                ids = self._run(text)
+            if raw.isalpha() and raw.islower() and self.render is tuple and len(raw) <= LEAF_RUN:
+                ids = tuple([t.id for t in self.model.tokenize(raw.decode())])
             elif raw[:-1].isalpha() and raw.islower() and raw[-1] in b".,":
-                ids = self._run(raw[:-1].decode()) + self._run(chr(raw[-1]))
+                body = raw[:-1]
+                ids = (self.piece(body) if self.render is tuple else self._run(body.decode())) + self._run(chr(raw[-1]))
             elif _SIMPLE.fullmatch(text := raw.decode()) and not any(s in raw for s in _SPECIAL):
                 ids = tuple(i for run in _SPLIT.findall(text.lower()) for i in self._run(run))
             else:
@@ -161,17 +162,18 @@ class TreeEncoder:
         special = pc.match_substring_regex(low, "<\\|(start|end)oftext\\|>")
         pieces = pc.ascii_split_whitespace(pc.if_else(special, texts, low) if pc.any(special).as_py() else low)
         coded = pieces.flatten().dictionary_encode()
-        ids = [self.piece(x.encode()) for x in coded.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        table, words = self.table, coded.dictionary.cast(pa.binary()).to_pylist()
+        ids = [got if (got := table.get(x)) is not None else self.piece(x) for x in words]
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum()))
         which = coded.indices.to_numpy(zero_copy_only=False)
         many = sizes[which]
-        ends = np.cumsum(many)
-        total = int(ends[-1]) if len(ends) else 0
-        starts = np.concatenate([[0], np.cumsum(sizes)])[which]
-        at = np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - many), many)
-        bounds = np.concatenate([[0], ends])[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
-        return flat[at], np.diff(bounds)
+        ends = np.cumsum(many, dtype=np.int32)  # a batch holds a few megabytes of text, so far fewer ids than 2 ** 31
+        starts = (np.cumsum(sizes, dtype=np.int32) - sizes)[which]
+        at = np.repeat(starts - (ends - many), many)
+        at += np.arange(len(at), dtype=np.int32)
+        bounds = np.concatenate([np.zeros(1, np.int32), ends])[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
+        return flat[at], np.diff(bounds).astype(np.int64)
 
     def encode(self, text: str) -> list:
         """Rendered ids of each piece in turn: leaves of the halved text, joined again."""
@@ -200,6 +202,20 @@ class TreeEncoder:
         return self._walk(text, a, lo) + [self.piece(x) for x in self.leaf_pieces(text[lo:hi])] + self._walk(text, hi, b)
 
 
+_ENCODERS: dict[tuple[str, str], TreeEncoder] = {}
+
+
+def worker_encoder(path: str, form: str = "ids") -> TreeEncoder:
+    """The worker process's encoder, kept from task to task with its table. Forms: ``ids``, and ``digest`` for (decimal ids, decoded text, length)."""
+    if (path, form) not in _ENCODERS:
+        encoder = TreeEncoder(path, entries=TABLE_ENTRIES if form == "ids" else DIGEST_ENTRIES)
+        if form == "digest":
+            decode = encoder.tokenizer.decode
+            encoder.render = lambda ids: (" ".join(map(str, ids)), decode(list(ids), skip_special_tokens=False), len(ids))
+        _ENCODERS[path, form] = encoder
+    return _ENCODERS[path, form]
+
+
 _SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -211,7 +227,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """Token ids of every whole text: ``(doc_id, ids array<int>)``. Null and empty texts have no ids; repeated rows stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TreeEncoder(path)
+        encoder = worker_encoder(path)
         for batch in small_batches(batches, text_col):
             ids = [[i for piece in encoder.encode(t) for i in piece] for t in texts_of(batch, text_col)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
@@ -224,7 +240,7 @@ def decode_ids(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     """The library's ``decode(ids, skip_special_tokens=False)``: this format has no decoder, so tokens join with spaces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TreeEncoder(path)
+        encoder = worker_encoder(path)
         for batch in batches:
             out = [encoder.tokenizer.decode(x or [], skip_special_tokens=False) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
@@ -241,9 +257,7 @@ def digest_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TreeEncoder(path)
-        decode = encoder.tokenizer.decode
-        encoder.render = lambda ids: (" ".join(map(str, ids)), decode(list(ids), skip_special_tokens=False), len(ids))
+        encoder = worker_encoder(path, "digest")
         for batch in small_batches(batches, text_col):
             n, a, b = [], [], []
             for text in texts_of(batch, text_col):

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import TreeEncoder
+from .bpe import worker_encoder
 from .common import small_batches, stored
 
 MAGIC = b"LWM1"  # fixed value of the format
@@ -155,7 +155,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc
     ranged = src.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("range", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TreeEncoder(path)
+        encoder = worker_encoder(path)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         here, size, shard = None, 0, 0
 
@@ -165,7 +165,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc
             file = pack(np.concatenate([x[0] for x in held]), np.concatenate([[0], np.cumsum(lens)]), ids)
             return pa.RecordBatch.from_arrays([pa.array([here], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([file], pa.binary())], names=["range", "shard", "n_tokens", "file"])
 
-        for batch in small_batches(batches, "text", 2 << 20):
+        for batch in small_batches(batches, "text", 4 << 20):
             at = batch.column(2).to_numpy()
             flat, many = encoder.encode_column(batch.column(1))
             ends = np.cumsum(many)
