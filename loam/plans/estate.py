@@ -47,12 +47,12 @@ def worst_staleness(spark, sf_dir):
     return federation.worst_staleness(n)
 
 
-_CONTRACT = "e AS (SELECT DISTINCT l_suppkey AS c, o_custkey % 40 AS k FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 45), d AS (SELECT c, count(*) AS direct FROM e GROUP BY 1), t AS (SELECT a.c, count(DISTINCT b.c) AS transitive FROM e a JOIN e b ON b.k = a.k AND b.c <> a.c GROUP BY 1), x AS (SELECT d.c AS contract, direct, coalesce(transitive, 0) AS transitive FROM d LEFT JOIN t ON t.c = d.c), p AS (SELECT *, CASE WHEN direct >= 5 THEN 3 WHEN direct >= 2 THEN 2 ELSE 0 END + (transitive > 0)::INT + (transitive > 5)::INT + (contract % 2 = 0)::INT + (contract % 5 = 0)::INT AS points FROM x)"
+_CONTRACT = "e AS (SELECT DISTINCT l_suppkey AS c, o_custkey % 5000 AS k FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 45), d AS (SELECT c, count(*) AS direct FROM e GROUP BY 1), t AS (SELECT a.c, count(DISTINCT b.c) AS transitive FROM e a JOIN e b ON b.k = a.k AND b.c <> a.c GROUP BY 1), x AS (SELECT d.c AS contract, direct, coalesce(transitive, 0) AS transitive FROM d LEFT JOIN t ON t.c = d.c), p AS (SELECT *, CASE WHEN direct >= 5 THEN 3 WHEN direct >= 2 THEN 2 ELSE 0 END + (transitive > 0)::INT + (transitive > 5)::INT + (contract % 2 = 0)::INT + (contract % 5 = 0)::INT AS points FROM x)"
 
 
 def _contracts(spark, sf_dir):
     li = R.read(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_orderkey", F.col("l_suppkey").alias("c"))
-    return li.join(R.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("c", (F.col("o_custkey") % 40).alias("k")).distinct()
+    return li.join(R.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("c", (F.col("o_custkey") % 5000).alias("k")).distinct()
 
 
 @query(f"WITH {_CONTRACT} SELECT contract, direct, transitive, points, CASE WHEN points >= 4 THEN 'high' WHEN points >= 2 THEN 'medium' ELSE 'low' END AS level FROM p")
