@@ -7,23 +7,27 @@ from pyspark.sql import functions as F
 
 from loam.functions.scoring import ladder
 
-#: Commits that touch more files than this say little about coupling and would make pairs by the square.
-MOST_FILES = 100
+#: A commit's files are dealt out over slices of about so many, each of which meets all of the commit's files in its own task.
+SLICE_FILES = 100
 
 
-def co_changes(changes: DataFrame, targets: DataFrame | None = None, most_files: int = MOST_FILES) -> DataFrame:
+def co_changes(changes: DataFrame, targets: DataFrame | None = None, most_files: int | None = None) -> DataFrame:
     """Ordered pairs of files that change together: ``path, other, together, changes, correlation``.
 
-    ``correlation`` is the share of ``path``'s commits that touch ``other``. Repeated rows of a commit count once. Commits
-    of more than ``most_files`` files are left out of pairs and of the base alike, which bounds the rows a commit can make.
-    ``targets`` (column ``path``) restricts the first file of the pairs before they are made.
+    ``correlation`` is the share of ``path``'s commits that touch ``other``. Repeated rows of a commit count once. All commits
+    count, as in the reference, whatever their size; only a caller that gives ``most_files`` leaves larger ones out of pairs
+    and base. ``targets`` (column ``path``) restricts the first file of the pairs before they are made.
     """
     one = changes.select("commit_id", "path").distinct()
-    sized = one.groupBy("commit_id").agg(F.count(F.lit(1)).alias("files")).where((F.col("files") <= most_files))
-    kept = one.join(sized.select("commit_id"), "commit_id", "left_semi")
+    sized = one.groupBy("commit_id").agg(F.count(F.lit(1)).alias("files"))
+    if most_files is not None:
+        sized = sized.where(F.col("files") <= most_files)
+    kept = one.join(sized.select("commit_id", F.ceil(F.col("files") / SLICE_FILES).cast("int").alias("slices")), "commit_id")
     left = kept if targets is None else kept.join(targets, "path", "left_semi")
     base = left.groupBy("path").agg(F.count(F.lit(1)).alias("changes"))
-    pairs = left.join(kept.withColumnRenamed("path", "other"), "commit_id").where("path <> other")
+    left = left.select("commit_id", "path", F.pmod(F.hash("path"), F.col("slices")).alias("slice"))
+    right = kept.select("commit_id", F.col("path").alias("other"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    pairs = left.join(right, ["commit_id", "slice"]).where("path <> other")
     out = pairs.groupBy("path", "other").agg(F.count(F.lit(1)).alias("together")).join(base, "path")
     return out.withColumn("correlation", F.round(F.col("together") / F.col("changes"), 6))
 

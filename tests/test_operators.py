@@ -129,6 +129,14 @@ def test_co_changes_leave_out_huge_commits_and_repeats(spark):
     assert got == [("a", "b", 1, 2), ("b", "a", 1, 1)]
 
 
+def test_co_changes_count_every_commit_whatever_its_size(spark):
+    c = spark.createDataFrame([(1, "f0"), (1, "f1"), (2, "f0"), *[(3, f"f{i}") for i in range(250)]], "commit_id long, path string")
+    got = {(r["path"], r["other"]): (r["together"], r["changes"]) for r in coupling.co_changes(c).collect()}
+    assert len(got) == 250 * 249 and got["f0", "f1"] == (2, 3) and got["f1", "f0"] == (2, 2) and got["f249", "f0"] == (1, 1)
+    one = coupling.co_changes(c, spark.createDataFrame([("f0",)], "path string"))
+    assert {r["other"]: r["together"] for r in one.collect()} == {b: n for (a, b), (n, _) in got.items() if a == "f0"}
+
+
 def test_empty_tables_give_empty_results(spark):
     c = spark.createDataFrame([], "commit_id long, path string, author long, ts timestamp, additions long, deletions long")
     assert churn.file_churn(c).count() == 0 and coupling.co_changes(c).count() == 0
