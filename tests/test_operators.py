@@ -90,6 +90,17 @@ def test_alias_chains(spark):
     assert got == {1: (4, 3, False), 4: (5, 1, False), 7: (7, 2, True), 9: (9, 0, False)}
 
 
+def test_reconcile_queries_read_the_whole_table(spark, tmp_path):
+    from loam.plans import change
+
+    parts = [(i, f"name {i}", "T", "B") for i in range(1, 2101)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    gone = {i for i in range(1, 2101) if i % 5 == 1}
+    assert {r["old_id"] for r in change.fuzzy_alias(spark, str(tmp_path)).collect()} == gone
+    back = {(i % 11 + i % 2) for i in range(1, 2101) if i % 5 == 0}
+    assert {r["old_id"] for r in change.renamed_by_backend(spark, str(tmp_path)).collect()} == {i for i in gone if i % 11 in back}
+
+
 def test_periods(spark):
     t = spark.createDataFrame([(dt.datetime(2024, 12, 30),), (dt.datetime(2024, 2, 29, 23, 59),), (None,)], "ts timestamp")
     got = t.select(*[scoring.period(F.col("ts"), k).alias(k) for k in ("daily", "weekly", "monthly")]).collect()
