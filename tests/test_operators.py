@@ -101,6 +101,37 @@ def test_reconcile_queries_read_the_whole_table(spark, tmp_path):
     assert {r["old_id"] for r in change.renamed_by_backend(spark, str(tmp_path)).collect()} == {i for i in gone if i % 11 in back}
 
 
+def test_reconcile_finds_the_best_of_all_new_symbols(spark):
+    import random
+
+    r = random.Random(7)
+    names = ["run", "_run", "Run", "ru_n", "rung", "xrun", "runner", "stop", "", "a", "b", "walk_all", "Walkall"]
+    some = lambda k, n: [(f"{k}{i:03}", f"{k}{i}", r.choice("fmt"), r.choice(names), r.choice("pq"), r.choice("uvw")) for i in range(n)]
+    old, new = [*some("o", 60), ("ox", "ox", "f", "only", "c", "p")], [*some("n", 12), ("nx", "nx", "m", "only", "c", "p")]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    def score(o, n):
+        plain = lambda x: x.replace("_", "").lower()
+        name = 0.4 if o[3] == n[3] else 0.2 if edits(o[3], n[3]) <= 2 or plain(o[3]) == plain(n[3]) else 0
+        return round(0.3 * (o[2] == n[2]) + name + (0.2 if o[4] == n[4] else 0.1) + (0.1 if o[5] == n[5] else 0.05), 6)
+
+    def best(o):
+        found = [(-score(o, n), n[0]) for n in new if score(o, n) >= 0.6]
+        return (min(found)[1], -min(found)[0], "similar") if found else (None, 0.0, "deleted")
+
+    cols = "sid string, backend string, kind string, name string, container string, path string"
+    got = {x["old_id"]: (x["new_id"], x["confidence"], x["reason"]) for x in identity.reconcile(spark.createDataFrame(old, cols), spark.createDataFrame(new, cols)).collect()}
+    assert got == {o[0]: best(o) for o in old} and got["ox"] == ("nx", 0.7, "similar")
+    assert {"similar", "deleted"} == {x[2] for x in got.values()}
+
+
 def test_periods(spark):
     t = spark.createDataFrame([(dt.datetime(2024, 12, 30),), (dt.datetime(2024, 2, 29, 23, 59),), (None,)], "ts timestamp")
     got = t.select(*[scoring.period(F.col("ts"), k).alias(k) for k in ("daily", "weekly", "monthly")]).collect()
