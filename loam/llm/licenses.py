@@ -1,11 +1,14 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory that has a license file.
 
-Only terms that some template uses can add to a dot product, so documents become sparse vectors by joining their header
-lines' terms with the templates' term table (a few hundred rows). Document frequencies come from all candidate lines.
+Only terms that some template uses can add to a dot product, so texts become sparse vectors by joining their terms with
+the templates' term table (some thousand rows). Header lines are compared with header templates, whole documents with
+header and license texts. Document frequencies come from all candidate lines, or from all documents that have one.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,15 +22,33 @@ TEMPLATES = {
     "LGPL-2.1": "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License version 2.1.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. ISC License.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Short forms of header lines. They share much with any line about licenses, so they need a higher cosine.
+SHORT = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("MIT", "Released under the MIT License."),
+    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("ISC", "Released under the ISC License."),
+]
+#: Whole license texts, a file each.
+TEXTS = Path(__file__).parent / "license_texts"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 #: A line is a candidate if it holds one of these words; every template does.
 CUE = r"(?i)licen[sc]e|permission|redistribut|copyright|public domain|unencumbered"
 LEAST = 0.35
-#: A document is a license file for its directory if candidate lines make up at least this share of its terms.
-FILE_SHARE = 0.5
+SHORT_LEAST = 0.7
+#: A document is a license file for its directory if its whole text has this cosine to a template.
+FILE_LEAST = 0.7
 
 
 def _terms(text):
@@ -37,7 +58,8 @@ def _terms(text):
 def scan(docs: DataFrame, path: F.Column, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """``doc_id, path, own_license, own_score, is_file, license, license_dir``, one row per input row.
 
-    ``own_license`` is the template nearest to one of the document's lines (best cosine of at least ``least``, then by name).
+    ``own_license`` is the template nearest to a license file's whole text, else the one nearest to one of the document's
+    lines (best cosine of at least ``least``, for short forms ``SHORT_LEAST``, then by name).
     A document without one inherits from the nearest ancestor directory that holds a license file: its path is cut into
     its ancestors, which are joined to the directories, the longest found winning. Null texts have no license; null
     paths inherit nothing; rows that repeat an id and path are scanned once and returned each.
@@ -46,21 +68,13 @@ def scan(docs: DataFrame, path: F.Column, id_col: str = "doc_id", text_col: str
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), path.alias("path"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     weights = _templates(spark)
     hits = rows.where(F.col("text").rlike(CUE))
-    lines = hits.select("doc_id", "path", F.size(_terms(F.col("text"))).alias("all_terms"), F.posexplode(F.split("text", "\n")).alias("line", "body")).where(F.col("body").rlike(CUE))
-    lines = lines.withColumn("terms", _terms(F.col("body")))
-    n_lines = lines.agg(F.count(F.lit(1)).alias("n_lines"))
-    terms = lines.select("doc_id", "path", "line", F.explode("terms").alias("term")).groupBy("doc_id", "path", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n_lines)).select("term", (F.log((F.col("n_lines") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weighed = terms.join(df, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = weighed.groupBy("doc_id", "path", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    known = weights.join(df, "term", "left").withColumn("tw", F.col("ttf") * F.coalesce("idf", F.lit(1.0)))
-    tnorm = known.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
-    known = F.broadcast(known.join(tnorm, "template").select("term", "template", (F.col("tw") / F.col("tnorm")).alias("tw")))  # as many rows as the templates have terms
-    dot = weighed.join(known, "term").groupBy("doc_id", "path", "line", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    cosine = dot.join(norm, ["doc_id", "path", "line"]).select("doc_id", "path", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
-    best = cosine.groupBy("doc_id", "path").agg(F.max_by("template", F.struct(F.col("score"), F.col("template"))).alias("own_license"), F.max("score").alias("own_score"))
-    share = lines.groupBy("doc_id", "path").agg((F.sum(F.size("terms")) / F.first("all_terms")).alias("share"))
-    own = best.join(share, ["doc_id", "path"]).withColumn("is_file", F.col("share") >= FILE_SHARE).drop("share")
+    lines = hits.select("doc_id", "path", F.posexplode(F.split("text", "\n")).alias("line", "body")).where(F.col("body").rlike(CUE))
+    lines = lines.select("doc_id", "path", "line", _terms(F.col("body")).alias("terms"))
+    bodies = hits.select("doc_id", "path", F.lit(0).alias("line"), _terms(F.col("text")).alias("terms"))
+    enough = F.when(F.col("form") == "short", F.greatest(F.lit(least), F.lit(SHORT_LEAST))).otherwise(least)
+    by_line = _best(_cosines(lines, weights.where("form <> 'text'")).where(F.col("score") >= enough)).withColumn("is_file", F.lit(False))
+    by_body = _best(_cosines(bodies, weights.where("form <> 'short'"), F.log).where(F.col("score") >= FILE_LEAST)).withColumn("is_file", F.lit(True))
+    own = by_line.unionByName(by_body).groupBy("doc_id", "path").agg(F.max(F.struct("is_file", "own_score", "own_license")).alias("best")).select("doc_id", "path", "best.*")
     dirs = own.where("is_file").groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("license_dir")).agg(F.max_by("own_license", F.struct("own_score", "own_license")).alias("dir_license"))
     ids = rows.select("doc_id", "path")
     paths = ids.select("path").where("path is not null").select(F.regexp_replace("path", "/[^/]*$", "").alias("dir")).distinct()
@@ -71,10 +85,34 @@ def scan(docs: DataFrame, path: F.Column, id_col: str = "doc_id", text_col: str
     return out.select("doc_id", "path", "own_license", "own_score", F.coalesce("is_file", F.lit(False)).alias("is_file"), F.coalesce("own_license", "found.dir_license").alias("license"), F.when(F.col("own_license").isNull(), F.col("found.license_dir")).alias("license_dir"))
 
 
+def _cosines(units: DataFrame, weights: DataFrame, damp=None) -> DataFrame:
+    """``doc_id, path, license, form, score`` of lines or whole documents (``doc_id, path, line, terms``) with any shared term.
+
+    Term counts n weigh 1 + damp(n): without damping, long prose is near any long license by its articles alone.
+    """
+    count = lambda c: F.col(c) if damp is None else damp(c) + 1
+    key = ["doc_id", "path", "line"]
+    n_units = units.agg(F.count(F.lit(1)).alias("n_units"))
+    terms = units.select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n_units)).select("term", (F.log((F.col("n_units") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    weighed = terms.join(df, "term").withColumn("w", count("tf") * F.col("idf"))
+    norm = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    known = weights.join(df, "term", "left").withColumn("tw", count("ttf") * F.coalesce("idf", F.lit(1.0)))
+    tnorm = known.groupBy("license", "form").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
+    known = F.broadcast(known.join(tnorm, ["license", "form"]).select("term", "license", "form", (F.col("tw") / F.col("tnorm")).alias("tw")))  # as many rows as the templates have terms
+    dot = weighed.join(known, "term").groupBy(*key, "license", "form").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    return dot.join(norm, key).select("doc_id", "path", "license", "form", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+
+
+def _best(cosines: DataFrame) -> DataFrame:
+    return cosines.groupBy("doc_id", "path").agg(F.max_by("license", F.struct(F.col("score"), F.col("license"))).alias("own_license"), F.max("score").alias("own_score"))
+
+
 def _templates(spark: SparkSession) -> DataFrame:
-    """Term counts of the templates: ``template, term, ttf``."""
-    t = spark.createDataFrame(sorted(TEMPLATES.items()), "template string, body string")
-    return t.select("template", F.explode(_terms(F.col("body"))).alias("term")).groupBy("template", "term").agg(F.count(F.lit(1)).alias("ttf"))
+    """Term counts of the templates: ``license, form, term, ttf``."""
+    texts = [(f.name.removesuffix(".txt"), "text", f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
+    t = spark.createDataFrame([*[(k, "header", v) for k, v in TEMPLATES.items()], *[(k, "short", v) for k, v in SHORT], *texts], "license string, form string, body string")
+    return t.select("license", "form", F.explode(_terms(F.col("body"))).alias("term")).groupBy("license", "form", "term").agg(F.count(F.lit(1)).alias("ttf"))
 
 
 def document_path(docs: DataFrame) -> F.Column:

@@ -373,6 +373,18 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0), df.limit(0)["path"]).count() == 0
 
 
+def test_whole_license_files_and_short_lines(spark):
+    text = lambda k: (licenses.TEXTS / f"{k}.txt").read_text(encoding="utf-8")
+    rows = [(i, f"{k}/LICENSE", "Copyright (c) 2020 Some Body. All rights reserved.\n\n" + text(k)) for i, k in enumerate(("MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0"))]
+    rows += [(i + 10, f"{r[1][:-8]}/x/a.py", "x = 1") for i, r in enumerate(rows)]
+    rows += [(20, "q/a.txt", prose(100) + "\nLicensed under CC BY-NC 4.0.\n" + prose(100)), (21, "MIT/b.txt", "Licensed under CC BY-NC 4.0."), (22, "w/c.txt", "he lost the license of the car")]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["is_file"]) for r in licenses.scan(df, df["path"]).collect()}
+    kinds = ("MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0")
+    assert [got[i] for i in range(4)] == [(k, True) for k in kinds] and [got[i + 10] for i in range(4)] == [(k, False) for k in kinds]
+    assert got[20] == ("CC-BY-NC-4.0", False) and got[21][0] == "CC-BY-NC-4.0" and got[22][0] is None
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
