@@ -1,23 +1,19 @@
 """Graphs as edge tables: traversal, paths, ranking and closures.
 
 Loops run on the driver, one join a step, over frontiers that stay distributed. A frontier is used twice by the next step, so
-each is written to the shared checkpoint folder, or kept by Spark's cache (and made again if lost) where no folder is set.
+each is written to the shared folder.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CUT_EVERY = 5
-
+from loam.functions.shared import cut as _cut
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the plan: through the shared folder, or else through the cache."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist()
+CUT_EVERY = 5
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -69,33 +65,90 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, dep
     return seen.join(targets.select("id").distinct(), "id").select("id", "path", (F.size("path") - 1).alias("hops"))
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, steps: int = 20, damping: float = 0.85) -> DataFrame:
-    """Personalised PageRank, ``id, score``, over ``src, dst, weight``: a fixed number of steps, teleport to the seeds that
-    are vertices, weights normalised per source, mass of vertices without edges dropped."""
+def paths_between(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int, most: int) -> DataFrame:
+    """``source, target, path, hops``: for each pair one shortest path within ``depth`` (the smallest by vertex ids), the ``most`` shortest of each target, by path."""
+    from pyspark.sql import Window
+
+    e = edges.select("src", "dst").distinct()
+    seen = sources.select(F.col("id").alias("source"), "id").distinct().withColumn("path", F.array("id"))
+    front = seen
+    for _ in range(depth):
+        near = front.join(e, F.col("id") == F.col("src")).select("source", F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
+        near = near.groupBy("source", "id").agg(F.min("path").alias("path"))
+        front = _cut(near.join(seen.select("source", "id"), ["source", "id"], "left_anti"))
+        seen = seen.unionByName(front)
+    found = seen.join(targets.select("id").distinct(), "id").where(F.col("id") != F.col("source")).withColumn("hops", F.size("path") - 1)
+    place = F.row_number().over(Window.partitionBy("id").orderBy("hops", "path"))
+    return found.withColumn("place", place).where(F.col("place") <= most).select("source", F.col("id").alias("target"), "path", "hops")
+
+
+def call_graph(edges: DataFrame, root: int, depth: int) -> DataFrame:
+    """``id, role, depth, weight``: callers and callees of ``root`` within ``depth`` steps, each at its least depth.
+
+    The root stands for itself at depth 0; a vertex that is both is returned in both roles. ``weight`` is the sum of the
+    edges that lead from the step before (for callers: to it).
+    """
+    out = []
+    for role, e in (("callee", edges.select("src", "dst", "weight")), ("caller", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))):
+        seen = edges.sparkSession.createDataFrame([(root, 0)], "id long, depth int")
+        front = seen
+        for d in range(1, depth + 1):
+            near = front.join(e, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("weight"))
+            front = _cut(near.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
+            out.append(front.select("id", F.lit(role).alias("role"), "depth", "weight"))
+            seen = seen.unionByName(front.select("id", "depth"))
+    first = edges.sparkSession.createDataFrame([(root, "root", 0)], "id long, role string, depth int").withColumn("weight", F.lit(0).cast(dict(edges.dtypes)["weight"]))
+    return reduce(DataFrame.unionByName, out, first)
+
+
+def pagerank(edges: DataFrame, seeds: DataFrame, steps: int = 20, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """Personalised PageRank, ``id, score``, over ``src, dst, weight``: teleport to the seeds that are vertices, weights
+    normalised per source, mass of vertices without edges dropped.
+
+    It ends after ``steps`` steps, or at a cut, every ``CUT_EVERY`` steps, where no score has moved by ``tolerance`` in the
+    last one. Edges are dealt out by source once; a step shuffles its flows by vertex, which deals them out for the next.
+    """
     total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    e = _cut(edges.join(total, "src").groupBy("src", "dst").agg((F.sum("weight") / F.first("total")).alias("p")))
+    e = _cut(edges.join(total, "src").groupBy("src", "dst").agg((F.sum("weight") / F.first("total")).alias("p")).repartition("src"))
     vertices = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
     valid = seeds.select("id").distinct().join(vertices, "id", "left_semi")
     count = valid.agg(F.count(F.lit(1)).alias("seeds"))
-    home = valid.crossJoin(F.broadcast(count)).select("id", (1 / F.col("seeds")).alias("home"))  # one row
+    home = _cut(valid.crossJoin(F.broadcast(count)).select("id", (1 / F.col("seeds")).alias("home")))  # one row
+
+    def step(rank: DataFrame) -> DataFrame:
+        flow = rank.join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (damping * F.col("score") * F.col("p")).alias("part"))
+        return flow.unionByName(home.select("id", ((1 - damping) * F.col("home")).alias("part"))).groupBy("id").agg(F.sum("part").alias("score"))
+
     rank = home.select("id", F.col("home").alias("score"))
     for i in range(1, steps + 1):
-        flow = rank.join(e, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("p")).alias("flow"))
-        rank = flow.join(home, "id", "full").select("id", (damping * F.coalesce("flow", F.lit(0.0)) + (1 - damping) * F.coalesce("home", F.lit(0.0))).alias("score"))
-        if i % CUT_EVERY == 0 and i < steps:
-            rank = _cut(rank)
+        if i % CUT_EVERY or i == steps:
+            rank = step(rank)
+            continue
+        before = _cut(rank)
+        rank = _cut(step(before))
+        moved = rank.join(before.withColumnRenamed("score", "was"), "id", "full").where(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))) >= tolerance)
+        if moved.isEmpty():
+            break
     return rank
 
 
-def strongest_way(edges: DataFrame, targets: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """Way back from each target by its heaviest incoming edge (ties: smallest source), until a seed, a repeat or ``hops``."""
-    best = edges.groupBy("dst").agg(F.max_by("src", F.struct(F.col("weight"), -F.col("src"))).alias("prev"))
-    way = targets.select(F.col("id").alias("target"), F.array("id").alias("way"), F.lit(False).alias("done"))
+def strongest_way(edges: DataFrame, targets: DataFrame, seeds: DataFrame, hops: int = 5) -> DataFrame:
+    """``target, way``: back from each target by its heaviest incoming edge from a vertex not yet on the way (ties: smallest
+    source), until a seed, a vertex without one, or ``hops``. A target that is a seed stays where it is.
+
+    Only the targets' ways go from step to step; the edges into their ends are combined to one row a target before the shuffle.
+    """
     stop = seeds.select(F.col("id").alias("seed")).distinct()
+    way = targets.select(F.col("id").alias("target"), F.array("id").alias("way")).join(stop, F.col("target") == F.col("seed"), "left")
+    way = way.select("target", "way", F.col("seed").isNotNull().alias("done"))
+    into = edges.select("src", "dst", "weight")
     for _ in range(hops):
-        step = way.withColumn("at", F.element_at("way", -1)).join(best, F.col("at") == F.col("dst"), "left").join(stop, F.col("at") == F.col("seed"), "left")
-        halt = F.col("done") | F.col("seed").isNotNull() | F.col("prev").isNull() | F.array_contains("way", F.coalesce("prev", "at"))
-        way = step.select("target", F.when(halt, F.col("way")).otherwise(F.concat("way", F.array("prev"))).alias("way"), halt.alias("done"))
+        ends = way.where("not done").withColumn("at", F.element_at("way", -1))
+        near = ends.join(into, F.col("at") == F.col("dst")).where(~F.array_contains("way", F.col("src")))
+        best = near.groupBy("target").agg(F.max_by("src", F.struct("weight", -F.col("src"))).alias("prev")).withColumnRenamed("target", "t")
+        step = way.join(best, F.col("target") == F.col("t"), "left").join(stop, F.col("prev") == F.col("seed"), "left")
+        grown = F.when(F.col("prev").isNull(), F.col("way")).otherwise(F.concat("way", F.array("prev")))
+        way = _cut(step.select("target", grown.alias("way"), (F.col("prev").isNull() | F.col("seed").isNotNull()).alias("done")))
     return way.select("target", "way")
 
 

@@ -123,9 +123,32 @@ def bfs_closure(spark, sf_dir):
     return graph.reach(R.edges(spark, sf_dir), spark.createDataFrame([(1,)], "id long"), 2, both=True)
 
 
-@query(_EDGES + ", w(id, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, depth + 1 FROM w JOIN edges ON src = id WHERE depth < 2) SELECT id, min(depth) AS depth FROM w GROUP BY 1")
+_FLOW = "WITH RECURSIVE " + R.CTE["flow"]
+_SIDE = "{r}0 AS (SELECT 7::BIGINT AS id, 0 AS depth, 0::BIGINT AS weight), " + ", ".join(f"{{r}}{d} AS (SELECT flow.{{to}} AS id, {d} AS depth, CAST(sum(n) AS BIGINT) AS weight FROM {{r}}{d - 1} w JOIN flow ON flow.{{at}} = w.id WHERE flow.{{to}} NOT IN ({' UNION '.join(f'SELECT id FROM {{r}}{k}' for k in range(d))}) GROUP BY 1)" for d in (1, 2, 3))
+_ROLES = _SIDE.format(r="callee", at="src", to="dst") + ", " + _SIDE.format(r="caller", at="dst", to="src")
+
+
+@query(R.using("flow") + f", {_ROLES} SELECT id, 'root' AS role, depth, weight FROM callee0 " + " ".join(f"UNION ALL SELECT id, '{r}', depth, weight FROM {r}{d}" for r in ("callee", "caller") for d in (1, 2, 3)))
+def call_graph_roles(spark, sf_dir):
+    """Callers and callees of one symbol, three steps both ways."""
+    return graph.call_graph(R.flow(spark, sf_dir).withColumnRenamed("n", "weight"), 7, 3)
+
+
+@query(_FLOW + ", w(id, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, depth + 1 FROM w JOIN flow ON src = id WHERE depth < 2) SELECT id, min(depth) AS depth FROM w GROUP BY 1")
 def call_graph_depth2(spark, sf_dir):
-    return graph.reach(R.edges(spark, sf_dir), spark.createDataFrame([(1,)], "id long"), 2)
+    return graph.reach(R.flow(spark, sf_dir), spark.createDataFrame([(1,)], "id long"), 2)
+
+
+@query(
+    R.using("flow")
+    + ", p1 AS (SELECT src AS source, dst AS id, [src, dst] AS path FROM flow WHERE src IN (3, 5, 8)), p2 AS (SELECT source, flow.dst AS id, min(list_append(path, flow.dst)) AS path FROM p1 JOIN flow ON flow.src = id WHERE flow.dst <> source AND (source, flow.dst) NOT IN (SELECT source, id FROM p1) GROUP BY 1, 2), every AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2) SELECT source, id AS target, array_to_string(path, '>') AS path, len(path)::INT - 1 AS hops FROM every WHERE id IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO') QUALIFY row_number() OVER (PARTITION BY id ORDER BY len(path), path) <= 2"
+)
+def paths_to_targets(spark, sf_dir):
+    """From several entry points, the two shortest ways of at most two calls to each symbol of one kind."""
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    targets = R.read(spark, sf_dir, "part").where("p_type = 'PROMO'").select(F.col("p_partkey").alias("id"))
+    found = graph.paths_between(R.flow(spark, sf_dir), ids(3, 5, 8), targets, 2, 2)
+    return found.select("source", "target", F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("path"), "hops")
 
 
 _NEXT = "nx AS (SELECT DISTINCT n_nationkey::BIGINT AS src, ((n_nationkey * 7 + 3) % 25)::BIGINT AS dst FROM nation UNION SELECT n_nationkey::BIGINT, ((n_nationkey + 1) % 25)::BIGINT FROM nation)"
@@ -157,22 +180,29 @@ def transitive_consumers(spark, sf_dir):
     return near.join(e, F.col("id") == F.col("src")).select(F.col("id").alias("via"), "depth", F.col("dst").alias("consumer"))
 
 
-_STEP = "rank{j} AS (SELECT coalesce(f.id, h.id) AS id, 0.85 * coalesce(f.flow, 0) + 0.15 * coalesce(h.home, 0) AS score FROM (SELECT dst AS id, sum(score * p) AS flow FROM rank{i} JOIN pe ON src = id GROUP BY 1) f FULL JOIN home h ON h.id = f.id)"
-_PPR = R.CTE["edges"] + ", be AS (SELECT src, dst, n::DOUBLE AS w FROM edges UNION ALL SELECT dst, src, n::DOUBLE FROM edges), tot AS (SELECT src, sum(w) AS t FROM be GROUP BY 1), pe AS (SELECT be.src, dst, sum(w) / any_value(t) AS p FROM be JOIN tot ON tot.src = be.src GROUP BY 1, 2), home AS (SELECT unnest([1::BIGINT, 2::BIGINT]) AS id, 0.5 AS home), rank0 AS (SELECT id, home::DOUBLE AS score FROM home), " + ", ".join(_STEP.format(i=i, j=i + 1) for i in range(4))
+_STEP = "rank{j} AS MATERIALIZED (SELECT coalesce(f.id, h.id) AS id, 0.85 * coalesce(f.flow, 0) + 0.15 * coalesce(h.home, 0) AS score FROM (SELECT dst AS id, sum(score * p) AS flow FROM rank{i} JOIN pe ON src = id GROUP BY 1) f FULL JOIN home h ON h.id = f.id)"
+_PPR = R.CTE["edges"] + ", be AS (SELECT src, dst, n::DOUBLE AS w FROM edges UNION ALL SELECT dst, src, n::DOUBLE FROM edges), tot AS (SELECT src, sum(w) AS t FROM be GROUP BY 1), pe AS (SELECT be.src, dst, sum(w) / any_value(t) AS p FROM be JOIN tot ON tot.src = be.src GROUP BY 1, 2), home AS (SELECT unnest([1::BIGINT, 2::BIGINT]) AS id, 0.5 AS home), rank0 AS (SELECT id, home::DOUBLE AS score FROM home), " + ", ".join(_STEP.format(i=i, j=i + 1) for i in range(20))
 
 
-@query(f"WITH {_PPR} SELECT id, round(score, 6) AS score FROM rank4 WHERE score > 0 ORDER BY round(score, 6) DESC, id LIMIT 20")
+@query(f"WITH {_PPR} SELECT id, round(score, 6) AS score FROM rank20 WHERE score > 0 ORDER BY round(score, 6) DESC, id LIMIT 20")
 def ppr_topk(spark, sf_dir):
     e = R.edges(spark, sf_dir).select("src", "dst", F.col("n").cast("double").alias("weight"))
     e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    r = graph.pagerank(e, spark.createDataFrame([(1,), (2,), (-5,)], "id long"), steps=4)
+    r = graph.pagerank(e, spark.createDataFrame([(1,), (2,), (-5,)], "id long"))
     return r.where("score > 0").withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").limit(20)
 
 
-@query(R.using("edges") + ", best AS (SELECT dst, arg_max(src, (n, -src)) AS prev FROM edges GROUP BY 1) SELECT dst AS target, array_to_string([dst, prev], '>') AS way FROM best")
+_BACK = ", ".join(
+    f"n{i + 1} AS (SELECT target, way, arg_max(src, (n, -src)) AS prev FROM w{i} JOIN flow ON dst = way[len(way)] AND NOT list_contains(way, src) WHERE NOT done GROUP BY 1, 2), w{i + 1} AS MATERIALIZED (SELECT w{i}.target, CASE WHEN prev IS NULL THEN w{i}.way ELSE list_append(w{i}.way, prev) END AS way, done OR prev IS NULL OR prev IN (SELECT p_partkey FROM part WHERE p_size = 1) AS done FROM w{i} LEFT JOIN n{i + 1} ON n{i + 1}.target = w{i}.target)"
+    for i in range(5)
+)
+
+
+@query(R.using("flow") + f", w0 AS (SELECT p_partkey AS target, [p_partkey] AS way, p_size = 1 AS done FROM part), {_BACK} SELECT target, array_to_string(way, '>') AS way FROM w5")
 def strongest_way(spark, sf_dir):
-    e = R.edges(spark, sf_dir).withColumn("weight", F.col("n"))
-    w = graph.strongest_way(e, e.select(F.col("dst").alias("id")).distinct(), e.select(F.col("src").alias("id")).distinct(), 5)
+    """From every symbol back by the heaviest calls to one of the entry points, five steps at most."""
+    p = R.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    w = graph.strongest_way(R.flow(spark, sf_dir).withColumnRenamed("n", "weight"), p.select("id"), p.where("p_size = 1").select("id"), 5)
     return w.select("target", F.concat_ws(">", F.transform("way", lambda x: x.cast("string"))).alias("way"))
 
 

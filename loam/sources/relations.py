@@ -9,6 +9,7 @@ symbols                 part                        symbol_id, name, kind, modul
 calls                   events                      service, function, ts, n, k
 blame                   lineitem join orders        file, author, ts
 edges                   lineitem                    src (supplier), dst (part), n
+flow                    lineitem with itself        src, dst (parts of lines that follow in an order), n
 snapshots               orders by month and nation  target, date, score
 ======================  ==========================  ==================================================
 
@@ -59,6 +60,13 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call edges from each line's part to the parts of the order's next line number, with their counts: a graph with depth."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src"))
+    after = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("src").alias("dst"))
+    return li.join(after, ["l_orderkey", "l_linenumber"]).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
     month = F.trunc(F.col("o_orderdate").cast("date"), "month")
@@ -73,6 +81,7 @@ CTE = {
     "calls": "calls AS (SELECT event_id, user_id AS service, event_type AS function, ts, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)",
     "blame": "blame AS (SELECT l_partkey AS file, o_custkey AS author, l_shipdate AS ts FROM lineitem JOIN orders ON o_orderkey = l_orderkey)",
     "edges": "edges AS (SELECT l_suppkey AS src, l_partkey + 1000000 AS dst, count(*) AS n FROM lineitem GROUP BY 1, 2)",
+    "flow": "flow AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS n FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey GROUP BY 1, 2)",
     "snapshots": "snapshots AS (SELECT CAST(c_nationkey AS BIGINT) AS target, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, round(sum(o_totalprice) / 1000, 2) AS score FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)",
 }
 
