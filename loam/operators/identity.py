@@ -43,69 +43,70 @@ def resolve_aliases(ids: DataFrame, aliases: DataFrame, depth: int = 3) -> DataF
     return out
 
 
-#: What two symbols must share to reach 0.6. Under the first four, names are equal or near, not shared as they stand.
-_SHARED = [["kind", "name"], ["kind", "name", "container"], ["kind", "name", "path"], ["kind", "name", "container", "path"], ["kind", "container", "path"], ["name", "container"], ["name", "container", "path"]]
-
-
-def _shared(which: list[int], prefix: str = "") -> Column:
-    """A row for each of those sets: its number and its fields, the others empty."""
-    field = lambda i, c: (F.col(prefix + c) if c in _SHARED[i] else F.lit("")).alias(f"k_{c}")
-    return F.explode(F.array(*[F.struct(F.lit(i).alias("level"), *[field(i, c) for c in ("kind", "name", "container", "path")]) for i in which])).alias("key")
-
-
-def _plain(name: Column) -> Column:
-    return F.lower(F.replace(name, F.lit("_"), F.lit("")))
-
-
-def _shorter(s: Column) -> Column:
-    """The text without each one of its characters."""
-    cut = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1)))
-    return F.when(F.length(s) > 0, cut).otherwise(F.array().cast("array<string>"))
-
-
-def _near(a: Column, b: Column) -> Column:
-    return (F.levenshtein(a, b) <= 2) | (_plain(a) == _plain(b))
-
-
-def _near_names(g: DataFrame, came: DataFrame) -> DataFrame:
-    """Equal and near names of a kind: ``n_kind, n_name, name``. Names at most two edits apart share a text that is left of
-    each after at most two deletions, so the joins are equi-joins and miss none."""
-
-    def parts(name: str) -> Column:
-        one = _shorter(F.col(name))
-        two = F.flatten(F.transform(one, _shorter))
-        return F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("="), _plain(F.col(name)))), F.transform(F.concat(F.array(F.col(name)), one, two), lambda x: F.concat(F.lit("-"), x))))).alias("part")
-
-    old = g.select(F.col("o_kind").alias("n_kind"), F.col("o_name").alias("n_name")).distinct().select("*", parts("n_name"))
-    new = came.select("kind", "name").distinct().select("*", parts("name")).withColumnRenamed("part", "new_part")
-    met = old.join(new, (F.col("n_kind") == F.col("kind")) & (F.col("part") == F.col("new_part")))
-    return met.where(_near(F.col("n_name"), F.col("name"))).select("n_kind", "n_name", "name").distinct()
+#: What two symbols have in common, by how much of the confidence it earns: an equal name or one that is equal in lower case
+#: without underscores, an equal container or one below the same root, an equal path or one in the same directory.
+KIND, NAME, LIKE_NAME, CONTAINER, ROOT, PATH, FOLDER = 0.3, 0.4, 0.2, 0.2, 0.1, 0.1, 0.05
+_EARNS = {"kind": KIND, "name": NAME, "like_name": LIKE_NAME, "container": CONTAINER, "root": ROOT, "path": PATH, "folder": FOLDER}
+
+
+def _shared_sets(least: float) -> list[tuple[str, ...]]:
+    """The sets of shared fields that reach ``least``."""
+    found = []
+    for kind in ((), ("kind",)):
+        for name in ((), ("like_name",), ("name",)):
+            for container in ((), ("root",), ("container",)):
+                for path in ((), ("folder",), ("path",)):
+                    fields = (*kind, *name, *container, *path)
+                    if round(sum(_EARNS[f] for f in fields), 6) >= least:
+                        found.append(fields)
+    return found
+
+
+def _traits(df: DataFrame) -> DataFrame:
+    """The fields that symbols are compared by. Missing ones are empty, but for paths; an empty container has no root, a missing path no folder."""
+    filled = df.withColumns({c: F.coalesce(c, F.lit("")) for c in ("kind", "name", "container")})
+    return filled.withColumns(
+        {
+            "like_name": F.lower(F.replace("name", F.lit("_"))),
+            "root": F.when(F.col("container") != "", F.substring_index("container", ".", 1)),
+            "folder": F.regexp_replace("path", "[^/]*$", ""),
+        }
+    )
 
 
 def reconcile(old: DataFrame, new: DataFrame, least: float = 0.6) -> DataFrame:
     """What became of symbols that vanished: ``old_id, new_id, confidence, reason``.
 
     ``old`` and ``new`` have ``sid, backend, kind, name, container, path``. An equal backend id is a rename at 0.95; else the
-    most similar new symbol of all, from ``least`` up; else a tombstone. ``least`` is at least 0.6: then a pair shares one of
-    ``_SHARED``, and the score depends on the shared fields alone, so the first new symbol of each set of values stands
-    for all of them and no join makes the product of two groups.
+    most similar new symbol of all, from ``least`` up, by smallest id; else a tombstone. The confidence depends on shared
+    fields alone, so of the new symbols that share a set of fields the first stands for all, and every set that reaches
+    ``least`` is one equi-join of distinct old values with single rows: no product of two groups is made.
     """
-    if least < 0.6:
-        raise ValueError("least must be at least 0.6")
-    gone = old.join(new.select("sid"), "sid", "left_anti")
-    came = new.join(old.select("sid"), "sid", "left_anti")
-    g = gone.select(*[F.col(c).alias(f"o_{c}") for c in gone.columns])
+    if least <= 0:
+        raise ValueError("least must be above 0")
+    gone = _traits(old.join(new.select("sid"), "sid", "left_anti"))
+    came = _traits(new.join(old.select("sid"), "sid", "left_anti"))
+    sets = _shared_sets(least)
+    traits = list(_EARNS)
+
+    def keys(df: DataFrame, cols: list) -> DataFrame:
+        """A row for each set whose fields are all there: its number and its values."""
+        every = F.array(*[F.struct(F.lit(i).alias("level"), F.array(*[F.col(f) for f in fields]).alias("values")) for i, fields in enumerate(sets)])
+        return df.select(*cols, F.explode(F.filter(every, lambda x: F.forall(x["values"], lambda v: v.isNotNull()))).alias("k")).select(*cols, "k.level", "k.values")
+
+    g = gone.select(*[F.col(c).alias(f"o_{c}") for c in ("sid", "backend", *traits)])
     by_backend = g.join(came.groupBy("backend").agg(F.min("sid").alias("new_id")), F.col("o_backend") == F.col("backend"), "left")
-    keys = ["level", "k_kind", "k_name", "k_container", "k_path"]
-    first = came.select("sid", "kind", "name", "container", "path", _shared(list(range(7)))).groupBy(*[F.col(f"key.{k}").alias(k) for k in keys]).agg(F.min(F.struct("sid", "kind", "name", "container", "path")).alias("c"))
-    fields = ["o_sid", "o_kind", "o_name", "o_container", "o_path"]
-    like = g.join(_near_names(g, came), (F.col("o_kind") == F.col("n_kind")) & (F.col("o_name") == F.col("n_name"))).select(*fields, F.col("n_kind").alias("q_kind"), F.col("name").alias("q_name"), F.col("o_container").alias("q_container"), F.col("o_path").alias("q_path")).select(*fields, _shared([0, 1, 2, 3], "q_"))
-    wanted = like.unionByName(g.select(*fields, _shared([4, 5, 6], "o_"))).select(*fields, "key.*")
-    score = F.when(F.col("o_kind") == F.col("c.kind"), 0.3).otherwise(0.0) + F.when(F.col("o_name") == F.col("c.name"), 0.4).when(_near(F.col("o_name"), F.col("c.name")), 0.2).otherwise(0.0)
-    score = score + F.when(F.col("o_container") == F.col("c.container"), 0.2).otherwise(0.1) + F.when(F.col("o_path") == F.col("c.path"), 0.1).otherwise(0.05)
-    pairs = wanted.join(first, keys).select("o_sid", F.col("c.sid").alias("like_id"), F.round(score, 6).alias("score"))
-    best = pairs.where(F.col("score") >= least).groupBy("o_sid").agg(F.min_by("like_id", F.struct(-F.col("score"), "like_id")).alias("like_id"), F.max("score").alias("score")).withColumnRenamed("o_sid", "l_sid")
-    out = by_backend.join(best, F.col("o_sid") == F.col("l_sid"), "left")
+    first = keys(came, ["sid", *traits]).groupBy("level", "values").agg(F.min(F.struct("sid", *traits)).alias("c"))
+    wanted = keys(gone.select(*traits).distinct(), traits)
+    both = wanted.join(first, ["level", "values"])
+    part = lambda f, other=None: F.when(F.col(f) == F.col(f"c.{f}"), _EARNS[f]).otherwise(0.0 if other is None else other)
+    score = F.round(part("kind") + part("name", part("like_name")) + part("container", part("root")) + part("path", part("folder")), 6)
+    best = both.select(*traits, score.alias("score"), F.col("c.sid").alias("like_id")).groupBy(*traits).agg(F.min_by("like_id", F.struct(-F.col("score"), "like_id")).alias("like_id"), F.max("score").alias("score"))
+    best = best.select(*[F.col(f).alias(f"b_{f}") for f in traits], "like_id", "score")
+    same = F.lit(True)
+    for f in traits:
+        same = same & F.col(f"o_{f}").eqNullSafe(F.col(f"b_{f}"))
+    out = by_backend.join(best, same, "left")
     renamed = F.col("new_id").isNotNull()
     return out.select(
         F.col("o_sid").alias("old_id"),

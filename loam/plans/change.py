@@ -40,17 +40,20 @@ def alias_chain(spark, sf_dir):
     return identity.resolve_aliases(s, al)
 
 
-_SNAP = "(SELECT p_partkey AS sid, 'b' || (p_partkey % 11 + {k} * (p_partkey % 2)) AS backend, p_type AS kind, p_name || CASE WHEN p_partkey % 3 = {k} THEN 'x' ELSE '' END AS name, p_brand AS container, p_brand AS path FROM part WHERE p_partkey % 5 <> {k} AND p_partkey < 2000)"
+_SNAP = "(SELECT p_partkey AS sid, 'b' || (p_partkey % 11 + {k} * (p_partkey % 2)) AS backend, p_type AS kind, CASE WHEN p_partkey % 3 = {k} THEN upper(replace(p_name, ' ', '_')) ELSE replace(p_name, ' ', '') END AS name, 'r' || (p_partkey % 17) || '.' || p_brand AS container, p_brand || '/' || (p_size % 5) || '/' || (p_partkey % 13) AS path FROM part WHERE p_partkey % 5 <> {k})"
 
 
 def _snap(spark, sf_dir, k):
+    """The symbols of two states: in each, a fifth of them does not exist and a third is written in capitals."""
     p = R.read(spark, sf_dir, "part").where(f"p_partkey % 5 <> {k}")
-    return p.select(F.col("p_partkey").alias("sid"), F.expr(f"concat('b', p_partkey % 11 + {k} * (p_partkey % 2))").alias("backend"), F.col("p_type").alias("kind"), F.expr(f"concat(p_name, case when p_partkey % 3 = {k} then 'x' else '' end)").alias("name"), F.col("p_brand").alias("container"), F.col("p_brand").alias("path"))
+    name = f"case when p_partkey % 3 = {k} then upper(replace(p_name, ' ', '_')) else replace(p_name, ' ', '') end"
+    container, path = "concat('r', p_partkey % 17, '.', p_brand)", "concat(p_brand, '/', p_size % 5, '/', p_partkey % 13)"
+    return p.select(F.col("p_partkey").alias("sid"), F.expr(f"concat('b', p_partkey % 11 + {k} * (p_partkey % 2))").alias("backend"), F.col("p_type").alias("kind"), F.expr(name).alias("name"), F.expr(container).alias("container"), F.expr(path).alias("path"))
 
 
 @query(
-    f"""WITH o AS {_SNAP.format(k=0)}, n AS {_SNAP.format(k=1)}, g AS (SELECT * FROM o WHERE sid NOT IN (SELECT sid FROM n) AND sid % 2 = 0), c AS (SELECT * FROM n WHERE sid NOT IN (SELECT sid FROM o)),
-q AS (SELECT g.sid AS old_id, c.sid AS like_id, round(0.3 + CASE WHEN g.name = c.name THEN 0.4 WHEN levenshtein(g.name, c.name) <= 2 THEN 0.2 ELSE 0 END + CASE WHEN g.container = c.container THEN 0.2 ELSE 0.1 END + CASE WHEN g.path = c.path THEN 0.1 ELSE 0.05 END, 6)::DOUBLE AS score FROM g JOIN c ON g.kind = c.kind AND g.name[1] = c.name[1]),
+    f"""WITH o AS {_SNAP.format(k=0)}, n AS {_SNAP.format(k=1)}, g AS (SELECT * FROM o WHERE sid NOT IN (SELECT sid FROM n)), c AS (SELECT * FROM n WHERE sid NOT IN (SELECT sid FROM o)),
+q AS (SELECT g.sid AS old_id, c.sid AS like_id, round(CASE WHEN g.kind = c.kind THEN 0.3 ELSE 0 END + CASE WHEN g.name = c.name THEN 0.4 WHEN lower(replace(g.name, '_', '')) = lower(replace(c.name, '_', '')) THEN 0.2 ELSE 0 END + CASE WHEN g.container = c.container THEN 0.2 WHEN split_part(g.container, '.', 1) = split_part(c.container, '.', 1) THEN 0.1 ELSE 0 END + CASE WHEN g.path = c.path THEN 0.1 WHEN regexp_replace(g.path, '[^/]*$', '') = regexp_replace(c.path, '[^/]*$', '') THEN 0.05 ELSE 0 END, 6)::DOUBLE AS score FROM g JOIN c ON true),
 b AS (SELECT old_id, arg_min(like_id, (-score, like_id)) AS like_id, max(score) AS score FROM q WHERE score >= 0.6 GROUP BY 1)
 SELECT g.sid AS old_id, b.like_id AS new_id, coalesce(score, 0)::DOUBLE AS confidence, CASE WHEN b.like_id IS NOT NULL THEN 'similar' ELSE 'deleted' END AS reason FROM g LEFT JOIN b ON b.old_id = g.sid"""
 )
