@@ -11,17 +11,14 @@ from loam.functions.scoring import ladder
 SLICE_FILES = 100
 
 
-def co_changes(changes: DataFrame, targets: DataFrame | None = None, most_files: int | None = None) -> DataFrame:
+def co_changes(changes: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Ordered pairs of files that change together: ``path, other, together, changes, correlation``.
 
     ``correlation`` is the share of ``path``'s commits that touch ``other``. Repeated rows of a commit count once. All commits
-    count, as in the reference, whatever their size; only a caller that gives ``most_files`` leaves larger ones out of pairs
-    and base. ``targets`` (column ``path``) restricts the first file of the pairs before they are made.
+    count, as in the reference, whatever their size. ``targets`` (column ``path``) restricts the first file of the pairs before they are made.
     """
     one = changes.select("commit_id", "path").distinct()
     sized = one.groupBy("commit_id").agg(F.count(F.lit(1)).alias("files"))
-    if most_files is not None:
-        sized = sized.where(F.col("files") <= most_files)
     kept = one.join(sized.select("commit_id", F.ceil(F.col("files") / SLICE_FILES).cast("int").alias("slices")), "commit_id")
     left = kept if targets is None else kept.join(targets, "path", "left_semi")
     base = left.groupBy("path").agg(F.count(F.lit(1)).alias("changes"))

@@ -30,6 +30,25 @@ def glob_like(pattern: str) -> str:
     return pattern.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("**", "*").replace("*", "%")
 
 
+def partners(edges: DataFrame, hot: int = 512) -> DataFrame:
+    """``contract, partners``: how many other contracts share a consumer with it; contracts without one are left out.
+
+    ``edges`` has distinct ``contract`` (whole numbers) and ``consumer``. Consumers of up to ``hot`` contracts make their
+    pairs; for larger ones a bitmap of their contracts goes out instead, so that no consumer costs the square of its
+    contracts. Both end in bitmaps by contract, which combine before the shuffle.
+    """
+    size = edges.groupBy("consumer").agg(F.count(F.lit(1)).alias("n"))
+    sized = edges.join(size, "consumer")
+    light, heavy = sized.where(F.col("n") <= hot).select("contract", "consumer"), sized.where(F.col("n") > hot).select("contract", "consumer")
+    place = [F.bitmap_bucket_number("other").alias("bucket")]
+    pairs = light.join(light.withColumnRenamed("contract", "other"), "consumer").select("contract", "other")
+    near = pairs.groupBy("contract", *place).agg(F.bitmap_construct_agg(F.bitmap_bit_position("other")).alias("bits"))
+    maps = heavy.withColumnRenamed("contract", "other").groupBy("consumer", *place).agg(F.bitmap_construct_agg(F.bitmap_bit_position("other")).alias("bits"))
+    far = heavy.join(maps, "consumer").select("contract", "bucket", "bits")
+    whole = near.unionByName(far).groupBy("contract", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+    return whole.groupBy("contract").agg((F.sum("n") - 1).alias("partners")).where("partners > 0")
+
+
 def contract_points(consumers: Column, transitive: Column, public: Column, breaking: Column) -> tuple[Column, Column]:
     """Risk points and level of a contract: 3 from five consumers, 2 from two; one each for transitive ones, many of them, being public and a breaking change."""
     p = F.when(consumers >= 5, 3).when(consumers >= 2, 2).otherwise(0)

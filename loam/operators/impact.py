@@ -34,6 +34,12 @@ def with_usage(score: Column, calls: Column, services: Column, rising: Column) -
     return F.round(F.least(mean, F.greatest(*[v for v, _ in parts]) + 0.03), 6)
 
 
+def mean_confidence(hundredths: Column, n: Column) -> Column:
+    """Mean of ``n`` confidences from their sum in hundredths, to six places, halves up: in whole numbers, so that no order of adding matters."""
+    millionths = F.call_function("div", hundredths * 20_000 + n, 2 * n)
+    return millionths / F.lit(1e6)
+
+
 def impact_report(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """Per target: callers, modules, tests, risk. ``refs``: target, source, kind, is_test; ``symbols``: symbol_id, module, visibility.
 
@@ -46,7 +52,7 @@ def impact_report(refs: DataFrame, symbols: DataFrame) -> DataFrame:
         F.countDistinct(F.when(~F.col("is_test"), F.col("source_module"))).alias("modules"),
         F.count_if("is_test").alias("tests"),
         F.max(F.when(F.col("impact") == "direct-caller", 0.9).when(F.col("impact") == "type-dependency", 0.7).otherwise(0.4)).alias("kind_risk"),
-        F.round(F.avg("confidence"), 6).alias("confidence"),
+        mean_confidence(F.sum(F.round(F.col("confidence") * 100).cast("long")), F.count(F.lit(1))).alias("confidence"),
     )
     out = by.join(symbols.select(F.col("symbol_id").alias("target"), "visibility"), "target")
     score = risk_score(F.col("visibility"), F.col("callers"), F.col("modules"), F.col("kind_risk"))

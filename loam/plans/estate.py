@@ -21,7 +21,7 @@ def _members(spark, sf_dir):
 @query("SELECT repo_id, count(*) AS symbols, count(DISTINCT file) AS files, count(DISTINCT language) AS languages FROM (SELECT " + _REGIONS + ") GROUP BY 1")
 def federated_repo_stats(spark, sf_dir):
     m = _members(spark, sf_dir)
-    names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    names = [r["r_name"] for r in R.read(spark, sf_dir, "region").collect()]  # the list of members, as a federation's configuration has it
     return federation.repo_stats(federation.tag_union({k: m.where(F.col("repo") == k).drop("repo") for k in names}))
 
 
@@ -47,20 +47,19 @@ def worst_staleness(spark, sf_dir):
     return federation.worst_staleness(n)
 
 
-_CONTRACT = "e AS (SELECT DISTINCT l_suppkey AS c, o_custkey % 5000 AS k FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 45), d AS (SELECT c, count(*) AS direct FROM e GROUP BY 1), t AS (SELECT a.c, count(DISTINCT b.c) AS transitive FROM e a JOIN e b ON b.k = a.k AND b.c <> a.c GROUP BY 1), x AS (SELECT d.c AS contract, direct, coalesce(transitive, 0) AS transitive FROM d LEFT JOIN t ON t.c = d.c), p AS (SELECT *, CASE WHEN direct >= 5 THEN 3 WHEN direct >= 2 THEN 2 ELSE 0 END + (transitive > 0)::INT + (transitive > 5)::INT + (contract % 2 = 0)::INT + (contract % 5 = 0)::INT AS points FROM x)"
+_CONTRACT = "e AS (SELECT DISTINCT l_suppkey AS c, o_custkey AS k FROM lineitem JOIN orders ON o_orderkey = l_orderkey), d AS (SELECT c, count(*) AS direct FROM e GROUP BY 1), t AS (SELECT a.c, count(DISTINCT b.c) AS transitive FROM e a JOIN e b ON b.k = a.k AND b.c <> a.c GROUP BY 1), x AS (SELECT d.c AS contract, direct, coalesce(transitive, 0) AS transitive FROM d LEFT JOIN t ON t.c = d.c), p AS (SELECT *, CASE WHEN direct >= 5 THEN 3 WHEN direct >= 2 THEN 2 ELSE 0 END + (transitive > 0)::INT + (transitive > 5)::INT + (contract % 2 = 0)::INT + (contract % 5 = 0)::INT AS points FROM x)"
 
 
 def _contracts(spark, sf_dir):
-    li = R.read(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_orderkey", F.col("l_suppkey").alias("c"))
-    return li.join(R.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("c", (F.col("o_custkey") % 5000).alias("k")).distinct()
+    li = R.read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("contract"))
+    return li.join(R.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("contract", F.col("o_custkey").alias("consumer")).distinct()
 
 
 @query(f"WITH {_CONTRACT} SELECT contract, direct, transitive, points, CASE WHEN points >= 4 THEN 'high' WHEN points >= 2 THEN 'medium' ELSE 'low' END AS level FROM p")
 def contract_risk(spark, sf_dir):
     e = _contracts(spark, sf_dir)
-    d = e.groupBy("c").agg(F.count(F.lit(1)).alias("direct"))
-    t = e.alias("a").join(e.alias("b"), F.expr("a.k = b.k and a.c <> b.c")).groupBy(F.col("a.c").alias("tc")).agg(F.countDistinct("b.c").alias("transitive"))
-    x = d.join(t, F.col("c") == F.col("tc"), "left").select(F.col("c").alias("contract"), "direct", F.coalesce("transitive", F.lit(0)).alias("transitive"))
+    d = e.groupBy("contract").agg(F.count(F.lit(1)).alias("direct"))
+    x = d.join(federation.partners(e), "contract", "left").select("contract", "direct", F.coalesce("partners", F.lit(0)).alias("transitive"))
     points, level = federation.contract_points(F.col("direct"), F.col("transitive"), F.col("contract") % 2 == 0, F.col("contract") % 5 == 0)
     return x.select("*", points.alias("points"), level.alias("level"))
 
@@ -111,7 +110,7 @@ def _impact_symbols(spark, sf_dir):
     return p.unionByName(s)
 
 
-_REPORT = f"""{_REFS}, by1 AS (SELECT target, count(DISTINCT source) FILTER (WHERE NOT is_test) AS callers, count(DISTINCT source_module) FILTER (WHERE NOT is_test) AS modules, count(*) FILTER (WHERE is_test) AS tests, max(CASE impact WHEN 'direct-caller' THEN 0.9 WHEN 'type-dependency' THEN 0.7 ELSE 0.4 END) AS kr, round(avg(confidence), 6) AS confidence FROM it GROUP BY 1),
+_REPORT = f"""{_REFS}, by1 AS (SELECT target, count(DISTINCT source) FILTER (WHERE NOT is_test) AS callers, count(DISTINCT source_module) FILTER (WHERE NOT is_test) AS modules, count(*) FILTER (WHERE is_test) AS tests, max(CASE impact WHEN 'direct-caller' THEN 0.9 WHEN 'type-dependency' THEN 0.7 ELSE 0.4 END) AS kr, ((sum(CAST(round(confidence * 100) AS BIGINT)) * 20000 + count(*)) // (2 * count(*))) / 1e6 AS confidence FROM it GROUP BY 1),
 rep AS (SELECT target, callers, modules, tests, confidence, CASE WHEN p_size > 33 THEN 'public' WHEN p_size > 16 THEN 'internal' ELSE 'private' END AS visibility,
 round(0.3 * CASE WHEN p_size > 33 THEN 0.9 WHEN p_size > 16 THEN 0.5 ELSE 0.2 END + 0.35 * least(log10(callers + 1) / log10(21), 1) + 0.25 * CASE WHEN modules <= 1 THEN 0 WHEN modules = 2 THEN 0.2 ELSE least(log10(modules), 1) END + 0.1 * kr, 6)::DOUBLE AS score, p_brand FROM by1 JOIN part ON p_partkey = target),
 rl AS (SELECT *, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS level FROM rep)"""
@@ -152,11 +151,12 @@ def impact_with_usage(spark, sf_dir):
     return r.select("target", impact.with_usage(F.col("score"), F.col("callers"), F.col("tests"), F.col("target") % 2 == 1).alias("blended"))
 
 
-@query("WITH f AS (SELECT p_partkey AS id, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 48) AS callers, p_size % 7 = 0 AS decision, p_size > 25 AS public FROM part) SELECT id, CASE WHEN callers > 0 THEN 'keep' WHEN decision OR public THEN 'investigate' ELSE 'remove' END AS verdict, CAST(CASE WHEN callers > 0 THEN 0.9 WHEN decision THEN 0.75 WHEN public THEN 0.6 ELSE 0.7 END AS DOUBLE) AS confidence FROM f")
+@query("WITH f AS (SELECT p_partkey AS id, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey AND l_shipdate >= TIMESTAMP '2001-10-01') AS callers, p_size % 7 = 0 AS decision, p_size > 25 AS public FROM part) SELECT id, CASE WHEN callers > 0 THEN 'keep' WHEN decision OR public THEN 'investigate' ELSE 'remove' END AS verdict, CAST(CASE WHEN callers > 0 THEN 0.9 WHEN decision THEN 0.75 WHEN public THEN 0.6 ELSE 0.7 END AS DOUBLE) AS confidence FROM f")
 def justify_symbol(spark, sf_dir):
+    """Callers are the references of the last month before the history's end, as observed usage counts recent calls."""
     from loam.operators.usage import verdict
 
-    n = R.read(spark, sf_dir, "lineitem").where("l_quantity > 48").groupBy(F.col("l_partkey").alias("k")).agg(F.count(F.lit(1)).alias("callers"))
+    n = R.read(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp '2001-10-01'").groupBy(F.col("l_partkey").alias("k")).agg(F.count(F.lit(1)).alias("callers"))
     p = R.read(spark, sf_dir, "part").join(n, F.col("p_partkey") == F.col("k"), "left")
     v, c = verdict(F.coalesce("callers", F.lit(0)), F.col("p_size") % 7 == 0, F.col("p_size") > 25)
     return p.select(F.col("p_partkey").alias("id"), v.alias("verdict"), c.alias("confidence"))
@@ -165,10 +165,10 @@ def justify_symbol(spark, sf_dir):
 # -- modules ---------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT src AS source, dst AS target, count(*) AS strength FROM (SELECT DISTINCT a.p_brand AS src, b.p_brand AS dst, x.l_orderkey FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey JOIN part a ON a.p_partkey = x.l_partkey JOIN part b ON b.p_partkey = y.l_partkey) WHERE src <> dst AND src LIKE 'Brand#1%' GROUP BY 1, 2")
+@query("SELECT src AS source, dst AS target, count(*) AS strength FROM (SELECT DISTINCT a.p_brand AS src, b.p_brand AS dst, x.l_orderkey FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey JOIN part a ON a.p_partkey = x.l_partkey JOIN part b ON b.p_partkey = y.l_partkey) WHERE src <> dst GROUP BY 1, 2")
 def module_edges(spark, sf_dir):
     li = R.read(spark, sf_dir, "lineitem").join(R.symbols(spark, sf_dir), F.col("l_partkey") == F.col("symbol_id")).select("l_orderkey", "module").distinct()
-    pairs = li.where(F.col("module").startswith("Brand#1")).select("l_orderkey", F.col("module").alias("source")).join(li.withColumnRenamed("module", "target"), "l_orderkey")
+    pairs = li.select("l_orderkey", F.col("module").alias("source")).join(li.withColumnRenamed("module", "target"), "l_orderkey")
     return modules.module_edges(pairs.withColumn("kind", F.lit("workspace")))
 
 

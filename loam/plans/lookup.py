@@ -174,15 +174,15 @@ def diff_rollup(spark, sf_dir):
 
 @query(
     R.using("commit_files")
-    + ", one AS (SELECT DISTINCT commit_id, path FROM commit_files), few AS (SELECT commit_id FROM one GROUP BY 1 HAVING count(*) <= 100), k AS (SELECT * FROM one WHERE commit_id IN (SELECT commit_id FROM few)), p AS (SELECT a.path, count(*) AS pairs, count(DISTINCT b.path) AS partners FROM k a JOIN k b ON a.commit_id = b.commit_id AND a.path <> b.path GROUP BY 1) SELECT path, partners, CAST(pairs AS BIGINT) AS together FROM p"
+    + ", k AS (SELECT DISTINCT commit_id, path FROM commit_files), p AS (SELECT a.path, count(*) AS pairs, count(DISTINCT b.path) AS partners FROM k a JOIN k b ON a.commit_id = b.commit_id AND a.path <> b.path GROUP BY 1) SELECT path, partners, CAST(pairs AS BIGINT) AS together FROM p"
 )
 def coupling_degree(spark, sf_dir):
     return coupling.co_changes(R.commit_files(spark, sf_dir)).groupBy("path").agg(F.count(F.lit(1)).alias("partners"), F.sum("together").alias("together"))
 
 
-@query("SELECT c_custkey AS owner, CASE WHEN c_custkey % 4 = 0 THEN 'team' WHEN c_custkey % 4 = 1 THEN 'user' WHEN c_custkey % 4 = 2 THEN 'email' ELSE 'unknown' END AS kind, 'codeowners' AS source FROM customer WHERE c_custkey < 20 UNION ALL SELECT DISTINCT o_custkey, 'user', 'blame' FROM orders WHERE o_custkey < 10")
+@query("SELECT c_custkey AS owner, CASE WHEN c_custkey % 4 = 0 THEN 'team' WHEN c_custkey % 4 = 1 THEN 'user' WHEN c_custkey % 4 = 2 THEN 'email' ELSE 'unknown' END AS kind, 'codeowners' AS source FROM customer UNION ALL SELECT DISTINCT o_custkey, 'user', 'blame' FROM orders")
 def owner_sources_union(spark, sf_dir):
-    c = R.read(spark, sf_dir, "customer").where("c_custkey < 20").select(F.col("c_custkey").alias("owner"))
+    c = R.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("owner"))
     name = F.expr("case c_custkey when 0 then '@o/t' when 1 then '@u' when 2 then 'a@b' else 'x' end".replace("case c_custkey", "case (owner % 4)"))
-    b = R.read(spark, sf_dir, "orders").where("o_custkey < 10").select(F.col("o_custkey").alias("owner")).distinct()
+    b = R.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner")).distinct()
     return c.select("owner", scoring.owner_type(name).alias("kind"), F.lit("codeowners").alias("source")).unionByName(b.select("owner", F.lit("user").alias("kind"), F.lit("blame").alias("source")))

@@ -8,8 +8,7 @@ from loam.operators import audit, churn, coupling, ownership
 from loam.plans.catalog import query
 from loam.sources import relations as R
 
-_PAIRS = """one AS (SELECT DISTINCT commit_id, path FROM commit_files), few AS (SELECT commit_id FROM one GROUP BY 1 HAVING count(*) <= 100),
-kept AS (SELECT * FROM one WHERE commit_id IN (SELECT commit_id FROM few)), base AS (SELECT path, count(*) AS changes FROM kept GROUP BY 1),
+_PAIRS = """kept AS (SELECT DISTINCT commit_id, path FROM commit_files), base AS (SELECT path, count(*) AS changes FROM kept GROUP BY 1),
 pairs AS (SELECT a.path, b.path AS other, count(*) AS together FROM kept a JOIN kept b ON a.commit_id = b.commit_id AND a.path <> b.path GROUP BY 1, 2),
 coupled AS (SELECT path, other, together, changes, round(together / changes, 6) AS correlation FROM pairs JOIN base USING (path))"""
 

@@ -29,16 +29,16 @@ def change_status_codes(spark, sf_dir):
     return R.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), delta.change_code(s).alias("op"))
 
 
-_DEPS = "dep AS (SELECT DISTINCT l_suppkey AS src, o_custkey % 60 + 5000 AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 40 UNION SELECT DISTINCT o_custkey % 60 + 5000, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity < 3)"
+_DEPS = "dep AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem UNION SELECT DISTINCT l_partkey + 1000000, o_custkey + 100000000 FROM lineitem JOIN orders ON o_orderkey = l_orderkey UNION SELECT DISTINCT o_custkey + 100000000, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
 
 
 @query(f"WITH RECURSIVE {_DEPS}, w(id, depth) AS (SELECT 3::BIGINT, 0 UNION SELECT dst, depth + 1 FROM w JOIN dep ON src = id WHERE depth < 3) SELECT id, min(depth) AS depth FROM w GROUP BY 1")
 def invalidation_closure(spark, sf_dir):
     """Files to rescan after a change: dependents within three steps, each at its least depth."""
     li = R.read(spark, sf_dir, "lineitem").join(R.read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    a, b = F.col("l_suppkey"), F.col("o_custkey") % 60 + 5000
-    dep = li.where("l_quantity > 40").select(a.alias("src"), b.alias("dst")).unionByName(li.where("l_quantity < 3").select(b.alias("src"), a.alias("dst")))
-    return graph.reach(dep, spark.createDataFrame([(3,)], "id long"), 3)
+    a, b, c = F.col("l_suppkey"), F.col("l_partkey") + 1_000_000, F.col("o_custkey") + 100_000_000
+    ways = [li.select(x.alias("src"), y.alias("dst")) for x, y in ((a, b), (b, c), (c, a))]
+    return graph.reach(ways[0].unionByName(ways[1]).unionByName(ways[2]), spark.createDataFrame([(3,)], "id long"), 3)
 
 
 @query(
@@ -77,10 +77,10 @@ def capability_summary(spark, sf_dir):
     return r.groupBy("module").agg(F.array_join(F.transform(five, lambda x: x["name"]), ", ").alias("summary"), F.count(F.lit(1)).alias("listed"))
 
 
-@query("WITH s AS (SELECT p_partkey AS symbol_id, replace(p_name, ' ', '.') AS name FROM part WHERE p_partkey < 100) SELECT name AS ending, array_to_string(list_sort(list(symbol_id))[1:5], ',') AS suggestions FROM s GROUP BY 1")
+@query("WITH s AS (SELECT p_partkey AS symbol_id, replace(p_name, ' ', '.') AS name FROM part) SELECT name AS ending, array_to_string(list_sort(list(symbol_id))[1:5], ',') AS suggestions FROM s GROUP BY 1")
 def suffix_suggestions(spark, sf_dir):
     """Up to five symbols for each ending of two segments."""
-    s = R.read(spark, sf_dir, "part").where("p_partkey < 100").select(F.col("p_partkey").alias("symbol_id"), F.replace(F.col("p_name"), F.lit(" "), F.lit(".")).alias("name"))
+    s = R.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol_id"), F.replace(F.col("p_name"), F.lit(" "), F.lit(".")).alias("name"))
     ids = F.slice(F.array_sort(F.collect_list("symbol_id")), 1, 5)
     return docs.suffix_index(s).groupBy(F.col("suffix").alias("ending")).agg(F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("suggestions"))
 

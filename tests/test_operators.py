@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from loam.functions import scoring
-from loam.operators import churn, coupling, delta, docs, graph, identity, intervals, modules, ownership, search, series, usage
+from loam.operators import churn, coupling, delta, docs, federation, graph, identity, impact, intervals, modules, ownership, search, series, usage
 
 
 def rows(df, *cols):
@@ -93,8 +93,8 @@ def test_alias_chains(spark):
 def test_reconcile_queries_read_the_whole_table(spark, tmp_path):
     from loam.plans import change
 
-    parts = [(i, f"name {i}", "T", "B") for i in range(1, 2101)]
-    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    parts = [(i, f"name {i}", "T", "B", i % 50) for i in range(1, 2101)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     gone = {i for i in range(1, 2101) if i % 5 == 1}
     assert {r["old_id"] for r in change.fuzzy_alias(spark, str(tmp_path)).collect()} == gone
     back = {(i % 11 + i % 2) for i in range(1, 2101) if i % 5 == 0}
@@ -105,22 +105,18 @@ def test_reconcile_finds_the_best_of_all_new_symbols(spark):
     import random
 
     r = random.Random(7)
-    names = ["run", "_run", "Run", "ru_n", "rung", "xrun", "runner", "stop", "", "a", "b", "walk_all", "Walkall"]
-    some = lambda k, n: [(f"{k}{i:03}", f"{k}{i}", r.choice("fmt"), r.choice(names), r.choice("pq"), r.choice("uvw")) for i in range(n)]
-    old, new = [*some("o", 60), ("ox", "ox", "f", "only", "c", "p")], [*some("n", 12), ("nx", "nx", "m", "only", "c", "p")]
-
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, last = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return row[-1]
+    names = ["run", "_run", "Run", "ru_n", "rung", "stop", "", "a", "b", "walk_all", "Walkall", None]
+    some = lambda k, n: [(f"{k}{i:03}", f"{k}{i}", r.choice("fmt"), r.choice(names), r.choice(["p.a", "p.b", "q", "", None]), r.choice(["u/v", "u/w", "v", None, ""])) for i in range(n)]
+    old, new = [*some("o", 200), ("ox", "ox", "f", "only", "c", "p")], [*some("n", 12), ("nx", "nx", "m", "only", "c", "p")]
 
     def score(o, n):
         plain = lambda x: x.replace("_", "").lower()
-        name = 0.4 if o[3] == n[3] else 0.2 if edits(o[3], n[3]) <= 2 or plain(o[3]) == plain(n[3]) else 0
-        return round(0.3 * (o[2] == n[2]) + name + (0.2 if o[4] == n[4] else 0.1) + (0.1 if o[5] == n[5] else 0.05), 6)
+        (ok, on, oc, op), (nk, nn, nc, np_) = ((x[2] or "", x[3] or "", x[4] or "", x[5]) for x in (o, n))
+        name = 0.4 if on == nn else 0.2 if plain(on) == plain(nn) else 0
+        box = 0.2 if oc == nc else 0.1 if oc and nc and oc.split(".")[0] == nc.split(".")[0] else 0
+        folder = lambda p: p[: p.rfind("/") + 1]
+        path = 0 if op is None or np_ is None else 0.1 if op == np_ else 0.05 if folder(op) == folder(np_) else 0
+        return round(0.3 * (ok == nk) + name + box + path, 6)
 
     def best(o):
         found = [(-score(o, n), n[0]) for n in new if score(o, n) >= 0.6]
@@ -151,9 +147,14 @@ def test_upserts_treat_null_keys_as_equal(spark):
 
 
 def test_mentions_skip_fences_and_resolve(spark):
-    d = spark.createDataFrame([(1, "see `a.b`\n```\n`no.no`\n```\nand `pkg.T.m` `x`")], "id int, text string")
-    got = rows(docs.mentions(d, "id", "text"), "line", "mention")
-    assert got == [(1, "a.b"), (5, "pkg.T.m"), (5, "x")]
+    text = "see `a.b` `x`\n```go\nq := pkg.New() `in.it`\nq.Go(pkg.New)\n```\nand `pkg::T` `read.md`\n~~~\nm.n\n```\n~~~\n<!-- t:symbol s.t --> <!-- t:known_symbols T, Go -->\n```\nopen.end"
+    d = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string")
+    got = rows(docs.mentions(d, "id", "text"), "line", "mention", "method", "known")
+    fences = [(2, "in.it", "fence", False), (2, "pkg.New", "fence", False), (2, "q.Go", "fence", True), (7, "m.n", "fence", False)]
+    assert got == sorted([(1, "a.b", "backtick", False), (3, "in.it", "backtick", False), *fences, (6, "pkg::T", "backtick", True), (11, "s.t", "directive", True)])
+    k = spark.createDataFrame([(1, "Go", True, "directive"), (2, "Go", False, "directive"), (3, "q.Go", False, "fence")], "mid long, mention string, known boolean, method string")
+    one = spark.createDataFrame([(5, "p.q.Go")], "symbol_id long, name string")
+    assert rows(docs.resolve(k, one), "mid", "symbol_id", "status", "confidence") == [(1, 5, "suffix", 0.85), (2, None, "ineligible", 0.0), (3, 5, "suffix", 0.665)]
     s = spark.createDataFrame([(1, "q.pkg.T.m"), (2, "z.a.b"), (3, "y.a.b")], "symbol_id long, name string")
     m = spark.createDataFrame([(1, "pkg.T.m"), (2, "a.b"), (3, "x"), (4, "no.way"), (5, "z.a.b")], "mid long, mention string")
     assert rows(docs.resolve(m, s), "mid", "status") == [(1, "suffix"), (2, "ambiguous"), (3, "ineligible"), (4, "missing"), (5, "exact")]
@@ -165,10 +166,26 @@ def test_longest_prefix_goes_by_segments(spark):
     assert rows(modules.longest_prefix(f, r), "path", "module") == [("src/a/c.go", "a"), ("src/ab/c.go", "root")]
 
 
-def test_co_changes_leave_out_huge_commits_and_repeats(spark):
-    c = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), *[(3, f"f{i}") for i in range(4)], (3, "a"), (3, "b")], "commit_id long, path string")
-    got = rows(coupling.co_changes(c, most_files=3), "path", "other", "together", "changes")
-    assert got == [("a", "b", 1, 2), ("b", "a", 1, 1)]
+def test_co_changes_count_repeats_once(spark):
+    c = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a")], "commit_id long, path string")
+    assert rows(coupling.co_changes(c), "path", "other", "together", "changes") == [("a", "b", 1, 2), ("b", "a", 1, 1)]
+
+
+def test_partners_by_pairs_and_by_bitmaps(spark):
+    import random
+
+    r = random.Random(2)
+    e = sorted({(r.randint(0, 70_000), r.randint(0, 40)) for _ in range(400)} | {(c, 99) for c in range(0, 300, 3)} | {(80_000, 7777)})
+    near = {c: {b for b, k in e for a, m in e if a == c and m == k and b != c} for c in {c for c, _ in e}}
+    df = spark.createDataFrame(e, "contract long, consumer long")
+    for hot in (0, 20, 1000):
+        got = {x["contract"]: x["partners"] for x in federation.partners(df, hot).collect()}
+        assert got == {c: len(v) for c, v in near.items() if v}
+
+
+def test_mean_confidence_rounds_halves_up(spark):
+    d = spark.createDataFrame([(545, 640), (0, 3), (95, 1), (1, 3)], "s long, n long")
+    assert [x[0] for x in d.select(impact.mean_confidence(F.col("s"), F.col("n"))).collect()] == [0.008516, 0.0, 0.95, 0.003333]
 
 
 def test_co_changes_count_every_commit_whatever_its_size(spark):
