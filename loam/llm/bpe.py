@@ -10,60 +10,73 @@ encoding the whole. Two levels use the same rule:
   encoding of its text exactly if every adjacent pair is the encoding of that pair's text, so the check of the pairs
   around both edges of the window is a proof, not a heuristic.
 
-Pieces repeat very often; each worker keeps a bounded table of those it has encoded.
+Texts over ``SPLIT_CHARS`` are halved into parts that separate tasks encode in parallel; a part keeps the text before its
+first and after its last white space, and the join encodes the window around each cut, which reaches from white space
+to white space (over whole parts, if they have none), so that both sides agree with the whole.
+
+Runs repeat very often; a task keeps those it has encoded in a table that is bounded in bytes and dropped at its end.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import itertools
 import re
+from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import small_batches, texts_of
 
 #: Fixed values of the tokenizer's file format: its splitting pattern (ASCII and Latin-1 letters only; other text takes the library's own way) and special tokens.
 _SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-_SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
+_SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+#: A piece of lower-case letters, then ASCII signs (either may be missing): two runs of the pattern above.
+_TWO_RUNS = r"^(?P<letters>[a-zß-öø-ÿ]*)(?P<signs>[!-/:-@\[-`{-~]*)$"
 WORD_END = "</w>"
 LEAF_CHARS = 1 << 15
 LEAF_RUN = 256
-TABLE_ENTRIES = 900_000
-DIGEST_ENTRIES = 600_000  # rendered text takes more room
+#: Longer texts are encoded by several tasks, in parts of at most so many characters.
+SPLIT_CHARS = 1 << 17
+#: Bytes that a task's table of runs may take; a full table starts anew.
+TABLE_BYTES = 40 << 20
+#: Longer runs are not kept: they hardly repeat.
+KEPT_CHARS = 64
 
 
 def _byte_letters() -> dict[int, int]:
-    """Byte-level alphabet: printable bytes stand for themselves, the others follow from code point 256 on."""
+    """Byte-level alphabet, fixed by the format: printable bytes stand for themselves, the others follow from code point 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = iter(range(256, 512))
     return {b: b if b in plain else next(rest) for b in range(256)}
 
 
 class TreeEncoder:
-    """Encodes like ``Tokenizer.encode(text, add_special_tokens=False).ids``.
-
-    ``piece`` maps the bytes of a piece without ASCII white space to whatever ``render`` makes of its ids, so that
-    callers get the form they need (raw ids, decimal text, ...) from the table without another pass.
-    """
+    """Encodes like ``Tokenizer.encode(text, add_special_tokens=False).ids``, whole columns at a time."""
 
-    def __init__(self, path: str, render=tuple, entries: int = TABLE_ENTRIES) -> None:
+    def __init__(self, path: str, most_bytes: int = TABLE_BYTES) -> None:
         from tokenizers import Tokenizer
 
-        gc.disable()  # millions of tuples live in the table; none of them is part of a cycle
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model, self.render, self.entries = self.tokenizer.model, render, entries
-        letters, self.table, self.runs = _byte_letters(), {}, {}
+        self.model, self.most_bytes, self._decoded = self.tokenizer.model, most_bytes, None
+        letters = _byte_letters()
+        self.forget()
         self.spelt = {chr(c): "".join(chr(letters[b]) for b in chr(c).encode()) for c in range(0x21, 0x100)}
 
+    def forget(self) -> None:
+        """Drop what the table of runs holds."""
+        self.runs: dict[str, bytes] = {}
+        self.runs_bytes = 0
+
     # -- one unsplit run -------------------------------------------------------------------------------------------
     def _model(self, run: str, ends: bool) -> list[tuple[int, str]]:
         """Tokens of a run in byte letters. Without ``ends``, the run goes on: its last letter bears no word end."""
@@ -119,73 +132,100 @@ class TreeEncoder:
                 return left[:i] + window + right[j:]
             reach *= 2
 
-    def _run(self, run: str) -> tuple[int, ...]:
+    def run(self, run: str) -> bytes:
+        """Ids of one run of letters or of signs, as packed 32-bit integers; from the table if it has been seen."""
         if (got := self.runs.get(run)) is None:
             text = run if run.isascii() else "".join([self.spelt[c] for c in run])
-            got = tuple([i for i, _ in self.run_tokens(text)]) if len(text) > LEAF_RUN else tuple([t.id for t in self.model.tokenize(text)])
-            if len(self.runs) >= self.entries:
-                self.runs.clear()
-            self.runs[run] = got
+            ids = [i for i, _ in self.run_tokens(text)] if len(text) > LEAF_RUN else [t.id for t in self.model.tokenize(text)]
+            got = _packed(ids)
+            if len(run) <= KEPT_CHARS:
+                if self.runs_bytes >= self.most_bytes:
+                    self.runs, self.runs_bytes = {}, 0
+                self.runs[run] = got
+                self.runs_bytes += 200 + 2 * len(run) + len(got)  # the entry, its text and its ids
         return got
 
     # -- one piece without white space -----------------------------------------------------------------------------
-    def piece(self, raw: bytes):
-        """Rendered ids of a piece, from the table if it has been seen."""
-        got = self.table.get(raw)
-        if got is None:
-            if raw.isalpha() and raw.islower() and self.render is tuple and len(raw) <= LEAF_RUN:
-                ids = tuple([t.id for t in self.model.tokenize(raw.decode())])
-            elif raw[:-1].isalpha() and raw.islower() and raw[-1] in b".,":
-                body = raw[:-1]
-                ids = (self.piece(body) if self.render is tuple else self._run(body.decode())) + self._run(chr(raw[-1]))
-            elif _SIMPLE.fullmatch(text := raw.decode()) and not any(s in raw for s in _SPECIAL):
-                ids = tuple(i for run in _SPLIT.findall(text.lower()) for i in self._run(run))
-            else:
-                ids = tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            got = self.render(ids)
-            if len(self.table) >= self.entries:
-                self.table.clear()
-            if len(raw) <= 256:
-                self.table[raw] = got
-        return got
-
-    # -- a whole text ----------------------------------------------------------------------------------------------
-    def leaf_pieces(self, text: str) -> list[bytes]:
-        raw = text.encode()
-        low = raw.lower()
-        # Lower-casing A-Z first only makes pieces repeat more often; special tokens are matched before it.
-        return (raw if any(s in low for s in _SPECIAL) else low).split()
-
-    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a whole column, end to end, and the number of each text's. Every distinct piece is looked up once."""
+    def piece(self, text: str) -> bytes:
+        """Packed ids of any piece: its runs, one by one, or the library's own way where its splitting is not known here."""
+        low = text.lower()
+        if _SIMPLE.fullmatch(text) and not any(x in low for x in _SPECIAL):
+            return b"".join([self.run(run) for run in _SPLIT.findall(low)])
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    # -- columns of texts ------------------------------------------------------------------------------------------
+    def _segments(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, end to end, and the number of each text's. Most pieces are letters, then signs: two runs that are
+        looked up once each for a whole column; the others go one by one."""
         low = pc.ascii_lower(texts)
+        # Lower-casing A-Z first only makes pieces repeat more often; special tokens are matched before it.
         special = pc.match_substring_regex(low, "<\\|(start|end)oftext\\|>")
         pieces = pc.ascii_split_whitespace(pc.if_else(special, texts, low) if pc.any(special).as_py() else low)
         coded = pieces.flatten().dictionary_encode()
-        table, words = self.table, coded.dictionary.cast(pa.binary()).to_pylist()
-        ids = [got if (got := table.get(x)) is not None else self.piece(x) for x in words]
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum()))
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        many = sizes[which]
+        cut = pc.extract_regex(coded.dictionary, _TWO_RUNS)
+        plain = np.asarray(pc.is_valid(cut))
+        letters, signs = (cut.field(i).dictionary_encode() for i in (0, 1))
+        parts = [self.run(x) if x else b"" for c in (letters, signs) for x in c.dictionary.to_pylist()]
+        other = [self.piece(x) for x in coded.dictionary.filter(pa.array(~plain)).to_pylist()]
+        at = len(parts)
+        parts += [*other, b""]
+        first, second = np.full(len(plain), at, np.int64), np.full(len(plain), len(parts) - 1, np.int64)
+        first[~plain] += np.arange(len(other))
+        first[plain] = letters.indices.filter(pa.array(plain)).to_numpy(zero_copy_only=False)
+        second[plain] = len(letters.dictionary) + signs.indices.filter(pa.array(plain)).to_numpy(zero_copy_only=False)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat = np.frombuffer(b"".join(parts), np.int32)
+        which = np.stack([first, second], axis=1)[coded.indices.to_numpy(zero_copy_only=False)].ravel()
+        many = sizes[which].astype(np.int32)
         ends = np.cumsum(many, dtype=np.int32)  # a batch holds a few megabytes of text, so far fewer ids than 2 ** 31
-        starts = (np.cumsum(sizes, dtype=np.int32) - sizes)[which]
-        at = np.repeat(starts - (ends - many), many)
-        at += np.arange(len(at), dtype=np.int32)
-        bounds = np.concatenate([np.zeros(1, np.int32), ends])[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
-        return flat[at], np.diff(bounds).astype(np.int64)
+        starts = (np.cumsum(sizes) - sizes).astype(np.int32)[which]
+        ids = np.repeat(starts - (ends - many), many)
+        ids += np.arange(len(ids), dtype=np.int32)
+        bounds = np.concatenate([np.zeros(1, np.int32), ends])[2 * (pieces.offsets.to_numpy() - pieces.offsets[0].as_py())]
+        return flat[ids], np.diff(bounds).astype(np.int64)
 
-    def encode(self, text: str) -> list:
-        """Rendered ids of each piece in turn: leaves of the halved text, joined again."""
-        return self._walk(text, 0, len(text))
-
-    def _walk(self, text: str, a: int, b: int) -> list:
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a whole column, end to end, and the number of each text's; null counts as empty. Long texts go as the leaves and windows of their trees."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        wide = np.asarray(pc.greater(pc.binary_length(texts), LEAF_CHARS))
+        if not wide.any():
+            return self._segments(texts)
+        segments = [tree_segments(t) if w else [t] for t, w in zip(texts.to_pylist(), wide, strict=True)]
+        ids, many = self._segments(pa.array(list(itertools.chain.from_iterable(segments)), pa.string()))
+        first = np.cumsum([0, *map(len, segments)])
+        return ids, np.diff(np.concatenate([[0], np.cumsum(many)])[first])
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_column(pa.array([text], pa.string()))[0].tolist()
+
+    def decoded(self) -> pa.Array:
+        """The decoding of every id alone: this format has no decoder, so a sequence is its tokens' joined by spaces."""
+        if self._decoded is None:
+            n = self.tokenizer.get_vocab_size(with_added_tokens=True)
+            self._decoded = pa.array([self.tokenizer.decode([i], skip_special_tokens=False) for i in range(n)], pa.string())
+            self._decimal = pa.array([str(i) for i in range(n)], pa.string())
+        return self._decoded
+
+    def digests(self, ids: np.ndarray, many: np.ndarray) -> tuple[list[str], list[str]]:
+        """SHA-256 of each text's ids in decimal, and of its decoding."""
+        decoded = self.decoded()
+        at = pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int64())
+        index = pa.array(ids)
+        out = []
+        for words in (self._decimal, decoded):
+            joined = pc.binary_join(pa.LargeListArray.from_arrays(at, words.take(index)), " ")
+            out.append([hashlib.sha256(x.as_buffer()).hexdigest() for x in joined])
+        return out[0], out[1]
+
+
+def tree_segments(text: str) -> list[str]:
+    """Leaves and windows of a text's tree, in order. The text is halved until its leaves are short; the window around each
+    cut grows to white space on both sides, where both halves agree with the whole."""
+
+    def walk(a: int, b: int) -> list[str]:
         if b - a <= LEAF_CHARS:
-            leaf = self.leaf_pieces(text[a:b])
-            table = self.table
-            return [got if (got := table.get(x)) is not None else self.piece(x) for x in leaf]
+            return [text[a:b]]
         half = (a + b) // 2
-        # The window around the join grows to white space on both sides, where both halves agree with the whole.
         lo, hi = half, half
         step = 64
         while lo > a and not _edge(text[lo - 1]):
@@ -198,74 +238,152 @@ class TreeEncoder:
             hi = at if at >= 0 else min(b, hi + step)
             step *= 2
         if lo <= a and hi >= b:  # one unsplit piece: the tree goes on inside its runs
-            return [self.piece(text[a:b].encode())]
-        return self._walk(text, a, lo) + [self.piece(x) for x in self.leaf_pieces(text[lo:hi])] + self._walk(text, hi, b)
+            return [text[a:b]]
+        return walk(a, lo) + [text[lo:hi]] + walk(hi, b)
 
+    return walk(0, len(text))
 
-_ENCODERS: dict[tuple[str, str], TreeEncoder] = {}
 
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
 
-def worker_encoder(path: str, form: str = "ids") -> TreeEncoder:
-    """The worker process's encoder, kept from task to task with its table. Forms: ``ids``, and ``digest`` for (decimal ids, decoded text, length)."""
-    if (path, form) not in _ENCODERS:
-        encoder = TreeEncoder(path, entries=TABLE_ENTRIES if form == "ids" else DIGEST_ENTRIES)
-        if form == "digest":
-            decode = encoder.tokenizer.decode
-            encoder.render = lambda ids: (" ".join(map(str, ids)), decode(list(ids), skip_special_tokens=False), len(ids))
-        _ENCODERS[path, form] = encoder
-    return _ENCODERS[path, form]
+
+#: The worker's tokenizers, with empty tables between tasks.
+_ENCODERS: dict[str, TreeEncoder] = {}
+
+
+@contextmanager
+def task_encoder(path: str) -> Iterator[TreeEncoder]:
+    """The worker process's encoder for one task; at its end, also an early one, its table is dropped, since the worker may serve any other operator next."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = TreeEncoder(path)
+    try:
+        yield _ENCODERS[path]
+    finally:
+        _ENCODERS[path].forget()
 
 
 _SPACES = " \t\n\x0b\x0c\r"
+_SPACE = re.compile(r"[ \t-\r]")
 
 
 def _edge(c: str) -> bool:
     return c in _SPACES
 
 
+def _source(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Short texts, null ones included, and long ones: ``doc_id, text``."""
+    src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    is_long = F.coalesce(F.octet_length("text") > SPLIT_CHARS, F.lit(False)) & (F.char_length("text") > SPLIT_CHARS)
+    return src.where(~is_long), src.where(is_long)
+
+
+def _id_lists(ids: np.ndarray, many: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(ids))
+
+
+def _long_ids(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
+    """Long texts ``doc_id, text``: parts are encoded in parallel, joined exactly, and ``finish(encoder, ids)`` makes a row of them.
+
+    Rows that repeat an id and text are encoded once and returned as often as they stand.
+    """
+    whole = docs.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+
+    def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                many = 1 << max(1, (len(text) - 1).bit_length() - (SPLIT_CHARS - 1).bit_length())
+                each, digest = -(-len(text) // many), hashlib.sha256(text.encode()).hexdigest()
+                for lo in range(0, many, 64):
+                    at = range(lo, min(many, lo + 64))
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([key] * len(at), pa.int64()), "digest": [digest] * len(at), "copies": pa.array([copies] * len(at), pa.int64()), "part": pa.array(at, pa.int64()), "text": pa.array([text[each * i : each * (i + 1)] for i in at], pa.string())})
+
+    parts = whole.mapInArrow(halved, "doc_id long, digest string, copies long, part long, text string").repartition("doc_id", "digest", "part")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with task_encoder(path) as encoder:
+            for batch in small_batches(batches, "text"):
+                head, inner, tail = [], [], []
+                for text in texts_of(batch, "text"):
+                    a = m.start() if (m := _SPACE.search(text)) else None
+                    b = max(text.rfind(c) for c in _SPACES)
+                    head.append(text if a is None else text[:a])
+                    inner.append("" if a is None else text[a : b + 1])
+                    tail.append(None if a is None else text[b + 1 :])
+                cols = [batch.column(k) for k in range(4)]
+                ids = _id_lists(*encoder.encode_column(pa.array(inner, pa.string())))
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(head, pa.string()), ids, pa.array(tail, pa.string())], names=["doc_id", "digest", "copies", "part", "head", "ids", "tail"])
+
+    coded = parts.mapInArrow(encode, "doc_id long, digest string, copies long, part long, head string, ids array<int>, tail string")
+    fields = [x.split() for x in schema.split(", ")]
+
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        with task_encoder(path) as encoder:
+            ids: list[int] = []
+            held: list[str] = []  # text since the last white space
+            for head, inner, tail in zip(*(table.column(c).to_pylist() for c in ("head", "ids", "tail")), strict=True):
+                held.append(head)
+                if tail is not None:
+                    ids += encoder.encode("".join(held))
+                    ids += inner
+                    held = [tail]
+            ids += encoder.encode("".join(held))
+            row = (table.column("doc_id")[0].as_py(), *finish(encoder, ids))
+        kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+        return pa.table([pa.array([v] * table.column("copies")[0].as_py(), kinds[k]) for v, (_, k) in zip(row, fields, strict=True)], names=[n for n, _ in fields])
+
+    return coded.groupBy("doc_id", "digest").applyInArrow(join, schema)
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token ids of every whole text: ``(doc_id, ids array<int>)``. Null and empty texts have no ids; repeated rows stay."""
+    """Token ids of every whole text: ``(doc_id, ids array<int>)``.
+
+    Null, empty and blank texts have no ids; repeated rows and rows with a null id are returned each; an empty table gives
+    none; other columns play no part, whatever their names.
+    """
+    short, long = _source(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(path)
-        for batch in small_batches(batches, text_col):
-            ids = [[i for piece in encoder.encode(t) for i in piece] for t in texts_of(batch, text_col)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        with task_encoder(path) as encoder:
+            for batch in small_batches(batches, "text"):
+                yield pa.RecordBatch.from_arrays([batch.column(0), _id_lists(*encoder.encode_column(batch.column(1)))], names=["doc_id", "ids"])
 
-    src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias(text_col))
-    return src.mapInArrow(run, "doc_id long, ids array<int>")
+    schema = "doc_id long, ids array<int>"
+    return short.mapInArrow(run, schema).unionByName(_long_ids(long, path, lambda encoder, ids: (ids,), schema))
 
 
 def decode_ids(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """The library's ``decode(ids, skip_special_tokens=False)``: this format has no decoder, so tokens join with spaces."""
+    """The library's ``decode(ids, skip_special_tokens=False)``: this format has no decoder, so tokens join with spaces. Null lists decode as empty ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(path)
-        for batch in batches:
-            out = [encoder.tokenizer.decode(x or [], skip_special_tokens=False) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
+        with task_encoder(path) as encoder:
+            for batch in batches:
+                out = [encoder.tokenizer.decode(x or [], skip_special_tokens=False) for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
     return df.select(df[id_col].cast("long").alias("doc_id"), df[ids_col].alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
 def digest_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, decode and digest in one pass, so that ids never leave the worker.
+    """Encode, decode and digest in one pass, so that ids of short texts never leave the worker.
 
-    Returns ``doc_id, n_tokens, ids_sha256, decoded_sha256``. The table holds each piece's ids as decimal text, its
-    decoded text and its length; joins with a space give the whole's, as the decoding of a sequence is its tokens
-    joined by spaces. Null and empty texts give 0 tokens and the digests of the empty string.
+    Returns ``doc_id, n_tokens, ids_sha256, decoded_sha256``, one row per input row. The decoding of a sequence is its
+    tokens' joined by spaces, so both digests come from two columns of words by id. Null, empty and blank texts give 0 tokens and the digests of the empty string; texts over
+    ``SPLIT_CHARS`` are encoded by several tasks; repeated rows and rows with a null id are returned each; an empty table
+    gives none; other columns play no part, whatever their names.
     """
+    short, long = _source(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(path, "digest")
-        for batch in small_batches(batches, text_col):
-            n, a, b = [], [], []
-            for text in texts_of(batch, text_col):
-                pieces = [x for x in encoder.encode(text) if x[2]]
-                n.append(sum(x[2] for x in pieces))
-                a.append(hashlib.sha256(" ".join([x[0] for x in pieces]).encode()).hexdigest())
-                b.append(hashlib.sha256(" ".join([x[1] for x in pieces]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias(text_col))
-    return src.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        with task_encoder(path) as encoder:
+            for batch in small_batches(batches, "text"):
+                ids, many = encoder.encode_column(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(many), *map(pa.array, encoder.digests(ids, many))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+    def finish(encoder: TreeEncoder, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), *(x[0] for x in encoder.digests(np.array(ids, np.int32), np.array([len(ids)])))
+
+    return short.mapInArrow(run, schema).unionByName(_long_ids(long, path, finish, schema))

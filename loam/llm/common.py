@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.functions.shared import shared_dir
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 #: A word, as the contracts define it, in Java's dialect.
@@ -22,25 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            found = tempfile.mkdtemp(prefix="loam-")
-            spark.sparkContext.setCheckpointDir(found)
-    return found
-
+def write_file(address: str, data: bytes) -> None:
+    """Write a whole file into the shared folder: under another name first, then renamed, so that none is ever seen half."""
+    from pyarrow import fs
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the files, which outlive any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    store, path = fs.FileSystem.from_uri(address) if ":/" in address else (fs.LocalFileSystem(), address)
+    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(part) as out:
+        out.write(data)
+    store.move(part, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """As :func:`cut`, as compressed Parquet: for wide rows."""
+    """Write ``df`` to the shared folder as compressed Parquet and go on from the files, which outlive any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loam-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -48,15 +44,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def clear_stored(spark: SparkSession) -> int:
-    """Delete the tables that :func:`stored` has written for this application, once no result that reads them is needed. Returns how many."""
-    done = 0
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+def clear_later(path: str) -> None:
+    """Name a folder for :func:`clear_stored`."""
+    _WRITTEN.append(path)
+
+
+def clear_stored(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Delete what :func:`stored` and :func:`clear_later` have named from number ``since`` on, but for the table ``keep``, once no
+    result that reads it is needed. Returns how many."""
+    held = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in keep.inputFiles()} if keep is not None else set()
+    done, left = 0, []
+    while len(_WRITTEN) > since:
+        name = _WRITTEN.pop()
+        if name.rsplit("/", 1)[-1] in held:
+            left.append(name)
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN.extend(left)
     return done
 
 
+def written() -> int:
+    """How many tables have been named so far, for ``since``."""
+    return len(_WRITTEN)
+
+
 def lower_ascii(text):
     """Lower-case A-Z only. Where all characters are ASCII the faster ``lower`` does the same."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_LOWER))
