@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, small_batches, texts_of
+from .common import small_batches, stored, texts_of
 
 UNKNOWN = "und"
 ORDERS = (3, 4)
@@ -37,21 +37,31 @@ class Model:
     false_rate: np.ndarray  # per language: chance that an n-gram of no language passes
 
 
-def _letters() -> np.ndarray:
-    return np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000)
+_IS_LETTER: list[np.ndarray] = []
 
 
-_IS_LETTER: list[np.ndarray] = []
+def letters(codes: np.ndarray) -> np.ndarray:
+    """Which code points are letters, as ``str.isalpha`` has it: by a table of the basic plane; others are few and asked for one by one."""
+    if not _IS_LETTER:
+        _IS_LETTER.append(np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000))
+    found = _IS_LETTER[0][np.minimum(codes, 0xFFFF)]
+    high = codes >= 0x10000
+    if high.any():
+        there, which = np.unique(codes[high], return_inverse=True)
+        found[high] = np.fromiter((chr(c).isalpha() for c in there), bool, len(there))[which]
+    return found
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the n-grams of lower-cased letters (runs of others count as a border), the text each is from, and whether each text has a letter."""
-    if not _IS_LETTER:
-        _IS_LETTER.append(_letters())
+    """Hashes of the n-grams of lower-cased letters (runs of others count as a border), the text each is from, and whether each text has a letter.
+
+    Every text stands between two borders of its own. An n-gram has borders at its ends only, so none reaches into the next
+    text, and a text's n-grams do not depend on its neighbours.
+    """
     low = [t.lower() for t in texts]
-    codes = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _IS_LETTER[0][np.minimum(codes, 0xFFFF)] & (codes < 0x10000) | (codes >= 0x10000)
-    lens = np.fromiter(map(len, low), np.int64, len(low)) + 1
+    codes = np.frombuffer("".join(f"\n{t}\n" for t in low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = letters(codes)
+    lens = np.fromiter(map(len, low), np.int64, len(low)) + 2
     ends = np.cumsum(lens)
     doc = np.repeat(np.arange(len(low)), lens)
     has = np.logical_or.reduceat(letter, ends - lens) if len(low) else np.zeros(0, bool)
@@ -62,15 +72,16 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(plain) < n:
             continue
         m = len(plain) - n + 1
-        h = np.full(m, n, np.uint64)
         inside = np.ones(m, bool)
+        for i in range(1, n - 1):  # borders only stand at the ends
+            inside &= letter[i : i + m]
+        at = np.flatnonzero(inside)
+        h = np.full(len(at), n, np.uint64)
         for i in range(n):
-            h = (h ^ plain[i : i + m]) * mul
+            h = (h ^ plain[at + i]) * mul
             h ^= h >> np.uint64(29)
-            if 0 < i < n - 1:  # borders only stand at the ends
-                inside &= letter[i : i + m]
-        found.append(h[inside])
-        docs.append(doc[:m][inside])
+        found.append(h)
+        docs.append(doc[at])
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), has
     return np.concatenate(found), np.concatenate(docs), has
@@ -80,10 +91,26 @@ def _slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(h >> np.uint64(64 - bits * (i + 1))) & np.uint64((1 << bits) - 1) for i in range(HASHES)]
 
 
+def _sample(src: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` rows of ``id, text, lang``, as many of each language as it has up to an equal share: a rare language is not lost. One row a language reaches the driver."""
+    per = src.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    langs = {r["lang"]: r["n"] for r in per.collect()}
+    each = max(1, rows // max(1, len(langs)))
+    if all(n <= each for n in langs.values()):
+        return src.select("text", "lang")
+    part = src.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in langs.items()], "of string, share double")
+    kept = src.join(F.broadcast(part), F.col("lang") == F.col("of"))
+    return kept.where(F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("text", "lang")
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, slot_bits: int = SLOT_BITS) -> Model:
-    """Fit on a bounded sample of ``sample_rows`` labelled rows, the same ones on every run. Rows without a language are ignored."""
+    """Fit on a bounded sample of about ``sample_rows`` labelled rows, dealt equally over the languages, the same ones on every run.
+
+    Rows without a language are ignored; null and empty texts add nothing; repeated rows count each; an empty table gives a
+    model without languages; other columns play no part, whatever their names. At most ``1 / MIN_SHARE`` n-grams a language
+    are kept.
+    """
     src = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    src = bounded_sample(src, "id", sample_rows).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 1 << 20):
@@ -93,13 +120,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 got, n = np.unique(h[(langs == lang)[doc]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(got), pa.string()), pa.array(got.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    counts = src.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    totals = {r["lang"]: r["n"] for r in src.mapInArrow(count, "lang string, gram long, n long").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    counts = stored(_sample(src, sample_rows).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    totals = {r["lang"]: r["total"] for r in total.collect()}
     langs = sorted(totals)
     if not langs:
         return Model([], np.zeros((1 << slot_bits, 1), np.uint64), np.zeros(0))
-    least = F.coalesce(*[F.when(F.col("lang") == x, F.lit(max(1, totals[x] * MIN_SHARE))) for x in langs])
-    top = counts.where(F.col("n") >= least).toPandas()  # at most 1 / MIN_SHARE rows a language
+    # At most 1 / MIN_SHARE rows a language.
+    top = counts.join(F.broadcast(total), "lang").where(F.col("n") >= F.greatest(F.lit(1.0), F.col("total") * MIN_SHARE)).select("lang", "gram", "n").toPandas()
     top["share"] = top["n"] / top["lang"].map(totals)
     top = top[top["share"] >= RIVAL * top.groupby("gram")["share"].transform("max")]
     masks = np.zeros((1 << slot_bits, -(-len(langs) // 64)), np.uint64)
@@ -135,7 +163,12 @@ def score_texts(model: Model, texts: list[str]) -> tuple[list[str], list[float]]
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score`` of every whole text. Null texts and those without a letter are ``und`` with score 0; ties go to the first language by name."""
+    """``doc_id, lang_pred, score`` of every whole text, one row per input row.
+
+    Null texts and those without a letter are ``und`` with score 0, as is every text if the model has no language; ties go
+    to the first language by name. Texts of any length are scored whole, by themselves; repeated rows and rows with a null
+    id are returned each; an empty table gives none; other columns play no part, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
