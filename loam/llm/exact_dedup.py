@@ -48,16 +48,29 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """Ids that stay, one row per text: the first two steps of :func:`exact_dedup` alone."""
+    """``doc_id, text_sha256`` that stay, one row per text: the first two steps of :func:`exact_dedup` alone."""
     rows = _normalised(docs, id_col, text_col, salts)
     salted = rows.groupBy("text_sha256", "salt", "norm").agg(F.max("doc_id").alias("best"))
-    return salted.groupBy("text_sha256", "norm").agg(F.max("best").alias("doc_id")).select("doc_id")
+    return salted.groupBy("text_sha256", "norm").agg(F.max("best").alias("doc_id")).select("doc_id", "text_sha256")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    keep = winners(docs, id_col, text_col).select(F.col("doc_id").alias("__keep"))
-    return docs.join(keep, docs[id_col].cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    """One row of ``docs`` per text, with all its columns: of equal texts (null counts as empty) the row with the largest id.
+
+    An id that stands for several texts stays with each text it wins. Where rows repeat both id and text, the first by a
+    hash of the row stays; such rows are grouped with a combining step, so that their number does not matter. An empty
+    table gives none; the names of other columns do not matter.
+    """
+    keep = winners(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    norm = lower_ascii(F.coalesce(docs[text_col], F.lit("")))
+    marked = docs.withColumns({"__of": docs[id_col].cast("long"), "__digest": F.sha2(norm, 256)})
+    stay = marked.join(keep, F.col("__of").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_semi")
+    again = marked.select("__of", "__digest").groupBy("__of", "__digest").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("__of").alias("__id"), F.col("__digest").alias("__sha"))
+    same = F.col("__of").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha"))
+    once = stay.join(again, same, "left_anti").select(*docs.columns)
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    first = stay.join(again, same, "left_semi").groupBy("__of", "__digest").agg(F.min_by(row, F.xxhash64(row)).alias("__row"))
+    return once.unionByName(first.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
 
 
 SQL = """
