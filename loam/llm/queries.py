@@ -25,7 +25,7 @@ def op2_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0))
     field = toxicity.fit_joined(docs, labels.select("doc_id", "toxic"))
     scored = toxicity.score(docs, field)
-    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "n_spans")
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "n_spans", "spans")
 
 
 def op3_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "first_slot", "last_slot", "pieces")
 
 
 def op7_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
