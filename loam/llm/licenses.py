@@ -1,17 +1,30 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory that has a license file.
 
-Only terms that some template uses can add to a dot product, so texts become sparse vectors by joining their terms with
-the templates' term table (some thousand rows). Header lines are compared with header templates, whole documents with
-header and license texts. Document frequencies come from all candidate lines, or from all documents that have one.
+Header lines are compared with header templates, whole documents with header and license texts. A text is a sparse
+vector: every term of a template has a dimension of its own, and all other terms share ``HASHED`` dimensions by their
+hash. Document frequencies come from all candidate lines, or from all documents that have one: a count per dimension,
+which is bounded, so it is added up once and handed to every task; no term meets its like in one task. Both passes
+decide each row by itself. Paths are joined by directory, in salted groups.
 """
 
 from __future__ import annotations
 
+import math
+import re
+import zlib
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, stored, texts_of
+
 #: Header and title lines of well-known public licenses.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
@@ -42,17 +55,119 @@ SHORT = [
 ]
 #: Whole license texts, a file each.
 TEXTS = Path(__file__).parent / "license_texts"
-TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
-#: A line is a candidate if it holds one of these words; every template does.
-CUE = r"(?i)licen[sc]e|permission|redistribut|copyright|public domain|unencumbered"
+TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+#: A line is a candidate if it holds one of these words in any case; every template does.
+CUE = r"licen[sc]e|permission|redistribut|copyright|public domain|unencumbered"
+_CUE = re.compile(CUE)
 LEAST = 0.35
 SHORT_LEAST = 0.7
 #: A document is a license file for its directory if its whole text has this cosine to a template.
 FILE_LEAST = 0.7
+#: Dimensions of the terms that no template has.
+HASHED = 1 << 16
+#: Directories with license files are broadcast up to this number; rows are joined to directories in so many groups each.
+BROADCAST_DIRS, SALTS = 10_000, 16
+LINE, BODY = 0, 1
+
+
+def terms(text: str) -> list[str]:
+    return TERM.findall(text.lower())
+
+
+@dataclass
+class Templates:
+    """Licenses and forms of the templates, the dimension of each of their terms, and their term counts."""
+
+    names: list[str]
+    forms: list[str]
+    places: dict[str, int]
+    counts: list[Counter]
+
+    @property
+    def width(self) -> int:
+        return len(self.places) + HASHED
 
+    def place(self, term: str) -> int:
+        found = self.places.get(term)
+        return len(self.places) + zlib.crc32(term.encode()) % HASHED if found is None else found
 
-def _terms(text):
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1))
+    def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Dimensions of a text and their counts."""
+        n = Counter(map(self.place, words))
+        return np.fromiter(n.keys(), np.int64, len(n)), np.fromiter(n.values(), np.float64, len(n))
+
+
+def templates() -> Templates:
+    texts = [(f.name.removesuffix(".txt"), "text", f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
+    every = [*[(k, "header", v) for k, v in TEMPLATES.items()], *[(k, "short", v) for k, v in SHORT], *texts]
+    counts = [Counter(terms(v)) for _, _, v in every]
+    words = sorted(set().union(*counts))
+    return Templates([k for k, _, _ in every], [f for _, f, _ in every], {w: i for i, w in enumerate(words)}, counts)
+
+
+def idf(df: np.ndarray, units: int) -> np.ndarray:
+    return np.log((units + 1) / (df + 1)) + 1
+
+
+class Scorer:
+    """Cosines of lines, or of whole documents, to those templates they are compared with."""
+
+    def __init__(self, t: Templates, kind: int, df: np.ndarray, units: int) -> None:
+        self.kind, self.idf = kind, idf(df, units)
+        self.at = [i for i, f in enumerate(t.forms) if f != ("text" if kind == LINE else "short")]
+        self.names = [t.names[i] for i in self.at]
+        self.short = np.array([t.forms[i] == "short" for i in self.at])
+        self.known = len(t.places)
+        # Templates weigh a term that no unit has as 1, so that rare words do not rule them.
+        seen = np.where(df[: self.known] > 0, self.idf[: self.known], 1.0)
+        self.weights = np.zeros((self.known, len(self.at)))
+        for col, i in enumerate(self.at):
+            for w, n in t.counts[i].items():
+                self.weights[t.places[w], col] = self.damp(n) * seen[t.places[w]]
+        self.weights /= np.sqrt((self.weights**2).sum(0))
+
+    def damp(self, n):
+        """Counts of a line weigh as they are, those of a document 1 + log n: else long prose is near any long license by its articles alone."""
+        return n if self.kind == LINE else 1 + np.log(n)
+
+    def scores(self, dims: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = self.damp(counts) * self.idf[dims]
+        norm = math.sqrt(float((w * w).sum()))
+        inside = dims < self.known
+        return np.round(w[inside] @ self.weights[dims[inside]] / norm, 6) if norm else np.zeros(len(self.at))
+
+    def best(self, dims: np.ndarray, counts: np.ndarray, least: float) -> tuple[float, str] | None:
+        """Highest score that is enough and its license, by name where scores are equal."""
+        got = self.scores(dims, counts)
+        enough = np.where(self.short, max(least, SHORT_LEAST), least) if self.kind == LINE else np.full(len(got), FILE_LEAST)
+        return max(((float(x), n) for x, n, e in zip(got, self.names, enough, strict=True) if x >= e), default=None)
+
+
+def units_of(texts: pa.Array) -> Iterator[tuple[int, list[list[str]], list[str]]]:
+    """Row, terms of each candidate line and terms of the whole text, for every text that holds a candidate line."""
+    hit = np.flatnonzero(np.asarray(pc.fill_null(pc.match_substring_regex(pc.ascii_lower(texts), CUE), False)))
+    for i in hit.tolist():
+        text = texts[i].as_py()
+        yield i, [terms(x) for x in text.split("\n") if _CUE.search(x.lower())], terms(text)
+
+
+def frequencies(texts: DataFrame, t: Templates) -> tuple[np.ndarray, list[int]]:
+    """Units that hold each dimension, by kind of unit, and the units of each kind. ``2 * width`` counts reach the driver at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros((2, t.width + 1), np.int64)  # the last one counts the units
+        for batch in small_batches(batches, "text"):
+            for _, lines, body in units_of(batch.column(0)):
+                for kind, words in [(LINE, x) for x in lines] + [(BODY, body)]:
+                    df[kind, t.vector(words)[0]] += 1
+                    df[kind, -1] += 1
+        kind, dim = np.nonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(dim.astype(np.int32)), pa.array(df[kind, dim])], names=["kind", "dim", "n"])
+
+    got = texts.mapInArrow(count, "kind int, dim int, n long").groupBy("kind", "dim").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros((2, t.width + 1))
+    df[got["kind"], got["dim"]] = got["n"]
+    return df[:, :-1], df[:, -1].astype(int).tolist()
 
 
 def scan(docs: DataFrame, path: F.Column, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -60,59 +175,44 @@ def scan(docs: DataFrame, path: F.Column, id_col: str = "doc_id", text_col: str
 
     ``own_license`` is the template nearest to a license file's whole text, else the one nearest to one of the document's
     lines (best cosine of at least ``least``, for short forms ``SHORT_LEAST``, then by name).
-    A document without one inherits from the nearest ancestor directory that holds a license file: its path is cut into
-    its ancestors, which are joined to the directories, the longest found winning. Null texts have no license; null
-    paths inherit nothing; rows that repeat an id and path are scanned once and returned each.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), path.alias("path"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    weights = _templates(spark)
-    hits = rows.where(F.col("text").rlike(CUE))
-    lines = hits.select("doc_id", "path", F.posexplode(F.split("text", "\n")).alias("line", "body")).where(F.col("body").rlike(CUE))
-    lines = lines.select("doc_id", "path", "line", _terms(F.col("body")).alias("terms"))
-    bodies = hits.select("doc_id", "path", F.lit(0).alias("line"), _terms(F.col("text")).alias("terms"))
-    enough = F.when(F.col("form") == "short", F.greatest(F.lit(least), F.lit(SHORT_LEAST))).otherwise(least)
-    by_line = _best(_cosines(lines, weights.where("form <> 'text'")).where(F.col("score") >= enough)).withColumn("is_file", F.lit(False))
-    by_body = _best(_cosines(bodies, weights.where("form <> 'short'"), F.log).where(F.col("score") >= FILE_LEAST)).withColumn("is_file", F.lit(True))
-    own = by_line.unionByName(by_body).groupBy("doc_id", "path").agg(F.max(F.struct("is_file", "own_score", "own_license")).alias("best")).select("doc_id", "path", "best.*")
-    dirs = own.where("is_file").groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("license_dir")).agg(F.max_by("own_license", F.struct("own_score", "own_license")).alias("dir_license"))
-    ids = rows.select("doc_id", "path")
-    paths = ids.select("path").where("path is not null").select(F.regexp_replace("path", "/[^/]*$", "").alias("dir")).distinct()
-    up = paths.withColumn("parts", F.split("dir", "/")).select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", 1, i), "/"))).alias("license_dir"))
-    nearest = up.join(dirs, "license_dir").groupBy("dir").agg(F.max_by(F.struct("license_dir", "dir_license"), F.length("license_dir")).alias("found"))
-    out = ids.join(own.withColumnRenamed("doc_id", "d").withColumnRenamed("path", "p"), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("path").eqNullSafe(F.col("p")), "left")
-    out = out.withColumn("dir", F.regexp_replace("path", "/[^/]*$", "")).join(nearest, "dir", "left")
-    return out.select("doc_id", "path", "own_license", "own_score", F.coalesce("is_file", F.lit(False)).alias("is_file"), F.coalesce("own_license", "found.dir_license").alias("license"), F.when(F.col("own_license").isNull(), F.col("found.license_dir")).alias("license_dir"))
-
-
-def _cosines(units: DataFrame, weights: DataFrame, damp=None) -> DataFrame:
-    """``doc_id, path, license, form, score`` of lines or whole documents (``doc_id, path, line, terms``) with any shared term.
-
-    Term counts n weigh 1 + damp(n): without damping, long prose is near any long license by its articles alone.
+    A document without one inherits from the nearest ancestor directory that holds a license file, where the best of
+    several files counts: its path is cut into its ancestors (the root, ``''``, is one), which are joined to the
+    directories, the longest found winning.
+
+    Null and empty texts have no license of their own; rows with a null path keep their own license and inherit nothing;
+    rows that repeat an id or a path are scanned and returned each; texts of any length are read whole; an empty table
+    gives none; the names of other columns do not matter.
     """
-    count = lambda c: F.col(c) if damp is None else damp(c) + 1
-    key = ["doc_id", "path", "line"]
-    n_units = units.agg(F.count(F.lit(1)).alias("n_units"))
-    terms = units.select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n_units)).select("term", (F.log((F.col("n_units") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weighed = terms.join(df, "term").withColumn("w", count("tf") * F.col("idf"))
-    norm = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    known = weights.join(df, "term", "left").withColumn("tw", count("ttf") * F.coalesce("idf", F.lit(1.0)))
-    tnorm = known.groupBy("license", "form").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
-    known = F.broadcast(known.join(tnorm, ["license", "form"]).select("term", "license", "form", (F.col("tw") / F.col("tnorm")).alias("tw")))  # as many rows as the templates have terms
-    dot = weighed.join(known, "term").groupBy(*key, "license", "form").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    return dot.join(norm, key).select("doc_id", "path", "license", "form", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
-
-
-def _best(cosines: DataFrame) -> DataFrame:
-    return cosines.groupBy("doc_id", "path").agg(F.max_by("license", F.struct(F.col("score"), F.col("license"))).alias("own_license"), F.max("score").alias("own_score"))
-
-
-def _templates(spark: SparkSession) -> DataFrame:
-    """Term counts of the templates: ``license, form, term, ttf``."""
-    texts = [(f.name.removesuffix(".txt"), "text", f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
-    t = spark.createDataFrame([*[(k, "header", v) for k, v in TEMPLATES.items()], *[(k, "short", v) for k, v in SHORT], *texts], "license string, form string, body string")
-    return t.select("license", "form", F.explode(_terms(F.col("body"))).alias("term")).groupBy("license", "form", "term").agg(F.count(F.lit(1)).alias("ttf"))
+    t = templates()
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), path.alias("path"), docs[text_col].alias("text"))
+    df, units = frequencies(rows.select("text"), t)
+    shared = docs.sparkSession.sparkContext.broadcast([Scorer(t, kind, df[kind], units[kind]) for kind in (LINE, BODY)])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_line, by_body = shared.value
+        for batch in small_batches(batches, "text"):
+            found: list[tuple[float, str] | None] = [None] * batch.num_rows
+            file = np.zeros(batch.num_rows, bool)
+            for i, lines, body in units_of(batch.column(2)):
+                found[i] = by_body.best(*t.vector(body), least)
+                file[i] = found[i] is not None
+                if found[i] is None:
+                    found[i] = max((x for words in lines if (x := by_line.best(*t.vector(words), least))), default=None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x and x[1] for x in found], pa.string()), pa.array([x and x[0] for x in found], pa.float64()), pa.array(file)], names=["doc_id", "path", "own_license", "own_score", "is_file"])
+
+    marked = stored(rows.mapInArrow(own, "doc_id long, path string, own_license string, own_score double, is_file boolean"), "licenses")
+    marked = marked.withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit("")))
+    dirs = marked.where("is_file and dir is not null").groupBy(F.col("dir").alias("license_dir")).agg(F.max_by("own_license", F.struct("own_score", "own_license")).alias("dir_license"))
+    dirs = stored(dirs, "license-dirs")
+    parts = F.when(F.col("dir") == "", F.array().cast("array<string>")).otherwise(F.split("dir", "/"))
+    up = marked.where("dir is not null").select("dir").distinct().withColumn("parts", parts)
+    up = up.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size("parts")), lambda i: F.array_join(F.slice("parts", 1, i), "/"))).alias("license_dir"))
+    nearest = up.join(F.broadcast(dirs) if dirs.count() <= BROADCAST_DIRS else dirs, "license_dir").groupBy("dir").agg(F.max_by(F.struct("license_dir", "dir_license"), F.length("license_dir")).alias("found"))
+    # A directory may hold any share of the rows, so each of its salts finds the directory's license.
+    nearest = nearest.select(F.col("dir").alias("d"), "found", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    salted = marked.withColumn("salt", F.pmod(F.xxhash64("doc_id", "path"), F.lit(SALTS)).cast("int"))
+    out = salted.join(nearest, (F.col("dir") == F.col("d")) & (F.col("salt") == F.col("s")), "left")
+    return out.select("doc_id", "path", "own_license", "own_score", "is_file", F.coalesce("own_license", "found.dir_license").alias("license"), F.when(F.col("own_license").isNull(), F.col("found.license_dir")).alias("license_dir"))
 
 
 def document_path(docs: DataFrame) -> F.Column:
