@@ -1,17 +1,19 @@
 """Secret scan: fixed patterns, and a randomness battery with length-aware false-discovery control.
 
-Every run of 20 or more symbols of base64 and its URL form is a candidate. Its encoding is the smallest of a few
-alphabets that holds it. Three tests, each against uniform symbols of that alphabet, make the battery:
+Every run of 20 or more symbols of base64 and its URL form is a candidate; one that fits no alphabet is cut at the signs.
+Its encoding is the smallest of a few alphabets that holds it. Three tests make the battery:
 
-* chi-squared uniformity of the symbols,
+* chi-squared uniformity of the symbols over the alphabet,
 * Wald-Wolfowitz runs above and below the alphabet's middle,
 * lag-one serial correlation of the symbols' places in the alphabet.
 
-A candidate that the battery rejects (Bonferroni, ``REJECT``) is not random. For the rest, the null is that the run was
-drawn from the corpus's own distribution of the alphabet's symbols: under it the chi-squared statistic has a mean and a
-spread that follow from the run's length, which give a one-sided p-value. Benjamini-Hochberg at level ``LEVEL`` decides
-inside each length class, over the candidates of all documents; p-values are counted on a fixed grid, so that only
-counts meet, a bounded number of them.
+The null of the discovery test is that a run's symbols were drawn from the corpus's own distribution of the alphabet's
+symbols: under it the chi-squared statistic has a mean and a spread that follow from the run's length, which give a
+one-sided p-value (random runs are more even than text). The two tests of independence do not depend on that
+distribution, so their combined p-value (Fisher) is independent of it under the null and may weigh it: a run with
+structure gets a low weight, the weights of a length class have mean 1, and Benjamini-Hochberg at level ``LEVEL`` runs
+over p-value by weight inside each class, over the candidates of all documents. P-values are rounded up to a fixed grid,
+so that only counts meet, a bounded number of them.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +39,7 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST_ASSIGN = 6
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+PART = re.compile(r"[A-Za-z0-9]{20,}")
 #: Encodings from narrow to wide: name and alphabet in its natural order.
 ENCODINGS = {
     "digits": "0123456789",
@@ -49,12 +53,13 @@ ENCODINGS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 _SETS = {k: frozenset(v) for k, v in ENCODINGS.items()}
-REJECT = 1e-3
+#: Combined p-value of runs and serial correlation at which a run's weight is half of a run's without structure.
+HALF_WEIGHT = 1e-2
 LEVEL = 0.01
-#: Upper ends of the length classes; z-values are counted in steps of 1 / GRID.
+#: Upper ends of the length classes; logarithms of p-values are counted in steps of 1 / GRID.
 LENGTHS = (24, 32, 40, 48, 64, 96, 128)
 GRID = 20
-LEAST_Z = -40
+LEAST_Z = -37.0  # the normal tail is still a number there
 
 
 def encoding_of(run: str) -> str | None:
@@ -62,6 +67,16 @@ def encoding_of(run: str) -> str | None:
     return next((k for k, s in _SETS.items() if seen <= s), None)
 
 
+def candidates(text: str) -> Iterator[tuple[int, int, str]]:
+    """``(start, end, encoding)`` of every run to be judged."""
+    for m in CANDIDATE.finditer(text):
+        run = m.group()
+        if encoding := encoding_of(run):
+            yield m.start(), m.end(), encoding
+        else:
+            yield from ((m.start() + p.start(), m.start() + p.end(), encoding_of(p.group())) for p in PART.finditer(run))
+
+
 def chi2_tail(x: float, dof: int) -> float:
     """Upper tail of the chi-squared distribution, by the cube-root normal approximation."""
     if x <= 0:
@@ -110,37 +125,44 @@ def _line(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-_ROW = "part int, doc_id long, base array<struct<start:long,kind:int,end:long>>, base_sha256 string, found array<struct<start:long,end:long,encoding:string,n:int,x:double>>, symbols array<long>"
+def weight(p_runs: float, p_serial: float) -> float:
+    """Weight of a run before its class's mean is known: from Fisher's combination of the tests of independence."""
+    both = max(p_runs * p_serial, 1e-300)
+    p = both * (1 - math.log(both))
+    return p / (p + HALF_WEIGHT)
+
+
+def length_class(n: int) -> int:
+    return sum(n > x for x in LENGTHS)
+
+
+_STRUCT = "struct<start:long,end:long,encoding:string,n:int,x:double,weight:double>"
+_ROW = f"part int, doc_id long, base array<struct<start:long,kind:int,end:long>>, base_sha256 string, found array<{_STRUCT}>, symbols array<long>, sizes array<double>"
 _BASE = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-_FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("n", pa.int32()), ("x", pa.float64())]))
+_FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("n", pa.int32()), ("x", pa.float64()), ("weight", pa.float64())]))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document with its spans and the candidates the battery lets pass; a row per batch with symbol counts."""
+    """A row per document with its spans and candidates; a row per batch with counts of symbols, and the sum and number of weights by length class."""
     for batch in small_batches(batches, "text"):
         base, sums, found = [], [], []
-        symbols = np.zeros(256, np.int64)
+        symbols, sizes = np.zeros(256, np.int64), np.zeros(2 * (len(LENGTHS) + 1))
         for text in texts_of(batch, "text"):
             symbols += np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
             spans = base_spans(text)
             base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
             sums.append(hashlib.sha256(_line(spans).encode()).hexdigest())
             rows = []
-            for m in CANDIDATE.finditer(text):
-                run = m.group()
-                if run.isalpha() and (run.islower() or run[1:].islower()):
-                    encoding = None  # one case and letters only: a word, in none of the encodings at these lengths
-                else:
-                    encoding = encoding_of(run)
-                if encoding:
-                    x, p = battery(run, encoding)
-                    if min(p) * 3 >= REJECT:
-                        rows.append({"start": m.start(), "end": m.end(), "encoding": encoding, "n": len(run), "x": x})
+            for a, b, encoding in candidates(text):
+                x, (_, p_runs, p_serial) = battery(text[a:b], encoding)
+                w = weight(p_runs, p_serial)
+                sizes[2 * length_class(b - a) : 2 * length_class(b - a) + 2] += w, 1
+                rows.append({"start": a, "end": b, "encoding": encoding, "n": b - a, "x": x, "weight": w})
             found.append(rows)
         k = batch.num_rows
         yield pa.RecordBatch.from_arrays(
-            [pa.array([0] * k + [1], pa.int32()), pa.array([*batch.column(0).to_pylist(), None], pa.int64()), pa.array([*base, None], _BASE), pa.array([*sums, None], pa.string()), pa.array([*found, None], _FOUND), pa.array([None] * k + [symbols.tolist()], pa.list_(pa.int64()))],
-            names=["part", "doc_id", "base", "base_sha256", "found", "symbols"],
+            [pa.array([0] * k + [1], pa.int32()), pa.array([*batch.column(0).to_pylist(), None], pa.int64()), pa.array([*base, None], _BASE), pa.array([*sums, None], pa.string()), pa.array([*found, None], _FOUND), pa.array([None] * k + [symbols.tolist()], pa.list_(pa.int64())), pa.array([None] * k + [sizes.tolist()], pa.list_(pa.float64()))],
+            names=["part", "doc_id", "base", "base_sha256", "found", "symbols", "sizes"],
         )
 
 
@@ -154,57 +176,73 @@ def background(symbols: np.ndarray) -> dict[str, tuple[float, float, int]]:
     return out
 
 
+def log_p(n: int, x: float, encoding: str, about: dict[str, tuple[float, float, int]]) -> float:
+    """Logarithm of the chance that a run from the corpus's distribution is so even."""
+    a, b, k = about[encoding]
+    mean = k * ((1 - a) + n * a) - n
+    # Variance of the sum of squared multinomial counts, over n squared, times k squared.
+    var = k * k * (4 * n * (b - a * a) + 2 * (a + a * a - 2 * b))
+    z = max((x - mean) / math.sqrt(max(var, 1e-9)), LEAST_Z)
+    return math.log(0.5 * math.erfc(-z / math.sqrt(2)))
+
+
+def step(c: dict, about: dict[str, tuple[float, float, int]], means: list[float]) -> int:
+    """Grid step of a candidate's p-value by weight: the p-value is at most ``exp(-step / GRID)``."""
+    got = log_p(c["n"], c["x"], c["encoding"], about) - math.log(max(c["weight"], 1e-300) / means[length_class(c["n"])])
+    return max(0, math.floor(-got * GRID))
+
+
 def thresholds(counts: dict[tuple[int, int], int], level: float = LEVEL) -> dict[int, int]:
-    """Benjamini-Hochberg in each length class: the largest grid step whose p-value is within the level times its rank over the class's size."""
+    """Benjamini-Hochberg in each length class: the lowest step whose p-value is within the level times its rank over the class's size; none: no key."""
     out = {}
     for size in {k for k, _ in counts}:
-        steps = sorted((z, n) for (k, z), n in counts.items() if k == size)
-        total = sum(n for _, n in steps)
-        rank, best = 0, -(1 << 30)
-        for z, n in steps:
+        steps = sorted(((s, n) for (k, s), n in counts.items() if k == size), reverse=True)
+        total, rank = sum(n for _, n in steps), 0
+        for s, n in steps:
             rank += n
-            if 0.5 * math.erfc(-(z + 1) / GRID / math.sqrt(2)) <= level * rank / total:
-                best = z
-        out[size] = best
+            if math.exp(-s / GRID) <= level * rank / total:
+                out[size] = s
     return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: float = LEVEL) -> DataFrame:
-    """``doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans``, one row per input row.
+    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random``, one row per input row.
 
     ``base_sha256`` digests the base spans ``kind:start:end`` (code points, end exclusive) by start, then kind; ``spans``
-    lists all spans likewise. Null texts are empty and have none. Spans of the battery that a base span overlaps are not
-    added again. Other columns are ignored, whatever their names; repeated rows are scanned each.
+    lists all spans likewise. Spans of the battery that a base span overlaps are not added again. Null and empty texts have
+    none; texts of any length are read whole; repeated rows and rows with a null id are scanned and returned each; an empty
+    table gives none; other columns play no part, whatever their names.
     """
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     seen = stored(src.mapInArrow(_scan, _ROW), "secrets")
+    total = seen.where("part = 1").select(F.posexplode(F.concat(F.col("symbols").cast("array<double>"), "sizes")).alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()  # 256 symbols, two numbers a length class
+    sums = np.zeros(256 + 2 * (len(LENGTHS) + 1))
+    for r in total:
+        sums[r["at"]] = r["n"]
+    about = background(sums[:256])
+    means = [float(w / n) if n else 1.0 for w, n in sums[256:].reshape(-1, 2)]
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[tuple[int, int]] = Counter()
+        for batch in batches:
+            n.update((length_class(c["n"]), step(c, about, means)) for found in batch.column(0).to_pylist() for c in found)
+        yield pa.RecordBatch.from_pydict({"size": pa.array([k for k, _ in n], pa.int32()), "step": pa.array([k for _, k in n], pa.int32()), "n": pa.array(list(n.values()), pa.int64())})
+
     rows = seen.where("part = 0")
-    sums = seen.where("part = 1").select(F.posexplode("symbols").alias("symbol", "n")).groupBy("symbol").agg(F.sum("n").alias("n")).collect()  # 256 rows
-    symbols = np.zeros(256)
-    for r in sums:
-        symbols[r["symbol"]] = r["n"]
-
-    def per(column, values: dict) -> F.Column:
-        return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), column)
-
-    about = background(symbols)
-    q2, q3, size = ({k: float(v[i]) for k, v in about.items()} for i in range(3))
-
-    def step(c):
-        n, a, b, k = c["n"].cast("double"), per(c["encoding"], q2), per(c["encoding"], q3), per(c["encoding"], size)
-        mean = k * ((1 - a) + n * a) - n
-        # Variance of the sum of squared multinomial counts, over n squared, times k squared.
-        var = k * k * (4 * n * (b - a * a) + 2 * (a + a * a - 2 * b))
-        return F.floor(F.greatest((c["x"] - mean) / F.sqrt(F.greatest(var, F.lit(1e-9))), F.lit(float(LEAST_Z))) * GRID).cast("int")
-
-    length = lambda n: sum((F.when(n > x, 1).otherwise(0) for x in LENGTHS), F.lit(0))
-    graded = rows.withColumn("found", F.transform("found", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), length(c["n"]).alias("size"), step(c).alias("step"))))
-    counts = graded.select(F.explode("found").alias("c")).groupBy("c.size", "c.step").count().collect()  # length classes x grid steps at most
-    limits = thresholds({(r["size"], r["step"]): r["count"] for r in counts}, level) or {0: -(1 << 30)}
-    hits = F.filter("found", lambda c: (c["step"] <= F.coalesce(per(c["size"], limits), F.lit(-(1 << 30)))) & ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
-    added = F.transform(hits, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
-    every = F.array_sort(F.concat("base", added))
-    kinds = F.array(*[F.lit(k) for k in KINDS])
-    spans = F.array_join(F.transform(every, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return graded.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.size(added).cast("long").alias("n_random"), "base_sha256", spans.alias("spans"))
+    counts = rows.where(F.size("found") > 0).select("found").mapInArrow(steps, "size int, step int, n long").groupBy("size", "step").agg(F.sum("n").alias("n")).collect()  # length classes x grid steps at most
+    limits = thresholds({(r["size"], r["step"]): r["n"] for r in counts}, level)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, spans, random = [], [], []
+            for base, found in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                old = [(s["start"], s["kind"], s["end"]) for s in base]
+                new = [(c["start"], 3, c["end"]) for c in found if (at := limits.get(length_class(c["n"]))) is not None and step(c, about, means) >= at]
+                new = [s for s in new if not any(a < s[2] and s[0] < b for a, _, b in old)]
+                kinds.append([sum(k == i for _, k, _ in old) for i in range(3)])
+                spans.append(_line(sorted(old + new)))
+                random.append(len(new))
+            counts = [pa.array([k[i] for k in kinds], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, batch.column(2), pa.array(spans, pa.string()), pa.array(random, pa.int64())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"])
+
+    return rows.select("doc_id", "base", "base_sha256", "found").mapInArrow(decide, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
