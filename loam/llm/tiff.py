@@ -1,7 +1,8 @@
 """TIFF: a writer for byte payloads and a reader that walks image directories and gives one row per page.
 
-The reader handles both byte orders, strips and tiles, chunky samples of 8 or 16 bits, no compression, PackBits, LZW and
-deflate, and horizontal differencing.
+The reader handles both byte orders and fill orders, strips and tiles, chunky and planar samples of 8 or 16 bits, no
+compression, PackBits, LZW and deflate, and horizontal differencing. A file that is broken, or asks for more than
+``MOST_BYTES`` a page, ends in an error of its own and harms no other.
 """
 
 from __future__ import annotations
@@ -21,28 +22,42 @@ from .common import small_batches, texts_of
 #: Fixed values of the format: tags, field widths, compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, STRIP_ROWS, STRIP_BYTES, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES = 322, 323, 324, 325
+FILL_ORDER, PLANAR = 266, 284
 FIELD = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4)}
 NONE, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
 LINE = 64
 ROWS_PER_STRIP = 512
+#: A page of more unpacked bytes is refused.
+MOST_BYTES = 1 << 30
+#: How the pages of a text are stored, in turn: compression, predictor, tile (0: strips).
+PAGES = ((DEFLATE, 2, 0), (PACKBITS, 1, 16), (LZW, 1, 0), (DEFLATE, 1, 32))
+#: Bytes with their bits in reverse, for files whose fill order is 2.
+_REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
 
 def packbits_encode(data: bytes) -> bytes:
-    out, i = bytearray(), 0
-    while i < len(data):
-        run = 1
-        while i + run < len(data) and run < 128 and data[i + run] == data[i]:
-            run += 1
-        if run > 1:
-            out += bytes([257 - run, data[i]])
-            i += run
-            continue
-        lit = i + 1
-        while lit < len(data) and lit - i < 128 and (lit + 1 >= len(data) or data[lit] != data[lit + 1]):
-            lit += 1
-        out.append(lit - i - 1)
-        out += data[i:lit]
-        i = lit
+    """Runs of three or more bytes, in packets of at most 128; all else as literal packets."""
+    out = bytearray()
+
+    def literal(a: int, b: int) -> None:
+        for lo in range(a, b, 128):
+            part = data[lo : min(b, lo + 128)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    x = np.frombuffer(data, np.uint8)
+    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    lens = np.diff(np.append(starts, len(x)))
+    at = 0
+    for a, n in zip(starts[lens >= 3].tolist(), lens[lens >= 3].tolist(), strict=True):
+        literal(at, a)
+        at = a + n
+        while n > 1:
+            run = min(n, 128)
+            out += bytes([257 - run, data[a]])
+            n -= run
+        literal(at - n, at)
+    literal(at, len(data))
     return bytes(out)
 
 
@@ -62,52 +77,52 @@ def packbits_decode(data: bytes) -> bytes:
 
 def lzw_encode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, most significant bit first, widths grown one code early as the format asks."""
-    bits, held, out = 0, 0, bytearray()
-
-    def put(code: int, width: int) -> None:
-        nonlocal bits, held
-        held = held << width | code
-        bits += width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-        held &= (1 << bits) - 1
-
-    table = {bytes([i]): i for i in range(256)}
-    width, last = 9, b""
-    put(256, width)
+    codes, widths = [256], [9]
+    table: dict[int, int] = {}  # code before << 8 | byte -> code
+    free, width, last = 258, 9, -1
     for b in data:
-        grown = last + bytes([b])
-        if grown in table:
-            last = grown
+        if last < 0:
+            last = b
             continue
-        put(table[last], width)
-        table[grown] = len(table) + 2
-        last = bytes([b])
-        size = len(table) + 2
-        if size >= 4094:
-            put(256, width)
-            table, width = {bytes([i]): i for i in range(256)}, 9
-        elif size >= 1 << width:
+        key = last << 8 | b
+        if (found := table.get(key)) is not None:
+            last = found
+            continue
+        codes.append(last)
+        widths.append(width)
+        table[key] = free
+        free += 1
+        last = b
+        if free >= 4094:
+            codes.append(256)
+            widths.append(width)
+            table, free, width = {}, 258, 9
+        elif free >= 1 << width:
             width += 1
-    if last:
-        put(table[last], width)
-        if len(table) + 3 >= 1 << width and width < 12:
+    if last >= 0:
+        codes.append(last)
+        widths.append(width)
+        if free + 1 >= 1 << width and width < 12:
             width += 1
-    put(257, width)
-    if bits:
-        out.append(held << (8 - bits) & 255)
-    return bytes(out)
+    codes.append(257)
+    widths.append(width)
+    # Each code's bits, then all of them end to end.
+    code, wide = np.array(codes, np.uint16), np.array(widths, np.uint16)
+    bits = np.unpackbits((code << (16 - wide)).astype(">u2").view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) < wide[:, None]]).tobytes()
 
 
 def lzw_decode(data: bytes) -> bytes:
-    out, pos, held, bits = bytearray(), 0, 0, 0
-    table: list[bytes] = []
+    out: list[bytes] = []
+    pos, held, bits = 0, 0, 0
+    first = [bytes([i]) for i in range(256)] + [b"", b""]
+    table: list[bytes] = list(first)
     width, last = 9, None
+    n = len(data)
     while True:
         while bits < width:
-            if pos >= len(data):
-                return bytes(out)
+            if pos >= n:
+                return b"".join(out)
             held = held << 8 | data[pos]
             pos += 1
             bits += 8
@@ -115,16 +130,16 @@ def lzw_decode(data: bytes) -> bytes:
         code = held >> bits
         held &= (1 << bits) - 1
         if code == 257:
-            return bytes(out)
+            return b"".join(out)
         if code == 256:
-            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, None
+            table, width, last = list(first), 9, None
             continue
         if last is None:
             got = table[code]
         else:
             got = table[code] if code < len(table) else last + last[:1]
             table.append(last + got[:1])
-        out += got
+        out.append(got)
         last = got
         if len(table) + 1 >= 1 << width and width < 12:
             width += 1
@@ -145,11 +160,14 @@ class Page:
     data: bytes
 
 
-def write(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, order: str = "<", tile: int = 0, rows_per_strip: int = ROWS_PER_STRIP) -> bytes:
-    """A file of grey (rows x columns) or chunky (rows x columns x samples) pages of uint8 or uint16, in strips, or tiles of ``tile`` x ``tile``."""
+def write(pages: list[np.ndarray], how: list[tuple[int, int, int]], order: str = "<", rows_per_strip: int = ROWS_PER_STRIP) -> bytes:
+    """A file of grey (rows x columns) or chunky (rows x columns x samples) pages of uint8 or uint16.
+
+    ``how`` has each page's compression, predictor and tile: strips if 0, else tiles of ``tile`` x ``tile``.
+    """
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
     link = 4
-    for page in pages:
+    for page, (compression, predictor, tile) in zip(pages, how, strict=True):
         image = page[:, :, None] if page.ndim == 2 else page
         rows, cols, samples = image.shape
         if tile:
@@ -204,77 +222,117 @@ def read(data: bytes) -> Iterator[Page]:
         if at in seen or at + 2 > len(data):
             raise ValueError("broken directory chain")
         seen.add(at)
-        (n,) = struct.unpack_from(order + "H", data, at)
-        tags: dict[int, tuple[int, ...]] = {}
-        for i in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-            if kind in FIELD and kind != 2:
-                code, wide = FIELD[kind]
-                where = at + 10 + 12 * i
-                if count * wide > 4:
-                    (where,) = struct.unpack_from(order + "I", data, where)
-                tags[tag] = struct.unpack_from(f"{order}{count}{code}", data, where)
-        yield _page(data, tags, order, number)
-        (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
+        try:
+            (n,) = struct.unpack_from(order + "H", data, at)
+            yield _page(data, _tags(data, at, n, order), order, number)
+            (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
+        except (struct.error, KeyError, IndexError, TypeError, OverflowError, ZeroDivisionError, MemoryError, zlib.error) as e:
+            raise ValueError(f"page {number}: {type(e).__name__} {e}") from e
         number += 1
 
 
+def _tags(data: bytes, at: int, n: int, order: str) -> dict[int, tuple[int, ...]]:
+    tags: dict[int, tuple[int, ...]] = {}
+    for i in range(n):
+        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
+        if kind in FIELD and kind != 2:
+            code, wide = FIELD[kind]
+            where = at + 10 + 12 * i
+            if count * wide > 4:
+                (where,) = struct.unpack_from(order + "I", data, where)
+            if where + count * wide > len(data):
+                raise ValueError(f"values of tag {tag} lie outside the file")
+            tags[tag] = struct.unpack_from(f"{order}{count}{code}", data, where)
+    return tags
+
+
 def _page(data: bytes, tags: dict[int, tuple[int, ...]], order: str, number: int) -> Page:
-    one = lambda tag, default: tags.get(tag, (default,))[0]
+    one = lambda tag, default: (tags.get(tag) or (default,))[0]
     cols, rows, samples, bits, packed = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 8), one(COMPRESSION, NONE)
-    if packed not in _UNPACK or bits not in (8, 16):
-        raise ValueError(f"compression {packed} with {bits} bits")
-    kind = np.dtype(f"{order}u{bits // 8}")
+    if packed not in _UNPACK or any(b not in (8, 16) or b != bits for b in tags.get(BITS, (8,))):
+        raise ValueError(f"page {number}: compression {packed} with samples of {tags.get(BITS)} bits")
+    if one(PREDICTOR, 1) not in (1, 2) or one(FILL_ORDER, 1) not in (1, 2) or one(PLANAR, 1) not in (1, 2):
+        raise ValueError(f"page {number}: unknown predictor, fill order or planes")
     tiled = TILE_AT in tags
     wide = one(TILE_WIDTH, 0) if tiled else cols
     high = one(TILE_HEIGHT, 0) if tiled else min(one(STRIP_ROWS, rows), rows)
-    across = -(-cols // wide) if tiled else 1
+    if min(cols, rows, samples, wide, high) < 1:
+        raise ValueError(f"page {number}: a side of no length")
+    planes = samples if one(PLANAR, 1) == 2 else 1
+    together = samples // planes
+    across, down = -(-cols // wide), -(-rows // high)
+    if max(rows * cols * samples, wide * high * together) * bits // 8 > MOST_BYTES:
+        raise ValueError(f"page {number}: larger than {MOST_BYTES} bytes")
+    parts = list(zip(tags[TILE_AT if tiled else STRIP_AT], tags[TILE_BYTES if tiled else STRIP_BYTES], strict=True))
+    if len(parts) != across * down * planes:
+        raise ValueError(f"page {number}: {len(parts)} parts where {across * down * planes} belong")
+    kind = np.dtype(f"{order}u{bits // 8}")
     image = np.zeros((rows, cols, samples), kind.newbyteorder("="))
-    for i, (at, size) in enumerate(zip(tags[TILE_AT if tiled else STRIP_AT], tags[TILE_BYTES if tiled else STRIP_BYTES], strict=True)):
-        y, x = i // across * high, i % across * wide
+    for i, (at, size) in enumerate(parts):
+        plane, place = divmod(i, across * down)
+        y, x = place // across * high, place % across * wide
         tall = high if tiled else min(high, rows - y)
-        raw = _UNPACK[packed](data[at : at + size])
-        part = np.frombuffer(raw, kind, tall * wide * samples).reshape(tall, wide, samples)
+        raw = data[at : at + size]
+        raw = _UNPACK[packed](raw.translate(_REVERSED) if one(FILL_ORDER, 1) == 2 else raw)
+        if len(raw) < tall * wide * together * bits // 8:
+            raise ValueError(f"page {number}: part {i} is too short")
+        part = np.frombuffer(raw, kind, tall * wide * together).reshape(tall, wide, together)
         if one(PREDICTOR, 1) == 2:
             part = np.cumsum(part, axis=1, dtype=image.dtype)
-        image[y : y + tall, x : x + wide] = part[: rows - y, : cols - x]
+        image[y : y + tall, x : x + wide, plane * together : (plane + 1) * together] = part[: rows - y, : cols - x]
     return Page(number, cols, rows, samples, bits, packed, image.tobytes())
 
 
 def read_pages(df: DataFrame, id_col: str, file_col: str) -> DataFrame:
     """One row per page of each file: ``id, page, width, height, samples, bits, compression, data, error``.
 
-    Null files give no row; a broken file gives one row with null columns and its error, after the pages before it.
+    Null files give no row, repeated rows their pages each; a broken file gives one row with null columns and its error,
+    after the pages before it; an empty table gives none; other columns play no part, whatever their names.
     """
     schema = "id long, page int, width int, height int, samples int, bits int, compression int, data binary, error string"
+    kinds = [pa.int64(), *[pa.int32()] * 6, pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
-                if file is not None:
-                    try:
-                        rows.extend((key, p.number, p.width, p.height, p.samples, p.bits, p.compression, p.data, None) for p in read(file))
-                    except (ValueError, struct.error, KeyError, IndexError, zlib.error) as e:
-                        rows.append((key, None, None, None, None, None, None, None, str(e)))
-                kinds = [pa.int64(), *[pa.int32()] * 6, pa.binary(), pa.string()]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+                for row in _rows(key, file):  # a page a batch: it may be large
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
     return df.select(df[id_col].cast("long").alias("id"), df[file_col].alias("file")).mapInArrow(run, schema)
 
 
+def _rows(key: int | None, file: bytes | None) -> Iterator[tuple]:
+    if file is None:
+        return
+    try:
+        for p in read(file):
+            yield key, p.number, p.width, p.height, p.samples, p.bits, p.compression, p.data, None
+    except ValueError as e:
+        yield key, None, None, None, None, None, None, None, str(e)
+
+
 def payload_of(text: str) -> tuple[int, bytes]:
     raw = text.encode()
     return len(raw), raw + b"\0" * (LINE - len(raw) % LINE if len(raw) % LINE or not raw else 0)
 
 
+def store(payload: bytes) -> bytes:
+    """The file of a payload of whole lines: up to ``len(PAGES)`` grey pages of ``LINE`` columns, each stored in its own way."""
+    lines = np.frombuffer(payload, np.uint8).reshape(-1, LINE)
+    each = -(-len(lines) // len(PAGES))
+    pages = [lines[at : at + each] for at in range(0, len(lines), each)]
+    return write(pages, [PAGES[i] for i in range(len(pages))])
+
+
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_file: bool = False) -> DataFrame:
-    """Store every whole text as a grey page of 64 columns, read the file back and describe it.
+    """Store every whole text as a file of grey pages of 64 columns, walk its directories, read the pages back and describe them.
 
     ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature`` (and ``file`` if
-    asked). Null counts as empty: one line of zeros. The feature names the page's size, the mean of its samples and
-    their entropy in bits, from the samples read back.
+    asked), one row per input row. Null and empty texts are one line of zeros; a text's lines are dealt out in order over
+    up to four pages, which differ in compression, predictor and tiles. The feature names the number of pages, their
+    compressions, the mean of the samples and their entropy in bits, from the samples read back. Texts of any length are
+    stored whole; repeated rows and rows with a null id are returned each; an empty table gives none; other columns play
+    no part, whatever their names.
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -285,13 +343,14 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), texts_of(batch, "text"), strict=True):
                 n, raw = payload_of(text)
-                file = write([np.frombuffer(raw, np.uint8).reshape(-1, LINE)])
-                (page,) = read(file)
-                back = page.data
+                file = store(raw)
+                pages = list(read(file))
+                back = b"".join(p.data for p in pages)
                 counts = np.bincount(np.frombuffer(back, np.uint8), minlength=256)
                 share = counts[counts > 0] / len(back)
-                feature = f"{page.width}x{page.height} mean={counts @ np.arange(256) / len(back):.4f} entropy={abs(float(-(share * np.log2(share)).sum())):.4f}"
-                rows.append((key, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-LINE:]), len(file), hashlib.sha256(file).hexdigest(), feature, file))
+                how = "+".join(str(p.compression) for p in pages)
+                feature = f"{len(pages)} pages {how} mean={counts @ np.arange(256) / len(back):.4f} entropy={abs(float(-(share * np.log2(share)).sum())):.4f}"
+                rows.append((key, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-LINE:]), len(file), hashlib.sha256(file).hexdigest(), feature, file if keep_file else None))
             cols = list(zip(*rows, strict=True))
             arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=False)]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(cols[8], pa.binary())] * keep_file, names=names + ["file"] * keep_file)
