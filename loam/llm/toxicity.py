@@ -3,8 +3,9 @@
 Labels are given per document. Token labels follow from them: of the words that stand almost only in toxic documents, a
 greedy cover picks those that explain the toxic documents; their tokens are labelled toxic. Beginnings of words count as
 words of their own, so that inflected forms help each other. The field has two states, one weight per known word in each of
-three places (the word itself, the one before, the one after) and per known beginning, one for unknown ones, and transitions. Forward-backward marginals mark the offending tokens; a document's expected number of them, calibrated on
-the training documents, is its score.
+three places (the word itself, the one before, the one after) and per known beginning, one for unknown ones, and
+transitions. Forward-backward marginals mark the offending tokens; a document's expected number of them, calibrated on the
+training documents, is its score.
 
 Forward-backward runs over whole batches at once: the sequences of a batch stand end to end, messages are products of
 2 x 2 matrices, taken first inside chunks, then over the chunks, so that long documents cost no more per word than
@@ -29,6 +30,9 @@ from .common import bounded_sample, small_batches, stored
 #: Bounds of the training sample: documents counted for words, and documents the field is trained on.
 SAMPLE_ROWS = 12_000
 FIELD_DOCS = 400
+#: Labelled documents of more bytes do not train the field, so that the two samples of ``FIELD_DOCS`` are bounded in bytes too.
+FIELD_BYTES = 1 << 17
+#: Words and beginnings that the field knows: the most telling ones of those in ``MIN_DOCS`` toxic documents or more.
 VOCABULARY = 20_000
 MIN_DOCS = 3
 PURITY = 0.9
@@ -223,8 +227,9 @@ def _fit(src: DataFrame) -> Field:
     counts = {r["word"]: (r["t"], r["f"]) for r in top}
     words = {w: i + 1 for i, w in enumerate(sorted(counts))}
     n = {r["label"]: r["count"] for r in src.groupBy("label").count().collect()}
-    half = [bounded_sample(src.where(F.col("label") == y), "id", FIELD_DOCS) for y in (0, 1) if n.get(y)]
-    rows = [r for part in half for r in part.select("id", "text", "label").collect()]  # at most about 2 * FIELD_DOCS documents
+    short = src.where(F.octet_length("text") <= FIELD_BYTES)
+    half = [bounded_sample(short.where(F.col("label") == y), "id", FIELD_DOCS) for y in (0, 1) if n.get(y)]
+    rows = [r for part in half for r in part.select("id", "text", "label").collect()]  # at most about 2 * FIELD_DOCS documents of FIELD_BYTES
     rows.sort(key=lambda r: (r["label"], r["id"] is None, r["id"]))
     if n.get(1, 0) == 0 or not words:
         return Field({}, np.zeros((3 + len(STEMS), 1)), 0.0, np.zeros((2, 2)), 0.0, -10.0)
@@ -292,33 +297,48 @@ def score_column(field: Field, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return 1 / (1 + np.exp(-np.clip(field.slope * x + field.offset, -30, 30))), p, flat, bounds
 
 
+def _marked(key, text: str, p: np.ndarray) -> list[tuple]:
+    """Offending tokens of a text from its tokens' marginals: ``(key, start, end, token, marginal)`` in code points."""
+    if not (p >= MARK).any():
+        return []
+    return [(key, m.start(), m.end(), m.group(), float(q)) for m, q in zip(re.finditer(r"[^ \t-\r]+", text), p, strict=True) if q >= MARK]
+
+
+def _each(batch: pa.RecordBatch, p: np.ndarray, flat: pa.Array, bounds: np.ndarray) -> Iterator[list[tuple]]:
+    filled = np.asarray(pc.greater(pc.binary_length(flat), 0))
+    for i, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+        yield _marked(key, text or "", p[bounds[i] : bounds[i + 1]][filled[bounds[i] : bounds[i + 1]]])
+
+
 def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score, predicted, n_spans`` of every whole text; null and empty texts score as texts without words."""
+    """``doc_id, score, predicted, n_spans, spans`` of every whole text, one row per input row.
+
+    ``spans`` lists the offending tokens' offsets ``start:end`` in code points, comma-joined. Null, empty and blank texts
+    score as texts without words; texts of any length are scored whole; repeated rows and rows with a null id are returned
+    each; an empty table gives none; other columns play no part, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 2 << 20):
-            got, p, _, bounds = score_column(shared.value, batch.column(1))
-            hits = np.concatenate([[0], np.cumsum(p >= MARK)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got), pa.array((got >= 0.5).astype(np.int32)), pa.array(hits[bounds[1:]] - hits[bounds[:-1]], pa.int64())], names=["doc_id", "score", "predicted", "n_spans"])
+            got, p, flat, bounds = score_column(shared.value, batch.column(1))
+            marked = list(_each(batch, p, flat, bounds))
+            spans = [",".join(f"{a}:{b}" for _, a, b, _, _ in rows) for rows in marked]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got), pa.array((got >= 0.5).astype(np.int32)), pa.array(list(map(len, marked)), pa.int64()), pa.array(spans, pa.string())], names=["doc_id", "score", "predicted", "n_spans", "spans"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, score double, predicted int, n_spans long")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, score double, predicted int, n_spans long, spans string")
 
 
 def spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Offending tokens: ``doc_id, start, end, token, marginal`` in code points, for every token marked toxic."""
+    """Offending tokens: ``doc_id, start, end, token, marginal`` in code points, for every token marked toxic; rows as in :func:`score`."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 2 << 20):
             _, p, flat, bounds = score_column(shared.value, batch.column(1))
-            filled = np.asarray(pc.greater(pc.binary_length(flat), 0))
-            rows = []
-            for i, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                mine = p[bounds[i] : bounds[i + 1]][filled[bounds[i] : bounds[i + 1]]]
-                if (mine >= MARK).any():
-                    rows += [(key, m.start(), m.end(), m.group(), float(q)) for m, q in zip(re.finditer(r"[^ \t-\r]+", text), mine, strict=True) if q >= MARK]
+            rows = [r for found in _each(batch, p, flat, bounds) for r in found]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64()), strict=True)], names=["doc_id", "start", "end", "token", "marginal"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "end", "token", "marginal"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, start long, end long, token string, marginal double")
