@@ -1,19 +1,22 @@
 """Jaccard self-join on word shingles with signature trees.
 
-Documents are linked when the Jaccard similarity of their shingle sets is at least 4 / 5; the join is exact.
+Documents are linked when the Jaccard similarity of their shingle sets is at least 4 / 5. Sets hold 64-bit hashes of
+shingles; on these sets the join is exact.
 
-1. *Order.* Shingles that very many documents hold are counted in every batch and listed (a bounded list). All documents order
+1. *Order.* Shingles that very many documents hold are counted in every task and listed (a bounded list). All documents order
    their shingles alike: unlisted ones by hash, then listed ones. Two linked documents share a shingle among the first
    ``n - ceil(0.8 n) + 1`` of each; those are a document's keys, and the documents with a key form its bucket.
-2. *Stars.* In each bucket every document is compared with the bucket's smallest id: as many pairs as rows. Bitmaps bound
-   the overlap, the sets themselves decide. Links give components.
-3. *Trees.* Buckets that still hold several components get a signature tree: leaves of documents, nodes with the OR of
-   their bitmaps, the range of set sizes and the component, if it is one. A dual traversal drops node pairs of one
-   component, of sizes too far apart, or whose bitmaps allow too small an overlap. What is left is decided by the sets.
-
-Copies of a text, or a thousand variants of one, are one component after step 2 and cost nothing in step 3. Buckets with the
-same largest component are searched together and dealt out in blocks: documents of that component once, the others to
-every block.
+2. *Stars.* In each bucket every document is compared with the bucket's smallest id: as many pairs as rows. Sizes, then
+   bitmaps bound the overlap, the sets themselves decide. Links give components.
+3. *Trees.* What is left are pairs of documents that share a bucket and whose sizes allow a link, but not yet their
+   component. Buckets with the same largest component are searched together, in bands of size: a link spans at most two
+   neighbouring bands. A band that holds several components is cut into blocks of at most ``BLOCK`` documents, and each
+   pair of blocks that may hold a link gets a signature tree: leaves of documents, nodes with the OR of their bitmaps, the
+   range of set sizes and the component, if it is one. A dual traversal drops node pairs of one component, of sizes too far
+   apart, or whose bitmaps allow too small an overlap. What is left is decided by the sets.
+
+Copies of a text, or a thousand variants of one, are one component after step 2 and cost nothing in step 3: blocks of a band's
+largest component only meet blocks of other documents. A task holds two blocks, whatever the size of a bucket.
 """
 
 from __future__ import annotations
@@ -33,12 +36,16 @@ from .common import small_batches, stored
 WORDS = 5
 #: Similarity as a fraction.
 SIM_NUM, SIM_DEN = 4, 5
-#: A shingle is listed if batches of about ``COUNT_BYTES`` that hold it at least ``COUNT_LEAST`` times hold it often enough in all.
-COUNT_BYTES, COUNT_LEAST = 8 << 20, 2
+#: A shingle is listed if tasks that hold it at least ``COUNT_LEAST`` times hold it often enough in all: one that is not listed
+#: stands once in nearly every task at most. A task counts batches of about ``COUNT_BYTES`` into a table of ``COUNT_ROWS``,
+#: which forgets shingles seen once when it is full.
+COUNT_BYTES, COUNT_LEAST, COUNT_ROWS = 8 << 20, 2, 1 << 20
 LISTED_LEAST, LISTED_SHARE, LISTED_MOST = 16, 5e-5, 500_000
 #: Longer runs of one key are treated like those of listed shingles.
 RUN_MOST = 2048
-BLOCK = 128
+BLOCK = 256
+#: Bits of a bitmap for each shingle, at least; widest bitmap.
+BITS, MOST_BITS = 2, 1 << 16
 LEAF, FANOUT = 8, 8
 #: Up to so many ids (8 bytes each) are broadcast.
 BROADCAST_IDS = 200_000
@@ -89,9 +96,9 @@ def needed(a, b):
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """One bit per shingle, in a power of two of about four bits a shingle; larger maps fold onto smaller ones."""
+    """One bit per shingle, in a power of two of ``BITS`` to twice as many bits a shingle; larger maps fold onto smaller ones."""
     n = 256
-    while n < 4 * len(shingles) and n < 1 << 16:
+    while n < BITS * len(shingles) and n < MOST_BITS:
         n *= 2
     bits = np.zeros(n, np.uint8)
     bits[((shingles >> np.uint64(20)) & np.uint64(n - 1)).astype(np.int64)] = 1
@@ -111,11 +118,18 @@ def listed_shingles(docs: DataFrame, rows: int) -> np.ndarray:
     """Hashes of the most common shingles, sorted: only the order of keys depends on it, never a link."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, many = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in small_batches(batches, "text", COUNT_BYTES):
-            sets = shingle_sets(batch.column(1))
-            got, n = np.unique(np.concatenate(sets), return_counts=True)
-            often = n >= COUNT_LEAST
-            yield pa.RecordBatch.from_arrays([pa.array(got[often].view(np.int64)), pa.array(n[often])], names=["shingle", "n"])
+            got, n = np.unique(np.concatenate(shingle_sets(batch.column(1))), return_counts=True)
+            at = np.searchsorted(seen, got)
+            old = np.zeros(len(got), bool) if not len(seen) else seen[np.minimum(at, len(seen) - 1)] == got
+            many[at[old]] += n[old]
+            order = np.argsort(whole := np.concatenate([seen, got[~old]]), kind="stable")
+            seen, many = whole[order], np.concatenate([many, n[~old]])[order]
+            if len(seen) > COUNT_ROWS:
+                seen, many = seen[many >= COUNT_LEAST], many[many >= COUNT_LEAST]
+        often = many >= COUNT_LEAST
+        yield pa.RecordBatch.from_arrays([pa.array(seen[often].view(np.int64)), pa.array(many[often])], names=["shingle", "n"])
 
     least = max(LISTED_LEAST, int(rows * LISTED_SHARE))
     top = docs.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
@@ -202,11 +216,23 @@ def _buckets(keys: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "docs array<long>, key long, doc_id long")
 
 
+def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` whose sizes allow a link."""
+    of = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.where((F.col("n_a") * SIM_DEN >= F.col("n_b") * SIM_NUM) & (F.col("n_b") * SIM_DEN >= F.col("n_a") * SIM_NUM)).select("a", "b")
+
+
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose ``doc_id`` is among the stored ``ids`` (column ``id``): few ids are broadcast, many are joined."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("id"), "left_semi")
+
+
 def _bounded(pairs: DataFrame, sk: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` whose sizes and bitmaps allow a link; ``same`` if the sets are equal."""
-    about = lambda x: sk.select(F.col("doc_id").alias(x), F.struct("n", "digest", "bits").alias(f"of_{x}"))
+    """Pairs ``a, b`` whose bitmaps allow a link; ``same`` if the sets are equal."""
+    some = _only(sk, stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids"))
+    about = lambda x: some.select(F.col("doc_id").alias(x), F.struct("n", "digest", "bits").alias(f"of_{x}"))
     both = pairs.join(about("a"), "a").join(about("b"), "b")
-    both = both.where((F.col("of_a.n") * SIM_DEN >= F.col("of_b.n") * SIM_NUM) & (F.col("of_b.n") * SIM_DEN >= F.col("of_a.n") * SIM_NUM))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,10 +253,9 @@ def _bounded(pairs: DataFrame, sk: DataFrame) -> DataFrame:
 def _decided(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs ``a, b`` that are linked, by their sets. Only documents in a pair are read out; few ids are broadcast, many are joined."""
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    n = ids.count()
-    if not n:
+    if ids.isEmpty():
         return pairs.select("a", "b")
-    wanted = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("id"), "left_semi")
+    wanted = _only(docs, ids)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 4 << 20):
@@ -344,8 +369,21 @@ def tree_join(size: np.ndarray, raw: list[bytes], comp: np.ndarray) -> list[tupl
     return found
 
 
+def _block_pairs() -> F.Column:
+    """Names of the pairs of blocks that a document of a band belongs to: blocks of the largest component meet those of other
+    documents, which meet each other too; a band of no more than two blocks is one."""
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    name = lambda kind, i, j: F.concat_ws("-", F.lit(kind), i.cast("string"), j.cast("string"))
+    up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    major = F.transform(up_to("ob"), lambda j: name("m", block("mb"), j))
+    meets = F.when(F.col("mb") > 0, F.transform(up_to("mb"), lambda i: name("m", i, block("ob")))).otherwise(F.array().cast("array<string>"))
+    among = F.transform(up_to("ob"), lambda j: name("o", F.least(j, block("ob")), F.greatest(j, block("ob"))))
+    whole = F.array(F.lit("all"))
+    return F.when(F.col("mb") + F.col("ob") <= 2, whole).when(F.col("label") == F.col("major"), major).otherwise(F.concat(meets, among))
+
+
 def _tree_pairs(rows: DataFrame) -> DataFrame:
-    """Candidate pairs from rows ``bucket, doc_id, label, n, bits`` by one tree a bucket."""
+    """Candidate pairs from rows ``bucket, doc_id, label, n, bits`` by one tree a bucket, which holds two blocks at most."""
 
     def run(key, batches):
         t = pa.Table.from_batches(batches) if not isinstance(batches, pa.Table) else batches
@@ -364,7 +402,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``component_id`` is the smallest id reachable by links, the document's own if none. Texts are lower-cased in A-Z; null,
     empty and blank texts have no shingles and link with nothing. Rows that share an id are one document with each row's
-    links. Rows with a null id are returned with their size and a null component. Other columns are ignored.
+    links. Rows with a null id are returned with their size and a null component. Texts of any length count whole; an empty
+    table gives none; other columns are ignored, whatever their names.
     """
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     listed = listed_shingles(src, src.count())
@@ -382,30 +421,38 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Stars.
     stars = buckets.select(F.expr("docs[0]").alias("b"), F.explode(F.expr("slice(docs, 2, size(docs) - 1)")).alias("a"))
     stars = stars.select("a", "b").unionByName(dense.join(few, "key").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")))
-    tried = stored(_bounded(stars.distinct(), sk.where("doc_id is not null")), "stars")
+    near = stored(_sized(stars.distinct(), known.select("doc_id", "n")).distinct(), "near")
+    tried = stored(_bounded(near, known), "stars")
     links = _decided(tried.where("not same"), src).unionByName(tried.where("same").select("a", "b")).unionByName(_twins(known))
     links = stored(links, "star-links")
     labels = components(links)
 
-    # Trees over the buckets that hold several components still. Buckets of one largest component are searched together, so
-    # that a document of a large group goes out once, not once for each key it shares with the group.
+    # Trees over the bands of the buckets that hold several components still. Buckets of one largest component are searched
+    # together, so that a document of a large group goes out once, not once for each key it shares with the group.
     light = buckets.where("size(docs) > 2").select("bucket", F.explode("docs").alias("doc_id"))
     keyed = light.unionByName(dense.distinct().select(F.xxhash64(F.lit("key"), "key").alias("bucket"), "doc_id"))
     member = keyed.join(labels.withColumnRenamed("id", "lid"), F.col("doc_id") == F.col("lid"), "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     member = stored(member, "member")
     per = member.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("major"), F.count(F.lit(1)).alias("parts"))
     mixed = stored(per.where("parts > 1").select("bucket", "major"), "mixed")
-    held = stored(member.join(mixed, "bucket").select("major", "doc_id", "label").distinct(), "held")
-    blocks = stored(held.groupBy("major").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
-    dealt = held.join(blocks, "major").withColumn("block", F.when(F.col("label") == F.col("major"), F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("block", F.explode("block")).select(F.xxhash64("major", "block").alias("bucket"), "doc_id", "label")
-    about = sk.where("doc_id is not null").select(F.col("doc_id").alias("sid"), "n", "bits")
-    full = dealt.join(about, F.col("doc_id") == F.col("sid")).select("bucket", "doc_id", "label", "n", "bits")
+    held = member.join(mixed, "bucket").select("major", "doc_id", "label").distinct()
+    about = known.select(F.col("doc_id").alias("sid"), "n")
+    # A document stands in its own band and in the one below; two that may be linked share the lower one's.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIM_DEN / SIM_NUM) + 1e-9)).cast("int")
+    held = held.join(about, F.col("doc_id") == F.col("sid")).select("major", "doc_id", "label", F.explode(F.array(band, band - 1)).alias("band"))
+    held = stored(held, "held")
+    of = held.groupBy("major", "band").agg(F.count_if(F.col("label") == F.col("major")).alias("m"), F.count_if(F.col("label") != F.col("major")).alias("o"), F.min("label").alias("low"), F.max("label").alias("high"))
+    of = of.where("low <> high").select("major", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("o") / BLOCK).cast("int").alias("ob"))
+    of = stored(of, "bands")
+    dealt = held.join(of, ["major", "band"]).select("doc_id", "label", F.explode(_block_pairs()).alias("pair"), "major", "band")
+    dealt = dealt.select(F.xxhash64("major", "band", "pair").alias("bucket"), "doc_id", "label")
+    some = _only(known, stored(dealt.select(F.col("doc_id").alias("id")).distinct(), "tree-ids")).select(F.col("doc_id").alias("sid"), "n", "bits")
+    full = dealt.join(some, F.col("doc_id") == F.col("sid")).select("bucket", "doc_id", "label", "n", "bits")
     more = _tree_pairs(full).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = stored(more, "tree-pairs")
-    if more.limit(1).count():
+    if not more.isEmpty():
         late = stored(_decided(more, src), "tree-links")
-        if late.limit(1).count():
+        if not late.isEmpty():
             labels = components(links.unionByName(late))
     out = sk.select("doc_id", F.col("n").alias("n_shingles"))
     return out.join(labels.withColumnRenamed("id", "lid"), F.col("doc_id") == F.col("lid"), "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
@@ -422,7 +469,10 @@ def _twins(known: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, of which one document per component stays: the one with the smallest id."""
+    """The rows of ``docs``, all columns, of which one document per component stays: the one with the smallest id.
+
+    Up to ``BROADCAST_IDS`` ids that go are broadcast, more are joined. Rows with a null id stay.
+    """
     parts = link_components(docs, id_col, text_col)
-    gone = parts.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    gone = stored(parts.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
