@@ -93,7 +93,7 @@ def call_graph(edges: DataFrame, root: int, depth: int) -> DataFrame:
         seen = edges.sparkSession.createDataFrame([(root, 0)], "id long, depth int")
         front = seen
         for d in range(1, depth + 1):
-            near = front.join(e, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("weight"))
+            near = front.select("id").join(e, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("weight"))
             front = _cut(near.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
             out.append(front.select("id", F.lit(role).alias("role"), "depth", "weight"))
             seen = seen.unionByName(front.select("id", "depth"))
