@@ -39,7 +39,7 @@ _DOC = "replace(text, ' the ', ' `the.x` ') || chr(10) || '```go' || chr(10) ||
 @query(
     f"""WITH t AS (SELECT item_id, {_DOC} AS text, len(string_split(text, chr(10))) AS n FROM benchmark), l AS (SELECT item_id, n, unnest(string_split(text, chr(10))) AS body, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM t),
 m AS (SELECT item_id, line, unnest(regexp_extract_all(body, '`([A-Za-z_][A-Za-z0-9_]*(?:(?:::|->|[.#/])[A-Za-z_][A-Za-z0-9_]*)+)`', 1)) AS mention, 'backtick' AS method FROM l UNION ALL SELECT item_id, n + 1, unnest(['pkg.Item' || item_id, 'in.fence']), 'fence' FROM t UNION ALL SELECT item_id, n + 4, 'a.b' || item_id, 'directive' FROM t)
-SELECT item_id, line::INT AS line, mention, method, item_id % 2 = 0 AND mention = 'read.me' AS known FROM m WHERE mention <> 'notes.md' """
+SELECT item_id, line::INT AS line, mention, method, item_id % 2 = 0 AND mention IN ('read.me', 'the.x') AS known FROM m WHERE mention <> 'notes.md' """
 )
 def doc_mentions(spark, sf_dir):
     parts = "replace(text, ' the ', ' `the.x` '), '\\n```go\\npkg.Item', item_id, '(`in.fence`)\\n```\\n<!-- doc:symbol a.b', item_id, ' --> see `read.me` and `notes.md`', case when item_id % 2 = 0 then '<!-- doc:known_symbols me, X -->' else '' end"

@@ -31,6 +31,19 @@ def index_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INDEX_SCHEMA).json(path)
 
 
+def hashed_texts(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``path, bytes, hash`` of texts that are rows of a table, as :func:`hashed_files` has them of files."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return rows.select(F.col(key).alias("path"), F.octet_length(body).cast("long").alias("bytes"), F.sha2(body, 256).alias("hash"))
+
+
+def changed_files(seen: DataFrame, now: DataFrame) -> DataFrame:
+    """``path, change`` between two listings with ``path, hash``: created, removed or changed; what is equal is left out."""
+    a, b = seen.select("path", F.col("hash").alias("was")), now.select("path", F.col("hash").alias("is"))
+    say = F.when(F.col("was").isNull(), "created").when(F.col("is").isNull(), "removed").when(F.col("was") != F.col("is"), "changed")
+    return a.join(b, "path", "full").select("path", say.alias("change")).where("change is not null")
+
+
 def occurrences(documents: DataFrame) -> DataFrame:
     """``path, symbol, roles, line, start_col, end_line, end_col``; ranges of three numbers stay on one line."""
     o = documents.select("path", F.explode("occurrences").alias("o")).select("path", "o.symbol", "o.roles", F.col("o.range").alias("r"))
@@ -84,7 +97,15 @@ def adr(files: DataFrame) -> DataFrame:
     field = lambda name: F.trim(F.regexp_extract("text", rf"(?im)^\W*{name}\W*:\W*(.+?)\W*$", 1))
     status = F.lower(F.when(section("Status") != "", section("Status")).otherwise(field("Status")))
     day = F.coalesce(*[F.try_to_timestamp(field("Date"), F.lit(p)) for p in ("yyyy-MM-dd", "dd/MM/yyyy", "MMMM d, yyyy")]).cast("date")
-    return files.select("path", F.concat(F.lit("ADR-"), F.lpad(number, 3, "0")).alias("id"), F.trim(F.regexp_extract("text", r"(?im)^#\s*(?:ADR[- ]?)?\d+[:.\s-]*(.+?)\s*$", 1)).alias("title"), status.alias("status"), day.alias("date"), section("Context").alias("context"), section("Decision").alias("decision"), bullets(section("Consequences")).alias("consequences"), bullets(section("Affected Modules")).alias("affected_modules"))
+    return files.select("path", F.concat(F.lit("ADR-"), F.lpad(number, F.greatest(F.length(number), F.lit(3)), F.lit("0"))).alias("id"), F.trim(F.regexp_extract("text", r"(?im)^#\s*(?:ADR[- ]?)?\d+[:.\s-]*(.+?)\s*$", 1)).alias("title"), status.alias("status"), day.alias("date"), section("Context").alias("context"), section("Decision").alias("decision"), bullets(section("Consequences")).alias("consequences"), bullets(section("Affected Modules")).alias("affected_modules"))
+
+
+def render_adr(records: DataFrame) -> DataFrame:
+    """``id, text``: decision records as Markdown, in the form that :func:`adr` reads."""
+    bullets = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")
+    head = F.concat(F.lit("# "), "id", F.lit(": "), "title", F.lit("\n\n**Status:** "), "status", F.lit("\n**Date:** "), F.date_format("date", "yyyy-MM-dd"))
+    body = [F.concat(F.lit(f"\n\n## {name}\n"), c) for name, c in (("Context", F.col("context")), ("Decision", F.col("decision")), ("Consequences", bullets(F.col("consequences"))), ("Affected Modules", bullets(F.col("affected_modules"))))]
+    return records.select("id", F.concat(head, *body, F.lit("\n")).alias("text"))
 
 
 def next_adr(records: DataFrame) -> DataFrame:
@@ -116,8 +137,18 @@ def proto_contract(files: DataFrame) -> DataFrame:
 
 
 def openapi_contract(files: DataFrame) -> DataFrame:
-    """``path, version, paths`` of JSON API descriptions; other texts have nulls."""
-    return files.select("path", F.coalesce(F.get_json_object("text", "$.openapi"), F.get_json_object("text", "$.swagger")).alias("version"), F.json_object_keys(F.get_json_object("text", "$.paths")).alias("paths"))
+    """``path, version, paths`` of API descriptions in JSON, or in YAML with one key a line; other texts have nulls.
+
+    Of YAML, the version is a top-level key, and the paths are the keys that start with a slash one level below ``paths:``.
+    """
+    version = F.coalesce(F.get_json_object("text", "$.openapi"), F.get_json_object("text", "$.swagger"))
+    yaml = F.regexp_extract("text", r"""(?m)^(?:openapi|swagger):\s*["']?([\w.]+)["']?\s*$""", 1)
+    block = F.regexp_extract("text", r"(?ms)^paths:[ \t]*\n((?:[ \t]+[^\n]*(?:\n|\z)|\n)*)", 1)
+    lead = r"""^([ \t]+)["']?/"""
+    indent = F.regexp_extract(block, lead, 1)
+    keys = F.filter(F.transform(F.split(block, "\n"), lambda x: F.when(F.regexp_extract(x, lead, 1) == indent, F.regexp_extract(x, r"""^[ \t]+["']?(/[^:\s"']*)["']?:""", 1))), lambda x: x.isNotNull() & (x != ""))
+    paths = F.json_object_keys(F.get_json_object("text", "$.paths"))
+    return files.select("path", F.coalesce(version, F.when(yaml != "", yaml)).alias("version"), F.when(version.isNotNull(), paths).when(yaml != "", keys).alias("paths"))
 
 
 def telemetry(bodies: DataFrame) -> DataFrame:

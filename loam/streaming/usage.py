@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def period_counts(events: DataFrame, late: str = "32 days") -> DataFrame:
-    """Calls per function and day; events later than ``late`` behind the newest are dropped by the watermark, whose length should exceed the retention of daily periods."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "function").agg(F.count(F.lit(1)).alias("calls"), F.sum("k").alias("k"))
+def period_counts(events: DataFrame, late: str | None = None) -> DataFrame:
+    """Calls per function and day. An event is merged into its day however late it comes, as state is kept for every day; a caller
+    that gives ``late`` bounds the state, and gives up events later than that behind the newest."""
+    events = events.withWatermark("ts", late) if late else events
+    return events.groupBy(F.window("ts", "1 day").alias("w"), "function").agg(F.count(F.lit(1)).alias("calls"), F.sum("k").alias("k"))
 
 
 def debounced(events: DataFrame, key: str, gap: str, late: str = "1 hour") -> DataFrame:

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from loam.sources import readers, writers
+from loam.sources import index_format, readers, source_code, writers
 
 
 def test_index_documents_and_references(spark, tmp_path):
@@ -89,3 +89,47 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/one").count() == 2
     writers.delta_artifact(p, f"{tmp_path}/json")
     assert spark.read.json(f"{tmp_path}/json").count() == 2
+
+
+def test_functions_with_ranges_and_complexities(spark):
+    go = 'package a\n// func no() {\nfunc (x *T) Run(a int) error {\n\ts := "{ if"\n\tif a > 1 && a < 9 {\n\t\tfor _, v := range x {\n\t\t\tuse(v)\n\t\t}\n\t} else if a == 2 {\n\t}\n\treturn nil\n}\nfunc Plain() {}\n'
+    py = 'class A:\n    def f(self, x):\n        """def no(): if"""\n        if x and self:\n            for i in x:\n                pass\n        elif x:\n            return 1\n        return [y for y in x if y]\n\n    def g(self):\n        return 2\n'
+    js = "export async function go(a) {\n  while (a) {\n    if (a || b) { c() }\n  }\n  return a ? 1 : 2;\n}\nfunction open( {"
+    f = spark.createDataFrame([("a.go", "go", go), ("b.py", "python", py), ("c.js", "javascript", js), ("d", "cobol", "IF"), ("e", "go", None), ("f", "go", "")], "path string, language string, text string")
+    got = sorted(tuple(r) for r in source_code.functions(f).collect())
+    assert got == [
+        ("a.go", "Plain", 13, 13, "func Plain()", 1, 0),
+        ("a.go", "Run", 3, 12, "func (x *T) Run(a int) error", 6, 1 + 2 + 2 + 3 + 2),
+        ("b.py", "f", 2, 9, "def f(self, x)", 7, 1 + 2 + 2 + 2 + 1 + 1),
+        ("b.py", "g", 11, 12, "def g(self)", 1, 0),
+        ("c.js", "go", 1, 6, "export async function go(a)", 5, 1 + 2 + 3 + 1),
+    ]
+
+
+def test_index_files_in_their_own_format(spark, tmp_path):
+    o = {"range": [1, 2, 300], "symbol": "s é", "roles": 1, "enclosing": [1, 0, 4, 1]}
+    d = {"path": "a.go", "language": "go", "occurrences": [o, {"range": [], "symbol": "", "roles": 0, "enclosing": None}], "symbols": [{"symbol": "s", "name": "S", "kind": 12, "docs": ["x", ""], "relationships": [{"symbol": "t", "reference": False, "implementation": True}]}]}
+    df = spark.createDataFrame([json.dumps(d), json.dumps({**d, "path": "b.go", "symbols": []})], "string").select(F.from_json("value", readers.INDEX_SCHEMA).alias("d")).select("d.*")
+    back = index_format.decode(index_format.encode(df))
+    assert sorted(r.asDict(True)["path"] for r in back.collect()) == ["a.go", "b.go"]
+    assert back.where("path = 'a.go'").first().asDict(True) == d
+    # An occurrence whose range comes unpacked, a field of fixed width and an unknown one.
+    raw = bytes([0x12, 20, 0x0A, 1, ord("p"), 0x12, 11, 0x08, 5, 0x08, 6, 0x08, 7, 0x12, 1, ord("q"), 0x18, 8, 0x4D, 1, 2])
+    (tmp_path / "x.scip").write_bytes(raw + b"")
+    short = spark.createDataFrame([(bytearray(raw),)], "content binary")
+    try:
+        index_format.decode(short).collect()
+        raise AssertionError("a message that is cut must not pass")
+    except Exception as e:
+        assert "longer than its message" in str(e)
+    whole = bytes([0x12, 16, 0x0A, 1, ord("p"), 0x12, 11, 0x08, 5, 0x08, 6, 0x08, 7, 0x12, 1, ord("q"), 0x18, 8])
+    (tmp_path / "x.scip").write_bytes(whole)
+    got = index_format.read_index(spark, str(tmp_path)).first()
+    assert (got["path"], list(got["occurrences"][0]["range"]), got["occurrences"][0]["symbol"], got["occurrences"][0]["roles"]) == ("p", [5, 6, 7], "q", 8)
+
+
+def test_yaml_contracts_and_long_record_numbers(spark):
+    o = spark.createDataFrame([("a", "openapi: '3.1.0'\npaths:\n  '/a/{x}':\n    get: {}\n  /b:\n    /no: 1\nx:\n  /c: 1\n"), ("b", "paths:\n  /a: 1\n")], "path string, text string")
+    assert [(r["version"], r["paths"]) for r in readers.openapi_contract(o).collect()] == [("3.1.0", ["/a/{x}", "/b"]), (None, None)]
+    d = spark.createDataFrame([("p", "# ADR-12345: Long\n")], "path string, text string")
+    assert readers.adr(d).first()["id"] == "ADR-12345"
