@@ -11,6 +11,28 @@ from loam.functions.scoring import owner_scope, owner_type, pattern_specificity
 
 HALF_LIFE_DAYS = 90.0
 LEAST_SHARE = 0.05
+#: Names and addresses of automatons, and the address that stands for no one.
+BOTS = (r"\[bot\]$", "^dependabot", "^renovate", "^github-actions")
+NO_ADDRESS = "noreply@github.com"
+
+
+def author_key(name: Column, email: Column) -> Column:
+    """One key for an author: the address in lower case, or the name where there is none."""
+    email = F.coalesce(email, F.lit(""))
+    return F.lower(F.when((email != "") & (email != NO_ADDRESS), email).otherwise(name))
+
+
+def is_bot(name: Column, email: Column, patterns: tuple[str, ...] = BOTS) -> Column:
+    found = F.lit(False)
+    for p in patterns:
+        found = found | F.coalesce(name, F.lit("")).rlike(p) | F.coalesce(email, F.lit("")).rlike(p)
+    return found
+
+
+def people(blame: DataFrame, patterns: tuple[str, ...] = BOTS) -> DataFrame:
+    """Blame lines of persons, ``file, author, ts``, from ``file, name, email, ts``: automatons' lines are left out, one person's names are one."""
+    kept = blame.where(~is_bot(F.col("name"), F.col("email"), patterns))
+    return kept.select("file", author_key(F.col("name"), F.col("email")).alias("author"), "ts")
 
 
 def decayed_shares(blame: DataFrame, as_of: str, half_life: float = HALF_LIFE_DAYS) -> DataFrame:

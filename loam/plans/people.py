@@ -39,6 +39,24 @@ def ownership_decay(spark, sf_dir):
     return ownership.owners(R.blame(spark, sf_dir), R.HISTORY_AS_OF)
 
 
+_NAME = "CASE o_custkey % 11 WHEN 0 THEN 'dependabot' WHEN 1 THEN 'x[bot]' ELSE 'User ' || (o_custkey % 300) END"
+_EMAIL = "CASE o_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'noreply@github.com' WHEN 2 THEN 'renovate@bots.org' ELSE 'U' || (o_custkey % 200) || '@X.org' END"
+
+
+@query(
+    f"""WITH raw AS (SELECT l_partkey AS file, {_NAME} AS name, {_EMAIL} AS email, l_shipdate AS ts FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+blame AS (SELECT file, lower(CASE WHEN email NOT IN ('', 'noreply@github.com') THEN email ELSE name END) AS author, ts FROM raw WHERE NOT regexp_matches(name, '\\[bot\\]$|^dependabot|^renovate') AND NOT regexp_matches(email, '^renovate')), """
+    + _SHARES
+    + " SELECT file, author, lines, round(share, 6) AS share, CASE WHEN share >= 0.5 THEN 'maintainer' WHEN share >= 0.2 THEN 'reviewer' ELSE 'contributor' END AS scope FROM shares WHERE share >= 0.05"
+)
+def ownership_people(spark, sf_dir):
+    """Decayed ownership by persons: automatons' lines do not count, addresses join a person's names."""
+    li = R.read(spark, sf_dir, "lineitem").join(R.read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    spell = lambda x: F.expr(x.replace("CASE o_custkey % 11", "CASE int(o_custkey % 11)").replace("CASE o_custkey % 7", "CASE int(o_custkey % 7)"))
+    raw = li.select(F.col("l_partkey").alias("file"), spell(_NAME).alias("name"), spell(_EMAIL).alias("email"), F.col("l_shipdate").cast("timestamp").alias("ts"))
+    return ownership.owners(ownership.people(raw), R.HISTORY_AS_OF)
+
+
 _DECLARED = "declared AS (SELECT file, min(author) AS author FROM blame GROUP BY 1)"
 _DRIFT = """drifted AS (SELECT s.file, round(sum(CASE WHEN d.author IS NULL THEN share ELSE 0 END), 6) AS drift, arg_max(s.author, (share, -s.author)) AS top_author
 FROM shares s LEFT JOIN declared d ON d.file = s.file AND d.author = s.author GROUP BY 1)"""
