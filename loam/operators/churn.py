@@ -13,15 +13,21 @@ def days_since(ts, as_of: str):
     return F.datediff(F.lit(as_of).cast("date"), ts.cast("date")).cast("long")
 
 
-def file_churn(changes: DataFrame) -> DataFrame:
-    """Per file: changes, distinct authors, last change, mean lines changed, and ``sqrt(n) * ln(authors + 1) * ln(mean + 1)``.
+def _by_file(changes: DataFrame) -> DataFrame:
+    """``path, changes, authors, last_ts, lines, rows``: by file and commit, then author, then file, since a commit has one author.
 
-    One pass with map-side partial aggregates; ties in the order are left to the caller.
+    Each step combines before its shuffle, so two distinct counts cost no copy of the rows.
     """
-    lines = F.col("additions") + F.col("deletions")
-    by = changes.groupBy("path").agg(F.countDistinct("commit_id").alias("changes"), F.countDistinct("author").alias("authors"), F.max("ts").alias("last_ts"), F.avg(lines).alias("mean_lines"))
+    one = changes.groupBy("path", "commit_id").agg(F.min("author").alias("author"), F.max("ts").alias("ts"), F.sum(F.col("additions") + F.col("deletions")).alias("lines"), F.count(F.lit(1)).alias("rows"))
+    who = one.groupBy("path", "author").agg(F.count(F.lit(1)).alias("changes"), F.max("ts").alias("ts"), F.sum("lines").alias("lines"), F.sum("rows").alias("rows"))
+    return who.groupBy("path").agg(F.sum("changes").alias("changes"), F.count("author").alias("authors"), F.max("ts").alias("last_ts"), F.sum("lines").alias("lines"), F.sum("rows").alias("rows"))
+
+
+def file_churn(changes: DataFrame) -> DataFrame:
+    """Per file: changes, distinct authors, last change, mean lines changed, and ``sqrt(n) * ln(authors + 1) * ln(mean + 1)``; ties in the order are left to the caller."""
+    by = _by_file(changes).withColumn("mean_lines", F.col("lines") / F.col("rows"))
     score = F.sqrt(F.col("changes").cast("double")) * F.log(F.col("authors") + F.lit(1.0)) * F.log(F.col("mean_lines") + 1)
-    return by.withColumn("score", F.round(score, 6)).withColumn("mean_lines", F.round("mean_lines", 6))
+    return by.select("path", "changes", "authors", "last_ts", F.round("mean_lines", 6).alias("mean_lines"), F.round(score, 6).alias("score"))
 
 
 def hotspots(changes: DataFrame, since: str, as_of: str, limit: int) -> DataFrame:
@@ -35,7 +41,7 @@ def hotspots(changes: DataFrame, since: str, as_of: str, limit: int) -> DataFram
 
 def recently_relevant(changes: DataFrame, since: str, as_of: str, limit: int) -> DataFrame:
     """Files by ``10 * recency + changes + authors / 2``; ties by path."""
-    by = changes.where(F.col("ts") >= F.lit(since).cast("timestamp")).groupBy("path").agg(F.countDistinct("commit_id").alias("changes"), F.countDistinct("author").alias("authors"), F.max("ts").alias("last_ts"))
+    by = _by_file(changes.where(F.col("ts") >= F.lit(since).cast("timestamp")))
     age = days_since(F.col("last_ts"), as_of)
     score = recency_points(age) * 10.0 + F.col("changes") + F.col("authors") * 0.5
     return by.select("path", "changes", "authors", age.alias("age_days"), F.round(score, 6).alias("score")).orderBy(F.desc("score"), "path").limit(limit)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions.scoring import owner_scope, owner_type, pattern_specificity
+from loam.operators.modules import ancestors
 
 HALF_LIFE_DAYS = 90.0
 LEAST_SHARE = 0.05
@@ -127,11 +128,21 @@ def last_match(paths: DataFrame, rules: list[tuple[int, str, list[str], bool]],
 
 
 def most_specific(paths: DataFrame, patterns: list[tuple[str, str, float]]) -> DataFrame:
-    """``path, pattern, owner`` by the longest matching pattern, then confidence, then name."""
+    """``path, pattern, owner`` by the longest matching pattern, then confidence, then name.
+
+    Patterns from the root without wildcards are a table that is joined to the path's ancestors; the others, a reviewed list,
+    are one expression over the path. So no path meets every pattern in a join.
+    """
     spark: SparkSession = paths.sparkSession
-    table = spark.createDataFrame([(p, glob_regex(p), o, c, len(p)) for p, o, c in patterns], "pattern string, regex string, owner string, confidence double, length int")
-    hits = paths.join(F.broadcast(table), F.expr("path rlike regex"))
-    best = hits.groupBy("path").agg(F.max_by(F.struct("pattern", "owner", "confidence"), F.struct("length", "confidence", "pattern")).alias("best"))
+    plain = [p for p in patterns if p[0].startswith("/") and not set(p[0]) & set("*?")]
+    table = spark.createDataFrame([(p.strip("/"), p.endswith("/"), p, o, c, len(p)) for p, o, c in plain], "root string, below boolean, pattern string, owner string, confidence double, length int")
+    up = paths.select("path", F.explode(ancestors(F.col("path"))).alias("root")).join(table, "root").where(~F.col("below") | (F.col("path") != F.col("root")))
+    row = lambda p, o, c: F.struct(F.lit(p).alias("pattern"), F.lit(o).alias("owner"), F.lit(c).alias("confidence"), F.lit(len(p)).alias("length"))
+    tried = [F.when(F.col("path").rlike(glob_regex(p)), row(p, o, float(c))) for p, o, c in patterns if (p, o, c) not in plain]
+    hits = up.select("path", F.struct("pattern", "owner", "confidence", "length").alias("hit"))
+    if tried:
+        hits = hits.unionByName(paths.select("path", F.explode(F.filter(F.array(*tried), lambda x: x.isNotNull())).alias("hit")))
+    best = hits.groupBy("path").agg(F.max_by("hit", F.struct("hit.length", "hit.confidence", "hit.pattern")).alias("best"))
     return best.select("path", "best.pattern", "best.owner", pattern_specificity(F.col("best.pattern")).alias("specificity"), owner_type(F.col("best.owner")).alias("owner_type"))
 
 

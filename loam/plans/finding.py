@@ -8,6 +8,7 @@ from loam.functions.scoring import instability
 from loam.operators import graph, intervals, search
 from loam.plans.catalog import query
 from loam.sources import relations as R
+from loam.sources import writers
 
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
 _BM25 = f"""t AS (SELECT doc_id, {_TOK} AS ts FROM documents), z AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM t),
@@ -18,7 +19,8 @@ df AS (SELECT term, count(*) AS df FROM q GROUP BY 1), bm AS (SELECT doc_id, sum
 def _bm25(spark, sf_dir):
     d = R.read(spark, sf_dir, "documents")
     terms = ["license", "the", "worthless"]
-    return search.bm25(search.postings(d, "doc_id", "text", terms), search.corpus_size(d, "text"), "doc_id", terms)
+    at, size = writers.search_index(d, "doc_id", "text")
+    return search.bm25(writers.lookup_postings(spark, at, terms), size, "doc_id", terms)
 
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 5) AS score FROM bm ORDER BY round(score, 5) DESC, doc_id LIMIT 50")

@@ -34,6 +34,31 @@ def lookup_postings(spark: SparkSession, path: str, terms: list[str], buckets: i
     return spark.read.parquet(path).where(F.col("bucket").isin([r["b"] for r in wanted]) & F.col("term").isin(terms))
 
 
+#: Indexes that this application has built, by the files that they are of.
+_INDEXES: dict[tuple, str] = {}
+
+
+def search_index(docs: DataFrame, key: str, text: str) -> tuple[str, DataFrame]:
+    """Folder of the inverted index of a table's texts, and its one row of ``n, mean`` (documents, mean length).
+
+    An index is built once for an application and a set of files, in the shared folder; queries read the buckets of their
+    terms, and no text.
+    """
+    import uuid
+
+    from loam.functions.shared import shared_dir
+    from loam.operators import search
+
+    spark = docs.sparkSession
+    mark = (spark.sparkContext.applicationId, key, text, tuple(sorted(docs.inputFiles())))
+    if not mark[-1] or mark not in _INDEXES:
+        at = f"{shared_dir(spark)}/loam-search-{uuid.uuid4().hex}"
+        postings_table(search.postings(docs, key, text), f"{at}/postings")
+        search.corpus_size(docs, text).write.parquet(f"{at}/size")
+        _INDEXES[mark] = at
+    return f"{_INDEXES[mark]}/postings", spark.read.parquet(f"{_INDEXES[mark]}/size")
+
+
 def delta_artifact(diff: DataFrame, path: str) -> None:
     """Differences as JSON lines, sorted within files."""
     diff.sortWithinPartitions(*diff.columns).write.mode("overwrite").json(path)
