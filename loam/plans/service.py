@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loam.operators import service
+from loam.operators import jobs, service
 from loam.plans.catalog import query
 from loam.sources import relations as R
 
@@ -139,3 +139,52 @@ def page_cursors(spark, sf_dir):
 def answer_envelope(spark, sf_dir):
     o = R.read(spark, sf_dir, "orders")
     return service.envelope(o, 100, F.lit(7), F.lit("high"), F.when(F.col("o_orderkey") % 2 == 0, "stale").otherwise("partial"))
+
+
+# -- work that leaves the engine ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey AS id, strftime(o_orderdate + INTERVAL 4 HOUR, '%Y-%m-%d %H:%M') AS next FROM orders WHERE o_orderkey % 2 = 0 AND o_orderdate + INTERVAL 4 HOUR <= TIMESTAMP '1998-01-01' UNION ALL SELECT o_orderkey, strftime(date_trunc('day', o_orderdate) + INTERVAL 1590 MINUTE, '%Y-%m-%d %H:%M') FROM orders WHERE o_orderkey % 2 = 1 AND date_trunc('day', o_orderdate) + INTERVAL 1590 MINUTE <= TIMESTAMP '1998-01-01' AND o_orderdate >= date_trunc('day', o_orderdate) + INTERVAL 150 MINUTE UNION ALL SELECT o_orderkey, strftime(date_trunc('day', o_orderdate) + INTERVAL 150 MINUTE, '%Y-%m-%d %H:%M') FROM orders WHERE o_orderkey % 2 = 1 AND date_trunc('day', o_orderdate) + INTERVAL 150 MINUTE <= TIMESTAMP '1998-01-01' AND o_orderdate < date_trunc('day', o_orderdate) + INTERVAL 150 MINUTE")
+def due_schedules(spark, sf_dir):
+    o = R.read(spark, sf_dir, "orders")
+    s = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "every 4h").otherwise("daily at 2:30").alias("expression"), F.col("o_orderdate").cast("timestamp").alias("last"))
+    return jobs.due(s, F.lit("1998-01-01").cast("timestamp")).select("id", F.date_format("next", "yyyy-MM-dd HH:mm").alias("next"))
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS kind, CASE WHEN o_orderstatus = 'F' OR (o_orderstatus = 'O' AND o_totalprice > 1000) THEN 'completed' ELSE 'failed' END AS status, CASE WHEN o_orderstatus = 'F' THEN upper(o_orderpriority) WHEN o_orderstatus = 'O' AND o_totalprice > 1000 THEN CAST(length(o_orderpriority) AS VARCHAR) END AS result FROM orders")
+def job_results(spark, sf_dir):
+    """Jobs of three kinds: one has no handler, and one handler gives up on some."""
+    j = R.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("kind"), F.col("o_orderpriority").alias("scope"), "o_totalprice")
+    handlers = {"F": lambda df: df.select("id", F.upper("scope").alias("result")), "O": lambda df: df.where("o_totalprice > 1000").select("id", F.length("scope").alias("result"))}
+    return jobs.handled(j, handlers)
+
+
+def _post(key: int, body: str, signature: str, attempt: int) -> bool:
+    """A receiver that works at the first try, a later one, or never."""
+    if key % 5 == 4:
+        raise ConnectionError("no answer")
+    return key % 5 < attempt
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 5 < 3 THEN 'delivered' ELSE 'dead' END AS status, CAST(least(event_id % 5 + 1, 3) AS INT) AS attempts FROM events")
+def event_delivery(spark, sf_dir):
+    e = R.read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("props").alias("body"))
+    return jobs.deliver(e, _post, b"secret").select("id", "status", "attempts")
+
+
+def _page(address: str, cursor: str) -> str:
+    """A member's table in pages of ten, without a network; every fifth member breaks after its second page."""
+    import json
+
+    key, at = int(address.rsplit("/", 1)[1]), int(cursor or 0)
+    if key % 5 == 0 and at >= 20:
+        raise ConnectionError("gone")
+    last = key % 4 * 10 + 7
+    return json.dumps({"rows": [{"id": i, "name": f"s{key}-{i}"} for i in range(at, min(at + 10, last))], "next": str(at + 10) if at + 10 < last else None})
+
+
+@query("WITH m AS (SELECT n_nationkey AS k, n_nationkey % 4 * 10 + 7 AS n FROM nation), r AS (SELECT k, unnest(range(0, CASE WHEN k % 5 = 0 THEN least(n, 20) ELSE n END)) AS i FROM m) SELECT 'r' || k AS repo, count(*) AS rows, CAST(sum(i) AS BIGINT) AS ids, max(CASE WHEN k % 5 = 0 AND (k % 4 * 10 + 7) > 20 THEN 1 ELSE 0 END) AS failed FROM r GROUP BY 1")
+def remote_members(spark, sf_dir):
+    m = R.read(spark, sf_dir, "nation").select(F.concat(F.lit("r"), F.col("n_nationkey").cast("string")).alias("repo"), F.concat(F.lit("mem://x/"), F.col("n_nationkey").cast("string")).alias("address"))
+    r = jobs.remote_rows(m, _page, "id long, name string")
+    return r.groupBy("repo").agg(F.count("row").alias("rows"), F.sum("row.id").alias("ids"), F.max(F.col("error").isNotNull().cast("int")).alias("failed"))

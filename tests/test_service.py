@@ -101,3 +101,31 @@ def test_pagerank_ends_early_when_nothing_moves(spark):
     e = spark.createDataFrame([(1, 2, 1.0)], "src long, dst long, weight double")
     got = {r["id"]: r["score"] for r in graph.pagerank(e, spark.createDataFrame([(1,)], "id long"), steps=50).collect()}
     assert abs(got[1] - 0.15) < 1e-12 and abs(got[2] - 0.1275) < 1e-12
+
+
+def test_http_pages_and_signatures(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from loam.operators import jobs
+
+    class Member(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            more = "cursor=two" in self.path
+            self.send_response(500 if self.path.startswith("/bad") else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"rows": [{"id": 2 if more else 1}], "next": None if more else "two"}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Member)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    m = spark.createDataFrame([("a", f"{at}/x?y=1"), ("b", f"{at}/bad")], "repo string, address string")
+    got = jobs.remote_rows(m, jobs.http_page, "id long").collect()
+    server.shutdown()
+    assert sorted((r["repo"], r["row"]["id"] if r["row"] else None, bool(r["error"])) for r in got) == [("a", 1, False), ("a", 2, False), ("b", None, True)]
+    assert jobs.sign(b"key", b"The quick brown fox jumps over the lazy dog") == "f7bc83f430538424b13298e6aa6fb143ef4d59a14946175997479dbc2d1a3cd8"
+    assert {r["worker"] for r in jobs.assigned(spark.range(100), 4).collect()} == {0, 1, 2, 3}
