@@ -70,6 +70,7 @@ def hits_and_misses(ids: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return ids.join(table.select(key).distinct().withColumn("__h", F.lit(True)), key, "left").select(key, F.coalesce("__h", F.lit(False)).alias("found"))
 
 
-def canonical_json(*columns: str) -> Column:
-    """Compact JSON of sorted columns without nulls, doubles to six places."""
-    return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "true"})
+def canonical_json(df: DataFrame, *columns: str) -> Column:
+    """Compact JSON of ``df``'s columns, sorted by name, without nulls, floating numbers to six places."""
+    floating = {c for c, t in df.dtypes if t in ("double", "float")}
+    return F.to_json(F.struct(*[F.round(c, 6).alias(c) if c in floating else F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "true"})

@@ -237,7 +237,7 @@ def hit_miss_lookup(spark, sf_dir):
     return delta.hits_and_misses(ids, R.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), "id")
 
 
-@query("SELECT n_nationkey AS id, '{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || CASE WHEN n_regionkey > 1 THEN ',\"region\":' || n_regionkey ELSE '' END || '}' AS body FROM nation")
+@query("SELECT c_custkey AS id, '{' || CASE WHEN c_nationkey > 4 THEN '\"balance\":' || round(c_acctbal / 7, 6) || ',' ELSE '' END || '\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}' AS body FROM customer")
 def canonical_json(spark, sf_dir):
-    n = R.read(spark, sf_dir, "nation").withColumn("region", F.when(F.col("n_regionkey") > 1, F.col("n_regionkey")))
-    return n.select(F.col("n_nationkey").alias("id"), delta.canonical_json("region", "n_name", "n_nationkey").alias("body"))
+    c = R.read(spark, sf_dir, "customer").withColumn("balance", F.when(F.col("c_nationkey") > 4, F.col("c_acctbal") / 7))
+    return c.select(F.col("c_custkey").alias("id"), delta.canonical_json(c, "c_name", "balance", "c_custkey").alias("body"))

@@ -36,15 +36,25 @@ def federated_hotspots(spark, sf_dir):
     return out.orderBy(F.desc("score"), "target").limit(20)
 
 
-@query("SELECT n_nationkey AS repo, n_nationkey * 40 AS behind, n_nationkey * 5 AS age, CASE WHEN n_nationkey * 5 > 90 OR n_nationkey * 40 > 500 THEN 'critical' WHEN n_nationkey * 5 > 30 OR n_nationkey * 40 > 200 THEN 'stale' WHEN n_nationkey * 5 > 7 OR n_nationkey * 40 > 50 THEN 'aging' ELSE 'fresh' END AS level FROM nation")
+_BEHIND, _AGE = "s_suppkey * 7 % 600", "s_suppkey * 3 % 100"
+
+
+def _stale(spark, sf_dir):
+    return R.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("repo"), "s_nationkey", F.expr(_BEHIND).alias("behind"), F.expr(_AGE).alias("age")).withColumn("level", scoring.staleness(F.col("behind"), F.col("age")))
+
+
+_LEVEL = "CASE WHEN age > 90 OR behind > 500 THEN 3 WHEN age > 30 OR behind > 200 THEN 2 WHEN age > 7 OR behind > 50 THEN 1 ELSE 0 END"
+
+
+@query(f"WITH r AS (SELECT s_suppkey AS repo, {_BEHIND} AS behind, {_AGE} AS age FROM supplier) SELECT repo, behind, age, CASE {_LEVEL} WHEN 3 THEN 'critical' WHEN 2 THEN 'stale' WHEN 1 THEN 'aging' ELSE 'fresh' END AS level FROM r")
 def repo_staleness(spark, sf_dir):
-    return R.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("repo"), (F.col("n_nationkey") * 40).alias("behind"), (F.col("n_nationkey") * 5).alias("age")).withColumn("level", scoring.staleness(F.col("behind"), F.col("age")))
+    return _stale(spark, sf_dir).select("repo", "behind", "age", "level")
 
 
-@query("SELECT CASE max(CASE WHEN n_nationkey * 3 > 90 OR n_nationkey * 20 > 500 THEN 3 WHEN n_nationkey * 3 > 30 OR n_nationkey * 20 > 200 THEN 2 WHEN n_nationkey * 3 > 7 OR n_nationkey * 20 > 50 THEN 1 ELSE 0 END) WHEN 3 THEN 'critical' WHEN 2 THEN 'stale' WHEN 1 THEN 'aging' ELSE 'fresh' END AS worst FROM nation")
+@query(f"WITH r AS (SELECT {_BEHIND} AS behind, {_AGE} AS age FROM supplier WHERE s_nationkey = 3) SELECT CASE max({_LEVEL}) WHEN 3 THEN 'critical' WHEN 2 THEN 'stale' WHEN 1 THEN 'aging' ELSE 'fresh' END AS worst FROM r HAVING count(*) > 0")
 def worst_staleness(spark, sf_dir):
-    n = R.read(spark, sf_dir, "nation").select(scoring.staleness(F.col("n_nationkey") * 20, F.col("n_nationkey") * 3).alias("level"))
-    return federation.worst_staleness(n)
+    """The worst level of one federation's members."""
+    return federation.worst_staleness(_stale(spark, sf_dir).where("s_nationkey = 3")).where("worst is not null")
 
 
 _CONTRACT = "e AS (SELECT DISTINCT l_suppkey AS c, o_custkey AS k FROM lineitem JOIN orders ON o_orderkey = l_orderkey), d AS (SELECT c, count(*) AS direct FROM e GROUP BY 1), t AS (SELECT a.c, count(DISTINCT b.c) AS transitive FROM e a JOIN e b ON b.k = a.k AND b.c <> a.c GROUP BY 1), x AS (SELECT d.c AS contract, direct, coalesce(transitive, 0) AS transitive FROM d LEFT JOIN t ON t.c = d.c), p AS (SELECT *, CASE WHEN direct >= 5 THEN 3 WHEN direct >= 2 THEN 2 ELSE 0 END + (transitive > 0)::INT + (transitive > 5)::INT + (contract % 2 = 0)::INT + (contract % 5 = 0)::INT AS points FROM x)"
@@ -220,8 +230,9 @@ def export_importance(spark, sf_dir):
     return R.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), modules.importance(F.col("p_partkey"), F.col("p_size")).alias("importance"))
 
 
-@query("SELECT n_nationkey AS id, 'manifest' AS origin FROM nation WHERE n_regionkey = 1")
+@query("SELECT p_partkey AS id, 'manifest' AS origin FROM part WHERE p_size < 10")
 def module_discovery(spark, sf_dir):
-    n = R.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), "n_regionkey")
-    kind = lambda cond, name: n.where(cond).select("id", F.lit(name).alias("origin"))
-    return modules.prefer_first([kind("n_regionkey = 9", "declared"), kind("n_regionkey = 1", "manifest"), kind("n_regionkey < 9", "convention")], "id").select("id", "origin")
+    """Modules of the first way of finding them that finds any: none is declared, some have a manifest."""
+    p = R.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    kind = lambda cond, name: p.where(cond).select("id", F.lit(name).alias("origin"))
+    return modules.prefer_first([kind("p_size > 1000", "declared"), kind("p_size < 10", "manifest"), kind("p_size < 40", "convention")], "id").select("id", "origin")

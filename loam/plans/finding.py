@@ -153,32 +153,26 @@ def paths_to_targets(spark, sf_dir):
     return found.select("source", "target", F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("path"), "hops")
 
 
-_NEXT = "nx AS (SELECT DISTINCT n_nationkey::BIGINT AS src, ((n_nationkey * 7 + 3) % 25)::BIGINT AS dst FROM nation UNION SELECT n_nationkey::BIGINT, ((n_nationkey + 1) % 25)::BIGINT FROM nation)"
-
-
-def _nations(spark, sf_dir):
-    n = R.read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("src"))
-    return n.withColumn("dst", (F.col("src") * 7 + 3) % 25).unionByName(n.withColumn("dst", (F.col("src") + 1) % 25))
-
-
-@query(f"WITH RECURSIVE {_NEXT}, w(id, path) AS (SELECT 0::BIGINT, [0::BIGINT] UNION ALL SELECT dst, list_append(path, dst) FROM w JOIN nx ON src = id WHERE len(path) <= 5 AND NOT list_contains(path, dst)), b AS (SELECT id, len(path) - 1 AS hops, path, row_number() OVER (PARTITION BY id ORDER BY len(path), path) AS i FROM w) SELECT id, array_to_string(path, '>') AS path, hops::INT AS hops FROM b WHERE i = 1")
+@query(_FLOW + ", w(id, path) AS (SELECT 7::BIGINT, [7::BIGINT] UNION ALL SELECT dst, list_append(path, dst) FROM w JOIN flow ON src = id WHERE len(path) <= 2 AND NOT list_contains(path, dst)), b AS (SELECT id, len(path) - 1 AS hops, path, row_number() OVER (PARTITION BY id ORDER BY len(path), path) AS i FROM w) SELECT id, array_to_string(path, '>') AS path, hops::INT AS hops FROM b WHERE i = 1")
 def shortest_path(spark, sf_dir):
-    e = _nations(spark, sf_dir)
-    found = graph.shortest_paths(e, spark.createDataFrame([(0,)], "id long"), e.select(F.col("src").alias("id")), 5)
+    """From one symbol, the shortest way of at most two calls to every symbol."""
+    targets = R.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    found = graph.shortest_paths(R.flow(spark, sf_dir), spark.createDataFrame([(7,)], "id long"), targets, 2)
     return found.select("id", F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("path"), "hops")
 
 
-@query(f"WITH RECURSIVE {_NEXT}, w(origin, id, depth) AS (SELECT DISTINCT src, src, 0 FROM nx UNION SELECT origin, dst, depth + 1 FROM w JOIN nx ON src = id WHERE depth < 3) SELECT origin, id, min(depth) AS depth FROM w GROUP BY 1, 2")
+@query(_FLOW + ", w(origin, id, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_size = 1 UNION SELECT origin, dst, depth + 1 FROM w JOIN flow ON src = id WHERE depth < 2) SELECT origin, id, min(depth) AS depth FROM w GROUP BY 1, 2")
 def contract_closure(spark, sf_dir):
-    e = _nations(spark, sf_dir)
-    return graph.closure_with_origin(e, e.select(F.col("src").alias("id")).distinct(), 3)
+    """What each contract reaches within two steps; contracts are the symbols of one line."""
+    seeds = R.read(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").alias("id"))
+    return graph.closure_with_origin(R.flow(spark, sf_dir), seeds, 2)
 
 
-@query(f"WITH RECURSIVE {_NEXT}, w(id, depth) AS (SELECT dst, 1 FROM nx WHERE src = 4 UNION SELECT dst, depth + 1 FROM w JOIN nx ON src = id WHERE depth < 3), c AS (SELECT id, min(depth) AS depth FROM w GROUP BY 1) SELECT c.id AS via, c.depth, nx.dst AS consumer FROM c JOIN nx ON nx.src = c.id")
+@query(_FLOW + ", w(id, depth) AS (SELECT dst, 1 FROM flow WHERE src = 4 UNION SELECT dst, depth + 1 FROM w JOIN flow ON src = id WHERE depth < 2), c AS (SELECT id, min(depth) AS depth FROM w GROUP BY 1) SELECT c.id AS via, c.depth, flow.dst AS consumer FROM c JOIN flow ON flow.src = c.id")
 def transitive_consumers(spark, sf_dir):
-    e = _nations(spark, sf_dir).distinct()
+    e = R.flow(spark, sf_dir).select("src", "dst")
     first = e.where("src = 4").select(F.col("dst").alias("id"))
-    near = graph.reach(e, first, 2).select("id", (F.col("depth") + 1).alias("depth"))
+    near = graph.reach(e, first, 1).select("id", (F.col("depth") + 1).alias("depth"))
     return near.join(e, F.col("id") == F.col("src")).select(F.col("id").alias("via"), "depth", F.col("dst").alias("consumer"))
 
 

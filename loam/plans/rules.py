@@ -85,11 +85,11 @@ def suffix_suggestions(spark, sf_dir):
     return docs.suffix_index(s).groupBy(F.col("suffix").alias("ending")).agg(F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("suggestions"))
 
 
-@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey = 0 THEN 'fresh' WHEN n_nationkey <= 5 THEN 'near' WHEN n_nationkey <= 20 THEN 'behind' ELSE 'stale' END AS freshness, CAST(CASE WHEN n_nationkey = 0 THEN 1.0 WHEN n_nationkey <= 5 THEN 0.9 WHEN n_nationkey <= 20 THEN 0.6 ELSE 0.3 END AS DOUBLE) AS score FROM nation")
+@query("WITH s AS (SELECT s_suppkey AS id, s_suppkey % 40 AS b FROM supplier) SELECT id, CASE WHEN b = 0 THEN 'fresh' WHEN b <= 5 THEN 'near' WHEN b <= 20 THEN 'behind' ELSE 'stale' END AS freshness, CAST(CASE WHEN b = 0 THEN 1.0 WHEN b <= 5 THEN 0.9 WHEN b <= 20 THEN 0.6 ELSE 0.3 END AS DOUBLE) AS score FROM s")
 def index_freshness(spark, sf_dir):
-    b = F.col("n_nationkey")
+    b = F.col("s_suppkey") % 40
     step = lambda a, c, d, e: F.when(b == 0, a).when(b <= 5, c).when(b <= 20, d).otherwise(e)
-    return R.read(spark, sf_dir, "nation").select(b.alias("id"), step("fresh", "near", "behind", "stale").alias("freshness"), step(1.0, 0.9, 0.6, 0.3).alias("score"))
+    return R.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), step("fresh", "near", "behind", "stale").alias("freshness"), step(1.0, 0.9, 0.6, 0.3).alias("score"))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_size > 25 AND p_retailprice > 950 THEN 'full' WHEN p_size > 25 OR p_retailprice > 950 THEN 'partial' ELSE 'none' END AS context FROM part")
