@@ -18,7 +18,7 @@ from loam.operators.service import next_run
 
 def due(schedules: DataFrame, now: Column) -> DataFrame:
     """Schedules (``id, expression, last``) whose next run after ``last`` is not after ``now``, with that time; broken expressions are never due."""
-    return schedules.withColumn("next", next_run(F.col("expression"), F.col("last"))).where(F.col("next") <= now)
+    return next_run(schedules, "last").where(F.col("next") <= now)
 
 
 def assigned(jobs: DataFrame, workers: int) -> DataFrame:

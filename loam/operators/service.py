@@ -34,34 +34,55 @@ def _cron_field(text: Column, low: int, high: int) -> Column:
     return F.when(F.forall(parts, lambda p: p.isNotNull()), F.array_sort(F.array_distinct(F.flatten(parts))))
 
 
-def next_run(expression: Column, after: Column) -> Column:
-    """When a schedule runs next: ``every <n> <unit>`` (a minute at least), ``daily at HH:MM``, or five cron fields, where a day
-    fits by its number or its weekday; without a fit within a year, an hour on. Null if the expression is none of these."""
-    text = F.lower(F.trim(expression))
+def _parsed(expressions: DataFrame) -> DataFrame:
+    """Schedules ``expression`` taken apart, a row each: ``seconds`` of an interval, ``daily`` minute of the day, or what cron fields
+    allow: ``times`` (minutes of the day), ``days``, ``months`` and ``weekdays``. All null: no schedule."""
+    text = F.lower(F.trim("expression"))
     of = lambda pattern, i: F.regexp_extract(text, pattern, i)
     unit = F.substring(of(_INTERVAL, 2), 1, 1)
     wide = F.when(unit == "s", 1).when(unit == "m", 60).when(unit == "h", 3600).otherwise(86400)
     seconds = F.try_to_number(of(_INTERVAL, 1), F.lit("999999999")).cast("long") * wide
+    hour, minute = (F.try_to_number(of(_DAILY, i), F.lit("99")).cast("int") for i in (1, 2))
+    names = ("minutes", "hours", "days", "months", "weekdays")
+    bounds = ((0, 59), (0, 23), (1, 31), (1, 12), (0, 6))
+    out = expressions.select(
+        "expression",
+        F.when(text.rlike(_INTERVAL) & (seconds >= 60), seconds).alias("seconds"),
+        F.when(text.rlike(_DAILY) & (hour <= 23) & (minute <= 59), hour * 60 + minute).alias("daily"),
+        *[F.when(text.rlike(_CRON) & ~text.rlike(_INTERVAL) & ~text.rlike(_DAILY), _cron_field(of(_CRON, i + 1), *b)).alias(n) for i, (n, b) in enumerate(zip(names, bounds, strict=True))],
+    )
+    whole = F.lit(True)
+    for n in names:
+        whole = whole & F.col(n).isNotNull()
+    times = F.array_sort(F.flatten(F.transform("hours", lambda h: F.transform("minutes", lambda m: h * 60 + m))))
+    return out.select("expression", "seconds", "daily", F.when(whole, times).alias("times"), "days", "months", "weekdays")
+
+
+def next_run(schedules: DataFrame, after: str, name: str = "next") -> DataFrame:
+    """``schedules`` with the time that each ``expression`` runs next after the column ``after``.
+
+    ``every <n> <unit>`` (a minute at least), ``daily at HH:MM``, or five cron fields, where a day fits by its number or its
+    weekday; without a fit within a year, an hour on. Null if the expression is none of these. Each distinct expression is
+    taken apart once.
+    """
+    known = _parsed(schedules.select("expression").distinct()).withColumnRenamed("expression", "__expression")
+    rows = schedules.join(known, F.col("expression") == F.col("__expression"), "left")
+    t = F.col(after)
     plus = lambda t, s: F.timestamp_micros(F.unix_micros(t) + s.cast("long") * 1_000_000)
-    interval = F.when(seconds >= 60, plus(after, seconds))
-
-    start = F.date_trunc("day", after)
-    hour, minute = F.try_to_number(of(_DAILY, 1), F.lit("99")), F.try_to_number(of(_DAILY, 2), F.lit("99"))
-    today = plus(start, hour * 3600 + minute * 60)
-    daily = F.when((hour <= 23) & (minute <= 59), F.when(today > after, today).otherwise(plus(today, F.lit(86400))))
-
-    minutes, hours, days, months, weekdays = (_cron_field(of(_CRON, i + 1), low, high) for i, (low, high) in enumerate(((0, 59), (0, 23), (1, 31), (1, 12), (0, 6))))
-    times = F.flatten(F.transform(hours, lambda h: F.transform(minutes, lambda m: h * 60 + m)))
-    now = F.hour(after) * 60 + F.minute(after)
-    fits = lambda d: F.array_contains(months, F.month(d)) & (F.array_contains(days, F.day(d)) | F.array_contains(weekdays, F.dayofweek(d) - 1))
-    day = after.cast("date")
-    left = F.array_min(F.filter(times, lambda t: t > now))
-    coming = F.array_min(F.filter(F.sequence(F.date_add(day, 1), F.date_add(day, 366)), fits))
-    at = lambda d, t: plus(d.cast("timestamp"), t * 60)
-    found = F.when(fits(day) & left.isNotNull(), at(day, left)).otherwise(at(coming, F.array_min(times)))
-    whole = minutes.isNotNull() & hours.isNotNull() & days.isNotNull() & months.isNotNull() & weekdays.isNotNull()
-    cron = F.when(whole, F.when(found < F.add_months(day, 12).cast("timestamp"), found).otherwise(plus(after, F.lit(3600))))
-    return F.when(text.rlike(_INTERVAL), interval).when(text.rlike(_DAILY), daily).when(text.rlike(_CRON), cron)
+    at = lambda d, m: plus(d.cast("timestamp"), m * 60)
+    day, now = t.cast("date"), F.hour(t) * 60 + F.minute(t)
+    fits = lambda d: F.array_contains("months", F.month(d)) & (F.array_contains("days", F.day(d)) | F.array_contains("weekdays", F.dayofweek(d) - 1))
+    # Most schedules run again within some days, so the rest of the year is looked through only for the others.
+    first = lambda a, b: F.get(F.filter(F.sequence(F.date_add(day, a), F.date_add(day, b)), fits), F.lit(0))
+    left = F.get(F.filter("times", lambda m: m > now), F.lit(0))
+    rows = rows.withColumn("__left", F.when(F.col("times").isNotNull() & fits(day), left))
+    later = F.coalesce(first(1, 7), first(8, 62), first(63, 366))
+    rows = rows.withColumn("__day", F.when(F.col("times").isNotNull() & F.col("__left").isNull(), later))
+    found = F.when(F.col("__left").isNotNull(), at(day, F.col("__left"))).otherwise(at(F.col("__day"), F.get("times", F.lit(0))))
+    cron = F.when(found < F.add_months(day, 12).cast("timestamp"), found).otherwise(plus(t, F.lit(3600)))
+    daily = F.when(F.col("daily") > now, at(day, F.col("daily"))).otherwise(at(F.date_add(day, 1), F.col("daily")))
+    out = F.when(F.col("seconds").isNotNull(), plus(t, F.col("seconds"))).when(F.col("daily").isNotNull(), daily).when(F.col("times").isNotNull(), cron)
+    return rows.select(*schedules.columns, out.alias(name))
 
 
 def pending(jobs: DataFrame, limit: int) -> DataFrame:

@@ -26,7 +26,7 @@ def next_fire(spark, sf_dir):
     o = R.read(spark, sf_dir, "orders")
     after = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 1440 * 60_000_000)
     s = o.select(F.col("o_orderkey").alias("id"), F.expr(_SCHEDULE.replace("CASE o_orderkey % 7", "CASE int(o_orderkey % 7)")).alias("expression"), after.alias("t"))
-    return s.select("id", "expression", F.date_format(service.next_run(F.col("expression"), F.col("t")), "yyyy-MM-dd HH:mm").alias("next"))
+    return service.next_run(s, "t").select("id", "expression", F.date_format("next", "yyyy-MM-dd HH:mm").alias("next"))
 
 
 @query("SELECT id, place FROM (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'P') WHERE place <= 50")

@@ -27,8 +27,8 @@ from loam.operators import graph, service
     ],
 )
 def test_next_run(spark, expression, after, want):
-    df = spark.createDataFrame([(expression, dt.datetime.fromisoformat(after))], "e string, t timestamp")
-    got = df.select(service.next_run(F.col("e"), F.col("t")).alias("n")).first()["n"]
+    df = spark.createDataFrame([(expression, dt.datetime.fromisoformat(after))], "expression string, t timestamp")
+    got = service.next_run(df, "t").first()["next"]
     assert got == (dt.datetime.fromisoformat(want) if want else None)
 
 
@@ -50,8 +50,8 @@ def test_cron_against_every_minute(spark):
                 t += dt.timedelta(minutes=1)
             rows.append((len(rows), e, day))
             want[len(rows) - 1] = t
-    df = spark.createDataFrame(rows, "i int, e string, t timestamp")
-    assert {r["i"]: r["n"] for r in df.select("i", service.next_run(F.col("e"), F.col("t")).alias("n")).collect()} == want
+    df = spark.createDataFrame(rows, "i int, expression string, t timestamp")
+    assert {r["i"]: r["next"] for r in service.next_run(df, "t").collect()} == want
 
 
 def test_cursors_round_trip_and_reject(spark):
