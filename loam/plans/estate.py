@@ -74,6 +74,27 @@ def contract_risk(spark, sf_dir):
     return x.select("*", points.alias("points"), level.alias("level"))
 
 
+@query(
+    f"""WITH {_CONTRACT}, s AS (SELECT l_suppkey AS contract, o_custkey AS owner, round(sum(l_quantity * 0.9 * 0.7), 6) AS score FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
+o AS (SELECT contract, string_agg(owner::VARCHAR, ',' ORDER BY score DESC, owner) AS owners FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY contract ORDER BY score DESC, owner) <= 3) GROUP BY 1),
+k AS (SELECT c, string_agg(k::VARCHAR, ',' ORDER BY k) AS consumers FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY c ORDER BY k) <= 5) GROUP BY 1)
+SELECT p.contract, direct, transitive, CASE WHEN points >= 4 THEN 'high' WHEN points >= 2 THEN 'medium' ELSE 'low' END AS level, consumers, owners FROM p JOIN k ON k.c = p.contract JOIN o ON o.contract = p.contract"""
+)
+def contract_report(spark, sf_dir):
+    """A contract's risk with its first consumers and its owners, in one report."""
+    from loam.operators.listing import first_n
+
+    def listed(df, order, n, value, name):
+        top = F.array_sort(F.collect_list(F.struct("nth", value)))
+        return first_n(df, "contract", order, n).groupBy("contract").agg(F.array_join(F.transform(top, lambda x: x[value].cast("string")), ",").alias(name))
+
+    e = _contracts(spark, sf_dir)
+    who = contract_owners(spark, sf_dir).where("rank <= 3").drop("rank")
+    first = listed(e, ["consumer"], 5, "consumer", "consumers")
+    own = listed(who, [F.desc("score"), "owner"], 3, "owner", "owners")
+    return contract_risk(spark, sf_dir).join(first, "contract").join(own, "contract").select("contract", "direct", "transitive", "level", "consumers", "owners")
+
+
 @query("WITH e AS (SELECT l_suppkey AS contract, l_returnflag AS type, l_discount * 10 AS c FROM lineitem) SELECT type, CASE WHEN c >= 0.95 THEN 'declared' WHEN c >= 0.7 THEN 'derived' WHEN c >= 0.3 THEN 'heuristic' ELSE 'noise' END AS tier, count(*) AS n FROM e GROUP BY 1, 2")
 def contract_stats(spark, sf_dir):
     e = R.read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("type"), (F.col("l_discount") * 10).alias("c"))

@@ -125,6 +125,11 @@ def test_http_pages_and_signatures(spark):
     at = f"http://127.0.0.1:{server.server_port}"
     m = spark.createDataFrame([("a", f"{at}/x?y=1"), ("b", f"{at}/bad")], "repo string, address string")
     got = jobs.remote_rows(m, jobs.http_page, "id long").collect()
+    from loam.sources import remote
+
+    remote.register(spark)
+    source = spark.read.format("loam-remote").option("addresses", f"a={at}/x?y=1 c={at}/z").load()
+    assert sorted((r["repo"], json.loads(r["body"])["id"]) for r in source.collect()) == [("a", 1), ("a", 2), ("c", 1), ("c", 2)]
     server.shutdown()
     assert sorted((r["repo"], r["row"]["id"] if r["row"] else None, bool(r["error"])) for r in got) == [("a", 1, False), ("a", 2, False), ("b", None, True)]
     assert jobs.sign(b"key", b"The quick brown fox jumps over the lazy dog") == "f7bc83f430538424b13298e6aa6fb143ef4d59a14946175997479dbc2d1a3cd8"
