@@ -19,10 +19,10 @@ Runs repeat very often; a task keeps those it has encoded in a table that is bou
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import itertools
 import re
-from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
+from .common import bound_batches, small_batches, texts_of, tidy
 
 #: Fixed values of the tokenizer's file format: its splitting pattern (ASCII and Latin-1 letters only; other text takes the library's own way) and special tokens.
 _SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -68,14 +68,15 @@ class TreeEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model, self.most_bytes, self._decoded = self.tokenizer.model, most_bytes, None
+        self.model._resize_cache(0)  # the table below does its work
         letters = _byte_letters()
         self.forget()
-        self.spelt = {chr(c): "".join(chr(letters[b]) for b in chr(c).encode()) for c in range(0x21, 0x100)}
+        self.spelling = {c: "".join(chr(letters[b]) for b in chr(c).encode()) for c in range(0x21, 0x100)}
 
     def forget(self) -> None:
-        """Drop what the table of runs holds."""
-        self.runs: dict[str, bytes] = {}
-        self.runs_bytes = 0
+        """Drop what the table of runs holds: the place of each run's ids in one array of all."""
+        self.place: dict[str, int] = {}
+        self.sizes, self.flat, self.held = np.zeros(0, np.int32), np.zeros(0, np.int32), 0
 
     # -- one unsplit run -------------------------------------------------------------------------------------------
     def _model(self, run: str, ends: bool) -> list[tuple[int, str]]:
@@ -132,31 +133,46 @@ class TreeEncoder:
                 return left[:i] + window + right[j:]
             reach *= 2
 
-    def run(self, run: str) -> bytes:
-        """Ids of one run of letters or of signs, as packed 32-bit integers; from the table if it has been seen."""
-        if (got := self.runs.get(run)) is None:
-            text = run if run.isascii() else "".join([self.spelt[c] for c in run])
-            ids = [i for i, _ in self.run_tokens(text)] if len(text) > LEAF_RUN else [t.id for t in self.model.tokenize(text)]
-            got = _packed(ids)
-            if len(run) <= KEPT_CHARS:
-                if self.runs_bytes >= self.most_bytes:
-                    self.runs, self.runs_bytes = {}, 0
-                self.runs[run] = got
-                self.runs_bytes += 200 + 2 * len(run) + len(got)  # the entry, its text and its ids
-        return got
+    def run(self, run: str) -> list[int]:
+        """Ids of one run of letters or of signs."""
+        text = run if run.isascii() else run.translate(self.spelling)
+        return [i for i, _ in self.run_tokens(text)] if len(text) > LEAF_RUN else [t.id for t in self.model.tokenize(text)]
 
     # -- one piece without white space -----------------------------------------------------------------------------
-    def piece(self, text: str) -> bytes:
-        """Packed ids of any piece: its runs, one by one, or the library's own way where its splitting is not known here."""
+    def piece(self, text: str) -> list[int]:
+        """Ids of any piece: its runs, one by one, or the library's own way where its splitting is not known here."""
         low = text.lower()
         if _SIMPLE.fullmatch(text) and not any(x in low for x in _SPECIAL):
-            return b"".join([self.run(run) for run in _SPLIT.findall(low)])
-        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            return [i for run in _SPLIT.findall(low) for i in self.run(run)]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     # -- columns of texts ------------------------------------------------------------------------------------------
+    def _append(self, ids: list[list[int]]) -> np.ndarray:
+        """Add lists of ids to the table's arrays; returns their places."""
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        at = len(self.sizes)
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum()))])
+        self.held += 12 * len(ids) + 4 * int(sizes.sum())
+        return np.arange(at, at + len(ids))
+
+    def _places(self, runs: list[str]) -> np.ndarray:
+        """Places of runs in the table, which encodes those it has not seen."""
+        place = np.fromiter(map(self.place.get, runs, itertools.repeat(-1)), np.int64, len(runs))
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new = [runs[i] for i in missing]
+            place[missing] = self._append([self.run(x) for x in new])
+            kept = [(x, i) for x, i in zip(new, place[missing].tolist(), strict=True) if len(x) <= KEPT_CHARS]
+            self.place.update(kept)
+            self.held += 230 * len(kept)  # an entry, its text and its number
+        return place
+
     def _segments(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts, end to end, and the number of each text's. Most pieces are letters, then signs: two runs that are
         looked up once each for a whole column; the others go one by one."""
+        if self.held >= self.most_bytes:
+            self.forget()
         low = pc.ascii_lower(texts)
         # Lower-casing A-Z first only makes pieces repeat more often; special tokens are matched before it.
         special = pc.match_substring_regex(low, "<\\|(start|end)oftext\\|>")
@@ -164,21 +180,18 @@ class TreeEncoder:
         coded = pieces.flatten().dictionary_encode()
         cut = pc.extract_regex(coded.dictionary, _TWO_RUNS)
         plain = np.asarray(pc.is_valid(cut))
-        letters, signs = (cut.field(i).dictionary_encode() for i in (0, 1))
-        parts = [self.run(x) if x else b"" for c in (letters, signs) for x in c.dictionary.to_pylist()]
-        other = [self.piece(x) for x in coded.dictionary.filter(pa.array(~plain)).to_pylist()]
-        at = len(parts)
-        parts += [*other, b""]
-        first, second = np.full(len(plain), at, np.int64), np.full(len(plain), len(parts) - 1, np.int64)
-        first[~plain] += np.arange(len(other))
-        first[plain] = letters.indices.filter(pa.array(plain)).to_numpy(zero_copy_only=False)
-        second[plain] = len(letters.dictionary) + signs.indices.filter(pa.array(plain)).to_numpy(zero_copy_only=False)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        flat = np.frombuffer(b"".join(parts), np.int32)
+        letters, signs = (cut.field(i).filter(pa.array(plain)).dictionary_encode() for i in (0, 1))
+        with _uncollected():
+            first, second = np.empty(len(plain), np.int64), np.empty(len(plain), np.int64)
+            for out, runs in ((first, letters), (second, signs)):
+                out[plain] = self._places(runs.dictionary.to_pylist())[runs.indices.to_numpy(zero_copy_only=False)]
+            first[~plain] = self._append([self.piece(x) for x in coded.dictionary.filter(pa.array(~plain)).to_pylist()])
+            second[~plain] = self._append([[]])[0]
+        sizes, flat = self.sizes, self.flat
         which = np.stack([first, second], axis=1)[coded.indices.to_numpy(zero_copy_only=False)].ravel()
-        many = sizes[which].astype(np.int32)
+        many = sizes[which]
         ends = np.cumsum(many, dtype=np.int32)  # a batch holds a few megabytes of text, so far fewer ids than 2 ** 31
-        starts = (np.cumsum(sizes) - sizes).astype(np.int32)[which]
+        starts = (np.cumsum(sizes, dtype=np.int32) - sizes)[which]
         ids = np.repeat(starts - (ends - many), many)
         ids += np.arange(len(ids), dtype=np.int32)
         bounds = np.concatenate([np.zeros(1, np.int32), ends])[2 * (pieces.offsets.to_numpy() - pieces.offsets[0].as_py())]
@@ -244,8 +257,16 @@ def tree_segments(text: str) -> list[str]:
     return walk(0, len(text))
 
 
-def _packed(ids: list[int]) -> bytes:
-    return array("i", ids).tobytes()
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """No garbage collection meanwhile: many short lists live for a moment, none of them in a cycle."""
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if collecting:
+            gc.enable()
 
 
 #: The worker's tokenizers, with empty tables between tasks.
@@ -273,6 +294,7 @@ def _edge(c: str) -> bool:
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Short texts, null ones included, and long ones: ``doc_id, text``."""
+    bound_batches(docs.sparkSession)
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     is_long = F.coalesce(F.octet_length("text") > SPLIT_CHARS, F.lit(False)) & (F.char_length("text") > SPLIT_CHARS)
     return src.where(~is_long), src.where(is_long)
@@ -289,6 +311,7 @@ def _long_ids(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
     """
     whole = docs.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
 
+    @tidy
     def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, text, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -300,6 +323,7 @@ def _long_ids(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
 
     parts = whole.mapInArrow(halved, "doc_id long, digest string, copies long, part long, text string").repartition("doc_id", "digest", "part")
 
+    @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with task_encoder(path) as encoder:
             for batch in small_batches(batches, "text"):
@@ -344,6 +368,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """
     short, long = _source(docs, id_col, text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with task_encoder(path) as encoder:
             for batch in small_batches(batches, "text"):
@@ -355,7 +380,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
 def decode_ids(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """The library's ``decode(ids, skip_special_tokens=False)``: this format has no decoder, so tokens join with spaces. Null lists decode as empty ones."""
+    bound_batches(df.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with task_encoder(path) as encoder:
             for batch in batches:
@@ -375,6 +402,7 @@ def digest_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """
     short, long = _source(docs, id_col, text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with task_encoder(path) as encoder:
             for batch in small_batches(batches, "text"):

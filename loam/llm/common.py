@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -88,13 +91,39 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 20)) < int((1 << 20) * rows / total))
 
 
+#: Rows of the batches that Spark sends to Python workers; its own default is ten times as many.
+ARROW_ROWS = 1000
+_ARROW_CONF, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Spark send batches of ``ARROW_ROWS`` rows to Python workers, so that neither side holds many texts at a time; a session that has set another number keeps it."""
+    if spark.conf.get(_ARROW_CONF) == _ARROW_DEFAULT:
+        spark.conf.set(_ARROW_CONF, ARROW_ROWS)
+
+
+def tidy(run: Callable) -> Callable:
+    """A task's function on batches that gives the memory it has freed back to the system at its end: workers serve one operator after another."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     """Texts of a batch; null counts as empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about ``most`` bytes of text: bounds the worker's memory, drops nothing."""
+def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about ``most`` bytes of text: bounds the memory of a worker, drops nothing."""
     for batch in batches:
         if not batch.num_rows:
             continue

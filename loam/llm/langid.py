@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, texts_of
+from .common import bound_batches, small_batches, stored, texts_of, tidy
 
 UNKNOWN = "und"
 ORDERS = (3, 4)
@@ -28,6 +28,8 @@ MIN_SHARE = 1 / 20_000
 RIVAL = 0.25
 SLOT_BITS = 18
 HASHES = 2
+#: Text that is looked at in one go.
+PART_BYTES = 1 << 18
 
 
 @dataclass
@@ -110,10 +112,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     model without languages; other columns play no part, whatever their names. At most ``1 / MIN_SHARE`` n-grams a language
     are kept.
     """
+    bound_batches(labelled.sparkSession)
     src = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 1 << 20):
+        for batch in small_batches(batches, "text", 4 * PART_BYTES):
             langs = np.array(batch.column(1).to_pylist(), object)
             h, doc, _ = grams(texts_of(batch, "text"))
             for lang in sorted(set(langs)):
@@ -169,10 +173,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     to the first language by name. Texts of any length are scored whole, by themselves; repeated rows and rows with a null
     id are returned each; an empty table gives none; other columns play no part, whatever their names.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 1 << 20):
+        for batch in small_batches(batches, "text", PART_BYTES):
             langs, score = score_texts(shared.value, texts_of(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -185,9 +191,11 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
 
     The decision travels with the row, so no join or shuffle follows.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -199,6 +207,6 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
 
 
 def _parts(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
-    each = max(1, int(batch.num_rows * (1 << 20) / max(1, batch.column(at).nbytes)))
+    each = max(1, int(batch.num_rows * PART_BYTES / max(1, batch.column(at).nbytes)))
     for lo in range(0, batch.num_rows, each):
         yield batch.slice(lo, each)

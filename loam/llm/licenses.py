@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, texts_of
+from .common import bound_batches, small_batches, stored, texts_of, tidy
 
 #: Header and title lines of well-known public licenses.
 TEMPLATES = {
@@ -154,6 +154,7 @@ def units_of(texts: pa.Array) -> Iterator[tuple[int, list[list[str]], list[str]]
 def frequencies(texts: DataFrame, t: Templates) -> tuple[np.ndarray, list[int]]:
     """Units that hold each dimension, by kind of unit, and the units of each kind. ``2 * width`` counts reach the driver at most."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros((2, t.width + 1), np.int64)  # the last one counts the units
         for batch in small_batches(batches, "text"):
@@ -183,11 +184,13 @@ def scan(docs: DataFrame, path: F.Column, id_col: str = "doc_id", text_col: str
     rows that repeat an id or a path are scanned and returned each; texts of any length are read whole; an empty table
     gives none; the names of other columns do not matter.
     """
+    bound_batches(docs.sparkSession)
     t = templates()
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), path.alias("path"), docs[text_col].alias("text"))
     df, units = frequencies(rows.select("text"), t)
     shared = docs.sparkSession.sparkContext.broadcast([Scorer(t, kind, df[kind], units[kind]) for kind in (LINE, BODY)])
 
+    @tidy
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_line, by_body = shared.value
         for batch in small_batches(batches, "text"):

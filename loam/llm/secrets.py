@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, texts_of
+from .common import bound_batches, small_batches, stored, texts_of, tidy
 
 #: Fixed patterns of the base scan; letters of the first one's keywords match in either case, ASCII only.
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -141,6 +141,7 @@ _ROW = f"part int, doc_id long, base array<struct<start:long,kind:int,end:long>>
 _BASE = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
 _FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("n", pa.int32()), ("x", pa.float64()), ("weight", pa.float64())]))
 
+@tidy
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document with its spans and candidates; a row per batch with counts of symbols, and the sum and number of weights by length class."""
@@ -213,6 +214,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level:
     none; texts of any length are read whole; repeated rows and rows with a null id are scanned and returned each; an empty
     table gives none; other columns play no part, whatever their names.
     """
+    bound_batches(docs.sparkSession)
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     seen = stored(src.mapInArrow(_scan, _ROW), "secrets")
     total = seen.where("part = 1").select(F.posexplode(F.concat(F.col("symbols").cast("array<double>"), "sizes")).alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()  # 256 symbols, two numbers a length class
@@ -222,6 +224,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level:
     about = background(sums[:256])
     means = [float(w / n) if n else 1.0 for w, n in sums[256:].reshape(-1, 2)]
 
+    @tidy
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[tuple[int, int]] = Counter()
         for batch in batches:
@@ -232,6 +235,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level:
     counts = rows.where(F.size("found") > 0).select("found").mapInArrow(steps, "size int, step int, n long").groupBy("size", "step").agg(F.sum("n").alias("n")).collect()  # length classes x grid steps at most
     limits = thresholds({(r["size"], r["step"]): r["n"] for r in counts}, level)
 
+    @tidy
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, spans, random = [], [], []

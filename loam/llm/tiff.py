@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, texts_of
+from .common import bound_batches, small_batches, texts_of, tidy
 
 #: Fixed values of the format: tags, field widths, compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, STRIP_ROWS, STRIP_BYTES, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317
@@ -289,9 +289,11 @@ def read_pages(df: DataFrame, id_col: str, file_col: str) -> DataFrame:
     Null files give no row, repeated rows their pages each; a broken file gives one row with null columns and its error,
     after the pages before it; an empty table gives none; other columns play no part, whatever their names.
     """
+    bound_batches(df.sparkSession)
     schema = "id long, page int, width int, height int, samples int, bits int, compression int, data binary, error string"
     kinds = [pa.int64(), *[pa.int32()] * 6, pa.binary(), pa.string()]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -334,12 +336,14 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stored whole; repeated rows and rows with a null id are returned each; an empty table gives none; other columns play
     no part, whatever their names.
     """
+    bound_batches(docs.sparkSession)
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", file binary" * keep_file
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 4 << 20):
+        for batch in small_batches(batches, "text"):
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), texts_of(batch, "text"), strict=True):
                 n, raw = payload_of(text)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from loam.functions.shared import shared_dir
 
 from .bpe import task_encoder
-from .common import clear_later, small_batches, stored, write_file
+from .common import bound_batches, clear_later, small_batches, stored, tidy, write_file
 
 MAGIC = b"LWM2"  # fixed value of the format
 HEAD = struct.Struct("<4sIQQQ")
@@ -194,6 +194,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc
     first and keep it; a text may be longer than a range, it is never cut; an empty table gives no file; other columns
     play no part, whatever their names.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     parts = max(1, -(-(src.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // range_bytes))
@@ -201,6 +202,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc
     folder = f"{shared_dir(spark)}/loam-wavelet-{uuid.uuid4().hex}"
     clear_later(folder)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         here, size, shard = None, 0, 0
@@ -212,7 +214,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc
             return pa.RecordBatch.from_arrays([pa.array([here], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([file])], names=["range", "shard", "n_tokens", "file"])
 
         with task_encoder(path) as encoder:
-            for batch in small_batches(batches, "text", 4 << 20):
+            for batch in small_batches(batches, "text"):
                 flat, many = encoder.encode_column(batch.column(1))
                 ids = np.insert(flat, np.cumsum(many), end_id)
                 many = many + 1
@@ -233,6 +235,7 @@ def read_documents(files: DataFrame) -> DataFrame:
     Starts inside a file come from its offsets; a file's own start is the sum of ``n_tokens`` of all files before it,
     which takes one row per range and per file, not per document. A null id is null again; an empty table gives no row.
     """
+    bound_batches(files.sparkSession)
     spark = files.sparkSession
     sizes = files.select("range", "shard", "n_tokens")
     by_range = sizes.groupBy("range").agg(F.sum("n_tokens").alias("n"))
@@ -241,6 +244,7 @@ def read_documents(files: DataFrame) -> DataFrame:
     starts = inside.join(before, "range").select(F.col("range").alias("r"), F.col("shard").alias("s"), (F.col("range_start") + F.col("shard_start")).alias("base"))
     schema = "range int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
