@@ -6,16 +6,17 @@ shingles; on these sets the join is exact.
 1. *Order.* Shingles that very many documents hold are counted in every task and listed (a bounded list). All documents order
    their shingles alike: unlisted ones by hash, then listed ones. Two linked documents share a shingle among the first
    ``n - ceil(0.8 n) + 1`` of each; those are a document's keys, and the documents with a key form its bucket.
-2. *Stars.* In each bucket every document is compared with the bucket's smallest id: as many pairs as rows. Sizes, then
-   bitmaps bound the overlap, the sets themselves decide. Links give components.
-3. *Trees.* What is left are pairs of documents that share a bucket and whose sizes allow a link, but not yet their
-   component. Buckets with the same largest component are searched together, in bands of size: a link spans at most two
-   neighbouring bands. A band that holds several components is cut into blocks of at most ``BLOCK`` documents, and each
-   pair of blocks that may hold a link gets a signature tree: leaves of documents, nodes with the OR of their bitmaps, the
-   range of set sizes and the component, if it is one. A dual traversal drops node pairs of one component, of sizes too far
-   apart, or whose bitmaps allow too small an overlap. What is left is decided by the sets.
-
-Copies of a text, or a thousand variants of one, are one component after step 2 and cost nothing in step 3: blocks of a band's
+2. *Stars.* A bucket is cut into bands of size: a link spans at most two neighbouring bands, so a document stands in its own
+   and in the one below. In each band of a bucket every document is compared with the smallest id, as many pairs as rows.
+   Sizes, then bitmaps bound the overlap, the sets themselves decide. Links give components.
+3. *More stars.* Buckets with the same largest component are searched together from here on, band by band. In bands that
+   hold several components every document is compared with a few picked by hash, some in the largest one and some outside.
+4. *Trees.* Bands that still hold several components are cut into blocks of at most ``BLOCK`` documents, and each pair of
+   blocks that may hold a link gets a signature tree: leaves of documents, nodes with the OR of their bitmaps, the range of
+   set sizes and the component, if it is one. A dual traversal drops node pairs of one component, of sizes too far apart, or
+   whose bitmaps allow too small an overlap. What is left is decided by the sets.
+
+Copies of a text, or a thousand variants of one, are one component before step 4 and cost nothing there: blocks of a band's
 largest component only meet blocks of other documents. A task holds two blocks, whatever the size of a bucket.
 """
 
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import bound_batches, small_batches, stored, tidy
 
 WORDS = 5
 #: Similarity as a fraction.
@@ -39,14 +40,16 @@ SIM_NUM, SIM_DEN = 4, 5
 #: A shingle is listed if tasks that hold it at least ``COUNT_LEAST`` times hold it often enough in all: one that is not listed
 #: stands once in nearly every task at most. A task counts batches of about ``COUNT_BYTES`` into a table of ``COUNT_ROWS``,
 #: which forgets shingles seen once when it is full.
-COUNT_BYTES, COUNT_LEAST, COUNT_ROWS = 8 << 20, 2, 1 << 20
+COUNT_BYTES, COUNT_LEAST, COUNT_ROWS = 2 << 20, 2, 1 << 20
 LISTED_LEAST, LISTED_SHARE, LISTED_MOST = 16, 5e-5, 500_000
 #: Longer runs of one key are treated like those of listed shingles.
 RUN_MOST = 2048
 BLOCK = 256
 #: Bits of a bitmap for each shingle, at least; widest bitmap.
-BITS, MOST_BITS = 2, 1 << 16
+BITS, MOST_BITS = 4, 1 << 16
 LEAF, FANOUT = 8, 8
+#: Documents of a band that all others are compared with before the trees: of its largest component, and of the rest.
+PICKED = (5, 2)
 #: Up to so many ids (8 bytes each) are broadcast.
 BROADCAST_IDS = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -117,6 +120,7 @@ def fold(maps: list[bytes], least: int | None = None) -> np.ndarray:
 def listed_shingles(docs: DataFrame, rows: int) -> np.ndarray:
     """Hashes of the most common shingles, sorted: only the order of keys depends on it, never a link."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, many = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in small_batches(batches, "text", COUNT_BYTES):
@@ -141,9 +145,10 @@ def sketches(docs: DataFrame, listed: np.ndarray) -> DataFrame:
     """``doc_id, n, digest, rare, common, bits``: set size, digest of the set, keys outside and inside the list, bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(listed)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
-        for batch in small_batches(batches, "text", 4 << 20):
+        for batch in small_batches(batches, "text"):
             sets = shingle_sets(batch.column(1))
             n, digest, rare, often, bits = [], [], [], [], []
             for s in sets:
@@ -169,6 +174,7 @@ def sketches(docs: DataFrame, listed: np.ndarray) -> DataFrame:
 def _buckets(keys: DataFrame) -> DataFrame:
     """Buckets of two or more ids from rows ``key, doc_id``, sorted by both inside each partition: ``docs`` ascending, or, for long runs, rows ``key, doc_id``."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key_left, doc_left, long_key = np.zeros(0, np.int64), np.zeros(0, np.int64), None
 
@@ -216,11 +222,23 @@ def _buckets(keys: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "docs array<long>, key long, doc_id long")
 
 
-def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` whose sizes allow a link."""
-    of = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    return both.where((F.col("n_a") * SIM_DEN >= F.col("n_b") * SIM_NUM) & (F.col("n_b") * SIM_DEN >= F.col("n_a") * SIM_NUM)).select("a", "b")
+def _bands(rows: DataFrame) -> DataFrame:
+    """``rows`` with a size ``n``, once in the ``band`` of that size and once in the one below: two sizes that allow a link share a band."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIM_DEN / SIM_NUM) + 1e-9)).cast("int")
+    return rows.withColumn("band", F.explode(F.array(band, band - 1)))
+
+
+def _sizes_fit(a: str, b: str):
+    return (F.col(a) * SIM_DEN >= F.col(b) * SIM_NUM) & (F.col(b) * SIM_DEN >= F.col(a) * SIM_NUM)
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """A stored table of single rows, to be broadcast if it is short."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
+def _pair(a: str, b: str) -> list:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
 def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -234,6 +252,7 @@ def _bounded(pairs: DataFrame, sk: DataFrame) -> DataFrame:
     about = lambda x: some.select(F.col("doc_id").alias(x), F.struct("n", "digest", "bits").alias(f"of_{x}"))
     both = pairs.join(about("a"), "a").join(about("b"), "b")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2).flatten(), batch.column(3).flatten()
@@ -257,8 +276,9 @@ def _decided(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         return pairs.select("a", "b")
     wanted = _only(docs, ids)
 
+    @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 4 << 20):
+        for batch in small_batches(batches, "text"):
             got = [s.tobytes() for s in shingle_sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["doc_id", "shingles"])
 
@@ -266,6 +286,7 @@ def _decided(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     both = pairs.select("a", "b").join(have.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(have.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -379,7 +400,7 @@ def _block_pairs() -> F.Column:
     meets = F.when(F.col("mb") > 0, F.transform(up_to("mb"), lambda i: name("m", i, block("ob")))).otherwise(F.array().cast("array<string>"))
     among = F.transform(up_to("ob"), lambda j: name("o", F.least(j, block("ob")), F.greatest(j, block("ob"))))
     whole = F.array(F.lit("all"))
-    return F.when(F.col("mb") + F.col("ob") <= 2, whole).when(F.col("label") == F.col("major"), major).otherwise(F.concat(meets, among))
+    return F.when(F.col("mb") + F.col("ob") <= 2, whole).when(F.col("label") == F.col("lead"), major).otherwise(F.concat(meets, among))
 
 
 def _tree_pairs(rows: DataFrame) -> DataFrame:
@@ -405,6 +426,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links. Rows with a null id are returned with their size and a null component. Texts of any length count whole; an empty
     table gives none; other columns are ignored, whatever their names.
     """
+    bound_batches(docs.sparkSession)
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     listed = listed_shingles(src, src.count())
     sk = stored(sketches(src, listed), "sketches")
@@ -414,42 +436,50 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     runs = stored(_buckets(known.select(F.explode("rare").alias("key"), "doc_id")), "runs")
     buckets = stored(runs.where("docs is not null").select("docs").distinct().withColumn("bucket", F.xxhash64("docs")), "buckets")
     dense = runs.where("docs is null").select("key", "doc_id").unionByName(known.select(F.explode("common").alias("key"), "doc_id"))
-    heads = dense.groupBy("key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    heads = stored(heads, "heads")
-    few = F.broadcast(heads) if heads.count() <= BROADCAST_IDS else heads
+    dense = dense.distinct().select(F.xxhash64(F.lit("key"), "key").alias("bucket"), "doc_id")
+    light = buckets.select("bucket", F.explode("docs").alias("doc_id"))
+    sizes = known.select(F.col("doc_id").alias("sid"), "n")
+    keyed = stored(light.unionByName(dense).join(sizes, F.col("doc_id") == F.col("sid")).select("bucket", "doc_id", "n"), "keyed")
 
     # Stars.
-    stars = buckets.select(F.expr("docs[0]").alias("b"), F.explode(F.expr("slice(docs, 2, size(docs) - 1)")).alias("a"))
-    stars = stars.select("a", "b").unionByName(dense.join(few, "key").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")))
-    near = stored(_sized(stars.distinct(), known.select("doc_id", "n")).distinct(), "near")
+    banded = _bands(keyed)
+    heads = banded.groupBy("bucket", "band").agg(F.min(F.struct("doc_id", "n")).alias("h"), F.max("doc_id").alias("top")).where("h.doc_id <> top")
+    heads = stored(heads.select("bucket", "band", F.col("h.doc_id").alias("head"), F.col("h.n").alias("head_n")), "heads")
+    near = banded.join(_few(heads), ["bucket", "band"]).where((F.col("doc_id") != F.col("head")) & _sizes_fit("n", "head_n")).select(*_pair("doc_id", "head"))
+    near = stored(near.distinct(), "near")
     tried = stored(_bounded(near, known), "stars")
     links = _decided(tried.where("not same"), src).unionByName(tried.where("same").select("a", "b")).unionByName(_twins(known))
     links = stored(links, "star-links")
     labels = components(links)
 
-    # Trees over the bands of the buckets that hold several components still. Buckets of one largest component are searched
-    # together, so that a document of a large group goes out once, not once for each key it shares with the group.
-    light = buckets.where("size(docs) > 2").select("bucket", F.explode("docs").alias("doc_id"))
-    keyed = light.unionByName(dense.distinct().select(F.xxhash64(F.lit("key"), "key").alias("bucket"), "doc_id"))
-    member = keyed.join(labels.withColumnRenamed("id", "lid"), F.col("doc_id") == F.col("lid"), "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    member = stored(member, "member")
+    # More stars, in the bands of the buckets that hold several components still, by their largest one.
+    labelled = lambda rows: rows.join(labels.withColumnRenamed("id", "lid"), F.col("doc_id") == F.col("lid"), "left").withColumn("label", F.coalesce("label", "doc_id")).drop("lid")
+    member = stored(labelled(keyed), "member")
     per = member.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("major"), F.count(F.lit(1)).alias("parts"))
     mixed = stored(per.where("parts > 1").select("bucket", "major"), "mixed")
-    held = member.join(mixed, "bucket").select("major", "doc_id", "label").distinct()
-    about = known.select(F.col("doc_id").alias("sid"), "n")
-    # A document stands in its own band and in the one below; two that may be linked share the lower one's.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIM_DEN / SIM_NUM) + 1e-9)).cast("int")
-    held = held.join(about, F.col("doc_id") == F.col("sid")).select("major", "doc_id", "label", F.explode(F.array(band, band - 1)).alias("band"))
-    held = stored(held, "held")
-    of = held.groupBy("major", "band").agg(F.count_if(F.col("label") == F.col("major")).alias("m"), F.count_if(F.col("label") != F.col("major")).alias("o"), F.min("label").alias("low"), F.max("label").alias("high"))
-    of = of.where("low <> high").select("major", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("o") / BLOCK).cast("int").alias("ob"))
-    of = stored(of, "bands")
-    dealt = held.join(of, ["major", "band"]).select("doc_id", "label", F.explode(_block_pairs()).alias("pair"), "major", "band")
-    dealt = dealt.select(F.xxhash64("major", "band", "pair").alias("bucket"), "doc_id", "label")
-    some = _only(known, stored(dealt.select(F.col("doc_id").alias("id")).distinct(), "tree-ids")).select(F.col("doc_id").alias("sid"), "n", "bits")
-    full = dealt.join(some, F.col("doc_id") == F.col("sid")).select("bucket", "doc_id", "label", "n", "bits")
-    more = _tree_pairs(full).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = stored(more, "tree-pairs")
+    held = stored(_bands(member.join(mixed, "bucket").select("major", "doc_id", "n").distinct()), "held")
+    group = ["major", "band"]
+    some = stored(labelled(held), "labelled")
+    leads = lambda rows: rows.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("k")).groupBy(*group).agg(F.max_by("label", F.struct("k", -F.col("label"))).alias("lead"), F.max("k").alias("m"), F.sum("k").alias("all")).where("all > m")
+    pick = lambda inside, k: F.min_by(F.struct("doc_id", "n", "label"), F.when((F.col("label") == F.col("lead")) == inside, F.xxhash64(F.lit(k), "doc_id")))
+    picks = F.array(*[pick(True, k) for k in range(PICKED[0])], *[pick(False, k) for k in range(PICKED[1])])
+    picked = some.join(leads(some), group).groupBy(*group).agg(F.array_distinct(picks).alias("p")).select(*group, F.explode("p").alias("p"))
+    picked = stored(picked.select(*group, F.col("p.doc_id").alias("head"), F.col("p.n").alias("head_n"), F.col("p.label").alias("head_label")), "picked")
+    again = some.join(_few(picked), group).where((F.col("label") != F.col("head_label")) & _sizes_fit("n", "head_n")).select(*_pair("doc_id", "head"))
+    again = stored(again.distinct().join(near, ["a", "b"], "left_anti"), "again")
+    if not again.isEmpty():
+        near = near.unionByName(again)
+        links = stored(links.unionByName(_decided(_bounded(again, known), src)), "more-links")
+        labels = components(links)
+
+    # Trees over what holds several components even now.
+    some = stored(labelled(held), "labelled")
+    blocks = leads(some).select(*group, "lead", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil((F.col("all") - F.col("m")) / BLOCK).cast("int").alias("ob"))
+    dealt = some.join(stored(blocks, "blocks"), group).select("doc_id", "label", F.explode(_block_pairs()).alias("pair"), *group)
+    dealt = stored(dealt.select(F.xxhash64(*group, "pair").alias("bucket"), "doc_id", "label"), "dealt")
+    about = _only(known, stored(dealt.select(F.col("doc_id").alias("id")).distinct(), "tree-ids")).select(F.col("doc_id").alias("sid"), "n", "bits")
+    full = dealt.join(about, F.col("doc_id") == F.col("sid")).select("bucket", "doc_id", "label", "n", "bits")
+    more = stored(_tree_pairs(full).distinct().join(near, ["a", "b"], "left_anti"), "tree-pairs")
     if not more.isEmpty():
         late = stored(_decided(more, src), "tree-links")
         if not late.isEmpty():
