@@ -177,6 +177,8 @@ class WaveletFile:
         return np.array([self.access(j) for j in range(self.offsets[i], self.offsets[i + 1])], np.int64)
 
 
+#: Text that is encoded in one go: words repeat within a batch, so wider ones cost less.
+BATCH_BYTES = 4 << 20
 #: Documents go to ranges of about so many bytes of text.
 RANGE_BYTES = 24 << 20
 NAME = re.compile(r"(\d+)-(\d+)\.lwm$")
@@ -214,7 +216,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc
             return pa.RecordBatch.from_arrays([pa.array([here], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([file])], names=["range", "shard", "n_tokens", "file"])
 
         with task_encoder(path) as encoder:
-            for batch in small_batches(batches, "text"):
+            for batch in small_batches(batches, "text", BATCH_BYTES):
                 flat, many = encoder.encode_column(batch.column(1))
                 ids = np.insert(flat, np.cumsum(many), end_id)
                 many = many + 1
