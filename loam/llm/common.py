@@ -102,6 +102,17 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_ARROW_CONF, ARROW_ROWS)
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of ``rows`` rows for what is executed inside."""
+    before = spark.conf.get(_ARROW_CONF)
+    spark.conf.set(_ARROW_CONF, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW_CONF, before)
+
+
 def tidy(run: Callable) -> Callable:
     """A task's function on batches that gives the memory it has freed back to the system at its end: workers serve one operator after another."""
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, small_batches, stored, tidy
+from .common import batch_rows, bound_batches, small_batches, stored, tidy
 
 WORDS = 5
 #: Similarity as a fraction.
@@ -45,11 +45,14 @@ LISTED_LEAST, LISTED_SHARE, LISTED_MOST = 16, 5e-5, 500_000
 #: Longer runs of one key are treated like those of listed shingles.
 RUN_MOST = 2048
 BLOCK = 256
-#: Bits of a bitmap for each shingle, at least; widest bitmap.
-BITS, MOST_BITS = 4, 1 << 16
+#: Bits of a bitmap for each shingle, at least: of sets up to ``SMALL``, and of larger ones, of which fewer are near each other in
+#: size; widest bitmap.
+BITS, SMALL, MOST_BITS = (4, 2), 256, 1 << 16
 LEAF, FANOUT = 8, 8
 #: Documents of a band that all others are compared with before the trees: of its largest component, and of the rest.
 PICKED = (5, 2)
+#: Pairs of sets are compared in batches of so many: a set may hold a long document's shingles.
+SET_ROWS = 64
 #: Up to so many ids (8 bytes each) are broadcast.
 BROADCAST_IDS = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -99,9 +102,13 @@ def needed(a, b):
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """One bit per shingle, in a power of two of ``BITS`` to twice as many bits a shingle; larger maps fold onto smaller ones."""
+    """One bit per shingle, in a power of two of ``BITS`` to twice as many bits a shingle; larger maps fold onto smaller ones.
+
+    Sets that differ by a quarter in size have maps that differ by one doubling at most.
+    """
+    wanted = BITS[0] * len(shingles) if len(shingles) <= SMALL else max(BITS[0] * SMALL, BITS[1] * len(shingles))
     n = 256
-    while n < BITS * len(shingles) and n < MOST_BITS:
+    while n < wanted and n < MOST_BITS:
         n *= 2
     bits = np.zeros(n, np.uint8)
     bits[((shingles >> np.uint64(20)) & np.uint64(n - 1)).astype(np.int64)] = 1
@@ -148,7 +155,7 @@ def sketches(docs: DataFrame, listed: np.ndarray) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", COUNT_BYTES):
             sets = shingle_sets(batch.column(1))
             n, digest, rare, often, bits = [], [], [], [], []
             for s in sets:
@@ -282,7 +289,8 @@ def _decided(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             got = [s.tobytes() for s in shingle_sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["doc_id", "shingles"])
 
-    have = stored(wanted.mapInArrow(sets, "doc_id long, shingles binary"), "sets")
+    with batch_rows(docs.sparkSession, SET_ROWS):
+        have = stored(wanted.mapInArrow(sets, "doc_id long, shingles binary"), "sets")
     both = pairs.select("a", "b").join(have.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(have.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
 
@@ -296,7 +304,8 @@ def _decided(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(SIM_DEN * shared >= SIM_NUM * (len(x) + len(y) - shared) and shared > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    with batch_rows(docs.sparkSession, SET_ROWS):
+        return stored(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "decided")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -430,7 +439,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     listed = listed_shingles(src, src.count())
     sk = stored(sketches(src, listed), "sketches")
-    known = sk.where("doc_id is not null and n > 0")
+    every = sk.where("doc_id is not null and n > 0")
+    # Equal sets are linked by their digests; one document stands for them in all that follows.
+    copies = every.groupBy(F.col("digest").alias("g")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
+    copies = stored(copies.select("g", "first"), "copies")
+    known = every.join(_few(copies), F.col("digest") == F.col("g"), "left").where("first is null or doc_id = first").drop("g", "first")
 
     # Buckets of unlisted keys; equal buckets count once.
     runs = stored(_buckets(known.select(F.explode("rare").alias("key"), "doc_id")), "runs")
@@ -448,7 +461,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = banded.join(_few(heads), ["bucket", "band"]).where((F.col("doc_id") != F.col("head")) & _sizes_fit("n", "head_n")).select(*_pair("doc_id", "head"))
     near = stored(near.distinct(), "near")
     tried = stored(_bounded(near, known), "stars")
-    links = _decided(tried.where("not same"), src).unionByName(tried.where("same").select("a", "b")).unionByName(_twins(known))
+    links = _decided(tried.where("not same"), src).unionByName(tried.where("same").select("a", "b")).unionByName(_twins(every))
     links = stored(links, "star-links")
     labels = components(links)
 
@@ -469,7 +482,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = stored(again.distinct().join(near, ["a", "b"], "left_anti"), "again")
     if not again.isEmpty():
         near = near.unionByName(again)
-        links = stored(links.unionByName(_decided(_bounded(again, known), src)), "more-links")
+        links = stored(links.unionByName(_decided(stored(_bounded(again, known), "bounded"), src)), "more-links")
         labels = components(links)
 
     # Trees over what holds several components even now.
