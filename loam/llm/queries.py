@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, licenses, mixing, ngram_join, secrets, tiff, toxicity, wavelet
+from . import ball_kmeans, bpe, exact_dedup, langid, licenses, mixing, ngram_join, secrets, source_terms, tiff, toxicity, wavelet
 from .common import crc_mod, table
 
 
@@ -64,8 +64,29 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(wavelet.write_shards(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_terms.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_battery, op2_toxic_spans, op3_signature_tree_join, op4_license_paths, op5_bpe_tree, op6_source_schedule, op7_tiff_pages, op8_salted_dedup, op9_bloom_langid, op10_wavelet_shards)
+    for f in (
+        op1_secret_battery,
+        op2_toxic_spans,
+        op3_signature_tree_join,
+        op4_license_paths,
+        op5_bpe_tree,
+        op6_source_schedule,
+        op7_tiff_pages,
+        op8_salted_dedup,
+        op9_bloom_langid,
+        op10_wavelet_shards,
+        op11_ball_kmeans,
+        op12_source_terms,
+    )
 }
-SQL = {"op8_salted_dedup": exact_dedup.SQL}
+SQL = {"op8_salted_dedup": exact_dedup.SQL, "op11_ball_kmeans": ball_kmeans.SQL, "op12_source_terms": source_terms.SQL}
