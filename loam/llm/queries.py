@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_kmeans, bpe, exact_dedup, langid, licenses, mixing, ngram_join, secrets, source_terms, tiff, toxicity, wavelet
+from . import ball_kmeans, bbit_minhash, bpe, exact_dedup, langid, licenses, mixing, ngram_join, secrets, source_terms, tiff, toxicity, wavelet
 from .common import crc_mod, table
 
 
@@ -72,6 +72,10 @@ def op12_source_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_terms.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bbit_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,6 +91,7 @@ QUERIES = {
         op10_wavelet_shards,
         op11_ball_kmeans,
         op12_source_terms,
+        op13_bbit_minhash,
     )
 }
 SQL = {"op8_salted_dedup": exact_dedup.SQL, "op11_ball_kmeans": ball_kmeans.SQL, "op12_source_terms": source_terms.SQL}
