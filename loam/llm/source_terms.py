@@ -3,21 +3,25 @@
 Each language keeps the terms that enough of its documents hold. A kept term becomes one row with an array of its counts
 by source, so that the sources' smoothed probabilities, scaled to whole numbers, lie side by side. Higher-order functions turn
 a row into the contributions of its pairs of sources, first by one source, then by the other, and Spark's map-side aggregation
-sums them: one row a task and pair reaches the shuffle. Everything stays in the JVM and in whole numbers.
+sums them: one row a task and pair reaches the shuffle. All of it is in whole numbers.
 
-A text's terms are sorted and counted inside its row, so one row a text and distinct term is counted on, and that in every
-task first: no frequent word and no large source meets in one task.
+Terms are cut and counted in Arrow batches, in every task first, so no frequent word and no large source meets in one task.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, stored
+from .common import bound_batches, small_batches, stored, tidy
 
-#: A term, in Java's dialect, over text whose A-Z are lower-cased.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: ASCII letters become lower-case and other ASCII characters spaces; all bytes of other characters stay, so terms can be cut from UTF-8.
+_LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+SLICE, HELD = 1 << 20, 400_000
 LEAST_DOCS, SMOOTH, UNIT, TOP = 30, 5, 1_000_000_000, 50
 #: Up to so many groups are broadcast, as one row a language.
 BROADCAST_GROUPS = 10_000
@@ -28,15 +32,46 @@ def _rows(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> Dat
     return docs.select(empty(lang_col).alias("lang"), empty(source_col).alias("source"), empty(text_col).alias("text"))
 
 
+def _words(text: bytes) -> Iterator[list[bytes]]:
+    """Terms of a text in UTF-8, about ``SLICE`` bytes at a time, each slice ending where a term does."""
+    clean, at = text.translate(_LETTERS), 0
+    while at < len(clean):
+        end = clean.find(b" ", at + SLICE)
+        end = len(clean) if end < 0 else end
+        yield clean[at:end].split()
+        at = end
+
+
 def term_counts(rows: DataFrame) -> DataFrame:
-    """``lang, source, term, n, docs``: occurrences, and documents that hold the term."""
-    t = rows.select("lang", "source", F.sort_array(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(TERM), F.lit(0))).alias("ts"))
-    t = t.where(F.size("ts") > 0)
-    at = F.filter(F.sequence(F.lit(0), F.size("ts") - 1), lambda i: (i == 0) | (F.get("ts", i) != F.get("ts", i - 1)))
-    t = t.select("lang", "source", "ts", at.alias("at"))
-    runs = F.transform("at", lambda a, k: F.struct(F.get("ts", a).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("ts")) - a).alias("n")))
-    e = t.select("lang", "source", F.explode(runs).alias("e"))
-    return e.select("lang", "source", "e.term", "e.n").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    """``lang, source, term, n, docs``: occurrences, and documents that hold the term, counted in every task before they are shuffled.
+
+    A task's tables hold ``HELD`` terms at most and are passed on and emptied when they are full.
+    """
+
+    def passed_on(counts: dict, held: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, source), n in counts.items():
+            docs = held[lang, source]
+            terms, k = list(n), len(n)
+            columns = [pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()), pa.array(terms, pa.binary()), pa.array(n.values(), pa.int64()), pa.array(map(docs.__getitem__, terms), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held = defaultdict(Counter), defaultdict(Counter)
+        for batch in small_batches(batches, "text"):
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                own = set()
+                for words in _words(text):
+                    counts[lang, source].update(words)
+                    own.update(words)
+                held[lang, source].update(own)
+            if sum(map(len, counts.values())) > HELD:
+                yield from passed_on(counts, held)
+                counts, held = defaultdict(Counter), defaultdict(Counter)
+        yield from passed_on(counts, held)
+
+    found = rows.mapInArrow(run, "lang string, source string, term binary, n long, docs long").where(F.octet_length("term") > 0)
+    return found.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -51,6 +86,7 @@ def _joined(rows: DataFrame, langs: DataFrame, few: bool) -> DataFrame:
 
 def wide_vectors(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame, bool]:
     """``lang, term, counts`` (by the place of a source among its language's), ``lang, sources, sizes, size, terms`` (sums over kept terms), and whether the latter is short."""
+    bound_batches(docs.sparkSession)
     rows = _rows(docs, text_col, lang_col, source_col)
     groups = stored(_groups(rows), "groups")
     few = groups.agg(F.coalesce(F.sum(F.size("sources")), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_GROUPS
