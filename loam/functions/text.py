@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ASCII_LOWER = ASCII_UPPER.lower()
+
 #: Words that say how a thing is built, not what it is about.
 TECHNICAL = ["Handler", "Service", "Manager", "Factory", "Impl", "Controller", "Provider", "Helper", "Util", "Utils", "Test"]
 
 
+def lower_ascii(text: Column) -> Column:
+    """Lower-case A-Z only."""
+    return F.translate(text, ASCII_UPPER, ASCII_LOWER)
+
+
 def camel_words(name: Column) -> Column:
     """Words of a camel-case name: a cut before every capital but the first letter."""
     return F.split(name, "(?<=.)(?=[A-Z])")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from loam.functions.shared import cut as _cut
 
 CUT_EVERY = 5
+#: Scores of up to so many vertices and queries (40 bytes each) are broadcast to the edges.
+BROADCAST_SCORES = 500_000
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -132,6 +134,45 @@ def pagerank(edges: DataFrame, seeds: DataFrame, steps: int = 20, damping: float
     return rank
 
 
+def transitions(edges: DataFrame) -> DataFrame:
+    """``src, dst, p, own``: edges ``src, dst, weight`` with weights normalised per source, and for every vertex a row of its own; written once, for any number of :func:`push`."""
+    total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
+    e = edges.join(total, "src").groupBy("src", "dst").agg((F.sum("weight") / F.first("total")).alias("p"))
+    vertices = edges.select("src").unionByName(edges.select(F.col("dst").alias("src"))).distinct()
+    return _cut(e.withColumn("own", F.lit(False)).unionByName(vertices.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("p"), F.lit(True).alias("own"))))
+
+
+def push(graph: DataFrame, seeds: DataFrame, steps: int = 20, damping: float = 0.85, least: float = 1e-9) -> DataFrame:
+    """Personalised PageRank of many seed sets at once, ``query, id, score``: seeds ``query, id`` over a graph of :func:`transitions`.
+
+    Each query's mass starts at those of its seeds that are vertices and is pushed along edges: a vertex keeps ``1 - damping``
+    of what it holds and passes the rest on, after ``steps`` steps it keeps all. So only vertices within ``steps`` of the
+    seeds are ever touched, and what is passed on in pieces below ``least`` is dropped. With ``least`` 0 the scores are those of
+    ``steps`` full steps; otherwise a query's scores are too small by what is dropped, in all ``1 - sum(score)`` at most,
+    where vertices without edges, whose mass is dropped too, count in.
+
+    Scores meet the edges by broadcast while they are few: always, if vertices times queries are; otherwise each step's are
+    written and counted. Edges are never shuffled then; partial sums by vertex are, so one of very many edges is no hot key.
+    """
+    own = graph.where("own").select(F.col("src").alias("id"))
+    valid = seeds.select("query", "id").distinct().join(own, "id", "left_semi")
+    state = _cut(valid.join(valid.groupBy("query").agg((1 / F.count(F.lit(1))).alias("held")), "query").select("query", "id", "held", F.lit(0.0).alias("kept")))
+    bounded = own.count() * max(1, state.select("query").distinct().count()) <= BROADCAST_SCORES
+    few = bounded or state.count() <= BROADCAST_SCORES
+    for i in range(1, steps + 1):
+        met = graph.join(F.broadcast(state) if few else state, F.col("src") == F.col("id"))
+        flow = F.coalesce(F.sum(F.when(~F.col("own"), damping * F.col("held") * F.col("p"))), F.lit(0.0))
+        kept = F.coalesce(F.sum(F.when(F.col("own"), F.col("kept") + (1 - damping) * F.col("held"))), F.lit(0.0))
+        state = met.groupBy("query", F.col("dst").alias("id")).agg(flow.alias("held"), kept.alias("kept"))
+        state = state.withColumn("held", F.when(F.col("held") >= least, F.col("held")).otherwise(0.0)).where("held > 0 or kept > 0")
+        if not bounded:
+            state = _cut(state)
+            few = state.count() <= BROADCAST_SCORES
+        elif i % (2 * CUT_EVERY) == 0 and i < steps:
+            state = _cut(state)
+    return state.select("query", "id", (F.col("kept") + F.col("held")).alias("score"))
+
+
 def strongest_way(edges: DataFrame, targets: DataFrame, seeds: DataFrame, hops: int = 5) -> DataFrame:
     """``target, way``: back from each target by its heaviest incoming edge from a vertex not yet on the way (ties: smallest
     source), until a seed, a vertex without one, or ``hops``. A target that is a seed stays where it is.

@@ -182,15 +182,19 @@ def impact_with_usage(spark, sf_dir):
     return r.select("target", impact.with_usage(F.col("score"), F.col("callers"), F.col("tests"), F.col("target") % 2 == 1).alias("blended"))
 
 
-@query("WITH f AS (SELECT p_partkey AS id, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey AND l_shipdate >= TIMESTAMP '2001-10-01') AS callers, p_size % 7 = 0 AS decision, p_size > 25 AS public FROM part) SELECT id, CASE WHEN callers > 0 THEN 'keep' WHEN decision OR public THEN 'investigate' ELSE 'remove' END AS verdict, CAST(CASE WHEN callers > 0 THEN 0.9 WHEN decision THEN 0.75 WHEN public THEN 0.6 ELSE 0.7 END AS DOUBLE) AS confidence FROM f")
+@query(
+    "WITH f AS (SELECT c_custkey AS id, (SELECT count(*) FROM events WHERE user_id = c_custkey) AS callers, c_nationkey % 7 = 0 AS decision, c_nationkey > 12 AS public FROM customer) "
+    "SELECT id, CASE WHEN callers > 0 THEN 'keep' WHEN decision OR public THEN 'investigate' ELSE 'remove' END AS verdict, "
+    "CAST(CASE WHEN callers > 0 THEN 0.9 WHEN decision THEN 0.75 WHEN public THEN 0.6 ELSE 0.7 END AS DOUBLE) AS confidence FROM f"
+)
 def justify_symbol(spark, sf_dir):
-    """Callers are the references of the last month before the history's end, as observed usage counts recent calls."""
+    """Symbols that anyone has ever called are kept: customers as symbols, all their events as calls."""
     from loam.operators.usage import verdict
 
-    n = R.read(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp '2001-10-01'").groupBy(F.col("l_partkey").alias("k")).agg(F.count(F.lit(1)).alias("callers"))
-    p = R.read(spark, sf_dir, "part").join(n, F.col("p_partkey") == F.col("k"), "left")
-    v, c = verdict(F.coalesce("callers", F.lit(0)), F.col("p_size") % 7 == 0, F.col("p_size") > 25)
-    return p.select(F.col("p_partkey").alias("id"), v.alias("verdict"), c.alias("confidence"))
+    n = R.read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("k")).agg(F.count(F.lit(1)).alias("callers"))
+    p = R.read(spark, sf_dir, "customer").join(n, F.col("c_custkey") == F.col("k"), "left")
+    v, c = verdict(F.coalesce("callers", F.lit(0)), F.col("c_nationkey") % 7 == 0, F.col("c_nationkey") > 12)
+    return p.select(F.col("c_custkey").alias("id"), v.alias("verdict"), c.alias("confidence"))
 
 
 # -- modules ---------------------------------------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from loam.operators import listing
 from loam.plans.catalog import query
 from loam.sources import index_format, readers, source_code, writers
 from loam.sources import relations as R
+from loam.streaming import expiring
 from loam.streaming import usage as streams
 
 
@@ -139,7 +140,21 @@ def index_occurrences(spark, sf_dir):
 
 @query(f"WITH {_OCC} SELECT DISTINCT path, line, start_col FROM occ WHERE symbol = 'p7' AND roles = 8 ORDER BY path, line, start_col LIMIT 100")
 def index_references(spark, sf_dir):
-    return readers.references(readers.occurrences(_documents(spark, sf_dir)), "p7", definitions=False, limit=100).select("path", "line", "start_col")
+    """References of one symbol, read from occurrences that are kept in the order of their symbols."""
+    li = R.read(spark, sf_dir, "lineitem")
+    start = F.col("l_linenumber") * 10
+    even = F.col("l_linenumber") % 2 == 0
+    rows = li.select(
+        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("path"),
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("symbol"),
+        F.when(F.col("l_returnflag") == "A", 1).otherwise(8).alias("roles"),
+        start.alias("line"),
+        F.when(even, 0).otherwise(4).alias("start_col"),
+        F.when(even, start).otherwise(start + 2).alias("end_line"),
+        F.col("l_quantity").cast("int").alias("end_col"),
+    )
+    kept = writers.clustered(li, rows, "occurrences", "symbol", "path")
+    return readers.references(kept, "p7", definitions=False, limit=100).select("path", "line", "start_col")
 
 
 @query(f"WITH {_OCC} SELECT path, symbol, count(*) AS n, CAST(sum(line + end_col) AS BIGINT) AS places FROM occ GROUP BY 1, 2")
@@ -255,8 +270,12 @@ def stream_quarantine(spark, sf_dir):
     return spark.read.parquet(_ingested(spark, sf_dir)[1]).select("event_id", "function")
 
 
-@query(_INGEST + " SELECT period, count(*) AS calls FROM e WHERE event_type IN ('click', 'view', 'purchase') AND period >= '2024-01' GROUP BY 1")
+@query(
+    "SELECT event_type AS function, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS calls, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k FROM events"
+    " GROUP BY 1, 2 HAVING min(date_trunc('day', ts)) + INTERVAL 11 DAY <= (SELECT max(ts) FROM events)"
+)
 def stream_retention(spark, sf_dir):
-    """Periods that retention keeps, of the stream's sums."""
-    kept = streams.usage_state(spark, _ingested(spark, sf_dir)[0]).where("period >= '2024-01'")
-    return kept.groupBy("period").agg(F.sum("calls").alias("calls"))
+    """Usage by day from a stream that keeps a day for ten more days, gives its sums out and forgets them; days still kept are not there yet."""
+    table, progress = _folder(spark, "closed"), _folder(spark, "progress")
+    expiring.run_closed(spark, streams.read_events(spark, sf_dir).select("ts", "function", "k"), table, progress, "10 days")
+    return spark.read.parquet(table).select("function", F.date_format("period", "yyyy-MM-dd").alias("day"), "calls", "k")

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.functions import files
+from loam.functions.shared import shared_dir
+
 
 def overwrite(df: DataFrame, path: str, *partition: str) -> None:
     """Full refresh."""
@@ -34,29 +41,47 @@ def lookup_postings(spark: SparkSession, path: str, terms: list[str], buckets: i
     return spark.read.parquet(path).where(F.col("bucket").isin([r["b"] for r in wanted]) & F.col("term").isin(terms))
 
 
-#: Indexes that this application has built, by the files that they are of.
-_INDEXES: dict[tuple, str] = {}
+#: Tables that this process has laid out, with their seconds, for reports.
+BUILDS: list[tuple[str, float]] = []
 
 
-def search_index(docs: DataFrame, key: str, text: str) -> tuple[str, DataFrame]:
-    """Folder of the inverted index of a table's texts, and its one row of ``n, mean`` (documents, mean length).
+def laid_out(df: DataFrame, name: str, write: Callable[[str], None]) -> str:
+    """Folder of what ``write`` makes of the table ``df``, made once for a state of the table's files.
 
-    An index is built once for an application and a set of files, in the shared folder; queries read the buckets of their
-    terms, and no text.
+    It lies in the shared folder under a name made of the files' names, lengths and times, so a rewritten table is laid out
+    anew, and any application finds what is there. A table that is not read from files is laid out every time.
     """
-    import uuid
+    spark, mark = df.sparkSession, files.snapshot_mark(df)
+    own = uuid.uuid5(uuid.NAMESPACE_URL, f"{name} {mark}").hex if mark else uuid.uuid4().hex
+    at = f"{shared_dir(spark)}/loam-{name}-{own}"
+    if "done" not in files.names(spark, at):
+        began = time.perf_counter()
+        files.delete(spark, at)  # what a lost build has left
+        write(at)
+        files.create_text(spark, f"{at}/done", mark)
+        BUILDS.append((name, time.perf_counter() - began))
+    return at
 
-    from loam.functions.shared import shared_dir
+
+def search_index(docs: DataFrame, key: str, text: str) -> tuple[str, DataFrame]:
+    """Folder of the inverted index of a table's texts, and its one row of ``n, mean`` (documents, mean length). Queries read the buckets of their terms, and no text."""
     from loam.operators import search
 
-    spark = docs.sparkSession
-    mark = (spark.sparkContext.applicationId, key, text, tuple(sorted(docs.inputFiles())))
-    if not mark[-1] or mark not in _INDEXES:
-        at = f"{shared_dir(spark)}/loam-search-{uuid.uuid4().hex}"
+    def write(at: str) -> None:
         postings_table(search.postings(docs, key, text), f"{at}/postings")
         search.corpus_size(docs, text).write.parquet(f"{at}/size")
-        _INDEXES[mark] = at
-    return f"{_INDEXES[mark]}/postings", spark.read.parquet(f"{_INDEXES[mark]}/size")
+
+    at = laid_out(docs, f"search-{key}-{text}", write)
+    return f"{at}/postings", docs.sparkSession.read.parquet(f"{at}/size")
+
+
+def clustered(df: DataFrame, rows: DataFrame, name: str, *by: str) -> DataFrame:
+    """``rows``, made from the table ``df``, sorted into ranges of ``by``: a filter on its first column skips files and row groups by their minima and maxima.
+
+    A very common value spreads over several files where ``by`` goes on with a finer column.
+    """
+    at = laid_out(df, name, lambda at: rows.repartitionByRange(*by).sortWithinPartitions(*by).write.option("compression", "zstd").parquet(f"{at}/rows"))
+    return df.sparkSession.read.parquet(f"{at}/rows")
 
 
 def delta_artifact(diff: DataFrame, path: str) -> None:
