@@ -4,15 +4,15 @@ Documents are linked when the Jaccard similarity of their sets of ``WORDS``-word
 
 1. *Signatures.* ``BANDS * ROWS`` minima of a set. A band's minima make its key; of all minima the low ``BITS`` bits are packed
    into bit planes. Equal sets are one node from here on.
-2. *Candidates.* Nodes that share a key form a bucket. Each node of a bucket is paired with the bucket's smallest node, as many
-   pairs as rows. A link shares no key with probability ``(1 - 0.8 ** ROWS) ** BANDS``, below 4e-9.
+2. *Candidates.* Nodes that share a key form a bucket, whose head is its smallest node. Each node is paired with the one head it
+   shares most buckets with. A link shares no key with probability ``(1 - 0.8 ** ROWS) ** BANDS``, below 4e-9.
 3. *Estimate.* Two minima's low bits agree with probability ``C + (1 - C) * J``, where ``C = 2 ** -BITS`` is the chance of a
    collision. XOR and bit counts of the planes give the agreement, and pairs are dropped that lie ``ERRORS`` standard errors
    or more below that of a similarity of 0.8.
-4. *Links.* The sets decide: first each node's likeliest pair, then those other pairs whose nodes are still apart. Links
-   give components.
-5. *Mixed buckets.* Buckets that still hold several components are searched whole: their nodes, in bands of size, are dealt to
-   pairs of blocks, and the planes of each pair of blocks compared. What passes the estimate is decided by the sets again.
+4. *Links.* The sets decide. Links give components.
+5. *Mixed buckets.* Only buckets that still hold several components go on. First their nodes meet those heads that they are
+   still apart from. What is mixed even then is searched whole: its nodes, in bands of size, are dealt to pairs of blocks, and
+   the planes of each pair of blocks compared. Steps 3 and 4 decide both times.
 
 A bucket of copies or of many variants of one text is one component before step 5 and costs nothing there, whatever its size.
 """
@@ -150,13 +150,6 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(both.where(F.col("both") * SIM_DEN >= (F.col("nx") + F.col("ny") - F.col("both")) * SIM_NUM).select("a", "b"), "links")
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of nodes in different components."""
-    of = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"l_{x}"))
-    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return both.where(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).select(*pairs.columns)
-
-
 def block_pairs(label: np.ndarray, size: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows with different labels that sizes and low bits allow to be linked."""
     left, right, most = [], [], BANDS * ROWS - least_agreement()
@@ -189,13 +182,24 @@ def _searched(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
-def _mixed_pairs(held: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidates inside buckets that hold several components; buckets of one largest component are searched together."""
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the ``label`` of the component of their ``node``, its own number if it has no link."""
     own = labels.select(F.col("id").alias("node"), "label")
-    member = stored(held.where("m > 2").select("key", "node").join(own, "node", "left").withColumn("label", F.coalesce("label", "node")), "member")
-    per = member.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", -F.col("label"))).alias("major"), F.count(F.lit(1)).alias("parts"))
-    mixed = stored(per.where("parts > 1").select("key", "major"), "mixed")
-    some = stored(member.join(_few(mixed), "key").select("major", "node", "label").distinct(), "apart")
+    return rows.join(own, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _mixed(member: DataFrame) -> DataFrame:
+    """Rows ``key, node, head, m, label`` of the buckets that hold several components, with the component of the head."""
+    of_head = F.max(F.when(F.col("node") == F.col("head"), F.col("label")))
+    per = member.groupBy("key").agg(of_head.alias("head_label"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return stored(member.join(_few(stored(per.select("key", "head_label"), "mixed")), "key"), "mixed-rows")
+
+
+def _mixed_pairs(member: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Candidates inside mixed buckets of more than two nodes; buckets of one largest component are searched together."""
+    member = member.where("m > 2")
+    per = member.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", -F.col("label"))).alias("major"))
+    some = stored(member.join(_few(stored(per, "majors")), "key").select("major", "node", "label").distinct(), "apart")
     sized = stored(_bands(some.join(nodes.select("node", "n"), "node")), "banded")
     group = ["major", "band"]
     leads = sized.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("k")).groupBy(*group).agg(F.max_by("label", F.struct("k", -F.col("label"))).alias("lead"), F.max("k").alias("m"), F.sum("k").alias("all")).where("all > m")
@@ -224,17 +228,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last"), F.count(F.lit(1)).alias("m")).where("head <> last")
     heads = stored(heads.select("key", "head", "m"), "heads")
     held = stored(keyed.join(_few(heads), "key"), "held")
-    near = held.where("node <> head").select(*_pair("node", "head")).distinct()
-    near = stored(_estimates(near, nodes), "near")
-
-    best = near.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
-    links = _linked(best, nodes, src)
+    shared = held.where("node <> head").groupBy(F.col("node").alias("a"), F.col("head").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    tried = stored(shared.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")), "best")
+    links = _linked(stored(_estimates(tried, nodes), "near"), nodes, src)
     labels = components(links)
-    rest = stored(_apart(near.join(best, ["a", "b"], "left_anti"), labels).select("a", "b"), "rest")
+
+    mixed = _mixed(_labelled(held, labels))
+    again = stored(mixed.where("label <> head_label").select(*_pair("node", "head")).distinct().join(tried, ["a", "b"], "left_anti"), "again")
+    rest = stored(_estimates(again, nodes), "near")
     if not rest.isEmpty():
         links = links.unionByName(_linked(rest, nodes, src))
         labels = components(links)
-    late = stored(_mixed_pairs(held, labels, nodes).join(near, ["a", "b"], "left_anti"), "late")
+        mixed = _mixed(_labelled(mixed.drop("label", "head_label"), labels))
+    late = stored(_mixed_pairs(mixed, nodes).join(tried.unionByName(again), ["a", "b"], "left_anti"), "late")
     if not late.isEmpty():
         more = _linked(late, nodes, src)
         if not more.isEmpty():
