@@ -6,6 +6,7 @@ each is written to the shared folder.
 
 from __future__ import annotations
 
+import contextlib
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,8 @@ from loam.functions.shared import cut as _cut
 CUT_EVERY = 5
 #: Scores of up to so many vertices and queries (40 bytes each) are broadcast to the edges.
 BROADCAST_SCORES = 500_000
+#: Edges of so few vertices are asked for by name.
+LISTED_SOURCES = 500
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -135,11 +138,14 @@ def pagerank(edges: DataFrame, seeds: DataFrame, steps: int = 20, damping: float
 
 
 def transitions(edges: DataFrame) -> DataFrame:
-    """``src, dst, p, own``: edges ``src, dst, weight`` with weights normalised per source, and for every vertex a row of its own; written once, for any number of :func:`push`."""
+    """``src, dst, p, own``: edges ``src, dst, weight`` with weights normalised per source, and for every vertex a row of its own.
+
+    To be written before it is pushed along, best in the order of ``src``, as every step reads it again.
+    """
     total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     e = edges.join(total, "src").groupBy("src", "dst").agg((F.sum("weight") / F.first("total")).alias("p"))
     vertices = edges.select("src").unionByName(edges.select(F.col("dst").alias("src"))).distinct()
-    return _cut(e.withColumn("own", F.lit(False)).unionByName(vertices.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("p"), F.lit(True).alias("own"))))
+    return e.withColumn("own", F.lit(False)).unionByName(vertices.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("p"), F.lit(True).alias("own")))
 
 
 def push(graph: DataFrame, seeds: DataFrame, steps: int = 20, damping: float = 0.85, least: float = 1e-9) -> DataFrame:
@@ -157,22 +163,37 @@ def push(graph: DataFrame, seeds: DataFrame, steps: int = 20, damping: float = 0
     own = graph.where("own").select(F.col("src").alias("id"))
     valid = seeds.select("query", "id").distinct().join(own, "id", "left_semi")
     state = _cut(valid.join(valid.groupBy("query").agg((1 / F.count(F.lit(1))).alias("held")), "query").select("query", "id", "held", F.lit(0.0).alias("kept")))
+    rows = state.count()
     bounded = own.count() * max(1, state.select("query").distinct().count()) <= BROADCAST_SCORES
-    few = bounded or state.count() <= BROADCAST_SCORES
-    for i in range(1, steps + 1):
-        met = graph.join(F.broadcast(state) if few else state, F.col("src") == F.col("id"))
-        flow = F.coalesce(F.sum(F.when(~F.col("own"), damping * F.col("held") * F.col("p"))), F.lit(0.0))
-        kept = F.coalesce(F.sum(F.when(F.col("own"), F.col("kept") + (1 - damping) * F.col("held"))), F.lit(0.0))
-        state = met.groupBy("query", F.col("dst").alias("id")).agg(flow.alias("held"), kept.alias("kept"))
-        state = state.withColumn("held", F.when(F.col("held") >= least, F.col("held")).otherwise(0.0)).where("held > 0 or kept > 0")
-        if not bounded:
-            state = _cut(state)
-            few = state.count() <= BROADCAST_SCORES
-        elif i % (2 * CUT_EVERY) == 0 and i < steps:
-            state = _cut(state)
+    with _as_planned(graph.sparkSession) if bounded else contextlib.nullcontext():
+        for i in range(1, steps + 1):
+            near = graph
+            if not bounded and rows <= LISTED_SOURCES:  # files without edges of these vertices are skipped
+                near = graph.where(F.col("src").isin([r["id"] for r in state.select("id").distinct().collect()]))
+            met = near.join(F.broadcast(state) if bounded or rows <= BROADCAST_SCORES else state, F.col("src") == F.col("id"))
+            flow = F.coalesce(F.sum(F.when(~F.col("own"), damping * F.col("held") * F.col("p"))), F.lit(0.0))
+            kept = F.coalesce(F.sum(F.when(F.col("own"), F.col("kept") + (1 - damping) * F.col("held"))), F.lit(0.0))
+            state = met.groupBy("query", F.col("dst").alias("id")).agg(flow.alias("held"), kept.alias("kept"))
+            state = state.withColumn("held", F.when(F.col("held") >= least, F.col("held")).otherwise(0.0)).where("held > 0 or kept > 0")
+            if not bounded:
+                state = _cut(state)
+                rows = state.count()
+            elif i % (2 * CUT_EVERY) == 0 or i == steps:
+                state = _cut(state)
     return state.select("query", "id", (F.col("kept") + F.col("held")).alias("score"))
 
 
+@contextlib.contextmanager
+def _as_planned(spark):
+    """Without planning anew after every stage, for loops of steps whose sizes are known beforehand."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def strongest_way(edges: DataFrame, targets: DataFrame, seeds: DataFrame, hops: int = 5) -> DataFrame:
     """``target, way``: back from each target by its heaviest incoming edge from a vertex not yet on the way (ties: smallest
     source), until a seed, a vertex without one, or ``hops``. A target that is a seed stays where it is.

@@ -184,7 +184,8 @@ _PPR = R.CTE["edges"] + ", be AS (SELECT src, dst, n::DOUBLE AS w FROM edges UNI
 def ppr_topk(spark, sf_dir):
     e = R.edges(spark, sf_dir).select("src", "dst", F.col("n").cast("double").alias("weight"))
     e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    r = graph.push(graph.transitions(e), spark.createDataFrame([(0, 1), (0, 2), (0, -5)], "query int, id long"))
+    kept = writers.clustered(R.read(spark, sf_dir, "lineitem"), graph.transitions(e), "edges", "src", "dst")
+    r = graph.push(kept, spark.createDataFrame([(0, 1), (0, 2), (0, -5)], "query int, id long"))
     return r.select("id", "score").where("score > 0").withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").limit(20)
 
 

@@ -10,7 +10,7 @@ from loam.functions.shared import shared_dir
 from loam.operators import graph, retrieval
 from loam.plans.catalog import query
 from loam.sources import relations as R
-from loam.sources import search_store
+from loam.sources import search_store, writers
 
 #: Weights of name, documentation and signature.
 FIELDS = {"name": 1.0, "documentation": 0.5, "signature": 0.3}
@@ -149,7 +149,8 @@ def _near(spark, sf_dir):
     rows = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("documentation"), F.col("p_brand").alias("signature"))
     at = search_store.index_of(part, rows, "symbols", FIELDS)
     found = retrieval.found_by(at, SEARCHES, LIMIT, part.where("p_type <> 'ECONOMY'").select(F.col("p_partkey").alias("id")))
-    return retrieval.near_seeds(found, graph.transitions(R.flow(spark, sf_dir).withColumnRenamed("n", "weight")))
+    flow = graph.transitions(R.flow(spark, sf_dir).withColumnRenamed("n", "weight"))
+    return retrieval.near_seeds(found, writers.clustered(R.read(spark, sf_dir, "lineitem"), flow, "flow", "src", "dst"))
 
 
 @query(

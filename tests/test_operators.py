@@ -209,3 +209,30 @@ def test_reconcile_tombstones(spark):
     new = spark.createDataFrame([("9", "b1", "f", "loadAll", "C", "p"), ("8", "bx", "f", "saves", "C", "p")], cols)
     got = {r["old_id"]: (r["new_id"], r["reason"]) for r in identity.reconcile(old, new).collect()}
     assert got == {"1": ("9", "renamed"), "2": ("8", "similar"), "3": (None, "deleted")}
+
+
+def test_one_document_of_all_rows_spreads_over_ranges(spark):
+    """The last definition and the next start are carried from range to range."""
+    import bisect
+    import random
+
+    from loam.operators import intervals
+
+    rng = random.Random(8)
+    starts = sorted(rng.sample(range(100, 20_000), 300))
+    defs = [("big", s, i) for i, s in enumerate(starts)] + [("big", starts[5], 900), ("small", 7, 901), ("none", 50, 902)]
+    points = [("big", rng.randrange(25_000), p) for p in range(2_000)] + [("small", 6, 5_000), ("small", 7, 5_001), ("none", 3, 5_002), ("other", 1, 5_003)]
+    d = spark.createDataFrame(defs, "doc string, start long, id long")
+    p = spark.createDataFrame(points, "doc string, line long, pid long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a small table would be one range
+    assert intervals._in_ranges(d, "start", "id").where("doc = 'big'").select("part").distinct().count() > 1
+    by = {x: sorted((s, i) for doc, s, i in defs if doc == x) for x in ("big", "small", "none", "other")}
+    want = {}
+    for doc, line, pid in points:
+        at = bisect.bisect_right(by[doc], (line, 10**9))
+        if at:
+            want[pid] = by[doc][at - 1][1]
+    assert {r["pid"]: r["id"] for r in intervals.enclosing(p, d).collect()} == want
+    ends = {r["id"]: r["end"] for r in intervals.close(d, 500).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ends == {i: (x[k + 1][0] - 1 if k + 1 < len(x) else s + 500) for x in by.values() for k, (s, i) in enumerate(x)}

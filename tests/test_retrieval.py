@@ -114,7 +114,7 @@ def test_index_kept_current_equals_one_built_anew(spark, tmp_path):
         if step in (3, 4):
             before = len(at.segments)
             at = store.merge(at, 3)
-            assert len(at.segments) < before
+            assert len(at.segments) == (1 if step == 3 else before)
         states.append((dict(live), at.version))
         assert at.docs == len(live) and at.tokens == sum(len(_tok(f)) for r in live.values() for f in r[1:])
     fresh = store.apply(store.create(spark, f"{tmp_path}/fresh", FIELDS, 8), _df(spark, list(live.values())))
@@ -170,7 +170,7 @@ def test_push_equals_full_steps_for_many_seed_sets(spark, monkeypatch):
     e = spark.createDataFrame(edges, "src long, dst long, weight double")
     seeds = {"a": [1, 2, 99], "b": [40], "c": [77]}
     s = spark.createDataFrame([(q, i) for q, ids in seeds.items() for i in ids], "query string, id long")
-    g = graph.transitions(e)
+    g = graph.transitions(e).cache()
     want = {(q, r["id"]): round(r["score"], 9) for q, ids in seeds.items() for r in graph.pagerank(e, spark.createDataFrame([(i,) for i in ids], "id long"), tolerance=0.0).collect() if r["score"] > 0}
     for most in (graph.BROADCAST_SCORES, 0):
         monkeypatch.setattr(graph, "BROADCAST_SCORES", most)
