@@ -61,9 +61,10 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int = MOST_BYTES) -> bytes:
+    """At least the first ``most`` bytes, or all if there are fewer."""
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < most:
         n = data[i]
         i += 1
         if n < 128:
@@ -112,9 +113,10 @@ def lzw_encode(data: bytes) -> bytes:
     return np.packbits(bits[np.arange(16) < wide[:, None]]).tobytes()
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int = MOST_BYTES) -> bytes:
+    """At least the first ``most`` bytes, or all if there are fewer. A code that no entry has been made for is an error."""
     out: list[bytes] = []
-    pos, held, bits = 0, 0, 0
+    pos, held, bits, size = 0, 0, 0, 0
     first = [bytes([i]) for i in range(256)] + [b"", b""]
     table: list[bytes] = list(first)
     width, last = 9, None
@@ -134,6 +136,8 @@ def lzw_decode(data: bytes) -> bytes:
         if code == 256:
             table, width, last = list(first), 9, None
             continue
+        if code > len(table) or (last is None and code > 255):
+            raise ValueError(f"code {code} where the table ends at {len(table) - 1}")
         if last is None:
             got = table[code]
         else:
@@ -141,12 +145,23 @@ def lzw_decode(data: bytes) -> bytes:
             table.append(last + got[:1])
         out.append(got)
         last = got
+        size += len(got)
+        if size >= most:
+            return b"".join(out)
         if len(table) + 1 >= 1 << width and width < 12:
             width += 1
 
 
 _PACK = {NONE: bytes, PACKBITS: packbits_encode, LZW: lzw_encode, DEFLATE: lambda b: zlib.compress(b, 1)}
-_UNPACK = {NONE: bytes, PACKBITS: packbits_decode, LZW: lzw_decode, DEFLATE: zlib.decompress, DEFLATE_OLD: zlib.decompress}
+
+
+def inflate(data: bytes, most: int) -> bytes:
+    """The first ``most`` bytes, or all if there are fewer; a stream that ends too early gives what it holds."""
+    return zlib.decompressobj().decompress(data, most)
+
+
+#: By compression: what unpacks a part of which so many bytes are wanted. None makes much more than that.
+_UNPACK = {NONE: lambda data, most: data, PACKBITS: packbits_decode, LZW: lzw_decode, DEFLATE: inflate, DEFLATE_OLD: inflate}
 
 
 @dataclass
@@ -273,8 +288,12 @@ def _page(data: bytes, tags: dict[int, tuple[int, ...]], order: str, number: int
         y, x = place // across * high, place % across * wide
         tall = high if tiled else min(high, rows - y)
         raw = data[at : at + size]
-        raw = _UNPACK[packed](raw.translate(_REVERSED) if one(FILL_ORDER, 1) == 2 else raw)
-        if len(raw) < tall * wide * together * bits // 8:
+        wanted = tall * wide * together * bits // 8
+        try:
+            raw = _UNPACK[packed](raw.translate(_REVERSED) if one(FILL_ORDER, 1) == 2 else raw, wanted)
+        except ValueError as e:
+            raise ValueError(f"page {number}: part {i}: {e}") from e
+        if len(raw) < wanted:
             raise ValueError(f"page {number}: part {i} is too short")
         part = np.frombuffer(raw, kind, tall * wide * together).reshape(tall, wide, together)
         if one(PREDICTOR, 1) == 2:

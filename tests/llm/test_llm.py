@@ -337,6 +337,22 @@ def test_lzw_of_long_and_random_data():
         assert tiff.lzw_decode(tiff.lzw_encode(data)) == data and tiff.packbits_decode(tiff.packbits_encode(data)) == data
 
 
+def test_broken_and_swollen_parts():
+    """Codes without an entry are errors; no more is unpacked of a part than its page holds, give or take one entry."""
+    bits = lambda *codes: (lambda b: bytes(int(b[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(b), 8)))("".join(f"{c:09b}" for c in codes))
+    assert tiff.lzw_decode(bits(256, 65, 258, 257)) == b"AAA"  # the entry that is just being made
+    for codes in ((256, 65, 500, 257), (256, 65, 259, 257), (256, 258, 257), (300,)):
+        with pytest.raises(ValueError, match="code"):
+            tiff.lzw_decode(bits(*codes))
+    zeros = bytes(20_000_000)
+    for kind, packed in ((tiff.DEFLATE, zlib.compress(zeros)), (tiff.PACKBITS, tiff.packbits_encode(zeros)), (tiff.LZW, tiff.lzw_encode(zeros[:400_000]))):
+        assert 100 <= len(tiff._UNPACK[kind](packed, 100)) < 5000
+    good = tiff.write([np.tile(np.arange(200, dtype=np.uint8), (3, 1))], [(tiff.LZW, 1, 0)], "<", 8)
+    at = good.index(tiff.lzw_encode(bytes(range(200)) * 3)[:20])
+    with pytest.raises(ValueError, match="page 0: part 0: code"):
+        list(tiff.read(good[: at + 2] + b"\xff\xfe\xff" + good[at + 5 :]))
+
+
 def test_tiff_queries(spark):
     texts = [*awkward(), "x" * 64, "x" * 65]
     rows = tiff.text_media(table(spark, texts), keep_file=True)
