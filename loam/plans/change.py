@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loam.operators import delta, docs, identity
+from loam.functions.shared import shared_dir
+from loam.operators import closure, delta, docs, identity
 from loam.plans.catalog import query
 from loam.sources import relations as R
+from loam.sources import snapshot_tree, writers
 
 _SID = "'scip go pkg' || (p_partkey % 7) || ' v' || (p_size % 3) || ' ' || replace(p_name, ' ', '_') || CASE p_partkey % 4 WHEN 0 THEN '().' WHEN 1 THEN '#' WHEN 2 THEN '/' ELSE '.' END"
 
@@ -241,3 +246,30 @@ def hit_miss_lookup(spark, sf_dir):
 def canonical_json(spark, sf_dir):
     c = R.read(spark, sf_dir, "customer").withColumn("balance", F.when(F.col("c_nationkey") > 4, F.col("c_acctbal") / 7))
     return c.select(F.col("c_custkey").alias("id"), delta.canonical_json(c, "c_name", "balance", "c_custkey").alias("body"))
+
+
+@query(f"WITH {_DIFF} SELECT * FROM d WHERE op IS NOT NULL")
+def snapshot_tree_diff(spark, sf_dir):
+    """The two snapshots kept with trees of hashes, and compared where those differ."""
+    at = f"{shared_dir(spark)}/loam-trees-{uuid.uuid4().hex}"
+    for name, rows in zip(("base", "new"), _two(spark, sf_dir), strict=True):
+        snapshot_tree.write(rows, ["k"], f"{at}/{name}")
+    return snapshot_tree.compare(spark, f"{at}/base", f"{at}/new", ["k"])
+
+
+_FOLLOW = "e AS (SELECT o_custkey AS src, lead(o_custkey) OVER (PARTITION BY o_orderpriority, o_orderdate ORDER BY o_orderkey) AS dst, year(o_orderdate) AS y FROM orders), n AS (SELECT DISTINCT src, dst FROM e WHERE dst IS NOT NULL AND y > 1995)"
+
+
+@query(
+    f"WITH RECURSIVE {_FOLLOW}, s AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey = 3 AND c_acctbal > 9000), "
+    "w(origin, id) AS (SELECT id, id FROM s UNION SELECT origin, dst FROM w JOIN n ON src = w.id) SELECT origin, id FROM w"
+)
+def closure_increment(spark, sf_dir):
+    """Whom some customers lead to by orders that follow one another within a day and priority: up to 1999 first, then without 1995 and with the later years."""
+    o, c = R.read(spark, sf_dir, "orders"), R.read(spark, sf_dir, "customer")
+    day = Window.partitionBy("o_orderpriority", "o_orderdate").orderBy("o_orderkey")  # orders of a day
+    e = o.select(F.col("o_custkey").alias("src"), F.lead("o_custkey").over(day).alias("dst"), F.year("o_orderdate").alias("y")).where("dst is not null")
+    e = writers.clustered(o, e.groupBy("src", "dst").agg(F.min("y").alias("first"), F.max("y").alias("last")), "follow", "src", "dst")
+    seeds = c.where("c_nationkey = 3 and c_acctbal > 9000").select(F.col("c_custkey").alias("id"))
+    before = e.where("first < 2000")
+    return closure.maintained(closure.built(before, seeds), before, e.where("first >= 2000"), e.where("last = 1995"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loam.functions.shared import shared_dir
@@ -245,6 +246,27 @@ def delta_artifacts(spark, sf_dir):
     return spark.read.schema("k long, op string").json(at)
 
 
+# -- annotated files -------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT l_partkey AS path, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS line, 'User ' || o_custkey AS author, "
+    "'u' || (o_custkey % 50) || '@x.org' AS email, strftime(o_orderdate, '%Y-%m-%d') AS day, l_returnflag || chr(9) || l_shipdate::DATE AS text FROM lineitem JOIN orders ON o_orderkey = l_orderkey"
+)
+def blame_text(spark, sf_dir):
+    """Annotated files in porcelain form, a part each: an order's first line in a file has its facts, its others a short header."""
+    li = R.read(spark, sf_dir, "lineitem").join(R.read(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    place = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_extendedprice"))
+    nth = F.row_number().over(Window.partitionBy("l_partkey", "l_orderkey").orderBy("l_linenumber", "l_extendedprice"))
+    commit, user = F.lpad(F.lower(F.hex("l_orderkey")), 40, "0"), F.col("o_custkey").cast("string")
+    mail = F.concat(F.lit("u"), (F.col("o_custkey") % 50).cast("string"), F.lit("@x.org"))
+    facts = F.concat(F.lit("author User "), user, F.lit("\nauthor-mail <"), mail, F.lit(">\nauthor-time "), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("string"), F.lit("\nauthor-tz +0000\nsummary x\n"))
+    rows = li.select("l_partkey", place.alias("line"), nth.alias("nth"), commit.alias("commit"), facts.alias("facts"), F.concat("l_returnflag", F.lit("\t"), F.col("l_shipdate").cast("date").cast("string")).alias("text"))
+    entry = F.concat("commit", F.lit(" "), F.col("line").cast("string"), F.lit(" "), F.col("line").cast("string"), F.lit("\n"), F.when(F.col("nth") == 1, F.col("facts")).otherwise(F.lit("")), F.lit("\t"), "text")
+    files = rows.groupBy(F.col("l_partkey").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", entry.alias("entry")))), lambda x: x["entry"]), "\n").alias("text"))
+    return readers.blame(files).select("path", F.col("line").cast("long").alias("line"), "author", "email", F.date_format("ts", "yyyy-MM-dd").alias("day"), "text")
+
+
 # -- streams ---------------------------------------------------------------------------------------------------------------------
 
 _INGEST = "WITH e AS (SELECT event_type, strftime(ts, '%Y-%m') AS period, event_id FROM events)"

@@ -199,3 +199,25 @@ def context(files: DataFrame, places: DataFrame, around: int = 2) -> DataFrame:
     """``path, line, context``: the lines around a place."""
     cut = F.slice(F.split("text", "\n"), F.greatest(F.col("line") - around, F.lit(1)), F.lit(2 * around + 1) - F.greatest(F.lit(1 + around) - F.col("line"), F.lit(0)))
     return places.join(files.select("path", "text"), "path").select("path", "line", F.array_join(cut, "\n").alias("context"))
+
+
+#: An entry of annotated text: commit, its line then and now, lines of facts, and the line itself behind a tab.
+_ENTRY = r"(?m)^[0-9a-fA-F]{40} \d+ \d+(?: \d+)?\n(?:[^\t\n][^\n]*\n|\n)*+\t[^\n]*$"
+
+
+def blame(files: DataFrame) -> DataFrame:
+    """``path, line, commit, author, email, ts, text`` of annotated files (porcelain form) ``path, text``.
+
+    A commit's author, address and time stand at its first entry only, later entries are short headers: they get them from the
+    file's record of the commit. Facts that are nowhere in the file are null. What is no entry is passed over; a line's own
+    text begins behind its tab and is never taken for a header.
+    """
+    e = files.select("path", F.explode(F.regexp_extract_all(F.regexp_replace(F.col("text"), "\r\n", "\n"), F.lit(_ENTRY), F.lit(0))).alias("e"))
+    e = e.select("path", F.substring_index("e", "\n\t", 1).alias("head"), F.regexp_extract("e", r"\n\t([^\n]*)$", 1).alias("text"))
+    fact = lambda name: F.nullif(F.regexp_extract("head", rf"(?m)^{name} (.*)$", 1), F.lit(""))
+    e = e.select("path", F.split("head", "[ \n]").alias("h"), fact("author").alias("author"), F.regexp_replace(fact("author-mail"), "^<|>$", "").alias("email"), fact("author-time").cast("long").alias("at"), "text")
+    e = e.select("path", F.get("h", 2).cast("long").alias("line"), F.get("h", 0).alias("commit"), "author", "email", "at", "text")
+    # One row a file and commit.
+    known = e.groupBy("path", "commit").agg(*[F.max(c).alias(f"of_{c}") for c in ("author", "email", "at")])
+    out = e.join(known, ["path", "commit"])
+    return out.select("path", "line", "commit", F.col("of_author").alias("author"), F.col("of_email").alias("email"), F.timestamp_seconds("of_at").alias("ts"), "text")
