@@ -5,6 +5,8 @@ Times are columns (``now``), never the clock, so that every result can be made a
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,6 +197,36 @@ def read_cursor(cursor: Column, preset: Column, digest: Column) -> Column:
     return F.when(F.coalesce(cursor, F.lit("")) == "", F.lit(0).cast("long")).when(good, part("o").cast("long"))
 
 
+def hmac_sha256(secret: bytes, body: Column) -> Column:
+    """HMAC with SHA-256 of a binary column, as bytes: the hash of the key's outer pad and the hash of its inner pad and the body."""
+    key = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    pad = lambda byte: F.unhex(F.lit(bytes(k ^ byte for k in key).hex()))
+    return F.unhex(F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), body), 256))), 256))
+
+
+def _url_base64(body: Column) -> Column:
+    return F.regexp_replace(F.translate(F.base64(body), "+/\r\n", "-_"), "=+$", "")
+
+
+def _from_url_base64(text: Column) -> Column:
+    return F.try_to_binary(F.rpad(F.translate(text, "-_", "+/"), F.ceil(F.length(text) / 4).cast("int") * 4, F.lit("=")), F.lit("base64"))
+
+
+def signed_cursor(entity: Column, last: Column, secret: bytes) -> Column:
+    """A keyset page's end, signed: URL-safe base64 of JSON, a dot, and that of its HMAC. An empty or null key is left out."""
+    body = F.encode(F.to_json(F.struct(entity.alias("e"), F.nullif(last, F.lit("")).alias("pk"))), "utf-8")
+    return F.concat(_url_base64(body), F.lit("."), _url_base64(hmac_sha256(secret, body)))
+
+
+def read_signed_cursor(cursor: Column, entity: Column, secret: bytes) -> Column:
+    """The last key of a cursor; '' without a cursor, which is the first page; null if it is broken, of another entity, or signed by another secret."""
+    parts = F.split(cursor, "\\.", 2)
+    body, mark = _from_url_base64(F.get(parts, 0)), _from_url_base64(F.get(parts, 1))
+    text = F.decode(body, "utf-8")
+    good = (mark == hmac_sha256(secret, body)) & (F.get_json_object(text, "$.e") == entity)
+    return F.when(F.coalesce(cursor, F.lit("")) == "", F.lit("")).when(good, F.coalesce(F.get_json_object(text, "$.pk"), F.lit("")))
+
+
 def envelope(rows: DataFrame, limit: int, behind: Column, tier: Column, warnings: Column) -> DataFrame:
     """One row that wraps an answer: ``shown, total, truncated, behind, tier, warnings``. An index more than five commits behind lowers a high tier."""
     one = rows.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.max(behind), F.lit(0)).alias("behind"), F.min(tier).alias("t"), F.array_sort(F.collect_set(warnings)).alias("w"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loam.operators import jobs, service
@@ -188,3 +189,30 @@ def remote_members(spark, sf_dir):
     m = R.read(spark, sf_dir, "nation").select(F.concat(F.lit("r"), F.col("n_nationkey").cast("string")).alias("repo"), F.concat(F.lit("mem://x/"), F.col("n_nationkey").cast("string")).alias("address"))
     r = jobs.remote_rows(m, _page, "id long, name string")
     return r.groupBy("repo").agg(F.count("row").alias("rows"), F.sum("row.id").alias("ids"), F.max(F.col("error").isNotNull().cast("int")).alias("failed"))
+
+
+# -- signed pages ----------------------------------------------------------------------------------------------------------------
+
+_SECRET = b"page secret"
+_PADS = {name: bytes(k ^ byte for k in _SECRET.ljust(64, b"\0")).hex() for name, byte in (("inner", 0x36), ("outer", 0x5C))}
+_CURSOR = (
+    "p AS (SELECT o_custkey AS owner, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders), "
+    "e AS (SELECT owner, k, '{\"e\":\"order\",\"pk\":\"' || k || '\"}' AS body FROM p WHERE n % 5 = 0), "
+    f"s AS (SELECT owner, k, body, unhex(sha256(unhex('{_PADS['outer']}') || unhex(sha256(unhex('{_PADS['inner']}') || encode(body))))) AS mark FROM e), "
+    "c AS (SELECT owner, k, rtrim(translate(base64(encode(body)), '+/', '-_'), '=') || '.' || rtrim(translate(base64(mark), '+/', '-_'), '=') AS cursor FROM s)"
+)
+
+
+@query(f"WITH {_CURSOR}, r AS (SELECT owner, k, cursor, k % 3 = 0 AS forged FROM c) SELECT owner, r.k AS last, cursor, CASE WHEN forged THEN NULL ELSE (SELECT count(*) FROM orders WHERE o_custkey = owner AND o_orderkey > r.k) END AS remaining FROM r")
+def signed_pages(spark, sf_dir):
+    """Every customer's orders in pages of five: each page's signed cursor, a third of them forged, and how many orders lie behind those that hold."""
+    o = R.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("k"))
+    by = Window.partitionBy("owner").orderBy("k")
+    pages = o.select("*", F.row_number().over(by).alias("n")).where("n % 5 = 0").select("owner", F.col("k").alias("last"))
+    cursor = service.signed_cursor(F.lit("order"), F.col("last").cast("string"), _SECRET)
+    pages = pages.withColumn("cursor", cursor)
+    given = F.when(F.col("last") % 3 == 0, F.concat(service.signed_cursor(F.lit("order"), F.lit("0"), b"another"))).otherwise(F.col("cursor"))
+    read = pages.withColumn("after", service.read_signed_cursor(given, F.lit("order"), _SECRET).cast("long"))
+    behind = read.where("after is not null").join(o.withColumnRenamed("owner", "of"), (F.col("of") == F.col("owner")) & (F.col("k") > F.col("after")), "left")
+    counts = behind.groupBy(F.col("owner").alias("w"), F.col("last").alias("l")).agg(F.count("k").alias("remaining"))
+    return read.join(counts, (F.col("owner") == F.col("w")) & (F.col("last") == F.col("l")), "left").select("owner", "last", "cursor", "remaining")

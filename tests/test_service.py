@@ -134,3 +134,26 @@ def test_http_pages_and_signatures(spark):
     assert sorted((r["repo"], r["row"]["id"] if r["row"] else None, bool(r["error"])) for r in got) == [("a", 1, False), ("a", 2, False), ("b", None, True)]
     assert jobs.sign(b"key", b"The quick brown fox jumps over the lazy dog") == "f7bc83f430538424b13298e6aa6fb143ef4d59a14946175997479dbc2d1a3cd8"
     assert {r["worker"] for r in jobs.assigned(spark.range(100), 4).collect()} == {0, 1, 2, 3}
+
+
+def test_signed_cursors(spark):
+    """As the standard library signs; forged, foreign and broken ones are refused, none is the first page."""
+    import base64
+    import hashlib
+    import hmac
+    import json
+
+    secret = b"s" * 70
+    url = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    def made(data, key=secret):
+        body = json.dumps(data, separators=(",", ":")).encode()
+        return f"{url(body)}.{url(hmac.new(key, body, hashlib.sha256).digest())}"
+    keys = ["scip go pkg Foo#", "ü/1", "", None]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    got = [r["c"] for r in df.select(service.signed_cursor(F.lit("symbol"), F.col("k"), secret).alias("c")).collect()]
+    assert [json.loads(base64.urlsafe_b64decode(c.split(".")[0] + "==")) for c in got] == [{"e": "symbol", "pk": k} if k else {"e": "symbol"} for k in keys]
+    assert got[0] == made({"e": "symbol", "pk": keys[0]})
+    good = made({"e": "symbol", "pk": "x"})
+    cursors = [*got, "", None, good, good[:-2] + "zz", "A" + good, made({"e": "file", "pk": "x"}), made({"e": "symbol", "pk": "x"}, b"other"), "nodot", "....", "é.é"]
+    read = [r["k"] for r in spark.createDataFrame([(c,) for c in cursors], "c string").select(service.read_signed_cursor(F.col("c"), F.lit("symbol"), secret).alias("k")).collect()]
+    assert read == ["scip go pkg Foo#", "ü/1", "", "", "", "", "x", *[None] * 7]
