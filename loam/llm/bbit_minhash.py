@@ -4,8 +4,8 @@ Documents are linked when the Jaccard similarity of their sets of ``WORDS``-word
 
 1. *Signatures.* ``BANDS * ROWS`` minima of a set. A band's minima make its key; of all minima the low ``BITS`` bits are packed
    into bit planes. Equal sets are one node from here on.
-2. *Candidates.* Nodes that share a key form a bucket, whose head is its smallest node. Each node is paired with the one head it
-   shares most buckets with. A link shares no key with probability ``(1 - 0.8 ** ROWS) ** BANDS``, below 4e-9.
+2. *Candidates.* Nodes that share a key form a bucket, whose head is the node that lies in the most crowded buckets: among variants
+   of one text that is the text itself, or what is nearest to it. Each node is paired with the one head it shares most buckets with. A link shares no key with probability ``(1 - 0.8 ** ROWS) ** BANDS``, below 4e-9.
 3. *Estimate.* Two minima's low bits agree with probability ``C + (1 - C) * J``, where ``C = 2 ** -BITS`` is the chance of a
    collision. XOR and bit counts of the planes give the agreement, and pairs are dropped that lie ``ERRORS`` standard errors
    or more below that of a similarity of 0.8.
@@ -225,11 +225,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = _nodes(sk)
 
     keyed = nodes.select(F.explode("keys").alias("key"), "node")
-    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last"), F.count(F.lit(1)).alias("m")).where("head <> last")
-    heads = stored(heads.select("key", "head", "m"), "heads")
-    held = stored(keyed.join(_few(heads), "key"), "held")
-    shared = held.where("node <> head").groupBy(F.col("node").alias("a"), F.col("head").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    tried = stored(shared.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")), "best")
+    sizes = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
+    crowded = stored(keyed.join(_few(sizes), "key"), "crowded")
+    about = crowded.groupBy("node").agg(F.sum("m").alias("crowd"))
+    heads = crowded.join(about, "node").groupBy("key").agg(F.max(F.struct("crowd", "node")).alias("h"))
+    heads = stored(heads.select("key", F.col("h.node").alias("head")), "heads")
+    held = stored(crowded.join(_few(heads), "key"), "held")
+    shared = held.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("shared"))
+    best = shared.groupBy("node").agg(F.max_by("head", F.struct("shared", "head")).alias("head"))
+    tried = stored(best.select(*_pair("node", "head")).distinct(), "best")
     links = _linked(stored(_estimates(tried, nodes), "near"), nodes, src)
     labels = components(links)
 
