@@ -1,7 +1,7 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory that has a license file.
 
-Header lines are compared with header templates, whole documents with header and license texts. A text is a sparse
-vector: every term of a template has a dimension of its own, and all other terms share ``HASHED`` dimensions by their
+Header lines, and paragraphs of wrapped lines joined without their comment signs, are compared with header templates, whole
+documents with header and license texts. A text is a sparse vector: every term of a template has a dimension of its own, and all other terms share ``HASHED`` dimensions by their
 hash. Document frequencies come from all candidate lines, or from all documents that have one: a count per dimension,
 which is bounded, so it is added up once and handed to every task; no term meets its like in one task. Both passes
 decide each row by itself. Paths are joined by directory, in salted groups.
@@ -53,16 +53,32 @@ SHORT = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("ISC", "Released under the ISC License."),
 ]
+#: The longer headers that are usually wrapped over several lines.
+HEADERS = [
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+]
+#: A license with a version is only given to a text that names it, with or without a ``v``.
+VERSIONS = {"Apache-2.0": ("2", "2.0"), "GPL-2.0": ("2", "2.0"), "GPL-3.0": ("3", "3.0"), "LGPL-2.1": ("2.1",), "LGPL-3.0": ("3", "3.0"), "MPL-2.0": ("2", "2.0"), "CC-BY-4.0": ("4", "4.0"), "CC-BY-SA-4.0": ("4", "4.0"), "CC-BY-NC-4.0": ("4", "4.0")}
+#: An identifier tag names its license itself.
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*\(?[ \t]*([A-Za-z0-9][A-Za-z0-9.+-]*)")
+#: Signs that stand before and behind the text of a comment line.
+_COMMENT = re.compile(r"^[ \t]*(?://[/!]*|/\*+!?|\*+/?|#+!?|--+|;+|%+|<!--|\"{3}|'{3}|\.\.(?=[ \t]))[ \t]*")
+_CLOSING = re.compile(r"[ \t]*(?:\*+/|-->|\"{3}|'{3})?[ \t\r]*$")
 #: Whole license texts, a file each.
 TEXTS = Path(__file__).parent / "license_texts"
 TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-#: A line is a candidate if it holds one of these words in any case; every template does.
+#: A line, paragraph or document is a candidate if it holds one of these words in any case: what says nothing of the kind is no
+#: statement of a license, however near to the rest of a template's wording. Every template and every tag does.
 CUE = r"licen[sc]e|permission|redistribut|copyright|public domain|unencumbered"
 _CUE = re.compile(CUE)
 LEAST = 0.35
 SHORT_LEAST = 0.7
-#: A document is a license file for its directory if its whole text has this cosine to a template.
-FILE_LEAST = 0.7
+#: A document is a license file for its directory if its whole text has this cosine to a template that covers this share of its words.
+FILE_LEAST, COVERED = 0.7, 0.8
 #: Dimensions of the terms that no template has.
 HASHED = 1 << 16
 #: Directories with license files are broadcast up to this number; rows are joined to directories in so many groups each.
@@ -74,6 +90,12 @@ def terms(text: str) -> list[str]:
     return TERM.findall(text.lower())
 
 
+def kind(term: str) -> str | None:
+    """The kind of cue that a term is, in any spelling."""
+    found = _CUE.search("public domain" if term == "domain" else term)
+    return found and found[0].replace("licence", "license")
+
+
 @dataclass
 class Templates:
     """Licenses and forms of the templates, the dimension of each of their terms, and their term counts."""
@@ -99,7 +121,7 @@ class Templates:
 
 def templates() -> Templates:
     texts = [(f.name.removesuffix(".txt"), "text", f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
-    every = [*[(k, "header", v) for k, v in TEMPLATES.items()], *[(k, "short", v) for k, v in SHORT], *texts]
+    every = [*[(k, "header", v) for k, v in TEMPLATES.items()], *[(k, "header", v) for k, v in HEADERS], *[(k, "short", v) for k, v in SHORT], *texts]
     counts = [Counter(terms(v)) for _, _, v in every]
     words = sorted(set().union(*counts))
     return Templates([k for k, _, _ in every], [f for _, f, _ in every], {w: i for i, w in enumerate(words)}, counts)
@@ -112,9 +134,9 @@ def idf(df: np.ndarray, units: int) -> np.ndarray:
 class Scorer:
     """Cosines of lines, or of whole documents, to those templates they are compared with."""
 
-    def __init__(self, t: Templates, kind: int, df: np.ndarray, units: int) -> None:
-        self.kind, self.idf = kind, idf(df, units)
-        self.at = [i for i, f in enumerate(t.forms) if f != ("text" if kind == LINE else "short")]
+    def __init__(self, t: Templates, unit: int, df: np.ndarray, units: int) -> None:
+        self.kind, self.idf = unit, idf(df, units)
+        self.at = [i for i, f in enumerate(t.forms) if f != ("text" if unit == LINE else "short")]
         self.names = [t.names[i] for i in self.at]
         self.short = np.array([t.forms[i] == "short" for i in self.at])
         self.known = len(t.places)
@@ -125,6 +147,12 @@ class Scorer:
             for w, n in t.counts[i].items():
                 self.weights[t.places[w], col] = self.damp(n) * seen[t.places[w]]
         self.weights /= np.sqrt((self.weights**2).sum(0))
+        self.held = self.weights > 0
+        # For each template the dimensions of the versions one of which a text must name; none for a license without version.
+        self.named = [[t.place(p + v) for v in VERSIONS.get(n, ()) for p in ("", "v")] for n in self.names]
+        # And those of its own kinds of cue words: a text about a license does not say that it is in the public domain.
+        kinds = [{kind(w) for w in t.counts[i]} - {None} for i in self.at]
+        self.cues = [[place for w, place in t.places.items() if kind(w) in k] for k in kinds]
 
     def damp(self, n):
         """Counts of a line weigh as they are, those of a document 1 + log n: else long prose is near any long license by its articles alone."""
@@ -140,15 +168,43 @@ class Scorer:
         """Highest score that is enough and its license, by name where scores are equal."""
         got = self.scores(dims, counts)
         enough = np.where(self.short, max(least, SHORT_LEAST), least) if self.kind == LINE else np.full(len(got), FILE_LEAST)
-        return max(((float(x), n) for x, n, e in zip(got, self.names, enough, strict=True) if x >= e), default=None)
-
-
-def units_of(texts: pa.Array) -> Iterator[tuple[int, list[list[str]], list[str]]]:
-    """Row, terms of each candidate line and terms of the whole text, for every text that holds a candidate line."""
+        good = got >= enough
+        if not good.any():
+            return None
+        if self.kind == BODY:
+            inside = dims < self.known
+            good &= counts[inside] @ self.held[dims[inside]] >= COVERED * counts.sum()
+        there = set(dims.tolist())
+        says = lambda i: not there.isdisjoint(self.cues[i]) and (not self.named[i] or not there.isdisjoint(self.named[i]))
+        return max(((float(got[i]), self.names[i]) for i in np.flatnonzero(good).tolist() if says(i)), default=None)
+
+
+def paragraphs(text: str) -> list[str]:
+    """Joined lines of every paragraph of several lines, without comment signs. An empty line ends one, and so does a change between comment and other text."""
+    out: list[list[str]] = [[]]
+    kind = None
+    for line in text.split("\n"):
+        bare = _COMMENT.sub("", line)
+        mark, bare = bare != line, _CLOSING.sub("", bare).strip()
+        if not bare or mark != kind:
+            out.append([])
+        if bare:
+            kind = mark
+            out[-1].append(bare)
+    return [" ".join(p) for p in out if len(p) > 1]
+
+
+def tagged(text: str) -> str | None:
+    """The license that an identifier tag names, without its suffix; of several tags the first by name."""
+    return min((re.sub(r"-(?:only|or-later)$|\+$", "", m).rstrip(".-") for m in SPDX.findall(text)), default=None)
+
+
+def units_of(texts: pa.Array) -> Iterator[tuple[int, list[list[str]], list[str], str | None]]:
+    """Row, terms of each candidate line and paragraph, terms of the whole text, and its tag, for every text that holds a candidate line."""
     hit = np.flatnonzero(np.asarray(pc.fill_null(pc.match_substring_regex(pc.ascii_lower(texts), CUE), False)))
     for i in hit.tolist():
         text = texts[i].as_py()
-        yield i, [terms(x) for x in text.split("\n") if _CUE.search(x.lower())], terms(text)
+        yield i, [terms(x) for x in (*text.split("\n"), *paragraphs(text)) if _CUE.search(x.lower())], terms(text), tagged(text)
 
 
 def frequencies(texts: DataFrame, t: Templates) -> tuple[np.ndarray, list[int]]:
@@ -158,7 +214,7 @@ def frequencies(texts: DataFrame, t: Templates) -> tuple[np.ndarray, list[int]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros((2, t.width + 1), np.int64)  # the last one counts the units
         for batch in small_batches(batches, "text"):
-            for _, lines, body in units_of(batch.column(0)):
+            for _, lines, body, _ in units_of(batch.column(0)):
                 for kind, words in [(LINE, x) for x in lines] + [(BODY, body)]:
                     df[kind, t.vector(words)[0]] += 1
                     df[kind, -1] += 1
@@ -174,8 +230,10 @@ def frequencies(texts: DataFrame, t: Templates) -> tuple[np.ndarray, list[int]]:
 def scan(docs: DataFrame, path: F.Column, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """``doc_id, path, own_license, own_score, is_file, license, license_dir``, one row per input row.
 
-    ``own_license`` is the template nearest to a license file's whole text, else the one nearest to one of the document's
-    lines (best cosine of at least ``least``, for short forms ``SHORT_LEAST``, then by name).
+    ``own_license`` is the template nearest to a license file's whole text, else what an identifier tag names (score 1), else the
+    template nearest to one of the document's lines or paragraphs (best cosine of at least ``least``, for short forms
+    ``SHORT_LEAST``, then by name). A version is given only where the text names it. A license file is one whose words a template
+    covers, so a header over code makes none.
     A document without one inherits from the nearest ancestor directory that holds a license file, where the best of
     several files counts: its path is cut into its ancestors (the root, ``''``, is one), which are joined to the
     directories, the longest found winning.
@@ -196,9 +254,11 @@ def scan(docs: DataFrame, path: F.Column, id_col: str = "doc_id", text_col: str
         for batch in small_batches(batches, "text"):
             found: list[tuple[float, str] | None] = [None] * batch.num_rows
             file = np.zeros(batch.num_rows, bool)
-            for i, lines, body in units_of(batch.column(2)):
+            for i, lines, body, tag in units_of(batch.column(2)):
                 found[i] = by_body.best(*t.vector(body), least)
                 file[i] = found[i] is not None
+                if found[i] is None and tag:
+                    found[i] = (1.0, tag)
                 if found[i] is None:
                     found[i] = max((x for words in lines if (x := by_line.best(*t.vector(words), least))), default=None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x and x[1] for x in found], pa.string()), pa.array([x and x[0] for x in found], pa.float64()), pa.array(file)], names=["doc_id", "path", "own_license", "own_score", "is_file"])

@@ -636,7 +636,21 @@ def test_licenses(spark):
 def brute_licenses(rows):
     """TF-IDF with a count of its own for every term, and ancestors walked one by one."""
     t = licenses.templates()
-    lines = [[licenses.terms(x) for x in (r[2] or "").split("\n") if re.search(licenses.CUE, x.lower())] for r in rows]
+    vocabulary = set().union(*t.counts)
+    def joined(text):
+        """Paragraphs of several lines, found line by line."""
+        out, now, kind = [], [], ""
+        for line in [*text.split("\n"), ""]:
+            sign = re.match(r"\s*(//|#|/\*|\*)", line)
+            bare = line.strip().lstrip("#/* ").removesuffix("*/").strip()
+            if now and (not bare or bool(sign) != kind):
+                out.append(now)
+                now = []
+            if bare:
+                now, kind = [*now, bare], bool(sign)
+        return [" ".join(p) for p in out if len(p) > 1]
+
+    lines = [[licenses.terms(x) for x in [*(r[2] or "").split("\n"), *joined(r[2] or "")] if re.search(licenses.CUE, x.lower())] for r in rows]
     units = {licenses.LINE: [x for ls in lines for x in ls], licenses.BODY: [licenses.terms(r[2]) for r, ls in zip(rows, lines, strict=True) if ls]}
     out = []
     df = {k: Counter(w for u in us for w in set(u)) for k, us in units.items()}
@@ -651,11 +665,15 @@ def brute_licenses(rows):
 
     for r, ls in zip(rows, lines, strict=True):
         every = list(zip(t.names, t.forms, t.counts, strict=True))
-        body = [(round(cosine(licenses.BODY, licenses.terms(r[2]), c), 6), n) for n, f, c in every if f != "short"] if ls else []
+        says = lambda n, u: n not in licenses.VERSIONS or any(p + v in u for v in licenses.VERSIONS[n] for p in ("", "v"))
+        cue = lambda u: {re.sub("licence", "license", x[0]) for w in u if (x := re.search(licenses.CUE, "public domain" if w == "domain" else w))}
+        covers = lambda c, u: sum(w in c for w in u) >= licenses.COVERED * len(u)
+        whole = licenses.terms(r[2] or "")
+        body = [(round(cosine(licenses.BODY, whole, c), 6), n) for n, f, c in every if f != "short" and covers(c, whole) and says(n, whole) and cue(c) & cue(set(whole) & vocabulary)] if ls else []
         best = max((x for x in body if x[0] >= licenses.FILE_LEAST), default=None)
         file = best is not None
         if not file:
-            got = [(round(cosine(licenses.LINE, u, c), 6), n, f) for u in ls for n, f, c in every if f != "text"]
+            got = [(round(cosine(licenses.LINE, u, c), 6), n, f) for u in ls for n, f, c in every if f != "text" and says(n, u) and cue(c) & cue(set(u) & vocabulary)]
             best = max(((s, n) for s, n, f in got if s >= (licenses.SHORT_LEAST if f == "short" else licenses.LEAST)), default=None)
         out.append((r[0], r[1], best and best[1], best and best[0], file))
     dirs = defaultdict(list)
@@ -692,6 +710,39 @@ def near_rows(rows):
     return [(*tuple(r)[:3], r[3] and round(r[3], 4), *tuple(r)[4:]) for r in rows]
 
 
+def test_usual_headers_over_code(spark):
+    """Wrapped headers as they stand over source files, tags, and versions told apart; none of them makes its file a license file."""
+    code = "\n\nimport os\n\n\ndef main(argv):\n    for name in argv:\n        print(os.path.basename(name), len(name))\n"
+    gpl = lambda v: f"This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; {v}.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    headers = {
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "GPL-2.0": gpl("either version 2 of the License, or\n(at your option) any later version"),
+        "GPL-3.0": gpl("either version 3 of the License, or\n(at your option) any later version"),
+        "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS.',
+        "LGPL-2.1": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    }
+    hashed = lambda t: "\n".join(f"# {x}".rstrip() for x in t.split("\n"))
+    starred = lambda t: "/*\n" + "\n".join(f" * {x}".rstrip() for x in t.split("\n")) + "\n */"
+    slashed = lambda t: "\n".join(f"// {x}".rstrip() for x in t.split("\n"))
+    want, rows = {}, []
+    for i, (name, text) in enumerate(headers.items()):
+        for k, style in enumerate((hashed, starred, slashed)):
+            rows.append((10 * i + k, f"src/{i}/{k}.py", style(text) + code))
+            want[10 * i + k] = (name, False)
+    tags = {"MIT": "// SPDX-License-Identifier: MIT", "GPL-2.0": "/* SPDX-License-Identifier: GPL-2.0-or-later */", "Apache-2.0": "# SPDX-License-Identifier: (Apache-2.0 OR MIT)"}
+    for i, (name, text) in enumerate(tags.items()):
+        rows.append((900 + i, f"tags/{i}.c", text + code))
+        want[900 + i] = (name, False)
+    rows.append((990, "src/x.py", hashed("This file is published under the GNU General Public License.") + code))  # no version named
+    rows.append((991, "lib/LICENSE", headers["Apache-2.0"].replace("\n\n", "\n")))
+    rows.append((992, "lib/a/b.py", code))
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["is_file"]) for r in licenses.scan(df, df["path"]).collect()}
+    assert {i: got[i] for i in want} == want
+    assert got[990] == (None, False)
+    assert got[991] == ("Apache-2.0", False) and got[992][0] is None  # a header alone is no license file
+
+
 def test_whole_license_files_and_short_lines(spark):
     text = lambda k: (licenses.TEXTS / f"{k}.txt").read_text(encoding="utf-8")
     rows = [(i, f"{k}/LICENSE", "Copyright (c) 2020 Some Body. All rights reserved.\n\n" + text(k)) for i, k in enumerate(("MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0"))]
