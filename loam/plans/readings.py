@@ -246,6 +246,13 @@ def delta_artifacts(spark, sf_dir):
     return spark.read.schema("k long, op string").json(at)
 
 
+@query("WITH p AS (SELECT page_id AS path, unnest(list_distinct(regexp_extract_all(html, '(?:href|src)=\"([^\"]+)\"', 1))) AS module FROM pages WHERE NOT contains(html, chr(0))) SELECT path, module FROM p")
+def custom_imports(spark, sf_dir):
+    """A language that a caller adds by its pattern: what pages link to and load."""
+    p = R.read(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), F.lit("html").alias("language"), F.col("html").alias("text"))
+    return readers.imports(p, {"html": r'(?:href|src)="([^"]+)"'})
+
+
 # -- annotated files -------------------------------------------------------------------------------------------------------------
 
 
