@@ -108,12 +108,12 @@ _EDGES = R.using("edges").replace("WITH ", "WITH RECURSIVE ", 1)
 
 @query(R.using("edges") + ", a AS (SELECT src AS id, count(*) AS o FROM edges GROUP BY 1), b AS (SELECT dst AS id, count(*) AS i FROM edges GROUP BY 1) SELECT coalesce(a.id, b.id) AS id, coalesce(i, 0) AS incoming, coalesce(o, 0) AS outgoing FROM a FULL JOIN b ON a.id = b.id")
 def degree_counts(spark, sf_dir):
-    return graph.degrees(R.edges(spark, sf_dir))
+    return graph.degrees(R.kept(spark, sf_dir, R.edges))
 
 
 @query(R.using("edges") + ", a AS (SELECT src AS id, count(*) AS o FROM edges GROUP BY 1), b AS (SELECT dst AS id, count(*) AS i FROM edges GROUP BY 1) SELECT coalesce(a.id, b.id) AS id, CAST(coalesce(o, 0) / nullif(coalesce(i, 0) + coalesce(o, 0), 0) AS DOUBLE) AS instability FROM a FULL JOIN b ON a.id = b.id")
 def instability_ratio(spark, sf_dir):
-    d = graph.degrees(R.edges(spark, sf_dir))
+    d = graph.degrees(R.kept(spark, sf_dir, R.edges))
     return d.select("id", instability(F.col("incoming"), F.col("outgoing")).alias("instability"))
 
 
@@ -122,7 +122,7 @@ _BOTH = "both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edg
 
 @query(_EDGES + f", {_BOTH}, w(id, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, depth + 1 FROM w JOIN both_ways ON src = id WHERE depth < 2) SELECT id, min(depth) AS depth FROM w GROUP BY 1")
 def bfs_closure(spark, sf_dir):
-    return graph.reach(R.edges(spark, sf_dir), spark.createDataFrame([(1,)], "id long"), 2, both=True)
+    return graph.reach(R.kept(spark, sf_dir, R.edges), spark.createDataFrame([(1,)], "id long"), 2, both=True)
 
 
 _FLOW = "WITH RECURSIVE " + R.CTE["flow"]
@@ -133,12 +133,12 @@ _ROLES = _SIDE.format(r="callee", at="src", to="dst") + ", " + _SIDE.format(r="c
 @query(R.using("flow") + f", {_ROLES} SELECT id, 'root' AS role, depth, weight FROM callee0 " + " ".join(f"UNION ALL SELECT id, '{r}', depth, weight FROM {r}{d}" for r in ("callee", "caller") for d in (1, 2, 3)))
 def call_graph_roles(spark, sf_dir):
     """Callers and callees of one symbol, three steps both ways."""
-    return graph.call_graph(R.flow(spark, sf_dir).withColumnRenamed("n", "weight"), 7, 3)
+    return graph.call_graph(R.kept(spark, sf_dir, R.flow).withColumnRenamed("n", "weight"), 7, 3)
 
 
 @query(_FLOW + ", w(id, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, depth + 1 FROM w JOIN flow ON src = id WHERE depth < 2) SELECT id, min(depth) AS depth FROM w GROUP BY 1")
 def call_graph_depth2(spark, sf_dir):
-    return graph.reach(R.flow(spark, sf_dir), spark.createDataFrame([(1,)], "id long"), 2)
+    return graph.reach(R.kept(spark, sf_dir, R.flow), spark.createDataFrame([(1,)], "id long"), 2)
 
 
 @query(
@@ -149,7 +149,7 @@ def paths_to_targets(spark, sf_dir):
     """From several entry points, the two shortest ways of at most two calls to each symbol of one kind."""
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
     targets = R.read(spark, sf_dir, "part").where("p_type = 'PROMO'").select(F.col("p_partkey").alias("id"))
-    found = graph.paths_between(R.flow(spark, sf_dir), ids(3, 5, 8), targets, 2, 2)
+    found = graph.paths_between(R.kept(spark, sf_dir, R.flow), ids(3, 5, 8), targets, 2, 2)
     return found.select("source", "target", F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("path"), "hops")
 
 
@@ -157,7 +157,7 @@ def paths_to_targets(spark, sf_dir):
 def shortest_path(spark, sf_dir):
     """From one symbol, the shortest way of at most two calls to every symbol."""
     targets = R.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
-    found = graph.shortest_paths(R.flow(spark, sf_dir), spark.createDataFrame([(7,)], "id long"), targets, 2)
+    found = graph.shortest_paths(R.kept(spark, sf_dir, R.flow), spark.createDataFrame([(7,)], "id long"), targets, 2)
     return found.select("id", F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("path"), "hops")
 
 
@@ -165,12 +165,12 @@ def shortest_path(spark, sf_dir):
 def contract_closure(spark, sf_dir):
     """What each contract reaches within two steps; contracts are the symbols of one line."""
     seeds = R.read(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").alias("id"))
-    return graph.closure_with_origin(R.flow(spark, sf_dir), seeds, 2)
+    return graph.closure_with_origin(R.kept(spark, sf_dir, R.flow), seeds, 2)
 
 
 @query(_FLOW + ", w(id, depth) AS (SELECT dst, 1 FROM flow WHERE src = 4 UNION SELECT dst, depth + 1 FROM w JOIN flow ON src = id WHERE depth < 2), c AS (SELECT id, min(depth) AS depth FROM w GROUP BY 1) SELECT c.id AS via, c.depth, flow.dst AS consumer FROM c JOIN flow ON flow.src = c.id")
 def transitive_consumers(spark, sf_dir):
-    e = R.flow(spark, sf_dir).select("src", "dst")
+    e = R.kept(spark, sf_dir, R.flow).select("src", "dst")
     first = e.where("src = 4").select(F.col("dst").alias("id"))
     near = graph.reach(e, first, 1).select("id", (F.col("depth") + 1).alias("depth"))
     return near.join(e, F.col("id") == F.col("src")).select(F.col("id").alias("via"), "depth", F.col("dst").alias("consumer"))
@@ -182,9 +182,9 @@ _PPR = R.CTE["edges"] + ", be AS (SELECT src, dst, n::DOUBLE AS w FROM edges UNI
 
 @query(f"WITH {_PPR} SELECT id, round(score, 6) AS score FROM rank20 WHERE score > 0 ORDER BY round(score, 6) DESC, id LIMIT 20")
 def ppr_topk(spark, sf_dir):
-    e = R.edges(spark, sf_dir).select("src", "dst", F.col("n").cast("double").alias("weight"))
+    e = R.kept(spark, sf_dir, R.edges).select("src", "dst", F.col("n").cast("double").alias("weight"))
     e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    kept = writers.clustered(R.read(spark, sf_dir, "lineitem"), graph.transitions(e), "edges", "src", "dst")
+    kept = writers.clustered(R.read(spark, sf_dir, "lineitem"), graph.transitions(e), "edge-steps", "src", "dst")
     r = graph.push(kept, spark.createDataFrame([(0, 1), (0, 2), (0, -5)], "query int, id long"))
     return r.select("id", "score").where("score > 0").withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").limit(20)
 
@@ -199,7 +199,7 @@ _BACK = ", ".join(
 def strongest_way(spark, sf_dir):
     """From every symbol back by the heaviest calls to one of the entry points, five steps at most."""
     p = R.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size")
-    w = graph.strongest_way(R.flow(spark, sf_dir).withColumnRenamed("n", "weight"), p.select("id"), p.where("p_size = 1").select("id"), 5)
+    w = graph.strongest_way(R.kept(spark, sf_dir, R.flow).withColumnRenamed("n", "weight"), p.select("id"), p.where("p_size = 1").select("id"), 5)
     return w.select("target", F.concat_ws(">", F.transform("way", lambda x: x.cast("string"))).alias("way"))
 
 
@@ -211,7 +211,7 @@ def module_clique(spark, sf_dir):
 
 @query(R.using("edges") + "SELECT (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) AS nodes, count(*) AS edges, round(count(*) / (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)), 6) AS mean_out FROM edges")
 def graph_stats(spark, sf_dir):
-    return graph.stats(R.edges(spark, sf_dir))
+    return graph.stats(R.kept(spark, sf_dir, R.edges))
 
 
 _ENTRY = "CASE WHEN p_name LIKE '%main%' OR p_type LIKE 'STANDARD%' THEN 'cli' WHEN p_type LIKE 'PROMO%' THEN 'api' WHEN p_type LIKE 'LARGE%' THEN 'job' WHEN p_type LIKE 'MEDIUM%' THEN 'event' END"
@@ -220,7 +220,7 @@ _ENTRY = "CASE WHEN p_name LIKE '%main%' OR p_type LIKE 'STANDARD%' THEN 'cli' W
 @query(f"SELECT p_partkey AS id, {_ENTRY} AS entry, count(l_suppkey) AS fan FROM part LEFT JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ON l_partkey = p_partkey WHERE {_ENTRY} IS NOT NULL GROUP BY 1, 2")
 def entrypoints(spark, sf_dir):
     p = R.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr(_ENTRY).alias("entry")).where("entry is not null")
-    fan = graph.degrees(R.edges(spark, sf_dir)).select((F.col("id") - 1_000_000).alias("id"), F.col("incoming").alias("fan"))
+    fan = graph.degrees(R.kept(spark, sf_dir, R.edges)).select((F.col("id") - 1_000_000).alias("id"), F.col("incoming").alias("fan"))
     return p.join(fan, "id", "left").na.fill(0, ["fan"])
 
 

@@ -149,8 +149,8 @@ def _near(spark, sf_dir):
     rows = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("documentation"), F.col("p_brand").alias("signature"))
     at = search_store.index_of(part, rows, "symbols", FIELDS)
     found = retrieval.found_by(at, SEARCHES, LIMIT, part.where("p_type <> 'ECONOMY'").select(F.col("p_partkey").alias("id")))
-    flow = graph.transitions(R.flow(spark, sf_dir).withColumnRenamed("n", "weight"))
-    return retrieval.near_seeds(found, writers.clustered(R.read(spark, sf_dir, "lineitem"), flow, "flow", "src", "dst"))
+    flow = graph.transitions(R.kept(spark, sf_dir, R.flow).withColumnRenamed("n", "weight"))
+    return retrieval.near_seeds(found, writers.clustered(R.read(spark, sf_dir, "lineitem"), flow, "flow-steps", "src", "dst"))
 
 
 @query(

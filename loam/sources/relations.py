@@ -18,9 +18,13 @@ Each has the same definition as a SQL common table expression in ``CTE``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.sources import writers
+
 HISTORY_AS_OF = "2001-12-01"
 USAGE_AS_OF = "2024-02-01"
 
@@ -67,6 +71,11 @@ def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(after, ["l_orderkey", "l_linenumber"]).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
+def kept(spark: SparkSession, sf_dir: str, relation: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """:func:`edges` or :func:`flow`, laid out once for a state of ``lineitem`` in the order of ``src``: traversals read them at every step."""
+    return writers.clustered(read(spark, sf_dir, "lineitem"), relation(spark, sf_dir), f"kept-{relation.__name__}", "src", "dst")
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
     month = F.trunc(F.col("o_orderdate").cast("date"), "month")
