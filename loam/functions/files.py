@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,14 +31,22 @@ def read_text(spark: SparkSession, path: str) -> str:
 def create_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a new file under a passing name, then rename it; an error if the name is taken already."""
     fs, p = _at(spark, path)
-    _, part = _at(spark, f"{path}.part")
+    _, part = _at(spark, f"{path}.{uuid.uuid4().hex}.part")
     stream = fs.create(part, True)
     stream.write(bytearray(text.encode()))
     stream.close()
     if fs.exists(p) or not fs.rename(part, p):
+        fs.delete(part, False)
         raise FileExistsError(path)
 
 
+def move(spark: SparkSession, path: str, to: str) -> bool:
+    """Rename a folder, unless the other name is taken."""
+    fs, p = _at(spark, path)
+    _, q = _at(spark, to)
+    return not fs.exists(q) and fs.rename(p, q)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _at(spark, path)
     fs.delete(p, True)

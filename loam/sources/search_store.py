@@ -16,6 +16,7 @@ often. Old segments and manifests stay until :func:`vacuum`, so a reader of an o
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
 import time
@@ -229,6 +230,7 @@ def index_of(df: DataFrame, rows: DataFrame, name: str, fields: dict[str, float]
     known = versions(spark, root)
     if 1 not in known:
         began = time.perf_counter()
-        apply(open_index(spark, root, 0) if known else create(spark, root, fields, parts), rows)
+        with contextlib.suppress(FileExistsError):  # another application has built it meanwhile
+            apply(open_index(spark, root, 0) if known else create(spark, root, fields, parts), rows)
         BUILDS.append((name, time.perf_counter() - began))
     return open_index(spark, root, 1)

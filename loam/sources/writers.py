@@ -49,16 +49,17 @@ def laid_out(df: DataFrame, name: str, write: Callable[[str], None]) -> str:
     """Folder of what ``write`` makes of the table ``df``, made once for a state of the table's files.
 
     It lies in the shared folder under a name made of the files' names, lengths and times, so a rewritten table is laid out
-    anew, and any application finds what is there. A table that is not read from files is laid out every time.
+    anew, and any application finds what is there; it gets that name when it is whole. A table that is not read from files is
+    laid out every time.
     """
     spark, mark = df.sparkSession, files.snapshot_mark(df)
     own = uuid.uuid5(uuid.NAMESPACE_URL, f"{name} {mark}").hex if mark else uuid.uuid4().hex
     at = f"{shared_dir(spark)}/loam-{name}-{own}"
-    if "done" not in files.names(spark, at):
-        began = time.perf_counter()
-        files.delete(spark, at)  # what a lost build has left
-        write(at)
-        files.create_text(spark, f"{at}/done", mark)
+    if not files.names(spark, at):
+        began, part = time.perf_counter(), f"{at}-{uuid.uuid4().hex}"
+        write(part)
+        if not files.move(spark, part, at):  # another application has written the same meanwhile
+            files.delete(spark, part)
         BUILDS.append((name, time.perf_counter() - began))
     return at
 
