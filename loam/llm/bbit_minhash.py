@@ -11,8 +11,9 @@ Documents are linked when the Jaccard similarity of their sets of ``WORDS``-word
    or more below that of a similarity of 0.8.
 4. *Links.* The sets decide. Links give components.
 5. *Mixed buckets.* Only buckets that still hold several components go on. First their nodes meet those heads that they are
-   still apart from. What is mixed even then is searched whole: its nodes, in bands of size, are dealt to pairs of blocks, and
-   the planes of each pair of blocks compared. Steps 3 and 4 decide both times.
+   still apart from. What is mixed even then is searched whole: its nodes, in bands of size, are dealt to pairs of blocks, whose
+   task compares the planes and decides by the sets. Variants that are near 0.8 without a link cost a comparison each there,
+   but no row of a table.
 
 A bucket of copies or of many variants of one text is one component before step 5 and costs nothing there, whatever its size.
 """
@@ -38,8 +39,9 @@ ERRORS = 6
 #: Sets of fewer shingles have no link but with equal ones.
 LEAST = SIM_NUM
 SALTS = 64
-BLOCK = 1024
-TEXT_BYTES, SLICE = 1 << 20, 512
+#: Nodes of a block, and shingles of all of them, at most.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+TEXT_BYTES, SLICE = 1 << 20, 128
 _FACTOR = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _FLIP = _mix(_FACTOR + np.uint64(0x632BE59BD9B4E019))
 
@@ -127,10 +129,9 @@ def _estimates(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", agreeing("p_a", "p_b").alias("agree")).where(F.col("agree") >= least_agreement())
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` whose full sets are similar enough. Only texts of nodes in a pair are read out; a row that repeats id and text counts once."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair-nodes")
-    wanted = stored(_few(ids).join(nodes.select("node", F.col("doc_id").alias("of"), F.col("mark").alias("marked"), "digest"), "node"), "pair-texts")
+def _sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, shingles`` of the nodes in ``ids``. Only their texts are read out; a row that repeats id and text counts once."""
+    wanted = stored(_few(ids).join(nodes.select("node", F.col("doc_id").alias("of"), F.col("mark").alias("marked"), "digest"), "node"), "set-texts")
     texts = docs.join(_few(wanted), (F.col("doc_id") == F.col("of")) & (F.col("mark") == F.col("marked"))).select("node", "digest", "text")
 
     @tidy
@@ -145,39 +146,67 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         have = stored(texts.mapInArrow(sets, "node long, shingles array<long>"), "sets")
     if have.count() > wanted.count():
         have = stored(have.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    return have
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` whose full sets are similar enough."""
+    have = _sets(stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair-nodes"), nodes, docs)
     of = lambda x, y: have.select(F.col("node").alias(x), F.col("shingles").alias(y))
     both = pairs.select("a", "b").join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both"))
     return stored(both.where(F.col("both") * SIM_DEN >= (F.col("nx") + F.col("ny") - F.col("both")) * SIM_NUM).select("a", "b"), "links")
 
 
-def block_pairs(label: np.ndarray, size: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows with different labels that sizes and low bits allow to be linked."""
-    left, right, most = [], [], BANDS * ROWS - least_agreement()
+def block_links(label: np.ndarray, bits: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between rows of different labels, as many as it takes to show which labels belong together.
+
+    Sizes and low bits allow a pair or not; allowed pairs are decided by their sets, the likeliest of a row first, until the
+    labels of its two rows have become one.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    least, of = least_agreement(), {x: x for x in np.unique(label).tolist()}
+    found: list[tuple[int, int]] = []
+
+    def first(x: int) -> int:
+        while of[x] != x:
+            of[x] = of[of[x]]
+            x = of[x]
+        return x
+
     for at in range(0, len(label), SET_ROWS):
         x = slice(at, at + SET_ROWS)
         differ = np.zeros((len(label[x]), len(label), PLANE), np.uint64)
         for p in range(BITS):
             own = slice(p * PLANE, (p + 1) * PLANE)
             differ |= bits[x, None, own] ^ bits[None, :, own]
-        ok = np.bitwise_count(differ).sum(2) <= most
-        ok &= label[x, None] != label[None, :]
+        agree = BANDS * ROWS - np.bitwise_count(differ).sum(2, dtype=np.int64)
+        ok = (agree >= least) & (label[x, None] != label[None, :]) & (np.arange(len(label))[x, None] < np.arange(len(label))[None, :])
         ok &= (size[x, None] * SIM_DEN >= size[None, :] * SIM_NUM) & (size[None, :] * SIM_DEN >= size[x, None] * SIM_NUM)
         i, j = np.nonzero(ok)
-        i += at
-        left.append(i[i < j])
-        right.append(j[i < j])
-    return np.concatenate(left), np.concatenate(right)
+        order = np.lexsort((-agree[i, j], i))
+        for a, b in zip((i[order] + at).tolist(), j[order].tolist(), strict=True):
+            p, q = first(int(label[a])), first(int(label[b]))
+            if p != q:
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if both * SIM_DEN >= (size[a] + size[b] - both) * SIM_NUM:
+                    of[max(p, q)] = min(p, q)
+                    found.append((a, b))
+    return found
 
 
 def _searched(rows: DataFrame) -> DataFrame:
-    """Candidate pairs from rows ``bucket, node, label, n, planes``, two blocks a bucket at most."""
+    """Links from rows ``bucket, node, label, planes, shingles``, two blocks a bucket at most."""
 
     def run(key, batches):
         t = batches if isinstance(batches, pa.Table) else pa.Table.from_batches(batches)
-        ids, label, size = (t.column(c).to_numpy() for c in ("node", "label", "n"))
+        ids, label = (t.column(c).to_numpy() for c in ("node", "label"))
         bits = t.column("planes").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).view(np.uint64)
-        i, j = block_pairs(label, size, bits)
-        return pa.table({"a": np.maximum(ids[i], ids[j]), "b": np.minimum(ids[i], ids[j])})
+        flat = t.column("shingles").combine_chunks()
+        ends = flat.offsets.to_numpy()
+        every = flat.values.to_numpy().view(np.uint64)
+        links = block_links(label, bits, [every[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]) if (label != label[0]).any() else []
+        a, b = (np.array([ids[p[k]] for p in links], np.int64) for k in (0, 1))
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
     return rows.groupBy("bucket").applyInArrow(run, "a long, b long")
 
@@ -195,18 +224,24 @@ def _mixed(member: DataFrame) -> DataFrame:
     return stored(member.join(_few(stored(per.select("key", "head_label"), "mixed")), "key"), "mixed-rows")
 
 
-def _mixed_pairs(member: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidates inside mixed buckets of more than two nodes; buckets of one largest component are searched together."""
+def _mixed_links(member: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links inside mixed buckets of more than two nodes; buckets of one largest component are searched together.
+
+    A block holds so many nodes that their sets fit a task; what leaves it are links, not pairs that might be some.
+    """
     member = member.where("m > 2")
     per = member.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", -F.col("label"))).alias("major"))
     some = stored(member.join(_few(stored(per, "majors")), "key").select("major", "node", "label").distinct(), "apart")
     sized = stored(_bands(some.join(nodes.select("node", "n"), "node")), "banded")
     group = ["major", "band"]
-    leads = sized.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("k")).groupBy(*group).agg(F.max_by("label", F.struct("k", -F.col("label"))).alias("lead"), F.max("k").alias("m"), F.sum("k").alias("all")).where("all > m")
-    blocks = stored(leads.select(*group, "lead", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil((F.col("all") - F.col("m")) / BLOCK).cast("int").alias("ob")), "blocks")
-    dealt = sized.join(_few(blocks), group).withColumn("doc_id", F.col("node")).select("node", "label", "n", F.explode(_block_pairs()).alias("pair"), *group)
-    dealt = stored(dealt.select(F.xxhash64(*group, "pair").alias("bucket"), "node", "label", "n"), "dealt")
-    return _searched(dealt.join(nodes.select("node", "planes"), "node")).distinct()
+    leads = sized.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
+    leads = leads.groupBy(*group).agg(F.max_by("label", F.struct("k", -F.col("label"))).alias("lead"), F.max("k").alias("m"), F.sum("k").alias("all"), F.max("n").alias("n")).where("all > m")
+    rows = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_SHINGLES) / F.col("n"))))
+    blocks = stored(leads.select(*group, "lead", F.ceil(F.col("m") / rows).cast("int").alias("mb"), F.ceil((F.col("all") - F.col("m")) / rows).cast("int").alias("ob")), "blocks")
+    dealt = sized.join(_few(blocks), group).withColumn("doc_id", F.col("node")).select("node", "label", F.explode(_block_pairs()).alias("pair"), *group)
+    dealt = stored(dealt.select(F.xxhash64(*group, "pair").alias("bucket"), "node", "label"), "dealt")
+    have = _sets(stored(dealt.select("node").distinct(), "block-nodes"), nodes, docs)
+    return _searched(dealt.join(nodes.select("node", "planes"), "node").join(have, "node").select("bucket", "node", "label", "planes", "shingles")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,11 +279,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(_linked(rest, nodes, src))
         labels = components(links)
         mixed = _mixed(_labelled(mixed.drop("label", "head_label"), labels))
-    late = stored(_mixed_pairs(mixed, nodes).join(tried.unionByName(again), ["a", "b"], "left_anti"), "late")
+    late = stored(_mixed_links(mixed, nodes, src), "late")
     if not late.isEmpty():
-        more = _linked(late, nodes, src)
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+        labels = components(links.unionByName(late))
 
     named = nodes.select("node", "digest", "doc_id", "salts").join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = stored(named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("k")).where("k > 1").select("label", "component_id"), "lowest")
