@@ -136,19 +136,26 @@ def lzw_decode(data: bytes, most: int = MOST_BYTES) -> bytes:
         if code == 256:
             table, width, last = list(first), 9, None
             continue
-        if code > len(table) or (last is None and code > 255):
-            raise ValueError(f"code {code} where the table ends at {len(table) - 1}")
+        known = len(table)
         if last is None:
+            if code > 255:
+                raise ValueError(f"code {code} at the start of a table")
             got = table[code]
         else:
-            got = table[code] if code < len(table) else last + last[:1]
+            if code < known:
+                got = table[code]
+            elif code == known:
+                got = last + last[:1]
+            else:
+                raise ValueError(f"code {code} where the table ends at {known - 1}")
             table.append(last + got[:1])
+            known += 1
         out.append(got)
         last = got
         size += len(got)
         if size >= most:
             return b"".join(out)
-        if len(table) + 1 >= 1 << width and width < 12:
+        if known + 1 >= 1 << width and width < 12:
             width += 1
 
 
