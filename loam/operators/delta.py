@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +72,30 @@ def hits_and_misses(ids: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return ids.join(table.select(key).distinct().withColumn("__h", F.lit(True)), key, "left").select(key, F.coalesce("__h", F.lit(False)).alias("found"))
 
 
+def _plain(x: Column, single: bool) -> Column:
+    """A floating number to six places as the shortest decimal text: digits alone from 1e-4 up to 1e16, ``1e-05`` and ``1e+16`` beyond; -0.0 keeps its sign."""
+    places = F.round(x, 6) if single else F.when(F.abs(x) < 1e300, F.round(x * 1e6) / 1e6).otherwise(x)
+    powers = [F.format_string(f"%.{n}e", places) for n in ((7, 8) if single else (14, 15, 16))]
+    power = F.coalesce(*[F.when(t.try_cast("float" if single else "double") == places, t) for t in powers], powers[-1])
+    digits = F.regexp_replace(F.regexp_replace(power.try_cast("decimal(38,6)").cast("string"), "0+$", ""), r"\.$", ".0")
+    size = F.abs(places)
+    text = F.when((size >= 1e-4) & (size < 1e16), digits).otherwise(F.regexp_replace(power, r"\.?0+e", "e"))
+    text = F.when(places == 0, F.when(x < 0, F.lit("-0.0")).otherwise(F.lit("0.0"))).otherwise(text)
+    odd = F.isnan(x) | (size == float("inf"))
+    return F.when(odd, F.concat(F.lit('"'), x.cast("string"), F.lit('"'))).when(x.isNotNull(), text)
+
+
 def canonical_json(df: DataFrame, *columns: str) -> Column:
-    """Compact JSON of ``df``'s columns, sorted by name, without nulls, floating numbers to six places."""
-    floating = {c for c, t in df.dtypes if t in ("double", "float")}
-    return F.to_json(F.struct(*[F.round(c, 6).alias(c) if c in floating else F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "true"})
+    """Compact JSON of ``df``'s columns, sorted by name, without nulls, floating numbers to six places.
+
+    Spark writes doubles from 1e7 up and below 1e-3 with an exponent, so numbers are put into text here.
+    """
+    kinds = dict(df.dtypes)
+
+    def field(c: str) -> Column:
+        if kinds[c] in ("double", "float"):
+            return F.concat(F.lit(json.dumps(c, ensure_ascii=False) + ":"), _plain(F.col(c), kinds[c] == "float"))
+        whole = F.to_json(F.struct(F.col(c)), {"ignoreNullFields": "true"})
+        return F.when(F.col(c).isNotNull(), F.substring(whole, F.lit(2), F.length(whole) - 2))
+
+    return F.concat(F.lit("{"), F.concat_ws(",", *[field(c) for c in sorted(columns)]), F.lit("}"))
