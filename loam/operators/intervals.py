@@ -33,12 +33,17 @@ def innermost(points: DataFrame, defs: DataFrame, stride: int = STRIDE) -> DataF
     """``pid, id`` of the smallest range that holds each point (ties: later start, then smaller id); points outside all are left out.
 
     Ranges are cut into ``stride``-line cells, so that the join is an equi-join on document and cell and no document
-    meets all its points in one task.
+    meets all its points in one task. Of ranges with the same lines of a cell only the best can win there, so a cell has at
+    most about ``stride ** 2 / 2`` of them, however many ranges there are; and each line is looked up once, however many
+    points lie on it.
     """
-    cells = defs.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / stride), F.floor(F.col("end") / stride))))
-    p = points.withColumn("cell", F.floor(F.col("line") / stride))
-    hit = p.join(cells, ["doc", "cell"]).where("line between start and end")
-    return hit.groupBy("pid").agg(F.min_by("id", F.struct(F.col("end") - F.col("start"), -F.col("start"), F.col("id"))).alias("id"))
+    low, high = F.col("cell") * stride, (F.col("cell") + 1) * stride
+    size = F.struct((F.col("end") - F.col("start")).alias("size"), (-F.col("start")).alias("late"), "id")
+    cells = defs.select("doc", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / stride), F.floor(F.col("end") / stride))).alias("cell"), size.alias("best"))
+    cells = cells.groupBy("doc", "cell", F.greatest("start", low).alias("start"), F.least("end", high).alias("end")).agg(F.min("best").alias("best"))
+    lines = points.select("doc", "line", F.floor(F.col("line") / stride).alias("cell")).distinct()
+    found = lines.join(cells, ["doc", "cell"]).where("line between start and end").groupBy("doc", "line").agg(F.min("best").alias("best"))
+    return points.join(found, ["doc", "line"]).groupBy("pid").agg(F.min("best").alias("best")).select("pid", F.col("best.id").alias("id"))
 
 
 def enclosing(points: DataFrame, defs: DataFrame) -> DataFrame:

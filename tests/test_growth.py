@@ -1,6 +1,9 @@
 """Values and shapes that only larger tables have."""
 
-from loam.operators import delta
+import random
+import time
+
+from loam.operators import delta, intervals
 
 
 def test_numbers_in_canonical_json(spark):
@@ -9,3 +12,32 @@ def test_numbers_in_canonical_json(spark):
     df = spark.createDataFrame([(i, 'a"b', x) for i, (x, _) in enumerate(rows)], "id long, n string, x double")
     got = dict(df.select("id", delta.canonical_json(df, "x", "n", "id")).collect())
     assert got == {i: f'{{"id":{i},"n":"a\\"b"' + (f',"x":{t}' if t else "") + "}" for i, (_, t) in enumerate(rows)}
+
+
+def _smallest(points, defs):
+    out = {}
+    for pid, doc, line in points:
+        hits = [(e - s, -s, i) for d, s, e, i in defs if d == doc and s <= line <= e]
+        if hits:
+            out[pid] = min([*hits, *([out[pid]] if pid in out else [])])
+    return {pid: k[2] for pid, k in out.items()}
+
+
+def test_innermost_ranges_of_random_documents(spark):
+    """Ranges across several cells, equal ones, empty ones, points that repeat an id."""
+    rng = random.Random(5)
+    starts = [(rng.choice("ab"), rng.randrange(-40, 300), i) for i in range(300)]
+    defs = [(d, s, s + rng.choice((-1, 0, 3, 15, 16, 17, 90, 200)), i) for d, s, i in starts] + [("a", 10, 12, 900), ("a", 10, 12, 899)]
+    points = [(i // 2 if i < 40 else i, rng.choice("abc"), rng.randrange(-60, 500)) for i in range(400)]
+    got = intervals.innermost(spark.createDataFrame(points, "pid long, doc string, line long"), spark.createDataFrame(defs, "doc string, start long, end long, id long"), 16)
+    assert dict(got.collect()) == _smallest(points, defs)
+
+
+def test_very_many_ranges_over_the_same_lines(spark):
+    """60,000 ranges under each of 60,000 points are not 3,600,000,000 pairs."""
+    n = 60_000
+    defs = spark.range(n).selectExpr("'a' as doc", "id % 3 as start", "id % 3 + 40 as end", "id")
+    points = spark.range(n).selectExpr("id as pid", "'a' as doc", "5 + id % 20 as line")
+    began = time.monotonic()
+    assert intervals.innermost(points, defs).groupBy("id").count().collect() == [(2, n)]
+    assert time.monotonic() - began < 60
