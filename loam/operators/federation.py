@@ -33,20 +33,18 @@ def glob_like(pattern: str) -> str:
 def partners(edges: DataFrame, hot: int = 512) -> DataFrame:
     """``contract, partners``: how many other contracts share a consumer with it; contracts without one are left out.
 
-    ``edges`` has distinct ``contract`` (whole numbers) and ``consumer``. Consumers of up to ``hot`` contracts make their
-    pairs; for larger ones a bitmap of their contracts goes out instead, so that no consumer costs the square of its
-    contracts. Both end in bitmaps by contract, which combine before the shuffle.
+    ``edges`` has distinct ``contract`` (whole numbers) and ``consumer``. A consumer's contracts go out as words of 64 bits,
+    which are joined by ``or`` into each contract's words before the shuffle. Of consumers of more than ``hot`` contracts about
+    so many meet the words in one slice, so that no consumer is the work of one task.
     """
-    size = edges.groupBy("consumer").agg(F.count(F.lit(1)).alias("n"))
-    sized = edges.join(size, "consumer")
-    light, heavy = sized.where(F.col("n") <= hot).select("contract", "consumer"), sized.where(F.col("n") > hot).select("contract", "consumer")
-    place = [F.bitmap_bucket_number("other").alias("bucket")]
-    pairs = light.join(light.withColumnRenamed("contract", "other"), "consumer").select("contract", "other")
-    near = pairs.groupBy("contract", *place).agg(F.bitmap_construct_agg(F.bitmap_bit_position("other")).alias("bits"))
-    maps = heavy.withColumnRenamed("contract", "other").groupBy("consumer", *place).agg(F.bitmap_construct_agg(F.bitmap_bit_position("other")).alias("bits"))
-    far = heavy.join(maps, "consumer").select("contract", "bucket", "bits")
-    whole = near.unionByName(far).groupBy("contract", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
-    return whole.groupBy("contract").agg((F.sum("n") - 1).alias("partners")).where("partners > 0")
+    slices = edges.groupBy("consumer").agg(F.ceil(F.count(F.lit(1)) / max(1, hot)).cast("int").alias("slices"))
+    sized = edges.join(slices, "consumer")
+    mine = sized.select("contract", "consumer", F.pmod(F.hash("contract"), F.col("slices")).alias("slice"))
+    bit = F.expr("shiftleft(1L, int(contract & 63))")
+    words = sized.groupBy("consumer", "slices", F.shiftright(F.col("contract").cast("long"), 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    words = words.select("consumer", "word", "bits", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    near = mine.join(words, ["consumer", "slice"]).groupBy("contract", "word").agg(F.bit_or("bits").alias("bits"))
+    return near.groupBy("contract").agg((F.sum(F.bit_count("bits")) - 1).alias("partners")).where("partners > 0")
 
 
 def contract_points(consumers: Column, transitive: Column, public: Column, breaking: Column) -> tuple[Column, Column]:
