@@ -19,6 +19,12 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def length(spark: SparkSession, folder: str) -> int:
+    """Bytes of all files below a folder; 0 if it does not exist."""
+    fs, p = _at(spark, folder)
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, p = _at(spark, path)
     stream = fs.open(p)

@@ -6,6 +6,12 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loam.functions import files
+
+#: Bytes of stored tables for each partition that a shuffle is dealt to at first.
+SHUFFLE_BYTES = 4 << 20
+_FIRST = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``. Where it is unset, a session of one process gets a temporary folder of its own; a cluster is refused, as such a folder would be seen by one machine only."""
@@ -23,3 +29,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files, which outlive any executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def size_shuffles(spark: SparkSession, folder: str) -> None:
+    """Deal shuffles out by the size of the tables in ``folder``, so that a task's memory does not grow with them.
+
+    Adaptive execution joins small partitions again, but never cuts those of a grouping. The session's own number stays where it is
+    larger, and where it is enough nothing is set.
+    """
+    wanted = files.length(spark, folder) // SHUFFLE_BYTES
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(_FIRST, wanted)
+    else:
+        spark.conf.unset(_FIRST)

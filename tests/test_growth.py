@@ -3,7 +3,8 @@
 import random
 import time
 
-from loam.operators import delta, intervals
+from loam.operators import delta, federation, intervals
+from loam.plans import catalog
 
 
 def test_numbers_in_canonical_json(spark):
@@ -41,3 +42,44 @@ def test_very_many_ranges_over_the_same_lines(spark):
     began = time.monotonic()
     assert intervals.innermost(points, defs).groupBy("id").count().collect() == [(2, n)]
     assert time.monotonic() - began < 60
+
+
+def test_shuffles_follow_the_tables(spark, tmp_path, monkeypatch):
+    """A task of a grouping holds no more where the tables are larger; the session's own number is not touched."""
+    from loam.functions import shared
+
+    spark.range(3_000).selectExpr("id as p_partkey", "id % 7 as p_size", "cast(id as string) as p_name", "'t' as p_type", "'b' as p_brand", "1.5 as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    dealt = lambda: spark.range(9).repartition("id").rdd.getNumPartitions()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        monkeypatch.setattr(shared, "SHUFFLE_BYTES", 1 << 10)
+        shared.size_shuffles(spark, str(tmp_path))
+        first = spark.conf.get(shared._FIRST)
+        assert int(first) > int(own) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        monkeypatch.setattr(shared, "SHUFFLE_BYTES", 1 << 40)
+        catalog.QUERIES["key_concepts"](spark, str(tmp_path))
+        assert spark.conf.get(shared._FIRST, None) is None and dealt() == int(own)
+        monkeypatch.setattr(shared, "SHUFFLE_BYTES", 1 << 10)
+        catalog.QUERIES["key_concepts"](spark, str(tmp_path))
+        assert spark.conf.get(shared._FIRST) == first
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset(shared._FIRST)
+
+
+def test_partners_of_consumers_of_very_many_contracts(spark):
+    """Words of 64 contracts, negative ones and slices of a large consumer, against sets."""
+    rng = random.Random(8)
+    edges = {(rng.randrange(-300, 300), rng.randrange(12)) for _ in range(900)} | {(c, 99) for c in range(100, 180)} | {(5_000, 77)}
+    sets = {}
+    for c, k in edges:
+        sets.setdefault(k, set()).add(c)
+    want = {}
+    for c, k in edges:
+        want.setdefault(c, set()).update(sets[k] - {c})
+    df = spark.createDataFrame(sorted(edges), "contract long, consumer long")
+    for hot in (7, 512):
+        plan = federation.partners(df, hot)
+        assert dict(plan.collect()) == {c: len(v) for c, v in want.items() if v}
+        assert "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
