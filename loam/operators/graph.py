@@ -30,15 +30,18 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, both: bool = False) -> DataFrame:
-    """Vertices within ``depth`` steps of ``seeds`` (column ``id``) and their least distance."""
+    """Vertices within ``depth`` steps of ``seeds`` (column ``id``) and their least distance.
+
+    Edges may repeat. They are not shuffled while a step's vertices are few, as those are broadcast.
+    """
     e = edges.select("src", "dst")
     if both:
         e = e.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    e = e.distinct()
-    seen = seeds.select("id").distinct().withColumn("depth", F.lit(0))
+    seen = _cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for d in range(1, depth + 1):
-        near = front.join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        ids = front.select("id")
+        near = e.join(F.broadcast(ids) if ids.count() <= BROADCAST_SCORES else ids, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
         front = near.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d))
         front = _cut(front)
         seen = seen.unionByName(front)

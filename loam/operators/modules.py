@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: File endings and their languages.
 LANGUAGES = {"go": "go", "py": "python", "js": "javascript", "ts": "typescript", "tsx": "typescript", "jsx": "javascript", "java": "java", "kt": "kotlin", "rs": "rust", "rb": "ruby", "cs": "csharp", "cpp": "cpp", "c": "c", "h": "c", "php": "php", "swift": "swift", "dart": "dart", "scala": "scala"}
 
+#: So many roots are broadcast.
+BROADCAST_ROOTS = 200_000
+
 
 def language(path: Column) -> Column:
     ending = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
@@ -28,8 +31,10 @@ def ancestors(path: Column) -> Column:
 def longest_prefix(files: DataFrame, roots: DataFrame) -> DataFrame:
     """``path, module``: the module whose root is the longest prefix of whole segments.
 
-    Each path is cut into its ancestors, which makes the prefix test an equi-join.
+    Each path is cut into its ancestors, which makes the prefix test an equi-join. Roots are broadcast while they are few, as
+    all paths have the first of them in common.
     """
+    roots = F.broadcast(roots) if roots.count() <= BROADCAST_ROOTS else roots
     cut = files.select("path", F.explode(ancestors(F.col("path"))).alias("root"))
     return cut.join(roots, "root").groupBy("path").agg(F.max_by("module", F.length("root")).alias("module"))
 

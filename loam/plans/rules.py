@@ -37,8 +37,8 @@ def invalidation_closure(spark, sf_dir):
     """Files to rescan after a change: dependents within three steps, each at its least depth."""
     li = R.read(spark, sf_dir, "lineitem").join(R.read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     a, b, c = F.col("l_suppkey"), F.col("l_partkey") + 1_000_000, F.col("o_custkey") + 100_000_000
-    ways = [li.select(x.alias("src"), y.alias("dst")) for x, y in ((a, b), (b, c), (c, a))]
-    return graph.reach(ways[0].unionByName(ways[1]).unionByName(ways[2]), spark.createDataFrame([(3,)], "id long"), 3)
+    ways = F.array(*[F.struct(x.alias("src"), y.alias("dst")) for x, y in ((a, b), (b, c), (c, a))])
+    return graph.reach(li.select(F.explode(ways).alias("w")).select("w.src", "w.dst"), spark.createDataFrame([(3,)], "id long"), 3)
 
 
 @query(

@@ -3,7 +3,7 @@
 import random
 import time
 
-from loam.operators import delta, federation, intervals
+from loam.operators import delta, federation, graph, intervals, modules
 from loam.plans import catalog
 
 
@@ -83,3 +83,28 @@ def test_partners_of_consumers_of_very_many_contracts(spark):
         plan = federation.partners(df, hot)
         assert dict(plan.collect()) == {c: len(v) for c, v in want.items() if v}
         assert "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_and_paths_stay_where_they_are(spark):
+    """Steps from few vertices and few roots do not shuffle the many rows beside them; a large front still joins."""
+    edges = spark.range(400).selectExpr("id % 40 as src", "id % 40 + 1 as dst")
+    seeds = spark.createDataFrame([(1,), (1,)], "id long")
+    seen = []
+    real, graph._cut = graph._cut, lambda df: seen.append(_plan(df)) or real(df)
+    try:
+        got = sorted(map(tuple, graph.reach(edges, seeds, 3).collect()))
+        assert got == [(1, 0), (2, 1), (3, 2), (4, 3)]
+        assert all("BroadcastHashJoin" in p for p in seen[1:]) and not any("SortMergeJoin" in p.split("BroadcastHashJoin")[-1] for p in seen[1:])
+        most, graph.BROADCAST_SCORES = graph.BROADCAST_SCORES, 0
+        assert sorted(map(tuple, graph.reach(edges, seeds, 3).collect())) == got
+        graph.BROADCAST_SCORES = most
+    finally:
+        graph._cut = real
+    roots = spark.createDataFrame([("src", "root"), ("src/a", "a")], "root string, module string")
+    files = spark.createDataFrame([("src/a/x.go",), ("src/ab/x.go",), ("lib/x.go",), ("src/a",)], "path string")
+    found = modules.longest_prefix(files, roots)
+    assert dict(found.collect()) == {"src/a/x.go": "a", "src/ab/x.go": "root", "src/a": "a"} and "BroadcastHashJoin" in _plan(found)
