@@ -19,10 +19,14 @@ from __future__ import annotations
 import contextlib
 import json
 import math
+import re
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +40,10 @@ BUILDS: list[tuple[str, float]] = []
 FANIN = 4
 PARTS = 64
 GRAM = 3
-#: Every place's next ``GRAM`` characters, also at the end where there are fewer.
-_GRAMS = rf"(?s)(?=(.{{1,{GRAM}}}))"
+#: Tokens of a text in lower case, as ``operators.search.tokens`` cuts them.
+_TOKEN = re.compile("[a-z0-9_]+")
+#: Rows, or positions, of an Arrow batch.
+ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -101,21 +107,63 @@ def _part(parts: int):
 
 
 def _postings(texts: DataFrame, fields: dict) -> DataFrame:
-    """``term, field, id, length, tf, positions``: a text's tokens are sorted and cut into runs of a term inside their row, so nothing is shuffled."""
-    numbered = lambda c: F.array_sort(F.transform(tokens(F.col(c)), lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), numbered(c).alias("ts")) for i, c in enumerate(fields)]))
-    flat = texts.select("id", "length", each.alias("f")).select("id", "length", "f.field", "f.ts").where(F.size("ts") > 0)
-    first = F.filter(F.sequence(F.lit(0), F.size("ts") - 1), lambda i: (i == 0) | (F.get("ts", i)["term"] != F.get("ts", i - 1)["term"]))
-    flat = flat.select("id", "length", "field", "ts", first.alias("at"))
-    until = lambda k: F.coalesce(F.get("at", k + 1), F.size("ts"))
-    runs = F.transform("at", lambda a, k: F.struct(F.get("ts", a)["term"].alias("term"), F.transform(F.slice("ts", a + 1, until(k) - a), lambda x: x["pos"]).alias("positions")))
-    flat = flat.select("id", "length", "field", F.explode(runs).alias("r"))
-    return flat.select("r.term", "field", "id", "length", F.size("r.positions").cast("long").alias("tf"), "r.positions")
+    """``term, field, id, length, tf, positions``: a text's tokens are gathered by term inside their row, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lengths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for field, column in enumerate(batch.columns[2:]):
+                terms, own, sizes, places, counts = [], [], [], [], []
+                for i, length, text in zip(ids, lengths, column, strict=True):
+                    if not text.is_valid:
+                        continue
+                    at: dict[str, list[int]] = {}
+                    for place, term in enumerate(_TOKEN.findall(text.as_py())):
+                        at.setdefault(term, []).append(place)
+                    terms += at
+                    own += [i] * len(at)
+                    sizes += [length] * len(at)
+                    for found in at.values():
+                        places += found
+                        counts.append(len(found))
+                    if len(places) > ROWS:
+                        yield _posting_rows(terms, field, own, sizes, counts, places)
+                        terms, own, sizes, places, counts = [], [], [], [], []
+                if terms:
+                    yield _posting_rows(terms, field, own, sizes, counts, places)
+
+    lowered = [F.lower(F.col(c)).alias(c) for c in fields]
+    return texts.select("id", "length", *lowered).mapInArrow(run, "term string, field int, id long, length long, tf long, positions array<int>")
+
+
+def _posting_rows(terms: list, field: int, ids: list, lengths: list, counts: list, places: list) -> pa.RecordBatch:
+    offsets = np.concatenate(([0], np.cumsum(counts, dtype=np.int64))).astype(np.int32)
+    positions = pa.ListArray.from_arrays(pa.array(offsets), pa.array(places, pa.int32()))
+    columns = [pa.array(terms, pa.string()), pa.array([field] * len(terms), pa.int32()), pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(counts, pa.int64()), positions]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "field", "id", "length", "tf", "positions"])
 
 
 def _grams(texts: DataFrame, fields: dict) -> DataFrame:
-    each = F.flatten(F.array(*[F.regexp_extract_all(lower_ascii(F.coalesce(F.col(c), F.lit(""))), F.lit(_GRAMS), F.lit(1)) for c in fields]))
-    return texts.select("id", F.explode(F.array_distinct(each)).alias("gram"))
+    """``id, gram``: every place's next ``GRAM`` characters, also at the end where there are fewer, once a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, ids = [], []
+            for i, *row in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                found: set[str] = set()
+                for text in row:
+                    t = text.as_py()
+                    found.update([t[k : k + GRAM] for k in range(len(t))])
+                grams += found
+                ids += [i] * len(found)
+                if len(grams) > ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.string())], names=["id", "gram"])
+                    grams, ids = [], []
+            if grams:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.string())], names=["id", "gram"])
+
+    lowered = [lower_ascii(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in fields]
+    return texts.select("id", *lowered).mapInArrow(run, "id long, gram string")
 
 
 def _ranged(rows: DataFrame, *order: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Values and shapes that only larger tables have."""
 
 import random
+import re
+import string
 import time
 
 from loam.operators import delta, federation, graph, intervals, modules
 from loam.plans import catalog
+from loam.sources import search_store
 
 
 def test_numbers_in_canonical_json(spark):
@@ -108,3 +111,18 @@ def test_edges_and_paths_stay_where_they_are(spark):
     files = spark.createDataFrame([("src/a/x.go",), ("src/ab/x.go",), ("lib/x.go",), ("src/a",)], "path string")
     found = modules.longest_prefix(files, roots)
     assert dict(found.collect()) == {"src/a/x.go": "a", "src/ab/x.go": "root", "src/a": "a"} and "BroadcastHashJoin" in _plan(found)
+
+
+def test_postings_and_grams_as_plain_loops_make_them(spark):
+    """Missing texts, signs beyond 16 bits, letters whose lower case is longer, batches that are cut; no regular expression runs at every place."""
+    texts = [(1, "The the_1 OF", None, 3), (2, None, "\U0001d518b É\nAB", 4), (3, "", "İx a a", 5), *[(i, f"w{i % 7} the", "x y " * (i % 5), 6) for i in range(4, 60)]]
+    df = spark.createDataFrame(texts, "id long, name string, documentation string, length long")
+    fields, small = {"name": 1.0, "documentation": 0.5}, search_store.ROWS
+    lower = str.maketrans({c: c.lower() for c in string.ascii_uppercase})
+    grams = {(i, t.translate(lower)[k : k + 3]) for i, *ts, _ in texts for t in ts if t for k in range(len(t))}
+    want = {(w, f, i, n, [k for k, x in enumerate(ws) if x == w].__repr__()) for i, *ts, n in texts for f, t in enumerate(ts) if t for ws in [re.findall("[a-z0-9_]+", t.lower())] for w in ws}
+    found = search_store._grams(df, fields)
+    assert sorted(map(tuple, found.select("id", "gram").collect())) == sorted(grams)
+    got = search_store._postings(df, fields).collect()
+    assert {(r["term"], r["field"], r["id"], r["length"], repr(r["positions"])) for r in got} == want and len(got) == len(want)
+    assert all(r["tf"] == len(r["positions"]) for r in got) and small == 100_000 and "regexp" not in _plan(found)
