@@ -50,6 +50,38 @@ def test_cycle_that_loses_its_way_in(spark):
     assert [tuple(r) for r in got.collect()] == [(1, 1)]
 
 
+@pytest.mark.parametrize(("most", "broadcast"), [(25, 200_000), (60, 1)])
+def test_closure_by_pieces_equals_pairs(spark, monkeypatch, most, broadcast):
+    for name, value in (("BROADCAST", broadcast), ("MEMBERS", 2), ("SMALL", 0)):
+        monkeypatch.setattr(closure, name, value)
+    rng = random.Random(most)
+    df = lambda e: spark.createDataFrame(sorted(e), "src long, dst long")
+    edges = {(rng.randrange(most), rng.randrange(most)) for _ in range(40)} | {(1, 2), (2, 1), (2, 3), (3, 3), (-5, -6), (-6, -5)}
+    seeds = [1, 2, 7, 90, -5]
+    kept = closure.condensed(df(edges), spark.createDataFrame([(x,) for x in seeds], "id long"))
+    assert {tuple(r) for r in closure.pairs(kept).collect()} == _reach(edges, seeds)
+    went = set(rng.sample(sorted(edges), 9)) | {(70, 71)}
+    came = {(rng.randrange(most + 3), rng.randrange(most + 3)) for _ in range(6)} | {sorted(went)[0]}
+    kept = closure.changed(kept, df(edges).unionByName(df(edges)), df(came), df(went))
+    rows = [tuple(r) for r in closure.pairs(kept).collect()]
+    assert set(rows) == _reach((edges - went) | came, seeds) and len(rows) == len(set(rows))
+
+
+def test_vertices_that_lead_to_each_other_are_one_piece(spark, monkeypatch):
+    """All pairs of a piece are one row until they are asked for; a piece that falls apart is none any more, the other stays."""
+    monkeypatch.setattr(closure, "SMALL", 0)
+    all_of = lambda *ids: [(a, b) for a in ids for b in ids if a != b]
+    edges = [*all_of(*range(12)), *all_of(*range(100, 109)), (5, 100)]
+    df = lambda e: spark.createDataFrame(e, "src long, dst long")
+    kept = closure.condensed(df(edges), spark.createDataFrame([(i,) for i in range(12)], "id long"))
+    assert kept.closure.count() == 2 and kept.pieces.count() == 11 + 8
+    assert closure.pairs(kept).count() == 12 * 21
+    went = [e for e in edges if e[1] < 12 and e[0] < 12 and e[0] >= e[1]]
+    apart = closure.changed(kept, df(edges), df(went).limit(0), df(went))
+    assert apart.pieces.count() == 8
+    assert {tuple(r) for r in closure.pairs(apart).collect()} == _reach(set(edges) - set(went), range(12))
+
+
 def test_trees_find_what_a_full_join_finds(spark, tmp_path):
     rng = random.Random(3)
     rows = {i: (i, rng.choice("abc"), rng.random()) for i in range(4_000)}
