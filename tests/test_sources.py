@@ -1,8 +1,12 @@
 """Text sources and sinks."""
 
 import json
+import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from loam.sources import index_format, readers, source_code, writers
 
@@ -128,6 +132,25 @@ def test_index_files_in_their_own_format(spark, tmp_path):
     assert (got["path"], list(got["occurrences"][0]["range"]), got["occurrences"][0]["symbol"], got["occurrences"][0]["roles"]) == ("p", [5, 6, 7], "q", 8)
 
 
+def test_many_documents_in_the_index_format(spark):
+    """Negative and long numbers, long lists, empty and null parts, texts that are not UTF-8: as plain readers of the wire format have them."""
+    o = [{"range": [(-1) ** j * 7 ** (j % 11) for j in range(i % 5)], "symbol": "é" * (i % 3), "roles": i % 4 << 20, "enclosing": None if i % 2 else [i] * (i % 3)} for i in range(400)]
+    rel = [{"symbol": f"r{i}", "reference": i % 2 == 0, "implementation": i % 3 == 0} for i in range(7)]
+    docs = [{"path": f"p{i}", "language": "", "occurrences": o[: i % 30], "symbols": [{"symbol": "s" * 200, "name": "", "kind": i, "docs": ["x"] * (i % 4), "relationships": rel[: i % 8]}] * (i % 3)} for i in range(60)]
+    docs.append({"path": "long", "language": "go", "occurrences": [*o, {"range": list(range(500)), "symbol": "", "roles": 0, "enclosing": []}], "symbols": []})
+    df = spark.createDataFrame([json.dumps(d) for d in docs], "string").select(F.from_json("value", readers.INDEX_SCHEMA).alias("d")).select("d.*")
+    files = index_format.encode(df).cache()
+    assert files.count() < len(docs)
+    assert sorted((r.asDict(True) for r in index_format.decode(files).collect()), key=lambda d: d["path"]) == sorted(docs, key=lambda d: d["path"])
+    bad = bytes([0x12, 4, 0x0A, 2, 0xFF, ord("p")])
+    assert index_format.decode(spark.createDataFrame([(bytearray(bad),), (None,), (bytearray(),)], "content binary")).first()["path"] == "\ufffdp"
+    # Read side by side, so a column of a batch's occurrences takes the time of a few array operations.
+    many = pa.RecordBatch.from_pylist([{"path": "p", "language": "", "occurrences": o, "symbols": []}] * 500, schema=pa.schema(list(to_arrow_type(StructType.fromDDL(readers.INDEX_SCHEMA)))))
+    began = time.process_time()
+    raw = index_format._encoded(many)
+    assert len(raw) > 1_000_000 and time.process_time() - began < 1.5
+
+
 def test_yaml_contracts_and_long_record_numbers(spark):
     o = spark.createDataFrame([("a", "openapi: '3.1.0'\npaths:\n  '/a/{x}':\n    get: {}\n  /b:\n    /no: 1\nx:\n  /c: 1\n"), ("b", "paths:\n  /a: 1\n")], "path string, text string")
     assert [(r["version"], r["paths"]) for r in readers.openapi_contract(o).collect()] == [("3.1.0", ["/a/{x}", "/b"]), (None, None)]
