@@ -42,3 +42,8 @@ def size_shuffles(spark: SparkSession, folder: str) -> None:
         spark.conf.set(_FIRST, wanted)
     else:
         spark.conf.unset(_FIRST)
+
+
+def dealt_to(spark: SparkSession) -> int:
+    """Partitions that a shuffle is dealt to at first."""
+    return int(spark.conf.get(_FIRST, None) or spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,16 +9,20 @@ from __future__ import annotations
 import contextlib
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions.shared import cut as _cut
+from loam.functions.shared import dealt_to
 
 CUT_EVERY = 5
 #: Scores of up to so many vertices and queries (40 bytes each) are broadcast to the edges.
 BROADCAST_SCORES = 500_000
 #: Edges of so few vertices are asked for by name.
 LISTED_SOURCES = 500
+#: From so many scores on, edges are dealt out once, so that no step shuffles them.
+DEALT_FROM = 10_000
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -161,31 +165,57 @@ def push(graph: DataFrame, seeds: DataFrame, steps: int = 20, damping: float = 0
     where vertices without edges, whose mass is dropped too, count in.
 
     Scores meet the edges by broadcast while they are few: always, if vertices times queries are; otherwise each step's are
-    written and counted. Edges are never shuffled then; partial sums by vertex are, so one of very many edges is no hot key.
+    written and counted, and edges are dealt out once by their ends: by ``dst`` for scores that are broadcast, whose sums then need no
+    shuffle, by ``src`` for those that are not.
     """
     own = graph.where("own").select(F.col("src").alias("id"))
     valid = seeds.select("query", "id").distinct().join(own, "id", "left_semi")
     state = _cut(valid.join(valid.groupBy("query").agg((1 / F.count(F.lit(1))).alias("held")), "query").select("query", "id", "held", F.lit(0.0).alias("kept")))
-    rows = state.count()
-    bounded = own.count() * max(1, state.select("query").distinct().count()) <= BROADCAST_SCORES
-    with _as_planned(graph.sparkSession) if bounded else contextlib.nullcontext():
+    if own.count() * max(1, state.select("query").distinct().count()) > BROADCAST_SCORES:
+        return _pushed_far(graph.where("not own").select("src", "dst", "p"), state.select("query", "id", "held"), steps, damping, least)
+    with _as_planned(graph.sparkSession):
         for i in range(1, steps + 1):
-            near = graph
-            if not bounded and rows <= LISTED_SOURCES:  # files without edges of these vertices are skipped
-                near = graph.where(F.col("src").isin([r["id"] for r in state.select("id").distinct().collect()]))
-            met = near.join(F.broadcast(state) if bounded or rows <= BROADCAST_SCORES else state, F.col("src") == F.col("id"))
+            met = graph.join(F.broadcast(state), F.col("src") == F.col("id"))
             flow = F.coalesce(F.sum(F.when(~F.col("own"), damping * F.col("held") * F.col("p"))), F.lit(0.0))
             kept = F.coalesce(F.sum(F.when(F.col("own"), F.col("kept") + (1 - damping) * F.col("held"))), F.lit(0.0))
             state = met.groupBy("query", F.col("dst").alias("id")).agg(flow.alias("held"), kept.alias("kept"))
             state = state.withColumn("held", F.when(F.col("held") >= least, F.col("held")).otherwise(0.0)).where("held > 0 or kept > 0")
-            if not bounded:
-                state = _cut(state)
-                rows = state.count()
-            elif i % (2 * CUT_EVERY) == 0 or i == steps:
+            if i % (2 * CUT_EVERY) == 0 or i == steps:
                 state = _cut(state)
     return state.select("query", "id", (F.col("kept") + F.col("held")).alias("score"))
 
 
+def _pushed_far(edges: DataFrame, front: DataFrame, steps: int, damping: float, least: float) -> DataFrame:
+    """:func:`push` of scores that may be many: what vertices keep of each step is summed at the end, so a step passes on only what moves."""
+    spark, dealt, kept = edges.sparkSession, {}, []
+
+    def by(column: str) -> DataFrame:
+        if column not in dealt:
+            with _as_planned(spark):  # or the partitions would not be known to be dealt by the column
+                dealt[column] = edges.repartition(dealt_to(spark), column).persist(StorageLevel.DISK_ONLY)
+        return dealt[column]
+
+    try:
+        rows = front.count()
+        for _ in range(steps):
+            if not rows:
+                break
+            kept.append(front.select("query", "id", ((1 - damping) * F.col("held")).alias("score")))
+            if rows <= LISTED_SOURCES:  # files without edges of these vertices are skipped
+                near = edges.where(F.col("src").isin([r["id"] for r in front.select("id").distinct().collect()]))
+            else:
+                near = edges if rows < DEALT_FROM else by("dst" if rows <= BROADCAST_SCORES else "src")
+            met = near.join(F.broadcast(front) if rows <= BROADCAST_SCORES else front.hint("shuffle_hash"), F.col("src") == F.col("id"))
+            flow = met.select("query", F.col("dst").alias("id"), (damping * F.col("held") * F.col("p")).alias("part"))
+            front = _cut(flow.groupBy("query", "id").agg(F.sum("part").alias("held")).where((F.col("held") >= least) & (F.col("held") > 0)))
+            rows = front.count()
+    finally:
+        for d in dealt.values():
+            d.unpersist()
+    kept.append(front.select("query", "id", F.col("held").alias("score")))
+    return _cut(reduce(DataFrame.unionByName, kept).groupBy("query", "id").agg(F.sum("score").alias("score")))
+
+
 @contextlib.contextmanager
 def _as_planned(spark):
     """Without planning anew after every stage, for loops of steps whose sizes are known beforehand."""

@@ -182,6 +182,18 @@ def test_push_equals_full_steps_for_many_seed_sets(spark, monkeypatch):
     assert len(near) < len(want) and all(want[k] - (1 - sum(v for x, v in near.items() if x[0] == k[0])) - 1e-9 <= v <= want[k] + 1e-9 for k, v in near.items())
 
 
+def test_push_of_many_scores_along_dealt_edges(spark, monkeypatch):
+    """Edges dealt by either end give the same scores, each is dealt once, and nothing stays behind."""
+    rng = random.Random(5)
+    e = spark.createDataFrame([(rng.randrange(30), rng.randrange(30), 1.0) for _ in range(90)], "src long, dst long, weight double")
+    g, s = graph.transitions(e).cache(), spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "query string, id long")
+    scores = lambda: {(r["query"], r["id"]): round(r["score"], 9) for r in graph.push(g, s, least=0.0, steps=4).collect()}
+    want, held = scores(), spark.sparkContext._jsc.getPersistentRDDs().size()
+    for name, value in (("LISTED_SOURCES", 2), ("DEALT_FROM", 3), ("BROADCAST_SCORES", 20)):
+        monkeypatch.setattr(graph, name, value)
+    assert scores() == want and spark.sparkContext._jsc.getPersistentRDDs().size() == held
+
+
 def test_fusion_by_hand(spark):
     found = spark.createDataFrame([("q", 1, 1, 1.0, 0.5), ("q", 2, 2, 0.8, 0.0), ("q", 3, 3, 0.5, 0.1), ("r", 1, 3, 0.5, 0.2)], "query string, id long, tier int, rank double, ppr double")
     features = spark.createDataFrame([(1, 10, 5), (2, 20, 9)], "id long, hotspot int, recency int")
