@@ -80,7 +80,7 @@ def _plain(x: Column, single: bool) -> Column:
     digits = F.regexp_replace(F.regexp_replace(power.try_cast("decimal(38,6)").cast("string"), "0+$", ""), r"\.$", ".0")
     size = F.abs(places)
     text = F.when((size >= 1e-4) & (size < 1e16), digits).otherwise(F.regexp_replace(power, r"\.?0+e", "e"))
-    text = F.when(places == 0, F.when(x < 0, F.lit("-0.0")).otherwise(F.lit("0.0"))).otherwise(text)
+    text = F.when(places == 0, F.when(x.cast("string").startswith("-"), F.lit("-0.0")).otherwise(F.lit("0.0"))).otherwise(text)
     odd = F.isnan(x) | (size == float("inf"))
     return F.when(odd, F.concat(F.lit('"'), x.cast("string"), F.lit('"'))).when(x.isNotNull(), text)
 

@@ -5,6 +5,8 @@ import re
 import string
 import time
 
+import duckdb
+
 from loam.operators import delta, federation, graph, intervals, modules
 from loam.plans import catalog
 from loam.sources import search_store
@@ -18,6 +20,18 @@ def test_numbers_in_canonical_json(spark):
     assert got == {i: f'{{"id":{i},"n":"a\\"b"' + (f',"x":{t}' if t else "") + "}" for i, (_, t) in enumerate(rows)}
 
 
+def test_canonical_json_of_odd_customers_as_its_sql(spark, tmp_path):
+    """A balance of -0.0 keeps its sign; customers without a name, a key or a balance that is due have no text."""
+    rows = [(1, "a", 5, -0.0), (2, "b", 5, 0.0), (3, None, 5, 1.0), (4, "d", 5, None), (5, "e", 1, None), (6, "f", None, 2.0), (None, "g", 5, 7.0), (8, "h", 5, -1e-9), (9, "i", 25, -999.99)]
+    at = str(tmp_path / "customer.parquet")
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double").write.parquet(at)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW customer AS SELECT * FROM '{at}/*.parquet'")
+    want = sorted(duck.execute(catalog.SQL["canonical_json"]).fetchall(), key=str)
+    assert sorted(map(tuple, catalog.QUERIES["canonical_json"](spark, str(tmp_path)).collect()), key=str) == want
+    assert (1, '{"balance":-0.0,"c_custkey":1,"c_name":"a"}') in want
+
+
 def _smallest(points, defs):
     out = {}
     for pid, doc, line in points:
