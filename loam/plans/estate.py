@@ -62,18 +62,21 @@ _CONTRACT = "e AS (SELECT DISTINCT l_suppkey AS c, o_custkey AS k FROM lineitem
 
 def _contracts(spark, sf_dir):
     li = R.read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("contract"))
-    return li.join(R.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("contract", F.col("o_custkey").alias("consumer")).distinct()
+    return li.join(R.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("contract", F.col("o_custkey").alias("consumer")).repartition("consumer").distinct()  # dealt out once, as consumers are gathered next
 
 
-@query(f"WITH {_CONTRACT} SELECT contract, direct, transitive, points, CASE WHEN points >= 4 THEN 'high' WHEN points >= 2 THEN 'medium' ELSE 'low' END AS level FROM p")
-def contract_risk(spark, sf_dir):
-    e = _contracts(spark, sf_dir)
+def _risk(e):
     d = e.groupBy("contract").agg(F.count(F.lit(1)).alias("direct"))
     x = d.join(federation.partners(e), "contract", "left").select("contract", "direct", F.coalesce("partners", F.lit(0)).alias("transitive"))
     points, level = federation.contract_points(F.col("direct"), F.col("transitive"), F.col("contract") % 2 == 0, F.col("contract") % 5 == 0)
     return x.select("*", points.alias("points"), level.alias("level"))
 
 
+@query(f"WITH {_CONTRACT} SELECT contract, direct, transitive, points, CASE WHEN points >= 4 THEN 'high' WHEN points >= 2 THEN 'medium' ELSE 'low' END AS level FROM p")
+def contract_risk(spark, sf_dir):
+    return _risk(_contracts(spark, sf_dir))
+
+
 @query(
     f"""WITH {_CONTRACT}, s AS (SELECT l_suppkey AS contract, o_custkey AS owner, round(sum(l_quantity * 0.9 * 0.7), 6) AS score FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
 o AS (SELECT contract, string_agg(owner::VARCHAR, ',' ORDER BY score DESC, owner) AS owners FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY contract ORDER BY score DESC, owner) <= 3) GROUP BY 1),

@@ -6,6 +6,7 @@ import string
 import time
 
 import duckdb
+import pyarrow as pa
 
 from loam.operators import delta, federation, graph, intervals, modules
 from loam.plans import catalog
@@ -102,6 +103,43 @@ def test_partners_of_consumers_of_very_many_contracts(spark):
         assert "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_partners_shuffle_lists_and_no_pairs(spark):
+    """Each consumer's contracts go out once for every block, also in several pieces and blocks; nulls are no partners."""
+    rng = random.Random(9)
+    edges = [(rng.choice((-1, 1)) * rng.randrange(40_000), k) for k in range(150) for _ in range(60)] + [(None, 1), (7, None), (9, None)]
+    want = {}
+    for k in range(150):
+        mine = {c for c, m in edges if m == k and c is not None}
+        for c in mine:
+            want.setdefault(c, set()).update(mine - {c})
+    kept = federation.PIECE, federation.PAIRS
+    try:
+        federation.PIECE, federation.PAIRS = 50, 100
+        df = spark.createDataFrame(edges, "contract int, consumer long").repartition(3, "consumer")
+        assert dict(federation.partners(df).collect()) == {c: len(v) for c, v in want.items()}
+        sent = sum(p.num_rows for p in federation._counts(_batches(edges), 512))
+    finally:
+        federation.PIECE, federation.PAIRS = kept
+    assert sent <= 2 * len(want) * len({c // federation.BLOCK for c in want})
+    size = [sum(len(x) for b in federation._pieces(_lists(n)) for c in (2, 3) for x in b.column(c).to_pylist()) for n in (500, 1000)]
+    assert size == [1000, 2000]  # two bytes a contract, not its pairs
+
+
+def _lists(n):
+    yield pa.RecordBatch.from_arrays([pa.array([list(range(n))]), pa.array([True])], names=["contracts", "known"])
+
+
+def _batches(edges):
+    lists = {}
+    for c, k in edges:
+        if c is not None:
+            lists.setdefault(k, []).append(c)
+    known = [(v, k is not None) for k, v in lists.items()]
+    found = [r for b in federation._pieces([pa.RecordBatch.from_arrays([pa.array([v for v, _ in known], pa.list_(pa.int64())), pa.array([x for _, x in known])], names=["contracts", "known"])]) for r in b.to_pylist()]
+    found.sort(key=lambda r: (r["i"], r["j"]))
+    yield pa.RecordBatch.from_pylist(found, pa.schema(list(zip("ijab", federation._PIECE, strict=True))))
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
