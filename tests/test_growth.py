@@ -125,6 +125,13 @@ def test_partners_shuffle_lists_and_no_pairs(spark):
     assert size == [1000, 2000]  # two bytes a contract, not its pairs
 
 
+def test_contract_report_shuffles_its_edges_once(spark):
+    """All uses of the edges read the same lines, so that one shuffle serves them all."""
+    plan = catalog.QUERIES["contract_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    read = [x for x in plan.splitlines() if "Filter" in x and "isnotnull(l_orderkey" in x]
+    assert len(read) == 4 and all("isnotnull(l_suppkey" in x for x in read)
+
+
 def _lists(n):
     yield pa.RecordBatch.from_arrays([pa.array([list(range(n))]), pa.array([True])], names=["contracts", "known"])
 
