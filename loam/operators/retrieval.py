@@ -14,7 +14,7 @@ from loam.functions.shared import cut
 from loam.functions.text import ASCII_LOWER, ASCII_UPPER, lower_ascii
 from loam.operators.graph import push
 from loam.operators.search import K1, B
-from loam.sources.search_store import GRAM, Snapshot
+from loam.sources.search_store import GRAM, Snapshot, gram_rows
 
 #: Up to so many ids of the rarest term, or of candidates, are handed to every task.
 FEW_IDS = 10_000
@@ -115,7 +115,7 @@ def substring_candidates(snapshot: Snapshot, pattern: str) -> DataFrame | None:
     if full:
         wanted = wanted | F.col("gram").isin(full)
     marks = F.array(F.when(F.col("gram").isin(full), F.col("gram")) if full else F.lit(None).cast("string"), *[F.when(_starts("gram", p), F.lit(f"<{p}")) for p in short])
-    rows = snapshot.live(table.where(wanted)).select("id", F.explode(F.array_compact(marks)).alias("mark")).distinct()
+    rows = snapshot.live(gram_rows(table.where(wanted))).select("id", F.explode(F.array_compact(marks)).alias("mark")).distinct()
     return rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(full) + len(short)).select("id")
 
 

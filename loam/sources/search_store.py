@@ -4,7 +4,8 @@ A folder holds
 
 * ``segments/<name>/postings``: ``term, field, id, tf, positions, length``, in ranges of ``term``: a term, or all terms with a
   prefix, are a slice of few files, which Parquet's minima and maxima single out;
-* ``segments/<name>/grams``: ``gram, id`` for every place's next three letters (fewer at the end), in ranges of ``gram``;
+* ``segments/<name>/grams``: ``gram, first, ids`` for every place's next three letters (fewer at the end), in ranges of ``gram``:
+  a gram has several lists of ids, each of some neighbouring rows, and ``first`` is the first id of a list;
 * ``segments/<name>/texts``: the fields themselves, dealt to ``part`` folders by a hash of the id;
 * ``segments/<name>/gone``: ids whose rows in earlier segments are dead;
 * ``manifests/<version>.json``: the segments of a snapshot in order, and its number of live rows and tokens.
@@ -24,15 +25,16 @@ import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import files
 from loam.functions.shared import shared_dir
-from loam.functions.text import lower_ascii
 from loam.operators.search import tokens
 
 #: Indexes that this process has built, with their seconds, for reports.
@@ -44,6 +46,10 @@ GRAM = 3
 _TOKEN = re.compile("[a-z0-9_]+")
 #: Rows, or positions, of an Arrow batch.
 ROWS = 100_000
+#: Characters of text whose grams are sorted at once.
+CHARS = 1 << 22
+#: Of the files; an index of another layout is not opened.
+LAYOUT = 2
 
 
 @dataclass(frozen=True)
@@ -143,27 +149,72 @@ def _posting_rows(terms: list, field: int, ids: list, lengths: list, counts: lis
     return pa.RecordBatch.from_arrays(columns, names=["term", "field", "id", "length", "tf", "positions"])
 
 
-def _grams(texts: DataFrame, fields: dict) -> DataFrame:
-    """``id, gram``: every place's next ``GRAM`` characters, also at the end where there are fewer, once a row."""
+def _gram_lists(texts: DataFrame, fields: dict) -> DataFrame:
+    """``gram, first, ids``: every place's next ``GRAM`` characters, also at the end where there are fewer, with the rows that have them; a gram has one list, of which ``first`` is the first id, for about ``CHARS`` characters of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, ids = [], []
-            for i, *row in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
-                found: set[str] = set()
-                for text in row:
-                    t = text.as_py()
-                    found.update([t[k : k + GRAM] for k in range(len(t))])
-                grams += found
-                ids += [i] * len(found)
-                if len(grams) > ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.string())], names=["id", "gram"])
-                    grams, ids = [], []
-            if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.string())], names=["id", "gram"])
-
-    lowered = [lower_ascii(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in fields]
-    return texts.select("id", *lowered).mapInArrow(run, "id long, gram string")
+            sizes = sum(pc.fill_null(pc.utf8_length(c), 0).to_numpy().astype(np.int64) for c in batch.columns[1:])
+            cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // CHARS, prepend=-1))
+            parts = [batch.slice(x, y - x) for x, y in pairwise([*cuts, batch.num_rows])]
+            while parts:
+                part = parts.pop()
+                lists = _lists_of(part)
+                if lists is None:  # too many rows and characters for one number
+                    parts += [part.slice(0, part.num_rows // 2), part.slice(part.num_rows // 2)]
+                elif lists.num_rows:
+                    yield lists
+
+    return texts.select("id", *fields).mapInArrow(run, "gram string, first long, ids array<long>")
+
+
+def _lists_of(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    """A batch's grams, A-Z in lower case, with the ids of their rows. A gram and a row are one number; nothing if that does not fit."""
+    columns = [c.to_pylist() for c in batch.columns[1:]]
+    lengths = np.concatenate([np.fromiter(map(len, (t or "" for t in c)), np.int64, batch.num_rows) for c in columns])
+    codes = np.frombuffer("".join(t or "" for c in columns for t in c).encode("utf-32-le"), np.uint32)
+    codes = codes + 32 * ((codes >= 65) & (codes <= 90)).astype(np.uint32)
+    number = np.zeros(0x110000, np.int64)
+    number[codes] = 1
+    chars = np.flatnonzero(number)
+    number[chars] = np.arange(1, len(chars) + 1)
+    base, bits = len(chars) + 1, max(1, batch.num_rows - 1).bit_length()
+    if base**GRAM << bits >= 1 << 63:
+        return None
+    place = np.arange(len(codes)) + np.repeat((GRAM - 1) * np.arange(len(lengths)), lengths)  # room for ends between texts
+    padded = np.zeros(len(codes) + (GRAM - 1) * len(lengths), np.int64)
+    padded[place] = number[codes]
+    grams = np.zeros(len(codes), np.int64)
+    for k in range(GRAM):
+        grams = grams * base + padded[place + k]
+    both = grams << bits | np.repeat(np.tile(np.arange(batch.num_rows), len(columns)), lengths)
+    both.sort()
+    both = both[np.diff(both, prepend=-1) != 0]
+    grams, rows = both >> bits, both & ((1 << bits) - 1)
+    starts = np.flatnonzero(np.diff(grams, prepend=-1))
+    letters = np.array(["", *map(chr, chars)], object)
+    names = np.full(len(starts), "", object)
+    for k in reversed(range(GRAM)):
+        names = names + letters[grams[starts] // base**k % base]
+    ids = batch.column(0).to_numpy()[rows]
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)), pa.int32()), pa.array(ids, pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ids[starts], pa.int64()), lists], names=["gram", "first", "ids"])
+
+
+def gram_rows(lists: DataFrame) -> DataFrame:
+    """A row for each id of the lists."""
+    return lists.withColumn("id", F.explode("ids")).drop("first", "ids")
+
+
+def _grams(texts: DataFrame, fields: dict) -> DataFrame:
+    """``gram, id``, each once."""
+    return gram_rows(_gram_lists(texts, fields))
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """Lists of rows of ``gram, id``, for ranges of ``ROWS`` ids."""
+    lists = rows.groupBy("gram", F.floor(F.col("id") / ROWS)).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return lists.select("gram", F.get("ids", F.lit(0)).alias("first"), "ids")
 
 
 def _ranged(rows: DataFrame, *order: str) -> DataFrame:
@@ -190,7 +241,7 @@ def _segment(root: str, texts: DataFrame | None, postings: DataFrame | None, gra
         made |= {"rows": r["n"], "tokens": r["t"]}
         if r["n"]:
             _write(_ranged(postings(written) if callable(postings) else postings, "term", "id"), f"{at}/postings")
-            _write(_ranged(grams(written) if callable(grams) else grams, "gram", "id"), f"{at}/grams")
+            _write(_ranged(grams(written) if callable(grams) else grams, "gram", "first"), f"{at}/grams")
     return made
 
 
@@ -212,7 +263,7 @@ def apply(snapshot: Snapshot, rows: DataFrame | None = None, deletes: DataFrame
     if rows is not None and s.segments:
         own = texts.select("id")
         ids = own if ids is None else ids.unionByName(own).distinct()
-    made = _segment(s.root, texts, lambda t: _postings(t, s.fields), lambda t: _grams(t, s.fields), ids if s.segments else None)
+    made = _segment(s.root, texts, lambda t: _postings(t, s.fields), lambda t: _gram_lists(t, s.fields), ids if s.segments else None)
     docs, toks = s.docs + made["rows"], s.tokens + made["tokens"]
     if made["gone"] and (held := s.table("texts")) is not None:
         gone = spark.read.parquet(f"{s.root}/segments/{made['name']}/gone")
@@ -248,7 +299,8 @@ def merge(snapshot: Snapshot, fanin: int = FANIN) -> Snapshot:
         a, b = run
         part = Snapshot(s.spark, s.root, s.version, s.fields, s.parts, s.segments[a:b], s.docs, s.tokens)
         texts, gone = part.table("texts"), part.table("gone") if a else None
-        kept = {k: part.live(t).drop("seg") for k in ("texts", "postings", "grams") if (t := part.table(k)) is not None}
+        kept = {k: part.live(gram_rows(t) if k == "grams" else t).drop("seg") for k in ("texts", "postings", "grams") if (t := part.table(k)) is not None}
+        kept |= {"grams": _listed(kept["grams"])} if "grams" in kept else {}
         made = _segment(s.root, kept.get("texts") if texts is not None else None, kept.get("postings"), kept.get("grams"), gone.select("id").distinct() if gone is not None else None)
         s = _commit(s.spark, s.root, s.version + 1, s.fields, s.parts, [*s.segments[:a], made, *s.segments[b:]], s.docs, s.tokens)
     return s
@@ -273,7 +325,7 @@ def index_of(df: DataFrame, rows: DataFrame, name: str, fields: dict[str, float]
     and any application finds one that is there. A table that is not read from files gets an index of its own every time.
     """
     spark, mark = df.sparkSession, files.snapshot_mark(df)
-    own = uuid.uuid5(uuid.NAMESPACE_URL, json.dumps([name, mark, fields, parts])).hex if mark else uuid.uuid4().hex
+    own = uuid.uuid5(uuid.NAMESPACE_URL, json.dumps([name, mark, fields, parts, LAYOUT])).hex if mark else uuid.uuid4().hex
     root = f"{shared_dir(spark)}/loam-index-{own}"
     known = versions(spark, root)
     if 1 not in known:

@@ -132,6 +132,24 @@ def test_contract_report_shuffles_its_edges_once(spark):
     assert len(read) == 4 and all("isnotnull(l_suppkey" in x for x in read)
 
 
+def test_grams_are_kept_as_lists_also_after_a_merge(spark, tmp_path):
+    """A gram's ids share rows, with texts of more characters than one number has room for beside the row, and after rows were replaced."""
+    at = search_store.create(spark, f"{tmp_path}/at", {"t": 1.0}, 2)
+    for k in range(5):
+        at = search_store.apply(at, spark.range(k * 50, k * 50 + 60).selectExpr("id", f"concat('ABab{k} ', id % 3) as t"))
+    merged = search_store.merge(at)
+    assert len(at.segments) == 5 and len(merged.segments) == 1
+    pairs = {(i, t[j : j + 3]) for i in range(260) for t in [f"abab{min(i // 50, 4)} {i % 3}"] for j in range(len(t))}
+    for s in (at, merged):
+        lists = s.table("grams")
+        found = [(r["id"], r["gram"]) for r in s.live(search_store.gram_rows(lists)).select("id", "gram").collect()]
+        assert sorted(found) == sorted(pairs) and lists.count() < len(pairs) / 3
+    wide = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x110000)]))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array([wide, *["abcd"] * 8])], names=["id", "t"])
+    assert search_store._lists_of(rows) is None
+    assert search_store._grams(spark.createDataFrame([(i, t) for i, t in zip(range(9), rows.column(1).to_pylist(), strict=True)], "id long, t string").coalesce(1), {"t": 1.0}).count() == len({wide[k : k + 3].lower() if k < 100 else wide[k : k + 3] for k in range(len(wide))}) + 8 * 4
+
+
 def _lists(n):
     yield pa.RecordBatch.from_arrays([pa.array([list(range(n))]), pa.array([True])], names=["contracts", "known"])
 
